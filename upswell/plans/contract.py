@@ -101,3 +101,148 @@ def emerging_persistence_q(spark: SparkSession, sf: str) -> DataFrame:
     cfg = replace(CFG, persistence_min_runs=2)
     rec = E.emerging_products(df, cfg, reference_date=ref, previous=previous)
     return rec.select("product", "growth_ratio", "current_volume", "persistent")
+
+
+# ---------------------------------------------------------------- E3 hierarchy
+
+def _hier_level_sql(level: str, keys: list[str], all_keys: list[str], name: str, parent: str) -> str:
+    sel = ", ".join(k if k in keys else f"CAST(NULL AS VARCHAR) AS {k}" for k in all_keys)
+    return (f"SELECT '{level}' AS level, {name} AS name, {parent} AS parent, {sel}, "
+            "count(*) FILTER (WHERE date_received >= cs) AS current_volume, "
+            "count(*) FILTER (WHERE date_received >= ps AND date_received < cs) AS prior_volume, "
+            "count(*) FILTER (WHERE date_received < ps) AS baseline_volume "
+            f"FROM hb, w GROUP BY {', '.join(keys)}")
+
+
+def hierarchy_sql(src_cte: str, src: str, cur: int = 30, prior: int = 30, base: int = 90,
+                  end_expr: str | None = None, extra_where: str = "") -> str:
+    ks = ["canonical_product", "product_line", "canonical_issue"]
+    levels = [
+        _hier_level_sql("lob", ks[:1], ks, "canonical_product", "'root'"),
+        _hier_level_sql("product_line", ks[:2], ks, "product_line", "canonical_product"),
+        _hier_level_sql("issue", ks, ks, "canonical_issue", "product_line"),
+    ]
+    union = "\nUNION ALL\n".join(levels)
+    return f"""
+WITH {src_cte}, {S.windows_cte('w', src, cur, prior, base, end_expr=end_expr)},
+hb AS (SELECT date_received, {', '.join(f"coalesce(CAST({k} AS VARCHAR), 'Unspecified') AS {k}" for k in ks)}
+       FROM {src}, w WHERE date_received >= bs AND date_received < e {extra_where}),
+u AS ({union}),
+g AS (SELECT *, {S.ratio('current_volume', 'prior_volume')} AS growth_ratio,
+             rank() OVER (PARTITION BY level ORDER BY current_volume DESC) AS rank_current,
+             rank() OVER (PARTITION BY level ORDER BY prior_volume DESC) AS rank_prior FROM u)
+SELECT level, name, parent, {', '.join(ks)}, current_volume, prior_volume, baseline_volume, growth_ratio,
+       (growth_ratio - 1.0) * 100.0 AS growth_pct, rank_current, rank_prior,
+       rank_prior - rank_current AS rank_improved
+FROM g"""
+
+
+@query("hierarchy_summary", hierarchy_sql(S.V2, "v2"))
+def hierarchy_summary_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.hierarchy import hierarchy_summary
+
+    return hierarchy_summary(B.v2_hierarchy(spark, sf), CFG)
+
+
+# ---------------------------------------------------------------- H2 taxonomy
+
+TAX_COLS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "product", "issue",
+            "canonical_product", "product_line", "risk_type", "canonical_issue"]
+
+
+@query("standardize_taxonomy", f"""
+WITH {S.v3(B.PART_TAXONOMY)}
+SELECT {', '.join(TAX_COLS)} FROM v3""")
+def standardize_taxonomy_q(spark: SparkSession, sf: str) -> DataFrame:
+    return B.v3_standardized(spark, sf).select(*TAX_COLS)
+
+
+def share_sql(n: str = "complaints") -> str:
+    return (f"round_even(CAST({n} AS DOUBLE) / CAST(sum({n}) OVER () AS DOUBLE) * CAST(100.0 AS DOUBLE), 1)")
+
+
+@query("taxonomy_coverage", f"""
+WITH {S.v3(B.PART_TAXONOMY)},
+c AS (SELECT canonical_product, product_line, count(*) AS complaints FROM v3 GROUP BY 1, 2)
+SELECT canonical_product, product_line, complaints, {share_sql()} AS share_pct FROM c""")
+def taxonomy_coverage_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.report import value_counts
+
+    return value_counts(B.v3_standardized(spark, sf), ["canonical_product", "product_line"])
+
+
+# ---------------------------------------------------------------- H1 ingest
+
+COMPANY_PATTERN = "supplier#0+[1-3]"
+LINEITEM_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+                  "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+
+
+@query("company_regex_filter", f"""
+WITH {S.V1}
+SELECT l_orderkey, l_linenumber, company FROM v1
+WHERE regexp_matches(company, '(?i){COMPANY_PATTERN}')""")
+def company_regex_filter_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.ingest import company_filter
+
+    return company_filter(B.v1_emergence(spark, sf), COMPANY_PATTERN).select(
+        "l_orderkey", "l_linenumber", "company")
+
+
+@query("dedupe_keep_first", f"""
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+                               ORDER BY {', '.join(c + ' ASC NULLS FIRST' for c in LINEITEM_ORDER)}) AS rn
+  FROM lineitem) WHERE rn = 1""")
+def dedupe_keep_first_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.ingest import dedupe_keep_first
+    from upswell.sources.tables import read_table
+
+    return dedupe_keep_first(read_table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], LINEITEM_ORDER)
+
+
+INGEST_ORDER = ["date_received", "product", "issue", "state", "company"]
+INGEST_SQL_BODY = f"""{S.V1},
+clean AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+                                 ORDER BY {', '.join(c + ' ASC NULLS FIRST' for c in INGEST_ORDER)}) AS rn
+    FROM v1 WHERE regexp_matches(company, '(?i){COMPANY_PATTERN}')) WHERE rn = 1)"""
+
+
+def _raw_ingest_view(spark: SparkSession, sf: str) -> DataFrame:
+    """V1 with CSV-style headers, as a download would deliver them."""
+    v = B.v1_emergence(spark, sf)
+    return v.select(F.col("l_orderkey"), F.col("l_linenumber"),
+                    F.col("date_received").alias("Date Received"), F.col("company").alias("Company"),
+                    F.col("product").alias("Product"), F.col("issue").alias("Issue"),
+                    F.col("state").alias("State"))
+
+
+def _ingest_cfg():
+    from upswell.config import IngestConfig
+
+    return IngestConfig(company_filter_pattern=COMPANY_PATTERN, dedup_subset=("l_orderkey", "l_linenumber"))
+
+
+@query("ingest_clean", f"""
+WITH {INGEST_SQL_BODY}
+SELECT l_orderkey, l_linenumber, date_received, company, product, issue, state FROM clean""")
+def ingest_clean_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.ingest import clean
+
+    return clean(_raw_ingest_view(spark, sf), _ingest_cfg(), order_by=INGEST_ORDER)
+
+
+@query("run_manifest", f"""
+WITH {INGEST_SQL_BODY}
+SELECT 'https://files.consumerfinance.gov/ccdb/complaints.csv.zip' AS source_url,
+       (SELECT count(*) FROM v1) AS row_count_full, (SELECT count(*) FROM clean) AS row_count_filtered,
+       (SELECT count(*) FROM clean) >= 100 AS meets_min_filtered_rows""")
+def run_manifest_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.lineage import manifest_frame
+    from upswell.operators.ingest import clean
+
+    raw = _raw_ingest_view(spark, sf)
+    cfg = _ingest_cfg()
+    return manifest_frame(raw, clean(raw, cfg, order_by=INGEST_ORDER), cfg)
