@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from upswell.functions.text import icontains, py_strip
+from upswell.functions.text import icontains
 
 # Phrases suggesting a systemic (process / systems) failure.
 SYSTEMIC_PHRASES = (
@@ -55,13 +55,12 @@ def score_from_diff(diff: Column) -> Column:
 
 def narrative_signals(text: Column, systemic=SYSTEMIC_PHRASES, individual=INDIVIDUAL_PHRASES
                       ) -> tuple[Column, Column, Column]:
-    """(score, systemic_hits, individual_hits) for one narrative column.
+    """(score, systemic_hits, individual_hits) for one (already stripped) text.
 
-    NULL or empty text scores 0.0 with no hits; blank or hit-free text 0.5.
+    ``text`` should be ``py_strip(narrative)`` projected once (see
+    operators.risk.narrative_scores). NULL or empty text scores 0.0 with no
+    hits; blank or hit-free text scores 0.5.
     """
-    t = py_strip(text)
-    empty = text.isNull() | (text == F.lit(""))
-    sys_hits = F.when(empty, F.lit(0)).otherwise(hit_count(t, systemic))
-    ind_hits = F.when(empty, F.lit(0)).otherwise(hit_count(t, individual))
-    score = F.when(empty, F.lit(0.0)).otherwise(score_from_diff(sys_hits - ind_hits))
-    return score, sys_hits.cast("long"), ind_hits.cast("long")
+    sys_hits = hit_count(text, systemic)
+    ind_hits = hit_count(text, individual)
+    return score_from_diff(sys_hits - ind_hits), sys_hits.cast("long"), ind_hits.cast("long")

@@ -29,12 +29,19 @@ _BOUNDARY = (
 
 
 def py_regex_to_java(pattern: str) -> str:
-    """Give a Python-style pattern the Python meaning of ``\\b``, ``\\s`` and ``\\w``."""
-    return (
-        pattern.replace(r"\b", _BOUNDARY)
-        .replace(r"\s", WHITESPACE_CLASS)
-        .replace(r"\w", WORD_CLASS)
-    )
+    """Give a Python-style pattern the Python meaning of ``\\b``, ``\\s`` and ``\\w``.
+
+    A ``\\b`` at either end of the pattern (next to a word character, as in
+    every phrase list here) becomes a single cheap lookaround; any other
+    ``\\b`` becomes the general two-sided boundary test.
+    """
+    lead, trail = pattern.startswith(r"\b"), pattern.endswith(r"\b") and len(pattern) > 2
+    core = pattern[2:] if lead else pattern
+    core = core[:-2] if trail else core
+    core = (core.replace(r"\b", _BOUNDARY).replace(r"\s", WHITESPACE_CLASS)
+            .replace(r"\w", WORD_CLASS))
+    return (("(?<!" + WORD_CLASS + ")" if lead else "") + "(?:" + core + ")"
+            + ("(?!" + WORD_CLASS + ")" if trail else ""))
 
 
 def icontains(col: Column, pattern: str, literal: bool = False) -> Column:

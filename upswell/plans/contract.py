@@ -16,6 +16,7 @@ from upswell.config import EmergenceConfig
 from upswell.functions.dates import parse_date_column
 from upswell.operators import emerging as E
 from upswell.operators.windows import window_volumes
+from upswell.functions import phrases as PH
 from upswell.plans import sqlparts as S
 from upswell.sources import bindings as B
 
@@ -246,3 +247,98 @@ def run_manifest_q(spark: SparkSession, sf: str) -> DataFrame:
     raw = _raw_ingest_view(spark, sf)
     cfg = _ingest_cfg()
     return manifest_frame(raw, clean(raw, cfg, order_by=INGEST_ORDER), cfg)
+
+
+# ---------------------------------------------------------------- H5 risk / H6 text
+
+# Phrase lists for the document binding: the default complaint phrases never
+# occur in the invented prose, so the contract passes these (parameters).
+DOC_SYSTEMIC = (r"\b(that|this)\b", r"\b(of\s+the|on\s+the|in\s+the)\b", r"\b(is|was)\s+the\b")
+DOC_INDIVIDUAL = (r"\b(for\s+the|to\s+the)\b", r"\b(and|by)\s+that\b", r"\bare\s+of\b")
+
+V4 = S.v4(B.DOCUMENT_TAXONOMY)
+
+
+@query("narrative_score", f"""
+WITH {V4}
+SELECT complaint_id, {S.narrative_score_sql('consumer_complaint_narrative', DOC_SYSTEMIC, DOC_INDIVIDUAL)} FROM v4""")
+def narrative_score_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.risk import narrative_scores
+
+    d = B.v4_documents(spark, sf)
+    return narrative_scores(d, systemic=DOC_SYSTEMIC, individual=DOC_INDIVIDUAL).select(
+        "complaint_id", "narrative_score", "systemic_hits", "individual_hits")
+
+
+@query("narrative_score_default_phrases", f"""
+WITH {V4}
+SELECT complaint_id, {S.narrative_score_sql('consumer_complaint_narrative', PH.SYSTEMIC_PHRASES, PH.INDIVIDUAL_PHRASES)} FROM v4""")
+def narrative_score_default_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.risk import narrative_scores
+
+    return narrative_scores(B.v4_documents(spark, sf)).select(
+        "complaint_id", "narrative_score", "systemic_hits", "individual_hits")
+
+
+def risk_sql(src: str) -> str:
+    return f"""
+sc AS (SELECT *, {S.narrative_score_sql('consumer_complaint_narrative', DOC_SYSTEMIC, DOC_INDIVIDUAL)} FROM {src}),
+ag AS (SELECT canonical_product, canonical_issue, count(*) AS volume, count(DISTINCT state) AS distinct_states,
+              CAST(sum(CAST(round(narrative_score * 1000.0) AS BIGINT)) AS DOUBLE) AS milli,
+              arg_min(risk_type, complaint_id) AS risk_type
+       FROM sc GROUP BY 1, 2),
+ag2 AS (SELECT *, milli / (CAST(volume AS DOUBLE) * CAST(1000.0 AS DOUBLE)) AS mean_narrative_systemic,
+               CASE risk_type WHEN 'operational' THEN 0.5 WHEN 'service' THEN 0.2 WHEN 'fraud' THEN 0.3
+                    WHEN 'pricing_dispute' THEN 0.0 ELSE 0.1 END::DOUBLE AS risk_type_weight,
+               max(volume) OVER () AS vmax FROM ag),
+ag3 AS (SELECT *, round_even(greatest(least(
+          CAST(0.35 AS DOUBLE) * mean_narrative_systemic + CAST(0.35 AS DOUBLE) * risk_type_weight
+          + CAST(0.2 AS DOUBLE) * least(CAST(distinct_states AS DOUBLE) / CAST(50.0 AS DOUBLE), CAST(1.0 AS DOUBLE))
+          + CAST(0.1 AS DOUBLE) * (ln(CAST(1.0 AS DOUBLE) + CAST(volume AS DOUBLE))
+                                   / greatest(ln(CAST(1.0 AS DOUBLE) + CAST(vmax AS DOUBLE)), CAST(1.0 AS DOUBLE))),
+          CAST(1.0 AS DOUBLE)), CAST(0.0 AS DOUBLE)), 3) AS systemic_risk_score FROM ag2),
+risk AS (SELECT canonical_product, canonical_issue, volume, distinct_states, mean_narrative_systemic, risk_type,
+                risk_type_weight, systemic_risk_score,
+                CASE WHEN systemic_risk_score >= 0.5 THEN 'systemic' WHEN systemic_risk_score >= 0.35 THEN 'elevated'
+                     ELSE 'individual' END AS risk_tier FROM ag3)"""
+
+
+@query("risk_signals", f"""
+WITH {V4}, {risk_sql('v4')}
+SELECT * FROM risk""")
+def risk_signals_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.risk import risk_signals
+
+    return risk_signals(B.v4_documents(spark, sf), systemic=DOC_SYSTEMIC, individual=DOC_INDIVIDUAL)
+
+
+@query("risk_tier_counts", f"""
+WITH {V4}, {risk_sql('v4')}
+SELECT risk_tier, count(*) AS buckets, CAST(sum(volume) AS BIGINT) AS volume FROM risk GROUP BY 1""")
+def risk_tier_counts_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.risk import risk_signals, risk_tier_counts
+
+    return risk_tier_counts(risk_signals(B.v4_documents(spark, sf), systemic=DOC_SYSTEMIC,
+                                         individual=DOC_INDIVIDUAL))
+
+
+def semantic_sql(src: str) -> str:
+    fields = ["canonical_product", "product", "product_line", "canonical_issue", "issue", "sub_product"]
+    parts = ", ".join(f"nullif({S.clean(f)}, '')" for f in fields)
+    return f"""
+st AS (SELECT *, {S.clean('consumer_complaint_narrative')} AS _narr,
+              trim(concat_ws(' | ', {parts}), ' |') AS _fb FROM {src} WHERE date_received IS NOT NULL),
+st2 AS (SELECT *, _narr <> '' AS has_narrative,
+               {S.py_strip("CASE WHEN _narr <> '' THEN _narr ELSE _fb END")} AS _t FROM st),
+sem AS (SELECT * EXCLUDE (_narr, _fb, _t),
+               CASE WHEN _t = '' THEN 'Complaint with sparse structured details and no narrative text provided.'
+                    ELSE _t END AS semantic_text FROM st2)"""
+
+
+@query("semantic_text", f"""
+WITH {V4}, {semantic_sql('v4')}
+SELECT complaint_id, has_narrative, semantic_text FROM sem""")
+def semantic_text_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.semantic import semantic_text
+
+    return semantic_text(B.v4_documents(spark, sf)).select("complaint_id", "has_narrative", "semantic_text")

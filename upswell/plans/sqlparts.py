@@ -174,3 +174,35 @@ def records_ctes(name: str, summary: str, src: str, key: str = "product", issue:
          coalesce(t.top_issues, '') AS top_issues, {takeaway_sql('m.product', 'm.')} AS takeaway,
          {persistent} AS persistent
   FROM {name}_em m LEFT JOIN {name}_txt t ON m.product = t.product)"""
+
+
+def duck_phrase(p: str) -> str:
+    """A Python-style phrase regex for RE2: \\b at either end becomes an explicit
+    non-word-or-edge match (searching, so consuming one character is fine)."""
+    core, lead, trail = p, p.startswith(r"\b"), p.endswith(r"\b")
+    core = core[2:] if lead else core
+    core = core[:-2] if trail else core
+    if r"\b" in core:
+        raise ValueError("interior word boundary not supported in oracle form")
+    core = core.replace(r"\s", WS).replace(r"\w", r"[\pL\pN_]")
+    return ("(?i)" + (f"(?:^|{NW})" if lead else "") + "(?:" + core + ")"
+            + (f"(?:{NW}|$)" if trail else ""))
+
+
+def hits_sql(text: str, phrases) -> str:
+    if not phrases:
+        return "0"
+    return " + ".join(f"(CASE WHEN regexp_matches({text}, {sql_str(duck_phrase(p))}) THEN 1 ELSE 0 END)"
+                      for p in phrases)
+
+
+def narrative_score_sql(text: str, systemic, individual) -> str:
+    """SELECT-list fragment: narrative_score, systemic_hits, individual_hits."""
+    t = py_strip(text)
+    empty = f"({text} IS NULL OR {text} = '')"
+    s = f"CAST(CASE WHEN {empty} THEN 0 ELSE {hits_sql(t, systemic)} END AS BIGINT)"
+    i = f"CAST(CASE WHEN {empty} THEN 0 ELSE {hits_sql(t, individual)} END AS BIGINT)"
+    d = f"greatest(least({s} - {i}, 3), -3)"
+    score = (f"CASE WHEN {empty} THEN CAST(0.0 AS DOUBLE) ELSE CAST(CASE {d} WHEN -3 THEN 0.0 WHEN -2 THEN 0.167 "
+             f"WHEN -1 THEN 0.333 WHEN 0 THEN 0.5 WHEN 1 THEN 0.667 WHEN 2 THEN 0.833 ELSE 1.0 END AS DOUBLE) END")
+    return f"{score} AS narrative_score, {s} AS systemic_hits, {i} AS individual_hits"

@@ -37,3 +37,16 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+
+
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread CPU-heavy per-row work (regexes over whole texts, encoders).
+
+    A small input file is a single task; when the input has fewer partitions
+    than the cluster has cores, rows are dealt round-robin. Inputs already
+    split into enough partitions (any large table) are left alone: no shuffle.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
