@@ -342,3 +342,157 @@ def semantic_text_q(spark: SparkSession, sf: str) -> DataFrame:
     from upswell.operators.semantic import semantic_text
 
     return semantic_text(B.v4_documents(spark, sf)).select("complaint_id", "has_narrative", "semantic_text")
+
+
+# ---------------------------------------------------------------- H7/H8 topics
+
+TERMS_SQL = r"""
+tok AS (SELECT topic_id, unnest(regexp_extract_all(lower(consumer_complaint_narrative), '[\pL\pN_]{2,}')) AS term FROM v5),
+tf AS (SELECT topic_id, term, count(*) AS tf FROM tok GROUP BY 1, 2),
+tot AS (SELECT topic_id, sum(tf) AS class_words FROM tf GROUP BY 1),
+tot2 AS (SELECT *, floor(avg(class_words) OVER ()) AS avg_words FROM tot),
+fr AS (SELECT term, sum(tf) AS term_freq FROM tf GROUP BY 1),
+tsc AS (SELECT tf.topic_id, tf.term,
+               (CAST(tf.tf AS DOUBLE) / CAST(tot2.class_words AS DOUBLE))
+               * ln(CAST(1.0 AS DOUBLE) + CAST(tot2.avg_words AS DOUBLE) / CAST(fr.term_freq AS DOUBLE)) AS weight
+        FROM tf JOIN tot2 ON tf.topic_id = tot2.topic_id JOIN fr ON tf.term = fr.term),
+trk AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY weight DESC, term ASC) AS term_rank
+        FROM tsc WHERE topic_id >= 0),
+terms AS (SELECT topic_id, term, weight, term_rank FROM trk WHERE term_rank <= 3),
+tlab AS (SELECT topic_id, string_agg(term, ', ' ORDER BY term_rank) AS topic_label FROM terms GROUP BY 1)"""
+
+
+def topic_emerging_sql(src: str, end_expr: str, days: int, name: str = "rec") -> str:
+    take = ("CASE WHEN prior_volume > 0 AND growth_ratio IS NOT NULL THEN topic_label || ' — complaints up ' || "
+            "printf('%.0f', (growth_ratio - 1.0) * 100.0) || '% vs prior period' "
+            "ELSE topic_label || ' — new spike in narrative volume.' END || "
+            "' Consider reviewing process and customer communications.'")
+    return f"""
+{name}_w AS (SELECT e, e - INTERVAL {days} DAY AS cs, e - INTERVAL {2 * days} DAY AS ps FROM (SELECT {end_expr} AS e)),
+{name}_v AS (SELECT topic_id, count(*) FILTER (WHERE date_received >= cs) AS current_volume,
+                    count(*) FILTER (WHERE date_received < cs) AS prior_volume
+             FROM {src}, {name}_w WHERE topic_id >= 0 AND date_received >= ps AND date_received < e GROUP BY 1),
+{name}_g AS (SELECT *, {S.ratio('current_volume', 'prior_volume')} AS growth_ratio,
+                    rank() OVER (ORDER BY current_volume DESC) AS rank_current,
+                    rank() OVER (ORDER BY prior_volume DESC) AS rank_prior FROM {name}_v),
+{name}_e AS (SELECT * FROM {name}_g
+             WHERE (growth_ratio IS NULL OR growth_ratio >= 1.5 OR (rank_prior - rank_current > 0 AND rank_current <= 5))
+               AND current_volume >= 10
+             ORDER BY growth_ratio DESC NULLS FIRST, current_volume DESC, topic_id ASC LIMIT 10),
+{name}_l AS (SELECT m.*, coalesce(l.topic_label, 'Topic ' || CAST(m.topic_id AS VARCHAR)) AS topic_label
+             FROM {name}_e m LEFT JOIN tlab l ON m.topic_id = l.topic_id),
+{name} AS (SELECT topic_id, topic_label, current_volume, prior_volume, growth_ratio, {take} AS takeaway FROM {name}_l)"""
+
+
+TOPIC_BASE = f"{V4}, {S.V5}, {TERMS_SQL}"
+DOC_MAX_DAY = "(SELECT CAST(max(date_received) AS DATE) FROM v4)"
+SLICE_DAYS = 45
+
+
+def _topics_and_labels(spark: SparkSession, sf: str):
+    from upswell.operators.topics import topic_term_labels, topic_terms
+
+    topics = B.v5_topics(spark, sf)
+    return topics, topic_term_labels(topic_terms(topics))
+
+
+def _doc_slice(spark: SparkSession, sf: str, lob: str | None = None):
+    from upswell.config import SliceSpec
+    from upswell.functions.dates import min_max_dates
+
+    _, hi = min_max_dates(B.v4_documents(spark, sf))
+    return SliceSpec(hi - _dt.timedelta(days=SLICE_DAYS - 1), hi, lob)
+
+
+@query("topic_terms", f"""
+WITH {TOPIC_BASE}
+SELECT topic_id, term, round_even(weight, 9) AS weight, term_rank FROM terms""")
+def topic_terms_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.topics import topic_terms
+
+    t = topic_terms(B.v5_topics(spark, sf))
+    return t.withColumn("weight", F.bround("weight", 9))
+
+
+@query("topic_emerging", f"""
+WITH {TOPIC_BASE}, {topic_emerging_sql('v5', '(SELECT max(date_received) FROM v5)', 30)}
+SELECT * FROM rec""")
+def topic_emerging_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.topics import topic_emergence
+
+    topics, labels = _topics_and_labels(spark, sf)
+    return topic_emergence(topics, CFG, labels)
+
+
+@query("topic_emerging_slice", f"""
+WITH {TOPIC_BASE},
+j AS (SELECT t.topic_id, c.complaint_id, c.date_received FROM v5 t JOIN v4 c ON t.complaint_id = c.complaint_id),
+{topic_emerging_sql('j', f"CAST({DOC_MAX_DAY} + 1 AS TIMESTAMP)", SLICE_DAYS)}
+SELECT * FROM rec""")
+def topic_emerging_slice_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.topics import topic_emergence_slice
+
+    topics, labels = _topics_and_labels(spark, sf)
+    return topic_emergence_slice(topics, B.v4_documents(spark, sf), _doc_slice(spark, sf), CFG, labels)
+
+
+def _mode_sql(col: str, out: str) -> str:
+    v = S.py_strip(f"coalesce(CAST({col} AS VARCHAR), '')")
+    return f"""{out} AS (SELECT topic_id, v AS {out} FROM (
+    SELECT topic_id, v, row_number() OVER (PARTITION BY topic_id ORDER BY n DESC, v ASC) AS r
+    FROM (SELECT topic_id, {v} AS v, count(*) AS n FROM v5 WHERE topic_id >= 0 GROUP BY 1, 2) WHERE v <> '')
+  WHERE r = 1)"""
+
+
+@query("topic_label_map", f"""
+WITH {TOPIC_BASE}, {topic_emerging_sql('v5', '(SELECT max(date_received) FROM v5)', 30)},
+{_mode_sql('canonical_issue', 'mi')}, {_mode_sql('canonical_product', 'mp')},
+ids AS (SELECT DISTINCT topic_id FROM v5 WHERE topic_id >= 0),
+giv AS (SELECT topic_id, max(trim(topic_label)) AS topic_label FROM rec WHERE trim(topic_label) <> '' GROUP BY 1),
+disp AS (SELECT ids.topic_id,
+           coalesce((SELECT value FROM tax4 WHERE map_name = 'canonical_issues' AND raw = coalesce(mi.mi, '')), coalesce(mi.mi, '')) AS iv,
+           coalesce((SELECT value FROM tax4 WHERE map_name = 'canonical_products' AND raw = coalesce(mp.mp, '')), coalesce(mp.mp, '')) AS pv
+         FROM ids LEFT JOIN mi ON ids.topic_id = mi.topic_id LEFT JOIN mp ON ids.topic_id = mp.topic_id
+         WHERE ids.topic_id NOT IN (SELECT topic_id FROM giv)),
+inf AS (SELECT topic_id, CASE WHEN iv <> '' AND pv <> '' THEN iv || ' — ' || pv WHEN iv <> '' THEN iv
+                              WHEN pv <> '' THEN pv END AS lab FROM disp),
+inf2 AS (SELECT topic_id, lab, count(*) OVER (PARTITION BY lab) AS dup FROM inf WHERE lab IS NOT NULL)
+SELECT topic_id, topic_label, 'given' AS label_source FROM giv
+UNION ALL
+SELECT topic_id, CASE WHEN dup > 1 THEN lab || ' (Topic ' || CAST(topic_id AS VARCHAR) || ')' ELSE lab END, 'inferred' FROM inf2""")
+def topic_label_map_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.topics import topic_emergence, topic_label_map
+
+    topics, labels = _topics_and_labels(spark, sf)
+    given = topic_emergence(topics, CFG, labels)
+    return topic_label_map(topics, given, B.DOCUMENT_TAXONOMY)
+
+
+DRILL_LOB = "Alpha"
+V4_COLS = ["complaint_id", "product", "issue", "state", "sub_product", "consumer_complaint_narrative",
+           "canonical_product", "product_line", "risk_type", "canonical_issue"]
+
+
+@query("topic_drill", f"""
+WITH {TOPIC_BASE}, {topic_emerging_sql('v5', '(SELECT max(date_received) FROM v5)', 30)},
+rws AS (SELECT t.topic_id, r.topic_label AS narrative_topic_label, r.current_volume AS narrative_current_volume,
+               r.prior_volume AS narrative_prior_volume, c.*
+        FROM v5 t JOIN rec r ON t.topic_id = r.topic_id JOIN v4 c ON t.complaint_id = c.complaint_id),
+rws2 AS (SELECT *, coalesce(date_received >= CAST({DOC_MAX_DAY} - {SLICE_DAYS - 1} AS TIMESTAMP)
+                           AND date_received < CAST({DOC_MAX_DAY} + 1 AS TIMESTAMP)
+                           AND canonical_product = '{DRILL_LOB}', false) AS _in FROM rws),
+pt AS (SELECT topic_id, count(*) FILTER (WHERE _in) AS n_in FROM rws2 GROUP BY 1),
+kept AS (SELECT r.* EXCLUDE (_in) FROM rws2 r JOIN pt ON r.topic_id = pt.topic_id WHERE _in OR n_in = 0),
+kv AS (SELECT topic_id, canonical_issue, count(*) AS topic_issue_volume FROM kept GROUP BY 1, 2)
+SELECT k.topic_id AS narrative_topic_id, k.narrative_topic_label, k.narrative_current_volume,
+       k.narrative_prior_volume,
+       CASE WHEN k.narrative_prior_volume > 0 THEN CAST(k.narrative_current_volume AS DOUBLE) / CAST(k.narrative_prior_volume AS DOUBLE) END AS narrative_growth_ratio,
+       kv.topic_issue_volume, k.topic_id, strftime(k.date_received, '%Y-%m-%d') AS date_received,
+       {', '.join('k.' + c for c in V4_COLS)}
+FROM kept k JOIN kv ON k.topic_id = kv.topic_id AND k.canonical_issue IS NOT DISTINCT FROM kv.canonical_issue""")
+def topic_drill_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.topics import topic_drill, topic_emergence
+
+    topics, labels = _topics_and_labels(spark, sf)
+    rec = topic_emergence(topics, CFG, labels)
+    return topic_drill(topics, B.v4_documents(spark, sf), rec, _doc_slice(spark, sf, DRILL_LOB))
