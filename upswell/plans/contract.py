@@ -496,3 +496,254 @@ def topic_drill_q(spark: SparkSession, sf: str) -> DataFrame:
     topics, labels = _topics_and_labels(spark, sf)
     rec = topic_emergence(topics, CFG, labels)
     return topic_drill(topics, B.v4_documents(spark, sf), rec, _doc_slice(spark, sf, DRILL_LOB))
+
+
+# ---------------------------------------------------------------- H9 search
+
+QUERY_VEC_IDS = (3, 17, 42, 99, 123)
+SINGLE_QUERY_ID = 17
+KEYWORD = "worthless"
+SEARCH_OUT = ["complaint_id", "product", "issue", "canonical_product", "canonical_issue"]
+
+
+@query("search_keyword", f"""
+WITH {V4}
+SELECT {', '.join(SEARCH_OUT)} FROM v4
+WHERE {' OR '.join(f"coalesce(regexp_matches(CAST({c} AS VARCHAR), '(?i){KEYWORD}'), false)" for c in ['consumer_complaint_narrative', 'issue', 'product', 'canonical_issue', 'canonical_product', 'sub_product'])}
+ORDER BY complaint_id LIMIT 20""")
+def search_keyword_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.search import keyword_search
+
+    return keyword_search(B.v4_documents(spark, sf), KEYWORD, 20).select(*SEARCH_OUT)
+
+
+@query("search_structured", f"""
+WITH {V4}
+SELECT complaint_id, canonical_product, canonical_issue FROM v4
+WHERE canonical_product = 'Beta' AND canonical_issue = 'Billing'
+  AND complaint_id IN (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0)
+ORDER BY complaint_id LIMIT 20""")
+def search_structured_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.search import structured_search
+
+    return structured_search(B.v4_documents(spark, sf), B.v6_embeddings(spark, sf), 20,
+                             canonical_product="Beta", canonical_issue="Billing").select(
+        "complaint_id", "canonical_product", "canonical_issue")
+
+
+def _query_vector(spark: SparkSession, sf: str, vec_id: int):
+    row = B.v6_embeddings(spark, sf).filter(F.col("complaint_id") == vec_id).select("embedding").first()
+    return row[0]
+
+
+@query("search_semantic_topk", f"""
+WITH {V4}, q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = {SINGLE_QUERY_ID})
+SELECT c.complaint_id, c.canonical_product,
+       round_even(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.qv AS DOUBLE[])), 6) AS similarity_score
+FROM v4 c JOIN embeddings e ON c.complaint_id = e.vec_id, q
+WHERE c.canonical_product = 'Alpha' AND len(e.embedding) = len(q.qv)
+ORDER BY similarity_score DESC, c.complaint_id ASC LIMIT 20""")
+def search_semantic_topk_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.search import semantic_search
+
+    qv = _query_vector(spark, sf, SINGLE_QUERY_ID)
+    return semantic_search(B.v4_documents(spark, sf), B.v6_embeddings(spark, sf), qv, 20,
+                           canonical_product="Alpha").select("complaint_id", "canonical_product", "similarity_score")
+
+
+@query("search_batch_topk", f"""
+WITH {V4}, q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id IN {QUERY_VEC_IDS}),
+s AS (SELECT q.query_id, c.complaint_id,
+             round_even(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.qv AS DOUBLE[])), 6) AS similarity_score
+      FROM v4 c JOIN embeddings e ON c.complaint_id = e.vec_id, q WHERE len(e.embedding) = len(q.qv)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity_score DESC, complaint_id ASC) AS rank FROM s)
+SELECT * FROM r WHERE rank <= 10""")
+def search_batch_topk_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.search import batch_semantic_search
+
+    emb = B.v6_embeddings(spark, sf)
+    queries = emb.filter(F.col("complaint_id").isin(*QUERY_VEC_IDS)).select(
+        F.col("complaint_id").alias("query_id"), "embedding")
+    return batch_semantic_search(B.v4_documents(spark, sf), emb, queries, 10)
+
+
+@query("search_options", f"""
+WITH {V4}
+SELECT DISTINCT 'product' AS option_kind, canonical_product AS option_value FROM v4 WHERE canonical_product IS NOT NULL
+UNION ALL
+SELECT DISTINCT 'issue', canonical_issue FROM v4 WHERE canonical_issue IS NOT NULL""")
+def search_options_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.search import search_options
+
+    return search_options(B.v4_documents(spark, sf))
+
+
+# ---------------------------------------------------------------- reports (default slice)
+
+V3 = S.v3(B.PART_TAXONOMY)
+V3_HI = "(SELECT CAST(max(date_received) AS DATE) FROM v3)"
+SL = f"""sl AS (SELECT * FROM v3 WHERE date_received >= CAST({V3_HI} - 14 AS TIMESTAMP)
+                                   AND date_received < CAST({V3_HI} + 1 AS TIMESTAMP))"""
+
+
+def _v3_slice(spark: SparkSession, sf: str, days_back: int = 14, lob: str | None = None):
+    from upswell.operators.report import default_slice, slice_rows
+
+    v3 = B.v3_standardized(spark, sf)
+    spec = default_slice(v3, days_back, lob)
+    return v3, spec, slice_rows(v3, spec)
+
+
+@query("slice_kpis", f"""
+WITH {V3}, {SL}
+SELECT count(*) AS complaints, count(DISTINCT product) AS lines_of_business, count(DISTINCT state) AS regions,
+       count(DISTINCT issue) AS distinct_issues, CAST(15 AS BIGINT) AS window_days,
+       CAST({V3_HI} - 29 AS DATE) AS prior_start,
+       CASE WHEN CAST({V3_HI} - 29 AS DATE) < (SELECT CAST(min(date_received) AS DATE) FROM v3)
+            THEN 'Prior window partially outside data range; comparison may be understated.' ELSE '' END AS coverage_note
+FROM sl""")
+def slice_kpis_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.report import slice_kpis
+
+    v3, spec, _ = _v3_slice(spark, sf)
+    return slice_kpis(v3, spec)
+
+
+@query("lob_breakdown", f"""
+WITH {V3}, {SL}, c AS (SELECT canonical_product AS line_of_business, count(*) AS complaints FROM sl GROUP BY 1)
+SELECT *, {share_sql()} AS share_pct FROM c""")
+def lob_breakdown_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.report import lob_breakdown
+
+    return lob_breakdown(_v3_slice(spark, sf)[2])
+
+
+@query("line_breakdown", f"""
+WITH {V3}, {SL}, c AS (SELECT canonical_product AS line_of_business, product_line, count(*) AS complaints FROM sl GROUP BY 1, 2)
+SELECT *, {share_sql()} AS share_pct FROM c""")
+def line_breakdown_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.report import line_breakdown
+
+    return line_breakdown(_v3_slice(spark, sf)[2])
+
+
+@query("issue_top20", f"""
+WITH {V3}, {SL}, c AS (SELECT canonical_issue AS issue_label, count(*) AS complaints FROM sl GROUP BY 1)
+SELECT *, {share_sql()} AS share_pct FROM c ORDER BY complaints DESC, issue_label ASC LIMIT 20""")
+def issue_top20_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.report import issue_top
+
+    return issue_top(_v3_slice(spark, sf)[2], 20)
+
+
+@query("region_top20", f"""
+WITH {V3}, {SL},
+c AS (SELECT coalesce(state, 'Unknown') AS state, count(*) AS complaints FROM sl GROUP BY 1),
+t AS (SELECT *, {share_sql()} AS share_of_total FROM c ORDER BY complaints DESC, state ASC LIMIT 20)
+SELECT *, {share_sql()} AS share_of_shown FROM t""")
+def region_top20_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.report import region_top
+
+    return region_top(_v3_slice(spark, sf)[2], 20)
+
+
+@query("drill_export", f"""
+WITH {V3}, {SL},
+top AS (SELECT canonical_issue FROM sl GROUP BY 1 ORDER BY count(*) DESC, canonical_issue ASC LIMIT 1)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(date_received, '%Y-%m-%d') AS date_received,
+       product, issue, sub_product, state, company, canonical_product, product_line, risk_type, canonical_issue
+FROM sl WHERE canonical_issue IN (SELECT canonical_issue FROM top)""")
+def drill_export_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.report import issue_top, prepare_export
+
+    rows = _v3_slice(spark, sf)[2]
+    top = issue_top(rows, 1).select(F.col("issue_label").alias("canonical_issue"))
+    return prepare_export(rows.join(top, "canonical_issue", "left_semi"))
+
+
+@query("weekly_volume", """
+SELECT CAST(date_trunc('week', ts) AS DATE) AS week_start, count(*) AS complaints,
+       strftime(date_trunc('week', ts), '%Y-%m-%d') || '/' || strftime(date_trunc('week', ts) + INTERVAL 6 DAY, '%Y-%m-%d') AS week
+FROM events WHERE ts IS NOT NULL GROUP BY 1, 3""")
+def weekly_volume_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.report import weekly_volume
+
+    return weekly_volume(B.v7_events(spark, sf))
+
+
+@query("daily_counts", """
+SELECT CAST(ts AS DATE) AS day, event_type AS product, count(*) AS complaints
+FROM events WHERE ts IS NOT NULL GROUP BY 1, 2""")
+def daily_counts_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.streaming.incremental import daily_counts
+
+    return daily_counts(B.v7_events(spark, sf), ["product"])
+
+
+@query("staleness", f"""
+WITH {V4}, {S.V5}
+SELECT CAST((SELECT max(date_received) FROM v4) AS DATE) AS complaints_max_date,
+       CAST((SELECT max(date_received) FROM v4 WHERE {S.clean('consumer_complaint_narrative')} <> '') AS DATE) AS narrative_max_date,
+       CAST((SELECT max(date_received) FROM v5) AS DATE) AS topics_max_date,
+       coalesce(CAST((SELECT max(date_received) FROM v5) AS DATE) <
+                CAST(coalesce((SELECT max(date_received) FROM v4 WHERE {S.clean('consumer_complaint_narrative')} <> ''),
+                              (SELECT max(date_received) FROM v4)) AS DATE), true) AS stale""")
+def staleness_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.lineage import staleness
+
+    return staleness(B.v4_documents(spark, sf), B.v5_topics(spark, sf))
+
+
+# ---------------------------------------------------------------- slice variants
+
+E_SLICE_DAYS = 60
+V1_HI = "(SELECT CAST(max(date_received) AS DATE) FROM v1)"
+V2_HI = "(SELECT CAST(max(date_received) AS DATE) FROM v2)"
+
+
+def _slice_spec(df: DataFrame, days: int, lob: str | None = None):
+    from upswell.config import SliceSpec
+    from upswell.functions.dates import min_max_dates
+
+    _, hi = min_max_dates(df)
+    return SliceSpec(hi - _dt.timedelta(days=days - 1), hi, lob)
+
+
+@query("emerging_slice", f"""
+WITH {S.V1}, {S.summary_ctes('s', 'v1', cur=E_SLICE_DAYS, prior=E_SLICE_DAYS, base=3 * E_SLICE_DAYS,
+                               end_expr=f'CAST({V1_HI} AS TIMESTAMP)')}, {S.records_ctes('r', 's', 'v1')}
+SELECT * FROM r""")
+def emerging_slice_q(spark: SparkSession, sf: str) -> DataFrame:
+    df = parse_date_column(B.v1_emergence(spark, sf))
+    spec = _slice_spec(df, E_SLICE_DAYS)
+    ref = _dt.datetime.combine(spec.end, _dt.time())
+    return E.flatten_records(E.emerging_products(df, spec.emergence_config(CFG), reference_date=ref))
+
+
+@query("hierarchy_slice", hierarchy_sql(S.V2, "v2", E_SLICE_DAYS, E_SLICE_DAYS, 3 * E_SLICE_DAYS,
+                                        end_expr=f"CAST({V2_HI} AS TIMESTAMP)"))
+def hierarchy_slice_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.hierarchy import hierarchy_summary
+
+    df = parse_date_column(B.v2_hierarchy(spark, sf))
+    spec = _slice_spec(df, E_SLICE_DAYS)
+    ref = _dt.datetime.combine(spec.end, _dt.time())
+    return hierarchy_summary(df, spec.emergence_config(CFG), reference_date=ref)
+
+
+RISK_LOB = "Beta"
+
+
+@query("risk_slice", f"""
+WITH {V4},
+rs AS (SELECT * FROM v4 WHERE date_received >= CAST({DOC_MAX_DAY} - {SLICE_DAYS - 1} AS TIMESTAMP)
+                          AND date_received < CAST({DOC_MAX_DAY} + 1 AS TIMESTAMP) AND canonical_product = '{RISK_LOB}'),
+{risk_sql('rs')}
+SELECT * FROM risk""")
+def risk_slice_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.report import slice_rows
+    from upswell.operators.risk import risk_signals
+
+    docs = B.v4_documents(spark, sf)
+    rows = slice_rows(docs, _doc_slice(spark, sf, RISK_LOB))
+    return risk_signals(rows, systemic=DOC_SYSTEMIC, individual=DOC_INDIVIDUAL)
