@@ -82,7 +82,7 @@ def emerging_summary(df: DataFrame, cfg: EmergenceConfig = EmergenceConfig(),
     prepared, pc, ic = _prepare(df, date)
     if prepared is None:
         return _empty(df, SUMMARY_SCHEMA)
-    w = windows or resolve_windows(prepared, cfg, reference_date, date)
+    w = windows or resolve_windows(parse_date_column(df, date), cfg, reference_date, date)
     if w is None:
         return _empty(df, SUMMARY_SCHEMA)
     state = "state" if "state" in prepared.columns else None
@@ -143,7 +143,7 @@ def emerging_products(df: DataFrame, cfg: EmergenceConfig = EmergenceConfig(),
     prepared, pc, ic = _prepare(df, date)
     if prepared is None:
         return _empty(df, RECORD_SCHEMA)
-    w = resolve_windows(prepared, cfg, reference_date, date)
+    w = resolve_windows(parse_date_column(df, date), cfg, reference_date, date)
     if w is None:
         return _empty(df, RECORD_SCHEMA)
     summary = emerging_summary(prepared, cfg, date=date, windows=w)
@@ -157,7 +157,8 @@ def emerging_products(df: DataFrame, cfg: EmergenceConfig = EmergenceConfig(),
     out = out.withColumn("top_issues_text", F.coalesce(F.col("top_issues_text"), F.lit("")))
     out = out.withColumn("takeaway", product_takeaway(F.col("product")))
     out = out.withColumn("growth_pct", F.when(F.col("prior_volume") > 0, F.bround(F.col("growth_pct"), 1)))
-    return out.select(*[f.name for f in RECORD_SCHEMA.fields])
+    # Records are a ranked list: re-sort the <= top_n rows after the joins.
+    return out.select(*[f.name for f in RECORD_SCHEMA.fields]).orderBy(*emergence_order("product"))
 
 
 def flatten_records(records: DataFrame) -> DataFrame:

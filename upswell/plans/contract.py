@@ -747,3 +747,19 @@ def risk_slice_q(spark: SparkSession, sf: str) -> DataFrame:
     docs = B.v4_documents(spark, sf)
     rows = slice_rows(docs, _doc_slice(spark, sf, RISK_LOB))
     return risk_signals(rows, systemic=DOC_SYSTEMIC, individual=DOC_INDIVIDUAL)
+
+
+# ---------------------------------------------------------------- H6/H7 unsupervised (rows-only checks)
+
+@query("embed_corpus")
+def embed_corpus_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.embed import embed_corpus
+
+    return embed_corpus(B.v4_documents(spark, sf))
+
+
+@query("assign_topics")
+def assign_topics_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.embed import assign_topics
+
+    return assign_topics(B.v6_embeddings(spark, sf), k=9)

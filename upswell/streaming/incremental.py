@@ -25,8 +25,9 @@ def daily_counts(df: DataFrame, keys: list[str], date: str = "date_received") ->
 
 def daily_counts_stream(stream: DataFrame, keys: list[str], date: str = "date_received",
                         lateness: str = "30 days") -> DataFrame:
-    """Event-time daily counts; a day is final once the watermark passes it."""
-    return (stream.withWatermark(date, lateness)
+    """Event-time daily counts; a day is final once the watermark passes it.
+    (Watermarks need TIMESTAMP; an NTZ column is read as UTC wall clock.)"""
+    return (stream.withColumn(date, F.col(date).cast("timestamp")).withWatermark(date, lateness)
             .groupBy(F.window(F.col(date), "1 day").alias("w"), *keys)
             .agg(F.count(F.lit(1)).alias("complaints"))
             .select(F.to_date(F.col("w.start")).alias("day"), *keys, "complaints"))
@@ -38,6 +39,7 @@ def clean_stream(stream: DataFrame, cfg: IngestConfig = IngestConfig(), key: str
     (same key within the watermark). State is bounded by the watermark."""
     s = normalize_columns(stream)
     s = company_filter(s, cfg.company_filter_pattern)
+    s = s.withColumn(date, F.col(date).cast("timestamp"))
     return s.withWatermark(date, lateness).dropDuplicatesWithinWatermark([key])
 
 
