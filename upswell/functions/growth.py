@@ -35,23 +35,30 @@ def with_growth(df: DataFrame, cur: str = "current_volume", prior: str = "prior_
     return out
 
 
-def with_global_rank(df: DataFrame, value: str, out: str, by: list[str] | tuple = ()) -> DataFrame:
+def with_global_rank(df: DataFrame, value: str, out: str, by: list[str] | tuple = (),
+                     method: str = "window") -> DataFrame:
     """``rank(method='min', descending)`` of ``value`` over all rows (per ``by``).
 
-    Rank = 1 + number of rows with a larger value. It is computed on the
-    histogram of distinct values (at most sqrt(2N) rows for volumes summing
-    to N) and joined back, so no single task has to sort all groups.
+    ``df`` is an aggregate (one row per group), so the default window sorts
+    the groups, not the underlying rows, in one task per ``by`` value.
+    ``method='histogram'`` computes rank = 1 + number of groups with a larger
+    value on the histogram of distinct values (at most sqrt(2N) rows for
+    volumes summing to N) and joins it back; use it on a *materialised*
+    aggregate with very many groups, since each branch re-reads ``df``.
     """
     by = list(by)
+    if method == "window":
+        w = Window.partitionBy(*by).orderBy(F.col(value).desc())
+        return df.withColumn(out, F.rank().over(w).cast("long"))
     hist = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*by).orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.select(*by, value, (F.lit(1) + F.coalesce(F.sum("_n").over(w), F.lit(0))).cast("long").alias(out))
     return df.join(hist, on=[*by, value], how="left")
 
 
-def with_ranks(df: DataFrame, by: list[str] | tuple = ()) -> DataFrame:
-    out = with_global_rank(df, "current_volume", "rank_current", by)
-    out = with_global_rank(out, "prior_volume", "rank_prior", by)
+def with_ranks(df: DataFrame, by: list[str] | tuple = (), method: str = "window") -> DataFrame:
+    out = with_global_rank(df, "current_volume", "rank_current", by, method)
+    out = with_global_rank(out, "prior_volume", "rank_prior", by, method)
     return out.withColumn("rank_improved", F.col("rank_prior") - F.col("rank_current"))
 
 

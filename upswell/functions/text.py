@@ -64,6 +64,12 @@ def collapse_ws(col: Column) -> Column:
     return F.btrim(F.regexp_replace(col, WHITESPACE_CLASS + "+", " "), F.lit(" "))
 
 
+def has_text(col: Column) -> Column:
+    """``clean_text(col) != ''`` without rewriting the text: one search that
+    stops at the first non-whitespace character."""
+    return F.coalesce(col.cast("string").rlike("[^" + WHITESPACE_CLASS[1:-1] + "]"), F.lit(False))
+
+
 def clean_text(col: Column) -> Column:
     """NULL -> '', whitespace runs -> one space, stripped."""
     return collapse_ws(F.coalesce(col.cast("string"), F.lit("")))

@@ -14,7 +14,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -24,6 +23,7 @@ from pyspark.storagelevel import StorageLevel
 
 from upswell.functions.vectors import dot
 from upswell.operators.semantic import semantic_text
+from upswell.session import ensure_checkpoint_dir
 from upswell.sources.tables import ensure_parallelism
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -34,17 +34,18 @@ ENCODER_BATCH = 64
 def embed_corpus(df: DataFrame, dim: int = DEFAULT_DIM, key: str = "complaint_id",
                  date: str = "date_received") -> DataFrame:
     """One unit vector per complaint from its semantic text (Spark ML)."""
-    st = ensure_parallelism(semantic_text(df, date=date))
-    pipe = Pipeline(stages=[
-        RegexTokenizer(inputCol="semantic_text", outputCol="_tok", pattern=TOKEN_PATTERN, gaps=False,
-                       toLowercase=True),
-        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-        Normalizer(inputCol="_tfidf", outputCol="_vec", p=2.0),
-    ])
-    model = pipe.fit(st)  # one aggregate job: document frequencies (dim numbers)
-    out = model.transform(st)
+    st = semantic_text(df, date=date)
     cols = [key] + ([date] if date in df.columns else []) + ["has_narrative"]
+    tok = RegexTokenizer(inputCol="semantic_text", outputCol="_tok", pattern=TOKEN_PATTERN, gaps=False,
+                         toLowercase=True)
+    tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim)
+    # The texts are read once: term vectors (far smaller than the texts) are
+    # checkpointed to the cluster's checkpoint folder, then IDF is fitted on
+    # them and applied to them. This also cuts the lineage back to the texts.
+    ensure_checkpoint_dir(df.sparkSession)
+    tfs = tf.transform(tok.transform(st)).select(*cols, "_tf").checkpoint(eager=True)
+    idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(tfs)  # document frequencies: dim numbers
+    out = Normalizer(inputCol="_tfidf", outputCol="_vec", p=2.0).transform(idf.transform(tfs))
     return out.select(*cols, vector_to_array("_vec", "float32").alias("embedding"))
 
 

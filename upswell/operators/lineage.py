@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from upswell.config import IngestConfig
-from upswell.functions.text import clean_text
+from upswell.functions.text import has_text
 
 STATUS_SCHEMA = T.StructType([
     T.StructField("last_run", T.StringType()),
@@ -38,10 +38,10 @@ def staleness(complaints: DataFrame, topics: DataFrame, date: str = "date_receiv
               narrative: str = "consumer_complaint_narrative") -> DataFrame:
     """Is the topic table behind its source? Target = newest complaint that
     has a narrative (else the newest complaint) (E14, A11)."""
-    has_text = clean_text(F.col(narrative)) != "" if narrative in complaints.columns else F.lit(False)
+    has = has_text(F.col(narrative)) if narrative in complaints.columns else F.lit(False)
     topics_max = topics.select(F.max(F.col(date))).scalar()
     c = complaints.agg(F.max(F.col(date)).alias("complaints_max_date"),
-                       F.max(F.when(has_text, F.col(date))).alias("narrative_max_date"))
+                       F.max(F.when(has, F.col(date))).alias("narrative_max_date"))
     target = F.coalesce(F.col("narrative_max_date"), F.col("complaints_max_date"))
     return c.select(
         F.to_date("complaints_max_date").alias("complaints_max_date"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from upswell.functions.dates import parse_date_column
-from upswell.functions.text import clean_text, py_strip
+from upswell.functions.text import clean_text
 
 NARRATIVE = "consumer_complaint_narrative"
 
@@ -31,12 +31,20 @@ def semantic_text(df: DataFrame, narrative: str = NARRATIVE, date: str = "date_r
     semantic_text = the whitespace-collapsed narrative, else the non-empty
     fallback fields joined with ' | ', else a fixed sentence.
     """
+    from upswell.sources.tables import ensure_parallelism
+
     if date in df.columns:
         df = parse_date_column(df, date).filter(F.col(date).isNotNull())
+    df = ensure_parallelism(df)
+    # Staged projections: the cleaned narrative is computed once and reused
+    # (Spark does not share a sub-expression across CASE branches).
     narr = clean_text(F.col(narrative)) if narrative in df.columns else F.lit("")
-    has = narr != F.lit("")
+    staged = df.withColumn("_narr", narr)
+    has = F.col("_narr") != F.lit("")
     parts = [F.nullif(clean_text(F.col(c)), F.lit("")) for c in SEMANTIC_FALLBACK_FIELDS if c in df.columns]
     fallback = F.btrim(F.concat_ws(" | ", *parts), F.lit(" |")) if parts else F.lit("")
-    text = py_strip(F.when(has, narr).otherwise(fallback))
-    text = F.when(text == F.lit(""), F.lit(SPARSE_TEXT)).otherwise(text)
-    return df.withColumn("has_narrative", has).withColumn("semantic_text", text)
+    # Both branches are already free of outer whitespace, so no final strip.
+    staged = staged.withColumn("has_narrative", has).withColumn(
+        "_t", F.when(F.col("has_narrative"), F.col("_narr")).otherwise(fallback))
+    text = F.when(F.col("_t") == F.lit(""), F.lit(SPARSE_TEXT)).otherwise(F.col("_t"))
+    return staged.withColumn("semantic_text", text).drop("_narr", "_t")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from upswell.functions.text import clean_text
+from upswell.functions.text import has_text
 from upswell.operators.taxonomy import Taxonomy, apply_taxonomy
 from upswell.sources.tables import read_table
 
@@ -127,7 +127,7 @@ def v5_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = read_table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("complaint_id"),
         F.when(F.col("label") == OUTLIER_LABEL, F.lit(-1)).otherwise(F.col("label")).cast("int").alias("topic_id"))
-    docs = v4_documents(spark, sf_dir).filter(clean_text(F.col("consumer_complaint_narrative")) != "")
+    docs = v4_documents(spark, sf_dir).filter(has_text(F.col("consumer_complaint_narrative")))
     return emb.join(docs, "complaint_id").select(
         "complaint_id", "topic_id", "date_received", "canonical_product", "canonical_issue",
         "product", "issue", "product_line", "state", "consumer_complaint_narrative")
