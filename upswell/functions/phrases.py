@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from upswell.functions.text import icontains
+from upswell.functions.text import WHITESPACE_CLASS, py_regex_to_java
 
 # Phrases suggesting a systemic (process / systems) failure.
 SYSTEMIC_PHRASES = (
@@ -34,11 +34,30 @@ INDIVIDUAL_PHRASES = (
 _SCORE_BY_DIFF = {-3: 0.0, -2: 0.167, -1: 0.333, 0: 0.5, 1: 0.667, 2: 0.833, 3: 1.0}
 
 
+def needs_stripped_text(phrases) -> bool:
+    """Only a phrase that can *start* with whitespace depends on stripping the
+    text before the search; every phrase list here starts with a word."""
+    return any(p.startswith(r"\s") for p in phrases)
+
+
+def phrase_regex(p: str) -> str:
+    """Java form of a phrase searched in ``text.strip()``, applied to the raw text.
+
+    Stripping can only remove a match whose trailing ``\s+`` ends at the end
+    of the text; the lookahead rejects exactly those. Case-insensitive.
+    """
+    java = py_regex_to_java(p)
+    if p.endswith(r"\s+") or p.endswith(r"\s*"):
+        java += "(?!" + WHITESPACE_CLASS + r"*\z)"
+    return "(?iu)" + java
+
+
 def hit_count(text: Column, phrases: tuple[str, ...] | list[str]) -> Column:
     """Number of phrases found at least once (each phrase counts once)."""
     if not phrases:
         return F.lit(0)
-    hits = [F.when(icontains(text, p), F.lit(1)).otherwise(F.lit(0)) for p in phrases]
+    hits = [F.when(F.coalesce(text.rlike(phrase_regex(p)), F.lit(False)), F.lit(1)).otherwise(F.lit(0))
+            for p in phrases]
     total = hits[0]
     for h in hits[1:]:
         total = total + h
@@ -55,12 +74,9 @@ def score_from_diff(diff: Column) -> Column:
 
 def narrative_signals(text: Column, systemic=SYSTEMIC_PHRASES, individual=INDIVIDUAL_PHRASES
                       ) -> tuple[Column, Column, Column]:
-    """(score, systemic_hits, individual_hits) for one (already stripped) text.
-
-    ``text`` should be ``py_strip(narrative)`` projected once (see
-    operators.risk.narrative_scores). NULL or empty text scores 0.0 with no
-    hits; blank or hit-free text scores 0.5.
-    """
+    """(score, systemic_hits, individual_hits) for one text column, with the
+    phrases searched as in the stripped text (see ``phrase_regex``). The
+    caller handles NULL / empty text (score 0.0, no hits)."""
     sys_hits = hit_count(text, systemic)
     ind_hits = hit_count(text, individual)
     return score_from_diff(sys_hits - ind_hits), sys_hits.cast("long"), ind_hits.cast("long")

@@ -80,7 +80,7 @@ def embed_queries(queries: DataFrame, load_encoder, dim: int, text: str = "query
 
 
 def assign_topics(emb: DataFrame, k: int = 10, min_similarity: float = 0.2, seed: int = 42,
-                  key: str = "complaint_id", max_iter: int = 30) -> DataFrame:
+                  key: str = "complaint_id", max_iter: int = 20) -> DataFrame:
     """KMeans topics on unit vectors; similarity below ``min_similarity`` -> -1.
 
     The fit is iterative, so its input is persisted (memory, spilling to disk)

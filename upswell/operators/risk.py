@@ -31,13 +31,17 @@ def narrative_scores(df: DataFrame, text: str = NARRATIVE, systemic=SYSTEMIC_PHR
     if text not in df.columns:
         return df.select("*", F.lit(0.0).alias("narrative_score"), F.lit(0).cast("long").alias("systemic_hits"),
                          F.lit(0).cast("long").alias("individual_hits"))
+    from upswell.functions.phrases import needs_stripped_text
     from upswell.functions.text import py_strip
     from upswell.sources.tables import ensure_parallelism
 
     df = ensure_parallelism(df)
-    # Strip once in its own projection; the regex searches reuse it.
-    staged = df.withColumn("_stripped", py_strip(F.col(text)))
-    score, s, i = narrative_signals(F.col("_stripped"), systemic, individual)
+    searched = F.col(text)
+    staged = df
+    if needs_stripped_text(tuple(systemic) + tuple(individual)):
+        staged = df.withColumn("_stripped", py_strip(F.col(text)))  # projected once
+        searched = F.col("_stripped")
+    score, s, i = narrative_signals(searched, systemic, individual)
     empty = F.col(text).isNull() | (F.col(text) == F.lit(""))
     zero = F.lit(0).cast("long")
     return staged.select(*[F.col(f"`{c}`") for c in df.columns],

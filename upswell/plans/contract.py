@@ -392,7 +392,7 @@ SLICE_DAYS = 45
 def _topics_and_labels(spark: SparkSession, sf: str):
     from upswell.operators.topics import topic_term_labels, topic_terms
 
-    topics = B.v5_topics(spark, sf)
+    topics = B.v5_topics_table(spark, sf)
     return topics, topic_term_labels(topic_terms(topics))
 
 

@@ -142,3 +142,11 @@ def v7_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "events").select(
         "event_id", F.col("ts").alias("date_received"), F.col("event_type").alias("product"),
         F.col("user_id").cast("string").alias("state"), "value")
+
+
+def v5_topics_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V5 written once (as the pipeline writes its topic table) for queries
+    that read it several times."""
+    from upswell.sources.tables import materialize
+
+    return materialize(v5_topics(spark, sf_dir))

@@ -50,3 +50,16 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the cluster's checkpoint folder and read it back.
+
+    For a derived table that several operators read (the topic assignment
+    table): the upstream work runs once and the lineage is cut, so a lost
+    executor does not replay it.
+    """
+    from upswell.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
