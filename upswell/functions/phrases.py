@@ -35,13 +35,13 @@ _SCORE_BY_DIFF = {-3: 0.0, -2: 0.167, -1: 0.333, 0: 0.5, 1: 0.667, 2: 0.833, 3:
 
 
 def needs_stripped_text(phrases) -> bool:
-    """Only a phrase that can *start* with whitespace depends on stripping the
+    r"""Only a phrase that can *start* with whitespace depends on stripping the
     text before the search; every phrase list here starts with a word."""
     return any(p.startswith(r"\s") for p in phrases)
 
 
 def phrase_regex(p: str) -> str:
-    """Java form of a phrase searched in ``text.strip()``, applied to the raw text.
+    r"""Java form of a phrase searched in ``text.strip()``, applied to the raw text.
 
     Stripping can only remove a match whose trailing ``\s+`` ends at the end
     of the text; the lookahead rejects exactly those. Case-insensitive.
