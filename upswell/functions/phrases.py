@@ -73,10 +73,9 @@ def score_from_diff(diff: Column) -> Column:
 
 
 def narrative_signals(text: Column, systemic=SYSTEMIC_PHRASES, individual=INDIVIDUAL_PHRASES
-                      ) -> tuple[Column, Column, Column]:
-    """(score, systemic_hits, individual_hits) for one text column, with the
-    phrases searched as in the stripped text (see ``phrase_regex``). The
-    caller handles NULL / empty text (score 0.0, no hits)."""
-    sys_hits = hit_count(text, systemic)
-    ind_hits = hit_count(text, individual)
-    return score_from_diff(sys_hits - ind_hits), sys_hits.cast("long"), ind_hits.cast("long")
+                      ) -> tuple[Column, Column]:
+    """(systemic_hits, individual_hits) for one text column, with the phrases
+    searched as in the stripped text (see ``phrase_regex``). Project these
+    before deriving the score: the score's CASE branches would otherwise each
+    re-run every search."""
+    return hit_count(text, systemic).cast("long"), hit_count(text, individual).cast("long")

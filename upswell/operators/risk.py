@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from upswell.functions.phrases import INDIVIDUAL_PHRASES, SYSTEMIC_PHRASES, narrative_signals
+from upswell.functions.phrases import INDIVIDUAL_PHRASES, SYSTEMIC_PHRASES, narrative_signals, score_from_diff
 from upswell.operators.taxonomy import (COMPLAINT_TAXONOMY, DEFAULT_RISK_WEIGHT, RISK_TYPE_WEIGHTS,
                                         Taxonomy, apply_taxonomy)
 
@@ -41,13 +41,17 @@ def narrative_scores(df: DataFrame, text: str = NARRATIVE, systemic=SYSTEMIC_PHR
     if needs_stripped_text(tuple(systemic) + tuple(individual)):
         staged = df.withColumn("_stripped", py_strip(F.col(text)))  # projected once
         searched = F.col("_stripped")
-    score, s, i = narrative_signals(searched, systemic, individual)
+    s, i = narrative_signals(searched, systemic, individual)
     empty = F.col(text).isNull() | (F.col(text) == F.lit(""))
     zero = F.lit(0).cast("long")
-    return staged.select(*[F.col(f"`{c}`") for c in df.columns],
-                         F.when(empty, F.lit(0.0)).otherwise(score).alias("narrative_score"),
+    # Hits are projected first, so each phrase search runs once per row.
+    hits = staged.select(*[F.col(f"`{c}`") for c in df.columns],
                          F.when(empty, zero).otherwise(s).alias("systemic_hits"),
                          F.when(empty, zero).otherwise(i).alias("individual_hits"))
+    score = F.when(empty, F.lit(0.0)).otherwise(
+        score_from_diff(F.col("systemic_hits") - F.col("individual_hits")))
+    return hits.select(*[F.col(f"`{c}`") for c in df.columns], score.alias("narrative_score"),
+                       "systemic_hits", "individual_hits")
 
 
 def risk_weight(risk_type):

@@ -93,16 +93,27 @@ def apply_taxonomy(df: DataFrame, tax: Taxonomy) -> DataFrame:
     unmapped product -> 'Other', unmapped issue label -> trimmed raw."""
     if tax.size() > MAX_LITERAL_ENTRIES:
         return apply_taxonomy_join(df, tax.to_table(df.sparkSession))
-    out = df
+    # Keys are trimmed once in their own projection, then looked up.
+    keys = []
     if "product" in df.columns:
-        pk = taxonomy_key(F.col("product"))
-        out = out.withColumn("canonical_product", F.coalesce(_lookup(tax.canonical_products, pk), F.lit("Other")))
-        out = out.withColumn("product_line", F.coalesce(_lookup(tax.product_line, pk), F.lit(tax.default_line)))
+        keys.append(taxonomy_key(F.col("product")).alias("_pk"))
     if "issue" in df.columns:
-        ik = taxonomy_key(F.col("issue"))
-        out = out.withColumn("risk_type", F.coalesce(_lookup(tax.issue_risk_type, ik), F.lit(tax.default_risk)))
-        out = out.withColumn("canonical_issue", F.coalesce(_lookup(tax.canonical_issues, ik), ik))
-    return out
+        keys.append(taxonomy_key(F.col("issue")).alias("_ik"))
+    if not keys:
+        return df
+    staged = df.select("*", *keys)
+    added = []
+    if "product" in df.columns:
+        pk = F.col("_pk")
+        added += [F.coalesce(_lookup(tax.canonical_products, pk), F.lit("Other")).alias("canonical_product"),
+                  F.coalesce(_lookup(tax.product_line, pk), F.lit(tax.default_line)).alias("product_line")]
+    if "issue" in df.columns:
+        ik = F.col("_ik")
+        added += [F.coalesce(_lookup(tax.issue_risk_type, ik), F.lit(tax.default_risk)).alias("risk_type"),
+                  F.coalesce(_lookup(tax.canonical_issues, ik), ik).alias("canonical_issue")]
+    replaced = {"canonical_product", "product_line", "risk_type", "canonical_issue"}
+    base = [F.col(f"`{c}`") for c in df.columns if c not in replaced]
+    return staged.select(*base, *added)
 
 
 def apply_taxonomy_join(df: DataFrame, lookup: DataFrame) -> DataFrame:
