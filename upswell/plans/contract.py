@@ -763,3 +763,11 @@ def assign_topics_q(spark: SparkSession, sf: str) -> DataFrame:
     from upswell.operators.embed import assign_topics
 
     return assign_topics(B.v6_embeddings(spark, sf), k=9)
+
+
+@query("emerging_summary_from_daily", ORACLE["emerging_summary"])
+def emerging_summary_from_daily_q(spark: SparkSession, sf: str) -> DataFrame:
+    """E1 from the (day, product, issue, state) rollup the incremental job keeps (ST2)."""
+    from upswell.streaming.incremental import daily_rollup, emerging_summary_from_daily
+
+    return emerging_summary_from_daily(daily_rollup(B.v1_emergence(spark, sf)), CFG)

@@ -50,3 +50,48 @@ def run_available(df: DataFrame, out_path: str, checkpoint: str, mode: str = "ap
          .trigger(availableNow=True).start(out_path))
     q.awaitTermination()
     return q
+
+
+def daily_rollup(df: DataFrame, date: str = "date_received", product: str = "product",
+                 issue: str = "issue", state: str | None = "state") -> DataFrame:
+    """The (day, product, issue, state) counts that the incremental job keeps."""
+    keys = [product, issue] + ([state] if state and state in df.columns else [])
+    return daily_counts(df.dropna(subset=[date, product, issue]), keys, date)
+
+
+def emerging_summary_from_daily(daily: DataFrame, cfg, reference_date=None, product: str = "product",
+                                state: str | None = "state") -> DataFrame:
+    """E1 summary from the daily rollup instead of the raw rows.
+
+    Exact when the window bounds fall on day boundaries (complaint dates are
+    days): counts are sums of daily counts and distinct states are the states
+    with a non-zero current-window day. The rollup is the small table the
+    streaming job maintains, so daily runs never rescan history.
+    """
+    import datetime as _dt
+
+    from upswell.functions.dates import Windows
+    from upswell.functions.growth import emerging_flag, with_growth, with_ranks
+
+    d = daily.withColumn("_ts", F.col("day").cast("timestamp"))
+    if reference_date is None:
+        mx = d.agg(F.date_format(F.max("_ts"), "yyyy-MM-dd").alias("m")).first()["m"]
+        reference_date = _dt.datetime.fromisoformat(mx)
+    w = Windows.from_config(reference_date, cfg)
+    like = d.schema["_ts"].dataType
+    cur, prior, base = w.flags(F.col("_ts"), like)
+    n = F.col("complaints")
+    aggs = [F.sum(F.when(cur, n).otherwise(0)).cast("long").alias("current_volume"),
+            F.sum(F.when(prior, n).otherwise(0)).cast("long").alias("prior_volume"),
+            F.sum(F.when(base, n).otherwise(0)).cast("long").alias("baseline_volume")]
+    if state and state in daily.columns:
+        aggs.append(F.count_distinct(F.when(cur, F.col(state))).alias("distinct_states"))
+    else:
+        aggs.append(F.lit(0).cast("long").alias("distinct_states"))
+    vol = d.filter(w.span(F.col("_ts"), like)).groupBy(F.col(product).cast("string").alias("product")).agg(*aggs)
+    s = with_ranks(with_growth(vol))
+    s = s.withColumn("emerging", emerging_flag(cfg.growth_threshold, cfg.min_prior_volume, cfg.top_n_rank))
+    s = s.withColumn("meets_min_volume", F.col("current_volume") >= F.lit(cfg.min_current_volume))
+    from upswell.operators.emerging import SUMMARY_SCHEMA
+
+    return s.select(*[f.name for f in SUMMARY_SCHEMA.fields])
