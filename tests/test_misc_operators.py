@@ -113,3 +113,14 @@ def test_stream_ingest_drops_redelivered(spark, tmp_path):
     got = sorted(r.complaint_id for r in spark.read.parquet(out).collect())
     assert got == [1, 3]
     assert os.path.isdir(str(tmp_path / "ck"))
+
+
+def test_max_timestamp_reads_newest_partition(spark, tmp_path):
+    from upswell.functions.dates import max_timestamp
+
+    rows = [(dt.datetime(2024, 1, 5), "2024-01"), (dt.datetime(2024, 3, 9, 12), "2024-03"),
+            (dt.datetime(2024, 3, 2), "2024-03")]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, "date_received timestamp, month string").write.partitionBy("month").parquet(path)
+    t = spark.read.parquet(path)
+    assert max_timestamp(t) == dt.datetime(2024, 3, 9, 12)

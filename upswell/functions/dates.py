@@ -51,12 +51,20 @@ def ts_literal(value: _dt.datetime | _dt.date, like: T.DataType | None = None) -
     return F.lit(text).cast(target)
 
 
-def max_timestamp(df: DataFrame, name: str = "date_received") -> _dt.datetime | None:
-    """Newest timestamp in the data, as a naive UTC ``datetime`` (one tiny job).
+def max_timestamp(df: DataFrame, name: str = "date_received",
+                  partition_col: str = "month") -> _dt.datetime | None:
+    """Newest timestamp in the data, as a naive UTC ``datetime`` (small jobs).
 
     Fetched eagerly so that the window bounds become literals, which Parquet
-    row-group / partition pruning can use.
+    row-group / partition pruning can use. On a table partitioned by month
+    (as ``ingest`` writes it), the newest partition value is found first and
+    only that partition is scanned for the newest date.
     """
+    if partition_col in df.columns and partition_col != name:
+        newest = df.agg(F.max(F.col(partition_col)).alias("p")).first()["p"]
+        if newest is None:
+            return None
+        df = df.filter(F.col(partition_col) == F.lit(newest))
     row = df.agg(F.date_format(F.max(F.col(name)), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("m")).first()
     if row is None or row["m"] is None:
         return None

@@ -79,16 +79,20 @@ def share(n: Column, total: Column) -> Column:
 
 
 def value_counts(df: DataFrame, keys: list[str], n_col: str = "complaints",
-                 share_col: str = "share_pct") -> DataFrame:
-    """Counts per key (NULL keys kept) with the share of all rows."""
+                 share_col: str = "share_pct", dropna: bool = False) -> DataFrame:
+    """Counts per key with the share of the counted rows (A8, A9). ``dropna``
+    drops NULL keys first (pandas ``value_counts``); group-bys keep them (A3)."""
+    if dropna:
+        df = df.dropna(subset=keys)
     g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n_col))
     return g.withColumn(share_col, share(F.col(n_col), F.sum(n_col).over(Window.partitionBy())))
 
 
 def top_values(df: DataFrame, key: str, n: int = 20, n_col: str = "complaints",
                sort_by: str | None = None, descending: bool | None = None) -> DataFrame:
-    """Value counts sorted (default: count desc, value asc), first ``n``."""
-    vc = value_counts(df, [key], n_col)
+    """Value counts (NULL dropped) sorted (default: count desc, value asc), first
+    ``n`` (E9, T2, T3)."""
+    vc = value_counts(df, [key], n_col, dropna=True)
     sort_by = sort_by or n_col
     if descending is None:
         descending = sort_by in (n_col, "share_pct")
@@ -98,7 +102,7 @@ def top_values(df: DataFrame, key: str, n: int = 20, n_col: str = "complaints",
 
 def lob_breakdown(df: DataFrame) -> DataFrame:
     pc = product_col(df)
-    return value_counts(df, [pc]).withColumnRenamed(pc, "line_of_business")
+    return value_counts(df, [pc], dropna=True).withColumnRenamed(pc, "line_of_business")
 
 
 def line_breakdown(df: DataFrame) -> DataFrame:

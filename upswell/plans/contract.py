@@ -448,7 +448,8 @@ def _mode_sql(col: str, out: str) -> str:
 WITH {TOPIC_BASE}, {topic_emerging_sql('v5', '(SELECT max(date_received) FROM v5)', 30)},
 {_mode_sql('canonical_issue', 'mi')}, {_mode_sql('canonical_product', 'mp')},
 ids AS (SELECT DISTINCT topic_id FROM v5 WHERE topic_id >= 0),
-giv AS (SELECT topic_id, max(trim(topic_label)) AS topic_label FROM rec WHERE trim(topic_label) <> '' GROUP BY 1),
+giv AS (SELECT topic_id, max(""" + S.py_strip("topic_label") + """) AS topic_label FROM rec
+        WHERE """ + S.py_strip("topic_label") + """ <> '' GROUP BY 1),
 disp AS (SELECT ids.topic_id,
            coalesce((SELECT value FROM tax4 WHERE map_name = 'canonical_issues' AND raw = coalesce(mi.mi, '')), coalesce(mi.mi, '')) AS iv,
            coalesce((SELECT value FROM tax4 WHERE map_name = 'canonical_products' AND raw = coalesce(mp.mp, '')), coalesce(mp.mp, '')) AS pv
@@ -610,7 +611,8 @@ def slice_kpis_q(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("lob_breakdown", f"""
-WITH {V3}, {SL}, c AS (SELECT canonical_product AS line_of_business, count(*) AS complaints FROM sl GROUP BY 1)
+WITH {V3}, {SL}, c AS (SELECT canonical_product AS line_of_business, count(*) AS complaints FROM sl
+                       WHERE canonical_product IS NOT NULL GROUP BY 1)
 SELECT *, {share_sql()} AS share_pct FROM c""")
 def lob_breakdown_q(spark: SparkSession, sf: str) -> DataFrame:
     from upswell.operators.report import lob_breakdown
@@ -628,7 +630,8 @@ def line_breakdown_q(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("issue_top20", f"""
-WITH {V3}, {SL}, c AS (SELECT canonical_issue AS issue_label, count(*) AS complaints FROM sl GROUP BY 1)
+WITH {V3}, {SL}, c AS (SELECT canonical_issue AS issue_label, count(*) AS complaints FROM sl
+                       WHERE canonical_issue IS NOT NULL GROUP BY 1)
 SELECT *, {share_sql()} AS share_pct FROM c ORDER BY complaints DESC, issue_label ASC LIMIT 20""")
 def issue_top20_q(spark: SparkSession, sf: str) -> DataFrame:
     from upswell.operators.report import issue_top
