@@ -1,7 +1,8 @@
 """Hierarchy summary (E3, A4, P13): LOB -> product line -> issue in one pass.
 
-One ``GROUPING SETS`` aggregate replaces three group-bys and two outer
-joins per level; ``grouping_id()`` tells the level, never ``IS NULL``.
+One leaf aggregate plus a ``GROUPING SETS`` roll-up replace three group-bys
+and two outer joins per level; ``grouping_id()`` tells the level, never
+``IS NULL``.
 """
 
 from __future__ import annotations
@@ -39,10 +40,18 @@ def hierarchy_summary(df: DataFrame, cfg: EmergenceConfig = EmergenceConfig(),
         cur.alias("_c"), prior.alias("_p"), base.alias("_b"),
         *[F.coalesce(F.col(k).cast("string"), F.lit(UNSPECIFIED)).alias(k) for k in keys])
     sets = [keys[:i] for i in range(1, len(keys) + 1)]
-    g = rows.groupingSets(sets, *keys).agg(
-        F.count_if(F.col("_c")).alias("current_volume"),
-        F.count_if(F.col("_p")).alias("prior_volume"),
-        F.count_if(F.col("_b")).alias("baseline_volume"),
+    # Aggregate at the leaf grain first (one pass over the rows, map-side
+    # combined), then roll the leaf counts up: the grouping-set expansion
+    # runs over leaf groups, not over raw rows. Counts are additive, so the
+    # roll-up is exact.
+    leaf = rows.groupBy(*keys).agg(
+        F.count_if(F.col("_c")).alias("_cv"),
+        F.count_if(F.col("_p")).alias("_pv"),
+        F.count_if(F.col("_b")).alias("_bv"))
+    g = leaf.groupingSets(sets, *keys).agg(
+        F.sum("_cv").cast("long").alias("current_volume"),
+        F.sum("_pv").cast("long").alias("prior_volume"),
+        F.sum("_bv").cast("long").alias("baseline_volume"),
         F.grouping_id().alias("_gid"))
     n = len(keys)
     # grouping_id bit i (from the left) is 1 when key i is rolled up.

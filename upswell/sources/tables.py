@@ -42,10 +42,18 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
 def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Spread CPU-heavy per-row work (regexes over whole texts, encoders).
 
-    A small input file is a single task; when the input has fewer partitions
-    than the cluster has cores, rows are dealt round-robin. Inputs already
-    split into enough partitions (any large table) are left alone: no shuffle.
+    A small input file is a single task; when a scan-fed input has fewer
+    partitions than the cluster has cores, rows are dealt out. Inputs that
+    already went through a shuffle, and large inputs split into enough
+    partitions, are left alone (no extra shuffle). The partition count is
+    only read for shuffle-free plans, so nothing upstream runs early.
     """
+    import re
+
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if re.search(r"(?<![A-Za-z])Exchange (hashpartitioning|rangepartitioning|RoundRobinPartitioning|"
+                 r"SinglePartition)", plan):
+        return df
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
