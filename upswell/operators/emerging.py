@@ -150,8 +150,10 @@ def emerging_products(df: DataFrame, cfg: EmergenceConfig = EmergenceConfig(),
     em = summary.filter(F.col("emerging") & F.col("meets_min_volume"))
     em = with_persistence(em, cfg, previous)
     top = em.orderBy(*emergence_order("product")).limit(cfg.top_n_emerging)
-    issues = issue_volumes(prepared, w, pc, ic, date).join(top.select("product"), "product", "left_semi")
-    nested = nest_issues(top_issues(issues, cfg.top_issues_per_product))
+    # Top issues for every product from one (product, issue) aggregate, then
+    # joined to the <= top_n records: referencing ``top`` only once keeps the
+    # summary from being planned (and the fact table scanned) a second time.
+    nested = nest_issues(top_issues(issue_volumes(prepared, w, pc, ic, date), cfg.top_issues_per_product))
     out = top.join(nested, "product", "left")
     out = out.withColumn("top_issues", F.coalesce(F.col("top_issues"), F.array().cast(T.ArrayType(ISSUE_STRUCT))))
     out = out.withColumn("top_issues_text", F.coalesce(F.col("top_issues_text"), F.lit("")))

@@ -178,13 +178,9 @@ def hybrid_search(df: DataFrame, emb: DataFrame | None, query_text: str | None =
 
 
 def search_options(df: DataFrame) -> DataFrame:
-    """Sorted distinct canonical products and issues for pickers."""
-    parts = []
-    for kind, col in (("product", "canonical_product"), ("issue", "canonical_issue")):
-        if col in df.columns:
-            parts.append(df.select(F.lit(kind).alias("option_kind"), F.col(col).cast("string").alias("option_value"))
-                         .filter(F.col("option_value").isNotNull()).distinct())
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.orderBy("option_kind", "option_value")
+    """Sorted distinct canonical products and issues for pickers (N11, T7); one scan."""
+    pairs = [F.struct(F.lit(kind).alias("option_kind"), F.col(col).cast("string").alias("option_value"))
+             for kind, col in (("product", "canonical_product"), ("issue", "canonical_issue"))
+             if col in df.columns]
+    out = df.select(F.explode(F.array(*pairs)).alias("o")).select("o.option_kind", "o.option_value")
+    return out.filter(F.col("option_value").isNotNull()).distinct().orderBy("option_kind", "option_value")
