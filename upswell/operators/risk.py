@@ -82,14 +82,23 @@ def risk_signals(df: DataFrame, taxonomy: Taxonomy = COMPLAINT_TAXONOMY, systemi
     # Scores are multiples of 1/6 rounded to 3 decimals: sum them as integers
     # (thousandths) so the mean does not depend on summation order.
     milli = F.round(F.col("narrative_score") * F.lit(1000.0)).cast("long")
-    first_risk = (F.min_by(F.col("risk_type"), F.col(order_col)) if order_col in df.columns
-                  else F.min(F.col("risk_type")))
     states = (F.count_distinct(F.col("state")) if "state" in df.columns else F.lit(0)).cast("long")
-    agg = scored.groupBy("canonical_product", "canonical_issue").agg(
+    bucket = ["canonical_product", "canonical_issue"]
+    agg = scored.groupBy(*bucket).agg(
         F.count(F.lit(1)).alias("volume"),
         states.alias("distinct_states"),
-        F.sum(milli).alias("_milli"),
-        first_risk.alias("risk_type"))
+        F.sum(milli).alias("_milli"))
+    # First risk type in row order, from a narrow scan without the text: a
+    # hash aggregate to (bucket, risk_type) -> first id, then a pick per
+    # bucket over those few rows. Kept out of the scored aggregate, whose
+    # functions would otherwise all fall back to a sort-based aggregate.
+    if order_col in df.columns:
+        firsts = (df.groupBy(*bucket, "risk_type").agg(F.min(order_col).alias("_first"))
+                  .groupBy(*bucket).agg(F.min_by("risk_type", "_first").alias("risk_type")))
+    else:
+        firsts = df.groupBy(*bucket).agg(F.min("risk_type").alias("risk_type"))
+    agg = agg.join(firsts, [agg[c].eqNullSafe(firsts[c]) for c in bucket]).select(
+        *[agg[c] for c in bucket], "volume", "distinct_states", "_milli", firsts["risk_type"])
     mean = F.col("_milli").cast("double") / (F.col("volume").cast("double") * F.lit(1000.0))
     # Global max over the aggregated buckets (one row per bucket, not per complaint).
     vmax = F.max("volume").over(Window.partitionBy())
