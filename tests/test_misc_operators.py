@@ -99,17 +99,17 @@ def test_taxonomy_size_check(spark):
 
 
 def test_stream_ingest_drops_redelivered(spark, tmp_path):
-    rows = [(1, dt.datetime(2024, 1, 1), "Wells Fargo", "Mortgage", "I"),
-            (1, dt.datetime(2024, 1, 1), "Wells Fargo", "Mortgage", "I"),
+    rows = [(1, dt.datetime(2024, 1, 1), "Acme Trust", "Mortgage", "I"),
+            (1, dt.datetime(2024, 1, 1), "Acme Trust", "Mortgage", "I"),
             (2, dt.datetime(2024, 1, 2), "Other Bank", "Card", "J"),
-            (3, dt.datetime(2024, 1, 3), "WELLS FARGO NA", "Card", "J")]
+            (3, dt.datetime(2024, 1, 3), "ACME TRUST NA", "Card", "J")]
     df = spark.createDataFrame(rows, "complaint_id long, date_received timestamp, Company string, "
                                      "Product string, Issue string")
     src = str(tmp_path / "drop")
     df.write.parquet(src)
     stream = spark.readStream.schema(df.schema).parquet(src)
     out = str(tmp_path / "clean")
-    run_available(clean_stream(stream, IngestConfig()), out, str(tmp_path / "ck"))
+    run_available(clean_stream(stream, IngestConfig(company_filter_pattern="Acme Trust")), out, str(tmp_path / "ck"))
     got = sorted(r.complaint_id for r in spark.read.parquet(out).collect())
     assert got == [1, 3]
     assert os.path.isdir(str(tmp_path / "ck"))

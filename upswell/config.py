@@ -24,7 +24,8 @@ class EmergenceConfig:
 
 @dataclass(frozen=True)
 class IngestConfig:
-    company_filter_pattern: str = "Wells Fargo"
+    # Regex searched (case-insensitive) in the company name; empty = keep all.
+    company_filter_pattern: str = ""
     # Dedup key, used for the columns present (fixed values).
     dedup_subset: tuple[str, ...] = (
         "complaint_id",
@@ -34,7 +35,7 @@ class IngestConfig:
         "consumer_complaint_narrative",
     )
     min_filtered_rows: int = 100
-    source_url: str = "https://files.consumerfinance.gov/ccdb/complaints.csv.zip"
+    source_url: str = ""
 
 
 @dataclass(frozen=True)

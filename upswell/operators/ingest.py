@@ -100,7 +100,8 @@ def clean(df: DataFrame, cfg: IngestConfig = IngestConfig(), order_by: list[str]
         if missing:
             raise ValueError(f"Missing required columns: {missing}. Found: {df.columns}")
     df = parse_date_column(df, "date_received")
-    df = company_filter(df, cfg.company_filter_pattern)
+    if cfg.company_filter_pattern:
+        df = company_filter(df, cfg.company_filter_pattern)
     keys = dedup_columns(df, cfg)
     if keys:
         df = dedupe_keep_first(df, keys, order_by)

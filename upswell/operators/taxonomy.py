@@ -140,7 +140,7 @@ def apply_taxonomy_join(df: DataFrame, lookup: DataFrame) -> DataFrame:
     return out
 
 
-# The complaint taxonomy (raw CFPB product / issue -> reporting values).
+# The complaint taxonomy (raw product / issue -> reporting values).
 COMPLAINT_TAXONOMY = Taxonomy(
     canonical_products={
         "Checking or savings account": "Consumer Banking",

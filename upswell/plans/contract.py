@@ -223,7 +223,8 @@ def _raw_ingest_view(spark: SparkSession, sf: str) -> DataFrame:
 def _ingest_cfg():
     from upswell.config import IngestConfig
 
-    return IngestConfig(company_filter_pattern=COMPANY_PATTERN, dedup_subset=("l_orderkey", "l_linenumber"))
+    return IngestConfig(company_filter_pattern=COMPANY_PATTERN, dedup_subset=("l_orderkey", "l_linenumber"),
+                        source_url="lineitem.parquet")
 
 
 @query("ingest_clean", f"""
@@ -237,7 +238,7 @@ def ingest_clean_q(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("run_manifest", f"""
 WITH {INGEST_SQL_BODY}
-SELECT 'https://files.consumerfinance.gov/ccdb/complaints.csv.zip' AS source_url,
+SELECT 'lineitem.parquet' AS source_url,
        (SELECT count(*) FROM v1) AS row_count_full, (SELECT count(*) FROM clean) AS row_count_filtered,
        (SELECT count(*) FROM clean) >= 100 AS meets_min_filtered_rows""")
 def run_manifest_q(spark: SparkSession, sf: str) -> DataFrame:

@@ -38,7 +38,8 @@ def clean_stream(stream: DataFrame, cfg: IngestConfig = IngestConfig(), key: str
     """ST1: normalise, filter by company, drop re-delivered complaints
     (same key within the watermark). State is bounded by the watermark."""
     s = normalize_columns(stream)
-    s = company_filter(s, cfg.company_filter_pattern)
+    if cfg.company_filter_pattern:
+        s = company_filter(s, cfg.company_filter_pattern)
     s = s.withColumn(date, F.col(date).cast("timestamp"))
     return s.withWatermark(date, lateness).dropDuplicatesWithinWatermark([key])
 
