@@ -1,7 +1,6 @@
 """Search, streaming and the driver contract (oracle parity on sf0.001)."""
 
 import math
-import os
 
 import numpy as np
 import pytest

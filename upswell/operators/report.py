@@ -126,10 +126,8 @@ def region_top(df: DataFrame, n: int = 20) -> DataFrame:
 def weekly_volume(df: DataFrame, date: str = "date_received") -> DataFrame:
     """Monday-to-Sunday weekly counts."""
     return (df.filter(F.col(date).isNotNull())
-            .groupBy(week_start(F.col(date)).alias("week_start"))
-            .agg(F.count(F.lit(1)).alias("complaints"))
-            .withColumn("week", F.concat_ws("/", F.date_format("week_start", "yyyy-MM-dd"),
-                                            F.date_format(F.date_add("week_start", 6), "yyyy-MM-dd"))))
+            .groupBy(week_start(F.col(date)).alias("week_start"), week_label(F.col(date)).alias("week"))
+            .agg(F.count(F.lit(1)).alias("complaints")))
 
 
 def export_columns(columns: list[str], leading: list[str] | tuple = ()) -> list[str]:
