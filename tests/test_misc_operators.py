@@ -124,3 +124,17 @@ def test_max_timestamp_reads_newest_partition(spark, tmp_path):
     spark.createDataFrame(rows, "date_received timestamp, month string").write.partitionBy("month").parquet(path)
     t = spark.read.parquet(path)
     assert max_timestamp(t) == dt.datetime(2024, 3, 9, 12)
+
+
+def test_tier_filter_and_corpus_counts(spark):
+    from upswell.operators.risk import filter_tier
+    from upswell.operators.semantic import corpus_counts
+
+    risk = spark.createDataFrame([("a", "systemic"), ("b", "elevated")], "canonical_product string, risk_tier string")
+    assert [r.canonical_product for r in filter_tier(risk, "elevated").collect()] == ["b"]
+    assert filter_tier(risk, "All").count() == 2
+    docs = spark.createDataFrame([(dt.datetime(2024, 1, 1), "text"), (dt.datetime(2024, 1, 2), "  "),
+                                  (None, "x"), (dt.datetime(2024, 1, 3), None)],
+                                 "date_received timestamp, consumer_complaint_narrative string")
+    r = corpus_counts(docs).first()
+    assert (r.complaints, r.with_narrative) == (3, 1)

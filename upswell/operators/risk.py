@@ -126,3 +126,10 @@ def risk_options(risk: DataFrame) -> DataFrame:
         .withColumn("label", F.concat(F.col("canonical_product"), F.lit(" — "), F.col("canonical_issue"),
                                       F.lit(" (tier "), F.col("risk_tier"), F.lit(", score "),
                                       F.bround("systemic_risk_score", 2).cast("string"), F.lit(")")))
+
+
+def filter_tier(risk: DataFrame, tier: str | None) -> DataFrame:
+    """Rows of one risk tier; None or 'All' keeps every tier."""
+    if tier is None or tier == "All":
+        return risk
+    return risk.filter(F.col("risk_tier").cast("string") == F.lit(tier))

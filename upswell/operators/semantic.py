@@ -48,3 +48,12 @@ def semantic_text(df: DataFrame, narrative: str = NARRATIVE, date: str = "date_r
         "_t", F.when(F.col("has_narrative"), F.col("_narr")).otherwise(fallback))
     text = F.when(F.col("_t") == F.lit(""), F.lit(SPARSE_TEXT)).otherwise(F.col("_t"))
     return staged.withColumn("semantic_text", text).drop("_narr", "_t")
+
+
+def corpus_counts(df: DataFrame, narrative: str = NARRATIVE, date: str = "date_received") -> DataFrame:
+    """One row: dated complaints and how many carry a narrative."""
+    from upswell.functions.text import has_text
+
+    rows = parse_date_column(df, date).filter(F.col(date).isNotNull()) if date in df.columns else df
+    has = has_text(F.col(narrative)) if narrative in df.columns else F.lit(False)
+    return rows.agg(F.count(F.lit(1)).alias("complaints"), F.count_if(has).alias("with_narrative"))
