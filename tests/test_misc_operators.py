@@ -138,3 +138,20 @@ def test_tier_filter_and_corpus_counts(spark):
                                  "date_received timestamp, consumer_complaint_narrative string")
     r = corpus_counts(docs).first()
     assert (r.complaints, r.with_narrative) == (3, 1)
+
+
+def test_operators_accept_empty_input(spark):
+    from upswell.operators import hierarchy, report, risk, semantic, topics
+
+    schema = ("complaint_id long, date_received timestamp, product string, issue string, state string, "
+              "canonical_product string, product_line string, canonical_issue string, risk_type string, "
+              "consumer_complaint_narrative string, topic_id int")
+    empty = spark.createDataFrame([], schema)
+    assert hierarchy.hierarchy_summary(empty).count() == 0
+    assert risk.risk_signals(empty).count() == 0
+    assert semantic.semantic_text(empty).count() == 0
+    spec = report.default_slice(empty)
+    assert report.slice_kpis(empty, spec).first().complaints == 0
+    assert report.issue_top(report.slice_rows(empty, spec)).count() == 0
+    assert topics.topic_emergence(empty).count() == 0
+    assert topics.topic_label_map(empty).count() == 0

@@ -33,6 +33,9 @@ def hierarchy_summary(df: DataFrame, cfg: EmergenceConfig = EmergenceConfig(),
     df = parse_date_column(df, date)
     w = windows or resolve_windows(df, cfg, reference_date, date)
     keys = [pc] + ([line] if line else []) + [ic]
+    if w is None:  # no dated rows: empty result with the output columns
+        w = Windows.from_config(_dt.datetime(1970, 1, 1), cfg)
+        df = df.limit(0)
     like = df.schema[date].dataType
     cur, prior, base = w.flags(F.col(date), like)
     # NULL keys are a real group, shown as 'Unspecified'.

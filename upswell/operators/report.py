@@ -34,6 +34,8 @@ def default_slice(df: DataFrame, days_back: int = 14, lob: str | None = None,
                   date: str = "date_received") -> SliceSpec:
     """Last ``days_back`` days before the newest date, both ends included."""
     _, hi = min_max_dates(df, date)
+    if hi is None:  # no dated rows: an empty slice ending today
+        hi = _dt.date.today()
     return SliceSpec(hi - _dt.timedelta(days=days_back), hi, lob)
 
 
