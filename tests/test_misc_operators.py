@@ -155,3 +155,19 @@ def test_operators_accept_empty_input(spark):
     assert report.issue_top(report.slice_rows(empty, spec)).count() == 0
     assert topics.topic_emergence(empty).count() == 0
     assert topics.topic_label_map(empty).count() == 0
+
+
+def test_text_query_search_in_corpus_space(spark):
+    from upswell.operators.embed import embed_query_texts, fit_corpus
+    from upswell.operators.search import batch_semantic_search
+
+    docs = spark.createDataFrame([
+        (1, dt.datetime(2024, 1, 1), "overdraft fee charged twice on my checking account"),
+        (2, dt.datetime(2024, 1, 2), "mortgage escrow payment was misapplied"),
+        (3, dt.datetime(2024, 1, 3), "credit report shows an account that is not mine")],
+        "complaint_id long, date_received timestamp, consumer_complaint_narrative string")
+    emb, enc = fit_corpus(docs, dim=64)
+    q = spark.createDataFrame([(7, "escrow payment mortgage")], "query_id long, query_text string")
+    qv = embed_query_texts(q, enc)
+    top = batch_semantic_search(docs, emb, qv, top_k=1).collect()
+    assert [(r.query_id, r.complaint_id) for r in top] == [(7, 2)]

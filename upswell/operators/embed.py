@@ -11,11 +11,12 @@ from their centre become the outlier topic -1.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, IDFModel, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,22 +32,53 @@ DEFAULT_DIM = 384
 ENCODER_BATCH = 64
 
 
-def embed_corpus(df: DataFrame, dim: int = DEFAULT_DIM, key: str = "complaint_id",
-                 date: str = "date_received") -> DataFrame:
-    """One unit vector per complaint from its semantic text (Spark ML)."""
+@dataclass
+class TextEncoder:
+    """The fitted default encoder: token regex -> hashed counts -> IDF -> L2."""
+
+    dim: int
+    idf: IDFModel
+
+    def _tf(self, df: DataFrame, text: str) -> DataFrame:
+        tok = RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TOKEN_PATTERN, gaps=False,
+                             toLowercase=True)
+        return HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=self.dim).transform(tok.transform(df))
+
+    def vectors(self, tfs: DataFrame, keep: list[str]) -> DataFrame:
+        out = Normalizer(inputCol="_tfidf", outputCol="_vec", p=2.0).transform(self.idf.transform(tfs))
+        return out.select(*keep, vector_to_array("_vec", "float32").alias("embedding"))
+
+    def encode(self, df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+        return self.vectors(self._tf(df, text).select(*keep, "_tf"), keep)
+
+
+def fit_corpus(df: DataFrame, dim: int = DEFAULT_DIM, key: str = "complaint_id",
+               date: str = "date_received") -> tuple[DataFrame, TextEncoder]:
+    """Embed every complaint's semantic text and return the fitted encoder too
+    (for query texts, N10)."""
     st = semantic_text(df, date=date)
     cols = [key] + ([date] if date in df.columns else []) + ["has_narrative"]
-    tok = RegexTokenizer(inputCol="semantic_text", outputCol="_tok", pattern=TOKEN_PATTERN, gaps=False,
-                         toLowercase=True)
-    tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim)
     # The texts are read once: term vectors (far smaller than the texts) are
     # checkpointed to the cluster's checkpoint folder, then IDF is fitted on
     # them and applied to them. This also cuts the lineage back to the texts.
     ensure_checkpoint_dir(df.sparkSession)
-    tfs = tf.transform(tok.transform(st)).select(*cols, "_tf").checkpoint(eager=True)
-    idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(tfs)  # document frequencies: dim numbers
-    out = Normalizer(inputCol="_tfidf", outputCol="_vec", p=2.0).transform(idf.transform(tfs))
-    return out.select(*cols, vector_to_array("_vec", "float32").alias("embedding"))
+    enc = TextEncoder(dim, None)  # type: ignore[arg-type]
+    tfs = enc._tf(st, "semantic_text").select(*cols, "_tf").checkpoint(eager=True)
+    enc.idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(tfs)  # document frequencies: dim numbers
+    return enc.vectors(tfs, cols), enc
+
+
+def embed_corpus(df: DataFrame, dim: int = DEFAULT_DIM, key: str = "complaint_id",
+                 date: str = "date_received") -> DataFrame:
+    """One unit vector per complaint from its semantic text (Spark ML)."""
+    return fit_corpus(df, dim, key, date)[0]
+
+
+def embed_query_texts(queries: DataFrame, encoder: TextEncoder, text: str = "query_text") -> DataFrame:
+    """Query vectors in the corpus space (N10): (query_id, embedding)."""
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"),
+                       F.btrim(F.coalesce(F.col(text), F.lit(""))).alias("_q"))
+    return encoder.encode(q, "_q", ["query_id"])
 
 
 def embed_with(df: DataFrame, load_encoder: Callable[[], Callable[[list[str]], np.ndarray]], dim: int,
