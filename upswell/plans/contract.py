@@ -775,3 +775,17 @@ def emerging_summary_from_daily_q(spark: SparkSession, sf: str) -> DataFrame:
     from upswell.streaming.incremental import daily_rollup, emerging_summary_from_daily
 
     return emerging_summary_from_daily(daily_rollup(B.v1_emergence(spark, sf)), CFG)
+
+
+@query("search_text_topk")
+def search_text_topk_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Every benchmark passage as a query text (N10) against all documents (N9, exact top-5)."""
+    from upswell.operators.embed import embed_query_texts, fit_corpus
+    from upswell.operators.search import batch_semantic_search
+    from upswell.sources.tables import read_table
+
+    docs = B.v4_documents(spark, sf)
+    emb, encoder = fit_corpus(docs)
+    queries = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"),
+                                                       F.col("text").alias("query_text"))
+    return batch_semantic_search(docs, emb, embed_query_texts(queries, encoder), top_k=5)
