@@ -102,22 +102,6 @@ def semantic_search(df: DataFrame, emb: DataFrame, query_vector, top_k: int = 20
         .orderBy(F.col("similarity_score").desc(), F.col(key).asc()).limit(top_k)
 
 
-def _topk_per_query(ids: np.ndarray, scores: np.ndarray, k: int):
-    """Indices of the k best rows per column: score desc, id asc."""
-    out = []
-    n = scores.shape[0]
-    for j in range(scores.shape[1]):
-        s = scores[:, j]
-        if n > k:
-            kth = np.partition(-s, k - 1)[k - 1]
-            cand = np.nonzero(-s <= kth)[0]
-        else:
-            cand = np.arange(n)
-        order = cand[np.lexsort((ids[cand], -s[cand]))][:k]
-        out.append(order)
-    return out
-
-
 def batch_semantic_search(df: DataFrame, emb: DataFrame, queries: DataFrame, top_k: int = 10,
                           key: str = "complaint_id", cfg: SearchConfig = SearchConfig(),
                           **filters) -> DataFrame:
@@ -142,15 +126,35 @@ def batch_semantic_search(df: DataFrame, emb: DataFrame, queries: DataFrame, top
         qmat = np.array([v for _, v in block], dtype=np.float64)
         bq = spark.sparkContext.broadcast((qids, qmat))
 
-        def score_batches(it: Iterator[pd.DataFrame], bq=bq, k=top_k) -> Iterator[pd.DataFrame]:
+        # Everything the Python workers run is defined here, so it is shipped by
+        # value: workers need numpy and pandas, not this package.
+        def score_batches(it: Iterator[pd.DataFrame], bq=bq, k=top_k, key=key,
+                          decimals=SCORE_DECIMALS) -> Iterator[pd.DataFrame]:
+            import numpy as np
+            import pandas as pd
+
+            def topk_per_query(ids, scores, k):
+                """Indices of the k best rows per column: score desc, id asc."""
+                out = []
+                n = scores.shape[0]
+                for j in range(scores.shape[1]):
+                    s = scores[:, j]
+                    if n > k:
+                        kth = np.partition(-s, k - 1)[k - 1]
+                        cand = np.nonzero(-s <= kth)[0]
+                    else:
+                        cand = np.arange(n)
+                    out.append(cand[np.lexsort((ids[cand], -s[cand]))][:k])
+                return out
+
             q_ids, q = bq.value
             for pdf in it:
                 if pdf.empty:
                     continue
                 ids = pdf[key].to_numpy(dtype=np.int64)
                 m = np.vstack(pdf["embedding"].to_numpy()).astype(np.float64)
-                s = np.round(m @ q.T, SCORE_DECIMALS)
-                picks = _topk_per_query(ids, s, k)
+                s = np.round(m @ q.T, decimals)
+                picks = topk_per_query(ids, s, k)
                 yield pd.DataFrame({
                     "query_id": np.concatenate([np.full(len(p), q_ids[j]) for j, p in enumerate(picks)]),
                     key: np.concatenate([ids[p] for p in picks]),
