@@ -1,6 +1,7 @@
 """Search, streaming and the driver contract (oracle parity on sf0.001)."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -133,3 +134,20 @@ def test_stream_daily_counts_append_emits_final_days(spark, tmp_path):
     assert emitted and all(batch[k] == v for k, v in emitted.items())
     newest = max(d for d, _ in batch)
     assert all(k in emitted for k in batch if k[0] < newest - dt.timedelta(days=2))
+
+
+def test_python_worker_code_runs_outside_the_repo(tmp_path):
+    """mapInPandas code must not need this package on the workers' path."""
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "import __spark_entry__ as e\n"
+        "print('ROWS', e.queries()['search_batch_topk'](s, %r).count())\n" % (repo, SF))
+    out = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), capture_output=True, text=True,
+                         timeout=600)
+    assert "ROWS 50" in out.stdout, out.stderr[-2000:]
