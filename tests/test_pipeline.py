@@ -40,6 +40,8 @@ def test_pipeline_two_runs(spark, tmp_path):
     assert std.count() == kept and "canonical_product" in std.columns
     assert spark.read.parquet(p["narrative_topics"]).count() > 0
     assert spark.read.parquet(p["emerging_hierarchy"]).filter("level = 'lob'").count() >= 1
+    hj = spark.read.json(os.path.join(p["emerging_hierarchy_json"], "run=1"))
+    assert hj.count() == spark.read.parquet(p["emerging_hierarchy"]).count() and "computed_at" in hj.columns
     r2 = run_pipeline(spark, _raw(spark), out, cfg, run_id="2")
     assert r2["previous_run"].endswith("run=1")
     rec1 = spark.read.json(os.path.join(p["emerging"], "run=1"))

@@ -41,7 +41,7 @@ class PipelineConfig:
 
 def _paths(out: str) -> dict[str, str]:
     names = ("complaints", "complaints_standardized", "risk_signals", "emerging_summary", "emerging",
-             "emerging_hierarchy", "narrative_embeddings", "narrative_topics", "narrative_emerging",
+             "emerging_hierarchy", "emerging_hierarchy_json", "narrative_embeddings", "narrative_topics", "narrative_emerging",
              "pipeline_status", "manifest")
     return {n: os.path.join(out, n) for n in names}
 
@@ -86,6 +86,8 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, out: str, cfg: PipelineCon
     write_records_json(records, os.path.join(p["emerging"], f"run={run_id}"))
     E.emerging_summary(std, cfg.emergence).write.mode("overwrite").parquet(p["emerging_summary"])
     hierarchy_summary(std, cfg.emergence).write.mode("overwrite").parquet(p["emerging_hierarchy"])
+    write_records_json(spark.read.parquet(p["emerging_hierarchy"]),
+                       os.path.join(p["emerging_hierarchy_json"], f"run={run_id}"))
     append_status(spark, p["pipeline_status"], "analysis", "success", time.time() - t0)
     result["previous_run"] = previous_runs[-1] if previous_runs else None
 
