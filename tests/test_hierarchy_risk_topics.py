@@ -122,3 +122,16 @@ def test_topic_drill_falls_back_to_whole_topic(spark):
     first = out.columns[:6]
     assert first == ["narrative_topic_id", "narrative_topic_label", "narrative_current_volume",
                      "narrative_prior_volume", "narrative_growth_ratio", "topic_issue_volume"]
+
+
+def test_hierarchy_for_slice_respects_lob(spark):
+    from upswell.operators.hierarchy import hierarchy_for_slice
+
+    rows = [(dt.datetime(2024, 5, 20), "Bank", "Deposits", "Fee"), (dt.datetime(2024, 5, 21), "Card", "Lending", "APR")]
+    df = spark.createDataFrame(rows, "date_received timestamp, canonical_product string, product_line string, "
+                                     "canonical_issue string")
+    spec = SliceSpec(dt.date(2024, 5, 17), dt.date(2024, 5, 31), lob="Card")
+    lobs = {r.name for r in hierarchy_for_slice(df, spec).filter("level = 'lob'").collect()}
+    assert lobs == {"Card"}
+    lobs = {r.name for r in hierarchy_for_slice(df, spec, respect_lob=False).filter("level = 'lob'").collect()}
+    assert lobs == {"Bank", "Card"}

@@ -166,3 +166,12 @@ def emerging_products(df: DataFrame, cfg: EmergenceConfig = EmergenceConfig(),
 def flatten_records(records: DataFrame) -> DataFrame:
     """CSV-friendly records: nested top issues as 'issue (n); ...' (X16)."""
     return records.drop("top_issues").withColumnRenamed("top_issues_text", "top_issues")
+
+
+def emerging_for_slice(df: DataFrame, spec, cfg: EmergenceConfig = EmergenceConfig(),
+                       date: str = "date_received") -> DataFrame:
+    """Emerging products for a slice (E12): windows as long as the range, ending
+    at the end date (exclusive), baseline max(3 x range, 90) days, computed on
+    the whole history (not pre-filtered to the range)."""
+    ref = _dt.datetime.combine(spec.end, _dt.time())
+    return emerging_products(df, spec.emergence_config(cfg), reference_date=ref, date=date)

@@ -75,3 +75,13 @@ def hierarchy_summary(df: DataFrame, cfg: EmergenceConfig = EmergenceConfig(),
     return g.select("level", "name", "parent", *keys, "current_volume", "prior_volume",
                     "baseline_volume", "growth_ratio", "growth_pct", "rank_current", "rank_prior",
                     "rank_improved")
+
+
+def hierarchy_for_slice(df: DataFrame, spec, cfg: EmergenceConfig = EmergenceConfig(),
+                        respect_lob: bool = True, date: str = "date_received") -> DataFrame:
+    """Hierarchy for a slice (E11), optionally restricted to the slice's LOB."""
+    from upswell.operators.report import lob_filter
+
+    rows = lob_filter(df, spec.lob) if respect_lob else df
+    ref = _dt.datetime.combine(spec.end, _dt.time())
+    return hierarchy_summary(rows, spec.emergence_config(cfg), reference_date=ref, date=date)

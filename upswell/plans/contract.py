@@ -719,20 +719,16 @@ WITH {S.V1}, {S.summary_ctes('s', 'v1', cur=E_SLICE_DAYS, prior=E_SLICE_DAYS, ba
 SELECT * FROM r""")
 def emerging_slice_q(spark: SparkSession, sf: str) -> DataFrame:
     df = parse_date_column(B.v1_emergence(spark, sf))
-    spec = _slice_spec(df, E_SLICE_DAYS)
-    ref = _dt.datetime.combine(spec.end, _dt.time())
-    return E.flatten_records(E.emerging_products(df, spec.emergence_config(CFG), reference_date=ref))
+    return E.flatten_records(E.emerging_for_slice(df, _slice_spec(df, E_SLICE_DAYS), CFG))
 
 
 @query("hierarchy_slice", hierarchy_sql(S.V2, "v2", E_SLICE_DAYS, E_SLICE_DAYS, 3 * E_SLICE_DAYS,
                                         end_expr=f"CAST({V2_HI} AS TIMESTAMP)"))
 def hierarchy_slice_q(spark: SparkSession, sf: str) -> DataFrame:
-    from upswell.operators.hierarchy import hierarchy_summary
+    from upswell.operators.hierarchy import hierarchy_for_slice
 
     df = parse_date_column(B.v2_hierarchy(spark, sf))
-    spec = _slice_spec(df, E_SLICE_DAYS)
-    ref = _dt.datetime.combine(spec.end, _dt.time())
-    return hierarchy_summary(df, spec.emergence_config(CFG), reference_date=ref)
+    return hierarchy_for_slice(df, _slice_spec(df, E_SLICE_DAYS), CFG)
 
 
 RISK_LOB = "Beta"
