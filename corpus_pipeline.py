@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from upswell.llm import bpe, decontam, exact_dedup, langid, simhash
+from upswell.llm.common import shared_folder
 from upswell.llm.queries import BYTE_BPE
-from upswell.session import ensure_checkpoint_dir
 from upswell.sources.tables import read_table
 
 
@@ -53,7 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's result is written to the shared folder and read again."""
-    folder = os.path.join(ensure_checkpoint_dir(spark), f"pipeline-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}")
+    folder = shared_folder(spark, "pipeline")
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = f"{folder}/{name}.parquet"

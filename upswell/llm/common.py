@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from upswell.session import ensure_checkpoint_dir
 from upswell.sources.tables import materialize, read_table
 
 HEAVY_SHARE = 64
@@ -62,6 +63,11 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], total: int,
     return rows.join(lookup.withColumn("_salt", F.explode(salts)), [*keys, "_salt"], how).drop("_salt")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write to the shared checkpoint folder and read back; cuts the lineage."""
     return materialize(df)

@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from upswell.llm import bpe, decontam, exact_dedup, langid, simhash
-from upswell.llm.common import documents
+from upswell.llm import bpe, decontam, exact_dedup, idcoder, langid, licenses, secrets, simhash, toxicity
+from upswell.llm.common import documents, shared_folder
 from upswell.sources.tables import read_table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
+WORD_BPE = "word_bpe_49k.json"
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,17 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(documents(spark, sf_dir))
+    return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"),
+                        "n_unknown")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels"))).drop("_rid")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -38,12 +50,38 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "ids")
+    idcoder.write_ids(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE), path)
+    found = idcoder.document_digests(spark.read.parquet(path))
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE_RULES))
+    return found.select("doc_id", *[_count("spans", r.kind).alias(f"n_{r.kind}") for r in secrets.BASE_RULES],
+                        F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+def _count(spans: str, kind: str):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def _joined(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_licenses": op2_licenses,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_id_files": op8_id_files,
+    "op9_secrets": op9_secrets,
 }
 
 ORACLE: dict[str, str] = {
