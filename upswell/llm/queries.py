@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from upswell.llm import bpe, decontam, exact_dedup, idcoder, langid, licenses, secrets, simhash, toxicity
+from upswell.llm import bpe, decontam, exact_dedup, idcoder, langid, licenses, pii, secrets, simhash, toxicity
 from upswell.llm.common import documents, shared_folder
 from upswell.sources.tables import read_table
 
@@ -64,6 +64,13 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["rank"] < len(pii.KINDS))
+    return found.select("doc_id", *[_count("spans", k).alias(f"n_{k}") for k in pii.KINDS],
+                        F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
 def _count(spans: str, kind: str):
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
@@ -82,6 +89,7 @@ QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_id_files": op8_id_files,
     "op9_secrets": op9_secrets,
+    "op10_personal_data": op10_personal_data,
 }
 
 ORACLE: dict[str, str] = {

@@ -28,8 +28,9 @@ CATEGORIES = {
     "contempt": ("trash", "pathetic", "disgusting", "worthless", "stupid", "garbage", "vile", "filthy", "useless", "dumb"),
 }
 MAX_TRAINING_ROWS = 20_000
-"""At most half as many toxic and half as many clean labelled documents are learned from, chosen by a hash of the id."""
-VOCABULARY, MIN_DOCUMENTS, FOLDS = 512, 5, 5
+"""At most so many labelled documents are learned from, chosen by a hash of the id, toxic and clean in their own proportion."""
+VOCABULARY, MIN_DOCUMENTS, FOLDS = 256, 5, 5
+STEMS = (5, 6, 7, 8)
 
 _LETTER_BYTES = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 32 for b in range(256))
 
@@ -39,11 +40,16 @@ def words_of(text: str) -> set[bytes]:
     return set(text.lower().encode().translate(_LETTER_BYTES).split())
 
 
+def features_of(words: set[bytes]) -> set[bytes]:
+    """The words and, with a star, their first bytes, so that a stem counts whatever its ending."""
+    return words.union(*({w[:k] + b"*" for w in words if len(w) >= k} for k in STEMS))
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 30) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 15) -> np.ndarray:
     """Weights (the last is the bias) of an L2 logistic regression, by Newton steps; constant labels give a constant."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -56,7 +62,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int
         p = _sigmoid(x @ w)
         step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
         w += step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
@@ -66,6 +72,7 @@ class Chain:
 
     def __init__(self, words: list[bytes], names: list[str]) -> None:
         self.words, self.names = {w: i for i, w in enumerate(words)}, names
+        self.stems = {k: {w[:k] for w in words if len(w) == k + 1 and w.endswith(b"*")} for k in STEMS}
         self.weights: list[np.ndarray] = []
         self.threshold = 0.5
 
@@ -86,6 +93,14 @@ class Chain:
     def _apply(w: np.ndarray, z: np.ndarray) -> np.ndarray:
         return _sigmoid(z @ w[:-1] + w[-1])
 
+    def numbers_of(self, words: set[bytes]) -> list[int]:
+        """Numbers of the chain's features that a text with these words has."""
+        found = words & self.words.keys()
+        for k, stems in self.stems.items():
+            if stems:
+                found |= {s + b"*" for s in {w[:k] for w in words} & stems}
+        return sorted(self.words[f] for f in found)
+
     def predict(self, held: list[int]) -> list[float]:
         """The categories' probabilities for a text with the words of these numbers."""
         out: list[float] = []
@@ -112,8 +127,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINI
     """(doc_id, fold, toxic, text) of the labelled documents to learn from; a document labelled twice is toxic if one label says so."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(
         F.max(F.col("toxic").cast("int")).alias("toxic"))
-    order = F.xxhash64("doc_id")
-    part = marks.where("toxic > 0").orderBy(order).limit(max_rows // 2).union(marks.where("toxic <= 0").orderBy(order).limit(max_rows // 2))
+    part = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     joined = texts.join(F.broadcast(part), "doc_id")  # at most max_rows ids
     return joined.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int").alias("fold"),
@@ -133,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, ...
             seen = [0, 0]
             for y, t in zip(toxic, texts):
                 seen[y] += 1
-                for w in words_of(t):
+                for w in features_of(words_of(t)):
                     total.setdefault(w, [0, 0])[y] += 1
             total[b""] = seen
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array([n[0] for n in total.values()], pa.int64()),
@@ -154,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, ...
             ids, fold, toxic, texts = (b.column(i).to_pylist() for i in range(4))
             found = [words_of(t) for t in texts]
             marks = [[int(y and bool(ws & listed)) for listed in lists] + [int(y)] for y, ws in zip(toxic, found)]
-            known = [sorted(number[w] for w in ws & number.keys()) for ws in found]
+            known = [sorted(number[w] for w in features_of(ws) & number.keys()) for ws in found]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fold, pa.int32()), pa.array(marks, pa.list_(pa.int32())),
                                               pa.array(known, pa.list_(pa.int32()))], names=["doc_id", "fold", "marks", "known"])
 
@@ -182,7 +196,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
         for b in batches:
-            found = [c.predict(sorted(c.words[w] for w in words_of(t.decode()) & c.words.keys())) for t in b.column(2).to_pylist()]
+            found = [c.predict(c.numbers_of(words_of(t.decode()))) for t in b.column(2).to_pylist()]
             arrays = [b.column(0), b.column(1), *(pa.array([f[i] for f in found], pa.float64()) for i in range(len(names))),
                       pa.array([bool(c.words) and f[-1] >= c.threshold for f in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
