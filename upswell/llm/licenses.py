@@ -91,13 +91,13 @@ _SHORT = (("noncommercial", "nc"), ("non-commercial", "nc"), ("sharealike", "sa"
 def normalised_sentences(text: Column) -> Column:
     """Array of the text's sentences: lower case, one blank between words, no comment marks, American spelling.
 
-    A sentence ends at . ! ? or ; before white space, and at an empty line.
+    A sentence ends at . ! or ? before white space, and at an empty line.
     """
     t = F.lower(text)
     t = F.regexp_replace(t, r"(?m)^[ \t]*(?://+|/\*+|\*+/?|#+|--+|;+|%+|rem |dnl )[ \t]*", "")
     t = F.regexp_replace(t, r"\n[ \t\r]*\n\s*", "\u0001")
     t = F.regexp_replace(F.regexp_replace(t, r"licenc", "licens"), r"[ \t\r\n\f]+", " ")
-    return F.filter(F.transform(F.split(t, "(?<=[.!?;]) |\u0001"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(t, "(?<=[.!?]) |\u0001"), F.trim), lambda s: s != "")
 
 
 def sentence_id(sentence: Column) -> Column:
@@ -130,9 +130,11 @@ def match_rules(ids: Column) -> Column:
 
 
 def _cased(name: Column) -> Column:
-    """Licence names as their lists write them."""
-    upper = F.replace(F.replace(F.upper(name), F.lit("-ONLY"), F.lit("-only")), F.lit("-OR-LATER"), F.lit("-or-later"))
-    return F.when(name.rlike("^(?:agpl|lgpl|gpl|mpl|epl|cc)-"), upper).otherwise(name)
+    """Licence names as their lists write them: family in capitals, a few words and names in their own way."""
+    out = F.upper(name)
+    for own in ("-only", "-or-later", "-Clause", "Apache-", "Zlib", "Unlicense", "public-domain", "all-rights-reserved", "-AND-", "-OR-", "-WITH-"):
+        out = F.replace(out, F.lit(own.upper()), F.lit(own))
+    return out
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
