@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as _dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
@@ -20,6 +20,8 @@ class EmergenceConfig:
     top_issues_per_product: int = 5
     persistence_min_runs: int = 1
     hide_new_until_persistent: bool = False
+    # Month column of a table written by month ("month" for tables that ingest wrote); None for others.
+    partition_column: str | None = None
 
 
 @dataclass(frozen=True)
@@ -83,12 +85,6 @@ class SearchConfig:
         "sub_issue",
         "sub_product",
     )
-    # Upper bound on query vectors shipped to the executors in one block;
-    # larger query sets are processed block by block (exact either way).
-    max_queries_per_block: int = 4096
-
-
-@dataclass(frozen=True)
-class RiskConfig:
-    systemic_phrases: tuple[str, ...] = field(default=())
-    individual_phrases: tuple[str, ...] = field(default=())
+    # Query vectors and candidate rows that one task of the batch search holds.
+    queries_per_block: int = 4096
+    candidates_per_part: int = 50_000

@@ -11,22 +11,34 @@ from pyspark.sql import types as T
 
 from upswell.config import EmergenceConfig
 
-# Formats tried, in order, by the lenient parser (fixed values).
-DATE_FORMATS = (
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd",
-    "MM/dd/yyyy",
-    "MM/dd/yy",
+# Date texts that are rewritten to ISO order before the cast (pattern, replacement).
+REWRITES = (
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})(?=$|[ T])", "$3-$1-$2"),
+    (r"^(\d{1,2})/(\d{1,2})/([7-9]\d|69)(?=$|[ T])", "19$3-$1-$2"),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{2})(?=$|[ T])", "20$3-$1-$2"),
+    (r"^(\d{4})/(\d{1,2})/(\d{1,2})(?=$|[ T])", "$1-$2-$3"),
+    (r"^(\d{4})(\d{2})(\d{2})(?=$|[ T])", "$1-$2-$3"),
+    (r"^([A-Za-z]{3,9})\.? (\d{1,2}),? (\d{4})(?=$|[ T])", "$3-$1-$2"),
+    (r"^(\d{1,2})[ -]([A-Za-z]{3,9})\.?[ -](\d{4})(?=$|[ T])", "$3-$2-$1"),
 )
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
 def lenient_timestamp(col: Column) -> Column:
-    """Parse to timestamp; junk becomes NULL instead of failing (ANSI-safe)."""
+    """Parse to timestamp; junk becomes NULL instead of failing (ANSI-safe).
+
+    ISO dates with or without a time (to minutes, seconds or fractions) and
+    an offset or ``Z`` (turned to UTC), compact ``yyyyMMdd``, ``yyyy/m/d``,
+    ``m/d/yyyy``, ``m/d/yy`` and dates with the month's name; single digits need no
+    leading zero.
+    """
     s = F.btrim(col.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in DATE_FORMATS])
+    for pattern, iso in REWRITES:
+        s = F.regexp_replace(s, pattern, iso)
+    named = F.lower(F.regexp_extract(s, r"^\d{4}-([A-Za-z]{3})[A-Za-z]*-", 1))
+    number = F.array_position(F.array(*map(F.lit, MONTHS)), named)
+    s = F.when(named == "", s).when(number > 0, F.regexp_replace(s, F.lit("-[A-Za-z]+-"), F.concat(F.lit("-"), number.cast("string"), F.lit("-"))))
+    return F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}(?:$|[ T])"), s.try_cast("timestamp"))
 
 
 def parse_date_column(df: DataFrame, name: str = "date_received") -> DataFrame:
@@ -51,26 +63,32 @@ def ts_literal(value: _dt.datetime | _dt.date, like: T.DataType | None = None) -
     return F.lit(text).cast(target)
 
 
-def max_timestamp(df: DataFrame, name: str = "date_received",
-                  partition_col: str = "month") -> _dt.datetime | None:
+def max_timestamp(df: DataFrame, name: str = "date_received", partition: str | None = None) -> _dt.datetime | None:
     """Newest timestamp in the data, as a naive UTC ``datetime`` (small jobs).
 
     Fetched eagerly so that the window bounds become literals, which Parquet
-    row-group / partition pruning can use. On a table partitioned by month
-    (as ``ingest`` writes it), the newest partition value is found first and
-    only that partition is scanned for the newest date.
+    row-group / partition pruning can use. ``partition`` names the column of a
+    table written by month (as ``ingest`` writes it): the newest month is found
+    from the directories first, and only that one is scanned.
     """
-    if partition_col in df.columns and partition_col != name:
-        newest = df.agg(F.max(F.col(partition_col)).alias("p")).first()["p"]
+    if partition:
+        newest = df.agg(F.max(F.col(partition)).alias("p")).first()["p"]
         if newest is None:
             return None
-        df = df.filter(F.col(partition_col) == F.lit(newest))
+        df = df.filter(F.col(partition) == F.lit(newest))
     row = df.agg(F.date_format(F.max(F.col(name)), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("m")).first()
     if row is None or row["m"] is None:
         return None
     return _dt.datetime.strptime(row["m"], "%Y-%m-%d %H:%M:%S.%f")
 
 
+def months_between(df: DataFrame, start: _dt.date, end: _dt.date, partition: str | None) -> DataFrame:
+    """Only the months that touch [start, end], by the month column of a table written by month."""
+    if not partition:
+        return df
+    return df.filter(F.col(partition).cast("string").between(f"{start:%Y-%m}", f"{end:%Y-%m}"))
+
+
 def min_max_dates(df: DataFrame, name: str = "date_received") -> tuple[_dt.date | None, _dt.date | None]:
     row = df.agg(
         F.date_format(F.min(F.col(name)), "yyyy-MM-dd").alias("lo"),
@@ -107,6 +125,10 @@ class Windows:
                                                     self.prior_start, self.baseline_start))
         return ((col >= c) & (col < e), (col >= p) & (col < c), (col >= b) & (col < p))
 
+    def rows(self, df: DataFrame, date: str, partition: str | None = None) -> DataFrame:
+        """Rows in any window; directories of other months are pruned if ``partition`` names the month column."""
+        return months_between(df, self.baseline_start, self.end, partition).filter(self.span(F.col(date), df.schema[date].dataType))
+
     def span(self, col: Column, like: T.DataType | None = None) -> Column:
         """Rows in any window: one range predicate, pushed to the scan."""
         return (col >= ts_literal(self.baseline_start, like)) & (col < ts_literal(self.end, like))

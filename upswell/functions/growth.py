@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Closing sentences of the takeaway texts.
+# Closing sentences of the takeaway texts; the phrases inside the two takeaway functions are fixed too.
 TAKEAWAY_TAIL = "— consider reviewing process and customer communications."
 TOPIC_TAKEAWAY_TAIL = " Consider reviewing process and customer communications."
 

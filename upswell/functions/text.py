@@ -45,12 +45,12 @@ def py_regex_to_java(pattern: str) -> str:
 
 
 def icontains(col: Column, pattern: str, literal: bool = False) -> Column:
-    """Case-insensitive regex search; NULL never matches."""
+    """Case-insensitive regex search (``literal``: search for the text itself); NULL never matches."""
     if literal:
-        import re
-
-        pattern = re.escape(pattern)
-    return F.coalesce(col.rlike("(?iu)" + py_regex_to_java(pattern)), F.lit(False))
+        regex = "".join("\\" + c if c.isascii() and not c.isalnum() else c for c in pattern)
+    else:
+        regex = py_regex_to_java(pattern)
+    return F.coalesce(col.rlike("(?iu)" + regex), F.lit(False))
 
 
 def py_strip(col: Column) -> Column:
@@ -84,8 +84,3 @@ def safe_token(col: Column, max_len: int = 80, fallback: str = "issue") -> Colum
     t = F.btrim(F.regexp_replace(col.cast("string"), "[^\\p{L}\\p{N}]", "_"), F.lit("_"))
     t = F.left(t, F.lit(max_len))
     return F.when((t.isNull()) | (t == ""), F.lit(fallback)).otherwise(t)
-
-
-def prefix(col: Column, n: int = 500) -> Column:
-    """Display prefix of a text (exports keep the whole text)."""
-    return F.left(F.coalesce(col.cast("string"), F.lit("")), F.lit(n))

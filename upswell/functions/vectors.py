@@ -16,12 +16,5 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(prods, F.lit(0.0), lambda acc, v: acc + F.coalesce(v, F.lit(0.0)))
 
 
-def l2_normalize(col: Column) -> Column:
-    d = as_double_array(col)
-    norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda acc, v: acc + v * v))
-    return F.when(norm > 0, F.transform(d, lambda x: (x / norm).cast("float"))).otherwise(
-        F.transform(d, lambda x: x.cast("float")))
-
-
 def literal_vector(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])

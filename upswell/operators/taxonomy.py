@@ -1,9 +1,9 @@
 """Taxonomy projection (H2: S10, P6, J4).
 
-A taxonomy is four small dictionaries. It is held as a lookup table
-``(map_name, raw, value)``; small ones are applied as literal maps inside the
-generated code (no join, no exchange), large ones through a join that
-Catalyst/AQE may broadcast after checking its size.
+A taxonomy is a lookup table ``(map_name, raw, value)``, read from a path, taken
+from any DataFrame, or written out from a ``Taxonomy``. It is turned into one row
+for each raw product and one for each raw issue, and joined to the rows by key:
+a hash join whose side Catalyst and AQE broadcast only after checking its size.
 """
 
 from __future__ import annotations
@@ -20,12 +20,13 @@ MAP_NAMES = ("canonical_products", "product_line", "issue_risk_type", "canonical
 LOOKUP_SCHEMA = T.StructType([T.StructField("map_name", T.StringType()),
                               T.StructField("raw", T.StringType()),
                               T.StructField("value", T.StringType())])
-# Entries above which the join path is used instead of literal maps.
-MAX_LITERAL_ENTRIES = 50_000
+DEFAULT_KEY = "_default"
 
 
 @dataclass(frozen=True)
 class Taxonomy:
+    """Four small maps and the defaults of two of them, as program values."""
+
     canonical_products: dict = field(default_factory=dict)
     product_line: dict = field(default_factory=dict)
     issue_risk_type: dict = field(default_factory=dict)
@@ -34,14 +35,8 @@ class Taxonomy:
     default_risk: str = "other"
 
     def rows(self) -> list[tuple[str, str, str]]:
-        out = []
-        for name in MAP_NAMES:
-            for k, v in getattr(self, name).items():
-                if v is not None:
-                    out.append((name, str(k), str(v)))
-        out.append(("product_line", "_default", self.default_line))
-        out.append(("issue_risk_type", "_default", self.default_risk))
-        return out
+        entries = [(name, str(k), str(v)) for name in MAP_NAMES for k, v in getattr(self, name).items() if v is not None]
+        return [*entries, ("product_line", DEFAULT_KEY, self.default_line), ("issue_risk_type", DEFAULT_KEY, self.default_risk)]
 
     def to_table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows(), LOOKUP_SCHEMA)
@@ -49,37 +44,18 @@ class Taxonomy:
     @staticmethod
     def from_mapping(m: dict) -> "Taxonomy":
         """From a parsed taxonomy document (the four maps, ``_default`` keys)."""
-        def clean(d):
-            return {str(k): v for k, v in (d or {}).items() if str(k) != "_default"}
-        pl, ir = m.get("product_line") or {}, m.get("issue_risk_type") or {}
-        return Taxonomy(clean(m.get("canonical_products")), clean(pl), clean(ir),
-                        clean(m.get("canonical_issues")),
-                        default_line=pl.get("_default", "Other") or "Other",
-                        default_risk=ir.get("_default", "other") or "other")
-
-    @staticmethod
-    def from_table(lookup: DataFrame) -> "Taxonomy":
-        """Load a lookup table; refuses tables too large for literal maps."""
-        n = lookup.count()
-        if n > MAX_LITERAL_ENTRIES:
-            raise ValueError(f"taxonomy has {n} entries; use apply_taxonomy_join")
-        maps = {k: {} for k in MAP_NAMES}
-        for r in lookup.collect():
-            maps.setdefault(r["map_name"], {})[r["raw"]] = r["value"]
-        return Taxonomy.from_mapping(maps)
-
-    def size(self) -> int:
-        return sum(len(getattr(self, n)) for n in MAP_NAMES)
+        maps = {name: {str(k): v for k, v in (m.get(name) or {}).items() if str(k) != DEFAULT_KEY} for name in MAP_NAMES}
+        default = {name: (m.get(name) or {}).get(DEFAULT_KEY) for name in MAP_NAMES}
+        return Taxonomy(**maps, default_line=default["product_line"] or "Other", default_risk=default["issue_risk_type"] or "other")
 
 
-def _lookup(m: dict, key: Column) -> Column:
-    if not m:
-        return F.lit(None).cast("string")
-    flat = []
-    for k, v in m.items():
-        if v is not None:
-            flat += [F.lit(str(k)), F.lit(str(v))]
-    return F.try_element_at(F.create_map(*flat), key)
+def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
+    """A lookup table from a path: CSV with a header, JSON lines, or Parquet (any other name)."""
+    if path.endswith((".csv", ".csv.gz")):
+        table = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    else:
+        table = spark.read.json(path) if path.endswith((".json", ".jsonl")) else spark.read.parquet(path)
+    return table.select(*[F.col(f.name).cast("string").alias(f.name) for f in LOOKUP_SCHEMA])
 
 
 def taxonomy_key(col: Column) -> Column:
@@ -87,57 +63,48 @@ def taxonomy_key(col: Column) -> Column:
     return F.coalesce(py_strip(col.cast("string")), F.lit(""))
 
 
-def apply_taxonomy(df: DataFrame, tax: Taxonomy) -> DataFrame:
+def _by_raw(lookup: DataFrame, key: str, **columns: str) -> DataFrame:
+    """One row for each raw value of the named maps (column -> map); a raw value with two entries in a map is an error."""
+    entries = lookup.where(F.col("map_name").isin(*columns.values()) & (F.col("raw") != DEFAULT_KEY) & F.col("value").isNotNull())
+
+    def only(name: str) -> Column:
+        mine = F.when(F.col("map_name") == name, F.col("value"))
+        return F.when(F.count(mine) > 1, F.raise_error(F.concat(F.lit(f"taxonomy map {name} has several entries for "), F.col("raw")))).otherwise(
+            F.max(mine))
+
+    return entries.groupBy("raw").agg(*[only(m).alias(c) for c, m in columns.items()]).withColumnRenamed("raw", key)
+
+
+def apply_taxonomy(df: DataFrame, taxonomy: Taxonomy | DataFrame) -> DataFrame:
     """Add canonical_product, product_line (from ``product``) and risk_type,
-    canonical_issue (from ``issue``). Keys are trimmed and case-sensitive;
-    unmapped product -> 'Other', unmapped issue label -> trimmed raw."""
-    if tax.size() > MAX_LITERAL_ENTRIES:
-        return apply_taxonomy_join(df, tax.to_table(df.sparkSession))
-    # Keys are trimmed once in their own projection, then looked up.
-    keys = []
-    if "product" in df.columns:
-        keys.append(taxonomy_key(F.col("product")).alias("_pk"))
-    if "issue" in df.columns:
-        keys.append(taxonomy_key(F.col("issue")).alias("_ik"))
-    if not keys:
-        return df
-    staged = df.select("*", *keys)
-    added = []
-    if "product" in df.columns:
-        pk = F.col("_pk")
-        added += [F.coalesce(_lookup(tax.canonical_products, pk), F.lit("Other")).alias("canonical_product"),
-                  F.coalesce(_lookup(tax.product_line, pk), F.lit(tax.default_line)).alias("product_line")]
-    if "issue" in df.columns:
-        ik = F.col("_ik")
-        added += [F.coalesce(_lookup(tax.issue_risk_type, ik), F.lit(tax.default_risk)).alias("risk_type"),
-                  F.coalesce(_lookup(tax.canonical_issues, ik), ik).alias("canonical_issue")]
-    replaced = {"canonical_product", "product_line", "risk_type", "canonical_issue"}
-    base = [F.col(f"`{c}`") for c in df.columns if c not in replaced]
-    return staged.select(*base, *added)
+    canonical_issue (from ``issue``), in place of columns of these names.
 
+    ``taxonomy`` is a Taxonomy or a lookup table of any size. Keys are trimmed and
+    case-sensitive; an unmapped product is 'Other', an unmapped issue label its
+    trimmed raw text.
+    """
+    lookup = taxonomy.to_table(df.sparkSession) if isinstance(taxonomy, Taxonomy) else taxonomy
 
-def apply_taxonomy_join(df: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Same result through equi-joins on the lookup table (any size)."""
-    lk = lookup.filter(F.col("raw") != "_default")
-    dflt = {r["map_name"]: r["value"] for r in
-            lookup.filter(F.col("raw") == "_default").collect()}
-    out = df
+    def default(name: str, otherwise: str) -> Column:
+        rows = lookup.where((F.col("map_name") == name) & (F.col("raw") == DEFAULT_KEY))
+        return F.coalesce(rows.agg(F.max("value")).scalar(), F.lit(otherwise))
+
+    new = {}
+    if "product" in df.columns:
+        new |= {"canonical_product": F.coalesce("canonical_product", F.lit("Other")),
+                "product_line": F.coalesce(F.col("product_line"), default("product_line", "Other"))}
+    if "issue" in df.columns:
+        new |= {"risk_type": F.coalesce(F.col("risk_type"), default("issue_risk_type", "other")),
+                "canonical_issue": F.coalesce("canonical_issue", "_issue_key")}
+    kept = [c for c in df.columns if c not in ("canonical_product", "product_line", "risk_type", "canonical_issue")]
+    out = df.select(*[F.col(f"`{c}`") for c in kept])
     if "product" in df.columns:
-        out = out.withColumn("_pk", taxonomy_key(F.col("product")))
-        for name, col, default in (("canonical_products", "canonical_product", "Other"),
-                                   ("product_line", "product_line", dflt.get("product_line", "Other"))):
-            m = lk.filter(F.col("map_name") == name).select(F.col("raw").alias("_pk"), F.col("value").alias(col))
-            out = out.join(m, "_pk", "left").withColumn(col, F.coalesce(F.col(col), F.lit(default)))
-        out = out.drop("_pk")
+        maps = _by_raw(lookup, "_product_key", canonical_product="canonical_products", product_line="product_line")
+        out = out.withColumn("_product_key", taxonomy_key(F.col("product"))).join(maps, "_product_key", "left")
     if "issue" in df.columns:
-        out = out.withColumn("_ik", taxonomy_key(F.col("issue")))
-        m = lk.filter(F.col("map_name") == "issue_risk_type").select(F.col("raw").alias("_ik"), F.col("value").alias("risk_type"))
-        out = out.join(m, "_ik", "left").withColumn(
-            "risk_type", F.coalesce(F.col("risk_type"), F.lit(dflt.get("issue_risk_type", "other"))))
-        m = lk.filter(F.col("map_name") == "canonical_issues").select(F.col("raw").alias("_ik"), F.col("value").alias("canonical_issue"))
-        out = out.join(m, "_ik", "left").withColumn("canonical_issue", F.coalesce(F.col("canonical_issue"), F.col("_ik")))
-        out = out.drop("_ik")
-    return out
+        maps = _by_raw(lookup, "_issue_key", risk_type="issue_risk_type", canonical_issue="canonical_issues")
+        out = out.withColumn("_issue_key", taxonomy_key(F.col("issue"))).join(maps, "_issue_key", "left")
+    return out.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(n) for n, c in new.items()])
 
 
 # The complaint taxonomy (raw product / issue -> reporting values).
@@ -260,10 +227,6 @@ COMPLAINT_TAXONOMY = Taxonomy(
     default_risk="other",
 )
 
-# Reporting lines of business, in reporting order.
-LINES_OF_BUSINESS = ("Consumer Banking", "Credit Card", "Mortgage", "Auto", "Personal Lending",
-                     "Debt Collection", "Credit Reporting & Disputes", "Other")
-
 # Systemic weight per risk type (unknown types weigh 0.1).
 RISK_TYPE_WEIGHTS = {"operational": 0.5, "service": 0.2, "fraud": 0.3, "pricing_dispute": 0.0, "other": 0.1}
 DEFAULT_RISK_WEIGHT = 0.1

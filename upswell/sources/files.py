@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from upswell.operators.ingest import normalize_columns
+from upswell.sources.tables import path_exists
 
 # Cell texts a default pandas CSV read turns into missing values.
 MISSING_TOKENS = (
@@ -37,9 +38,8 @@ def write_records_json(records: DataFrame, path: str) -> None:
 
 
 def read_previous_records(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
-    """The previous run's records, or None when there is no readable run."""
-    try:
-        r = spark.read.schema(schema).json(path) if schema is not None else spark.read.json(path)
-        return r if "product" in r.columns or "topic_id" in r.columns else None
-    except Exception:  # noqa: BLE001 - a missing or broken file means "no previous run"
+    """The previous run's records, or None when there is no such run (S6). Records that exist and can't be read are an error."""
+    if not path_exists(spark, path):
         return None
+    r = spark.read.schema(schema).json(path) if schema is not None else spark.read.json(path)
+    return r if "product" in r.columns or "topic_id" in r.columns else None

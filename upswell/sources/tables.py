@@ -14,50 +14,39 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Derived table if it exists, else an empty frame with its schema (S3)."""
-    try:
-        return spark.read.schema(schema).parquet(path) if _exists(spark, path) else \
-            spark.createDataFrame([], schema)
-    except Exception:  # noqa: BLE001 - unreadable == missing, as in the reference
-        return spark.createDataFrame([], schema)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
-
-
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
-                mode: str = "overwrite") -> None:
-    """Parquet sink (S4). Large tables are partitioned (e.g. by month) so
-    later date filters prune whole directories."""
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    """Derived table if its path exists, else an empty frame with its schema (S3).
+    A table that exists and can't be read is an error."""
+    return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread CPU-heavy per-row work (regexes over whole texts, encoders).
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
 
-    A small input file is a single task; when a scan-fed input has fewer
-    partitions than the cluster has cores, rows are dealt out. Inputs that
-    already went through a shuffle, and large inputs split into enough
-    partitions, are left alone (no extra shuffle). The partition count is
-    only read for shuffle-free plans, so nothing upstream runs early.
-    """
-    import re
-
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    if re.search(r"(?<![A-Za-z])Exchange (hashpartitioning|rangepartitioning|RoundRobinPartitioning|"
-                 r"SinglePartition)", plan):
-        return df
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+
+def read_standardized(spark: SparkSession, standardized: str, raw: str, taxonomy) -> DataFrame:
+    """The standardized table if it was written, else the raw one with the taxonomy applied."""
+    from upswell.operators.taxonomy import apply_taxonomy
+
+    if path_exists(spark, standardized):
+        return spark.read.parquet(standardized)
+    return apply_taxonomy(spark.read.parquet(raw), taxonomy)
+
+
+def write_table(df: DataFrame, path: str, partition_by: str | None = None, mode: str = "overwrite") -> None:
+    """Parquet sink (S4). With ``partition_by`` a directory for each value: rows are
+    dealt out by it first, large values over several tasks, so that a task
+    writes few directories."""
+    if partition_by:
+        df.hint("rebalance", partition_by).write.mode(mode).partitionBy(partition_by).parquet(path)
+    else:
+        df.write.mode(mode).parquet(path)
+
+
+def spread(df: DataFrame, num_partitions: int | None = None) -> DataFrame:
+    """Deal rows out over ``num_partitions`` tasks before costly work on each row (regexes
+    over whole texts, encoders); None leaves the scan's own tasks."""
+    return df.repartition(num_partitions) if num_partitions else df
 
 
 def materialize(df: DataFrame) -> DataFrame:
