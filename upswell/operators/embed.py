@@ -25,7 +25,6 @@ from pyspark.storagelevel import StorageLevel
 from upswell.functions.vectors import dot
 from upswell.operators.semantic import semantic_text
 from upswell.session import ensure_checkpoint_dir
-from upswell.sources.tables import ensure_parallelism
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 DEFAULT_DIM = 384
@@ -101,7 +100,7 @@ def embed_with(df: DataFrame, load_encoder: Callable[[], Callable[[list[str]], n
             mat = np.vstack(vecs) if vecs else np.zeros((0, dim))
             yield pd.DataFrame({key: pdf[key].to_numpy(), "embedding": list(mat.astype(np.float32))})
 
-    return ensure_parallelism(df.select(key, text)).mapInPandas(run, f"{key} long, embedding array<float>")
+    return df.select(key, text).mapInPandas(run, f"{key} long, embedding array<float>")
 
 
 def embed_queries(queries: DataFrame, load_encoder, dim: int, text: str = "query_text") -> DataFrame:
@@ -128,14 +127,23 @@ def assign_topics(emb: DataFrame, k: int = 10, min_similarity: float = 0.2, seed
                        maxIter=max_iter).fit(data)
     finally:
         data.unpersist()
-    spark = emb.sparkSession
     centres = []
     for i, c in enumerate(model.clusterCenters()):  # k vectors: bounded by k
         n = float(np.linalg.norm(c))
         centres.append((i, [float(x) / n if n > 0 else 0.0 for x in c]))
-    cdf = spark.createDataFrame(centres, "_c int, _centre array<double>")
-    out = model.transform(vectors()).join(F.broadcast(cdf), "_c")
-    sim = dot(F.col("embedding"), F.col("_centre"))
-    res = out.select(key, F.when(sim >= F.lit(min_similarity), F.col("_c")).otherwise(F.lit(-1)).cast("int")
-                     .alias("topic_id"), F.bround(sim, 6).alias("similarity"))
-    return res
+    cdf = emb.sparkSession.createDataFrame(centres, "topic_id int, centre array<double>")
+    return assign_to_centres(emb, cdf, min_similarity, key)
+
+
+def assign_to_centres(emb: DataFrame, centres: DataFrame, min_similarity: float = 0.2, key: str = "complaint_id") -> DataFrame:
+    """Nearest centre by cosine of unit vectors (ties: the lower topic); below ``min_similarity`` -> -1.
+
+    ``centres`` (topic_id, centre) are k rows: they go to every row as one array.
+    """
+    listed = F.sort_array(F.collect_list(F.struct("topic_id", F.transform("centre", lambda x: x.cast("double")).alias("centre"))))
+    rows = emb.select(key, "embedding").filter(F.size("embedding") > 0).withColumn("_cs", centres.agg(listed).scalar())
+    each = F.transform("_cs", lambda c: F.struct(dot(F.col("embedding"), c["centre"]).alias("s"), (-c["topic_id"]).alias("t")))
+    best = rows.select(key, F.array_max(each).alias("_b"))
+    sim = F.col("_b.s")
+    return best.select(key, F.when(sim >= F.lit(min_similarity), -F.col("_b.t")).otherwise(F.lit(-1)).cast("int").alias("topic_id"),
+                       F.bround(sim, 6).alias("similarity"))

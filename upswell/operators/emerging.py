@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from upswell.config import EmergenceConfig
-from upswell.functions.dates import Windows, max_timestamp, parse_date_column
+from upswell.functions.dates import Windows, max_timestamp, months_between, parse_date_column
 from upswell.functions.growth import (emergence_order, emerging_flag, product_takeaway,
                                       with_growth, with_ranks)
 from upswell.operators.windows import issue_col, product_col, window_volumes
@@ -67,7 +67,7 @@ def _prepare(df: DataFrame, date: str) -> tuple[DataFrame | None, str, str]:
 def resolve_windows(df: DataFrame, cfg: EmergenceConfig, reference_date: _dt.datetime | None,
                     date: str = "date_received") -> Windows | None:
     """Windows ending at ``reference_date`` (default: newest date, E4)."""
-    ref = reference_date if reference_date is not None else max_timestamp(df, date)
+    ref = reference_date if reference_date is not None else max_timestamp(df, date, cfg.partition_column)
     if ref is None:
         return None
     if isinstance(ref, _dt.date) and not isinstance(ref, _dt.datetime):
@@ -86,18 +86,20 @@ def emerging_summary(df: DataFrame, cfg: EmergenceConfig = EmergenceConfig(),
     if w is None:
         return _empty(df, SUMMARY_SCHEMA)
     state = "state" if "state" in prepared.columns else None
-    vol = window_volumes(prepared, [pc], w, state=state, date=date)
+    vol = window_volumes(prepared, [pc], w, state=state, date=date, partition=cfg.partition_column)
     s = with_ranks(with_growth(vol))
     s = s.withColumn("emerging", emerging_flag(cfg.growth_threshold, cfg.min_prior_volume, cfg.top_n_rank))
     s = s.withColumn("meets_min_volume", F.col("current_volume") >= F.lit(cfg.min_current_volume))
     return s.select(F.col(pc).cast("string").alias("product"), *[f.name for f in SUMMARY_SCHEMA.fields[1:]])
 
 
-def issue_volumes(df: DataFrame, windows: Windows, pc: str, ic: str, date: str = "date_received") -> DataFrame:
+def issue_volumes(df: DataFrame, windows: Windows, pc: str, ic: str, date: str = "date_received",
+                  partition: str | None = None) -> DataFrame:
     """Current-window count per (product, issue)."""
     like = df.schema[date].dataType
     cur, _, _ = windows.flags(F.col(date), like)
-    return (df.filter(cur).groupBy(F.col(pc).cast("string").alias("product"),
+    recent = months_between(df, windows.current_start, windows.end, partition)
+    return (recent.filter(cur).groupBy(F.col(pc).cast("string").alias("product"),
                                    F.col(ic).cast("string").alias("issue"))
             .agg(F.count(F.lit(1)).alias("current_volume")))
 
@@ -153,7 +155,7 @@ def emerging_products(df: DataFrame, cfg: EmergenceConfig = EmergenceConfig(),
     # Top issues for every product from one (product, issue) aggregate, then
     # joined to the <= top_n records: referencing ``top`` only once keeps the
     # summary from being planned (and the fact table scanned) a second time.
-    nested = nest_issues(top_issues(issue_volumes(prepared, w, pc, ic, date), cfg.top_issues_per_product))
+    nested = nest_issues(top_issues(issue_volumes(prepared, w, pc, ic, date, cfg.partition_column), cfg.top_issues_per_product))
     out = top.join(nested, "product", "left")
     out = out.withColumn("top_issues", F.coalesce(F.col("top_issues"), F.array().cast(T.ArrayType(ISSUE_STRUCT))))
     out = out.withColumn("top_issues_text", F.coalesce(F.col("top_issues_text"), F.lit("")))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from upswell.config import IngestConfig
-from upswell.functions.text import has_text
+from upswell.functions.dates import parse_date_column
+from upswell.functions.text import has_text, icontains
+from upswell.operators.ingest import dedup_columns, normalize_columns
 
 STATUS_SCHEMA = T.StructType([
     T.StructField("last_run", T.StringType()),
@@ -19,13 +21,24 @@ STATUS_SCHEMA = T.StructType([
 ])
 
 
-def manifest_frame(raw: DataFrame, cleaned: DataFrame, cfg: IngestConfig = IngestConfig()) -> DataFrame:
-    """One-row lineage manifest: rows read, rows kept, warning flag."""
-    kept = cleaned.select(F.count(F.lit(1))).scalar()
-    return raw.agg(F.count(F.lit(1)).alias("row_count_full")).select(
-        F.lit(cfg.source_url).alias("source_url"), "row_count_full",
-        kept.alias("row_count_filtered"),
-        (kept >= F.lit(cfg.min_filtered_rows)).alias("meets_min_filtered_rows"))
+def manifest_frame(raw: DataFrame, cfg: IngestConfig = IngestConfig()) -> DataFrame:
+    """One-row lineage manifest: rows read, rows that ``clean`` keeps, warning flag.
+
+    One scan: rows are counted by dedup key, and a key is kept if some row of
+    it passes the company filter.
+    """
+    df = normalize_columns(raw)
+    df = parse_date_column(df, "date_received")
+    match = icontains(F.col("company"), cfg.company_filter_pattern) if cfg.company_filter_pattern else F.lit(True)
+    keys = dedup_columns(df, cfg)
+    if keys:
+        by_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count_if(match).alias("_m"))
+        counts = by_key.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("row_count_full"),
+                            F.count_if(F.col("_m") > 0).alias("row_count_filtered"))
+    else:
+        counts = df.agg(F.count(F.lit(1)).alias("row_count_full"), F.count_if(match).alias("row_count_filtered"))
+    return counts.select(F.lit(cfg.source_url).alias("source_url"), "row_count_full", "row_count_filtered",
+                         (F.col("row_count_filtered") >= F.lit(cfg.min_filtered_rows)).alias("meets_min_filtered_rows"))
 
 
 def append_status(spark: SparkSession, path: str, stage: str, status: str, duration_seconds: float) -> None:

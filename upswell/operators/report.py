@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from upswell.config import SliceSpec
-from upswell.functions.dates import min_max_dates, week_label, week_start
+from upswell.functions.dates import min_max_dates, months_between, week_label, week_start
 from upswell.operators.windows import issue_col, product_col
 
 ALL_LOBS = "All lines of business"
@@ -31,9 +31,10 @@ COVERAGE_NOTE = "Prior window partially outside data range; comparison may be un
 
 
 def default_slice(df: DataFrame, days_back: int = 14, lob: str | None = None,
-                  date: str = "date_received") -> SliceSpec:
-    """Last ``days_back`` days before the newest date, both ends included."""
-    _, hi = min_max_dates(df, date)
+                  date: str = "date_received", newest: _dt.date | None = None) -> SliceSpec:
+    """Last ``days_back`` days before the newest date, both ends included. Pass
+    ``newest`` where it is known (the manifest, the bare fact table)."""
+    hi = newest or min_max_dates(df, date)[1]
     if hi is None:  # no dated rows: an empty slice ending today
         hi = _dt.date.today()
     return SliceSpec(hi - _dt.timedelta(days=days_back), hi, lob)
@@ -45,21 +46,24 @@ def lob_filter(df: DataFrame, lob: str | None) -> DataFrame:
     return df.filter(F.col(product_col(df)).cast("string") == F.lit(lob))
 
 
-def slice_rows(df: DataFrame, spec: SliceSpec, date: str = "date_received") -> DataFrame:
-    """Rows of the slice: ``to_date(date)`` in [start, end] and the LOB."""
+def slice_rows(df: DataFrame, spec: SliceSpec, date: str = "date_received", partition: str | None = None) -> DataFrame:
+    """Rows of the slice: ``to_date(date)`` in [start, end] and the LOB (F4, F5). ``partition``
+    names the month column of a table written by month, whose directories are then pruned."""
     d = F.col(date)
     lo = F.lit(spec.start.isoformat()).cast("date")
     hi_excl = F.lit((spec.end + _dt.timedelta(days=1)).isoformat()).cast("date")
     like = df.schema[date].dataType.simpleString()
     # Compare on the raw column (not to_date(col)) so the range reaches the scan.
-    rows = df.filter((d >= lo.cast(like)) & (d < hi_excl.cast(like)))
+    rows = months_between(df, spec.start, spec.end, partition).filter((d >= lo.cast(like)) & (d < hi_excl.cast(like)))
     return lob_filter(rows, spec.lob)
 
 
-def slice_kpis(df: DataFrame, spec: SliceSpec, date: str = "date_received") -> DataFrame:
-    """KPI row (E6, E7, A10): complaints, raw products, states, issues + window info."""
-    lo, _ = min_max_dates(df, date)
-    rows = slice_rows(df, spec, date)
+def slice_kpis(df: DataFrame, spec: SliceSpec, date: str = "date_received", oldest: _dt.date | None = None,
+               partition: str | None = None) -> DataFrame:
+    """KPI row (E6, E7, A10): complaints, raw products, states, issues + window info. Pass
+    the oldest date where it is known; else it is one job over the date column."""
+    lo = oldest or min_max_dates(df, date)[0]
+    rows = slice_rows(df, spec, date, partition)
 
     def nunique(c):
         return (F.count_distinct(F.col(c)) if c in df.columns else F.lit(0)).cast("long")
@@ -80,6 +84,11 @@ def share(n: Column, total: Column) -> Column:
     return F.bround(n.cast("double") / total.cast("double") * F.lit(100.0), 1)
 
 
+def with_share(groups: DataFrame, n_col: str, out: str) -> DataFrame:
+    """Add each group's share of all groups; the total is a scalar subquery over the same aggregate."""
+    return groups.withColumn(out, share(F.col(n_col), groups.agg(F.sum(n_col)).scalar()))
+
+
 def value_counts(df: DataFrame, keys: list[str], n_col: str = "complaints",
                  share_col: str = "share_pct", dropna: bool = False) -> DataFrame:
     """Counts per key with the share of the counted rows (A8, A9). ``dropna``
@@ -87,7 +96,7 @@ def value_counts(df: DataFrame, keys: list[str], n_col: str = "complaints",
     if dropna:
         df = df.dropna(subset=keys)
     g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n_col))
-    return g.withColumn(share_col, share(F.col(n_col), F.sum(n_col).over(Window.partitionBy())))
+    return with_share(g, n_col, share_col)
 
 
 def top_values(df: DataFrame, key: str, n: int = 20, n_col: str = "complaints",
@@ -121,8 +130,7 @@ def region_top(df: DataFrame, n: int = 20) -> DataFrame:
     """Top states (NULL -> 'Unknown'); share of the rows shown (Q16) and of all."""
     st = df.select(F.coalesce(F.col("state").cast("string"), F.lit("Unknown")).alias("state"))
     top = top_values(st, "state", n).withColumnRenamed("share_pct", "share_of_total")
-    return top.withColumn("share_of_shown", share(F.col("complaints"),
-                                                  F.sum("complaints").over(Window.partitionBy())))
+    return with_share(top, "complaints", "share_of_shown")
 
 
 def weekly_volume(df: DataFrame, date: str = "date_received") -> DataFrame:
@@ -133,11 +141,9 @@ def weekly_volume(df: DataFrame, date: str = "date_received") -> DataFrame:
 
 
 def export_columns(columns: list[str], leading: list[str] | tuple = ()) -> list[str]:
-    ordered: list[str] = []
-    for c in list(leading) + list(EXPORT_BASE_COLS):
-        if c in columns and c not in ordered:
-            ordered.append(c)
-    return ordered + [c for c in columns if c not in ordered]
+    """The frame's columns, each once: leading ones, then the stable order, then the others as they come."""
+    wanted = dict.fromkeys((*leading, *EXPORT_BASE_COLS, *columns))
+    return [c for c in wanted if c in set(columns)]
 
 
 def prepare_export(df: DataFrame, leading: list[str] | tuple = (), date: str = "date_received") -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from upswell.functions.phrases import INDIVIDUAL_PHRASES, SYSTEMIC_PHRASES, narrative_signals, score_from_diff
 from upswell.operators.taxonomy import (COMPLAINT_TAXONOMY, DEFAULT_RISK_WEIGHT, RISK_TYPE_WEIGHTS,
                                         Taxonomy, apply_taxonomy)
+from upswell.operators.windows import product_col
 
 NARRATIVE = "consumer_complaint_narrative"
 
@@ -33,9 +34,6 @@ def narrative_scores(df: DataFrame, text: str = NARRATIVE, systemic=SYSTEMIC_PHR
                          F.lit(0).cast("long").alias("individual_hits"))
     from upswell.functions.phrases import needs_stripped_text
     from upswell.functions.text import py_strip
-    from upswell.sources.tables import ensure_parallelism
-
-    df = ensure_parallelism(df)
     searched = F.col(text)
     staged = df
     if needs_stripped_text(tuple(systemic) + tuple(individual)):
@@ -74,34 +72,28 @@ def risk_signals(df: DataFrame, taxonomy: Taxonomy = COMPLAINT_TAXONOMY, systemi
                  + 0.2 min(states/50, 1) + 0.1 ln(1+v)/max(ln(1+v_max), 1), 0, 1)
     rounded half-even to 3 decimals; tiers at 0.5 and 0.35.
     """
-    if "product" not in df.columns or "issue" not in df.columns:
+    if not {"product", "issue"} <= set(df.columns):
         return df.sparkSession.createDataFrame([], RISK_SCHEMA)
-    if "risk_type" not in df.columns or "canonical_product" not in df.columns:
+    if not {"risk_type", product_col(df)} <= set(df.columns) or product_col(df) == "product":
         df = apply_taxonomy(df, taxonomy)
     scored = narrative_scores(df, text, systemic, individual)
     # Scores are multiples of 1/6 rounded to 3 decimals: sum them as integers
     # (thousandths) so the mean does not depend on summation order.
     milli = F.round(F.col("narrative_score") * F.lit(1000.0)).cast("long")
-    states = (F.count_distinct(F.col("state")) if "state" in df.columns else F.lit(0)).cast("long")
     bucket = ["canonical_product", "canonical_issue"]
-    agg = scored.groupBy(*bucket).agg(
-        F.count(F.lit(1)).alias("volume"),
-        states.alias("distinct_states"),
-        F.sum(milli).alias("_milli"))
-    # First risk type in row order, from a narrow scan without the text: a
-    # hash aggregate to (bucket, risk_type) -> first id, then a pick per
-    # bucket over those few rows. Kept out of the scored aggregate, whose
-    # functions would otherwise all fall back to a sort-based aggregate.
-    if order_col in df.columns:
-        firsts = (df.groupBy(*bucket, "risk_type").agg(F.min(order_col).alias("_first"))
-                  .groupBy(*bucket).agg(F.min_by("risk_type", "_first").alias("risk_type")))
-    else:
-        firsts = df.groupBy(*bucket).agg(F.min("risk_type").alias("risk_type"))
-    agg = agg.join(firsts, [agg[c].eqNullSafe(firsts[c]) for c in bucket]).select(
-        *[agg[c] for c in bucket], "volume", "distinct_states", "_milli", firsts["risk_type"])
+    state = F.col("state").cast("string") if "state" in df.columns else F.lit(None).cast("string")
+    first = F.col(order_col) if order_col in df.columns else F.lit(0)
+    # One scan and one hash aggregate of fixed-width values; the rest rolls up its few groups.
+    fine = scored.select(*bucket, F.col("risk_type"), state.alias("_state"), milli.alias("_m"), first.alias("_id")) \
+        .groupBy(*bucket, "risk_type", "_state").agg(
+            F.count(F.lit(1)).alias("_n"), F.sum("_m").alias("_m"), F.min("_id").alias("_id"))
+    # The first row's risk type among rows that have one; NULL only where none has.
+    known = F.when(F.col("risk_type").isNotNull(), F.struct("_id", "risk_type"))
+    agg = fine.groupBy(*bucket).agg(
+        F.sum("_n").alias("volume"), F.count_distinct("_state").alias("distinct_states"),
+        F.sum("_m").alias("_milli"), F.min(known)["risk_type"].alias("risk_type"))
     mean = F.col("_milli").cast("double") / (F.col("volume").cast("double") * F.lit(1000.0))
-    # Global max over the aggregated buckets (one row per bucket, not per complaint).
-    vmax = F.max("volume").over(Window.partitionBy())
+    vmax = fine.groupBy(*bucket).agg(F.sum("_n").alias("_n")).agg(F.max("_n")).scalar()
     vol_norm = F.log(F.lit(1.0) + F.col("volume").cast("double")) / \
         F.greatest(F.log(F.lit(1.0) + vmax.cast("double")), F.lit(1.0))
     state_norm = F.least(F.col("distinct_states").cast("double") / F.lit(50.0), F.lit(1.0))

@@ -2,20 +2,18 @@
 
 Structured filters and keyword search are plain filters. Vector search is
 exact: a single query is a column expression plus TakeOrderedAndProject; a
-batch of queries is scored per partition with NumPy (one matrix product per
-Arrow batch), each partition keeps only its top-k per query, and a
-per-query ``row_number() <= k`` (WindowGroupLimit) merges them. The query
-block shipped to the executors has a checked size; larger query sets are
-processed block by block.
+batch of queries is scored block by part with NumPy matrix products, each
+task keeps only its top-k per query, and a per-query ``row_number() <= k``
+(WindowGroupLimit) merges them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
+from operator import and_, or_
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from upswell.config import SearchConfig
@@ -33,28 +31,21 @@ def ensure_key(df: DataFrame, key: str = "complaint_id") -> DataFrame:
 def structured_filter(df: DataFrame, canonical_product: str | None = None, canonical_issue: str | None = None,
                       product_raw: str | None = None, issue_raw: str | None = None,
                       use_canonical: bool = True) -> DataFrame:
-    """Canonical filters when available, else raw ones."""
-    out = df
-    if use_canonical and "canonical_product" in df.columns and canonical_product:
-        out = out.filter(F.col("canonical_product").cast("string") == F.lit(canonical_product))
-    elif product_raw:
-        out = out.filter(F.col("product").cast("string") == F.lit(product_raw))
-    if use_canonical and "canonical_issue" in df.columns and canonical_issue:
-        out = out.filter(F.col("canonical_issue").cast("string") == F.lit(canonical_issue))
-    elif issue_raw:
-        out = out.filter(F.col("issue").cast("string") == F.lit(issue_raw))
-    return out
-
-
-def keyword_mask(df: DataFrame, query: str, columns=SearchConfig().text_columns, literal: bool = False):
-    """Case-insensitive regex search over the text columns present, OR-ed."""
-    parts = [icontains(F.col(c).cast("string"), query, literal) for c in columns if c in df.columns]
-    if not parts:
-        return F.lit(False)
-    mask = parts[0]
-    for p in parts[1:]:
-        mask = mask | p
-    return mask
+    """Equality on product and issue (F6): the canonical column decides if it is there and
+    a value is wanted of it, else the raw one."""
+    conditions = []
+    for raw, wanted, wanted_raw in (("product", canonical_product, product_raw), ("issue", canonical_issue, issue_raw)):
+        choices = [(f"canonical_{raw}", wanted)] if use_canonical and f"canonical_{raw}" in df.columns else []
+        column, value = next(((c, v) for c, v in [*choices, (raw, wanted_raw)] if v), (None, None))
+        if column:
+            conditions.append(F.col(column).cast("string") == F.lit(value))
+    return df.filter(reduce(and_, conditions)) if conditions else df
+
+
+def keyword_mask(df: DataFrame, query: str, columns=SearchConfig().text_columns, literal: bool = False) -> Column:
+    """Whether a text column of the frame matches, case-insensitively."""
+    present = [F.col(c).cast("string") for c in columns if c in df.columns]
+    return reduce(or_, (icontains(c, query, literal) for c in present), F.lit(False))
 
 
 def keyword_search(df: DataFrame, query: str, top_k: int = 20, key: str = "complaint_id",
@@ -65,21 +56,19 @@ def keyword_search(df: DataFrame, query: str, top_k: int = 20, key: str = "compl
 
 
 def valid_embeddings(emb: DataFrame, dim: int | None = None, key: str = "complaint_id",
-                     order_col: str | None = None) -> DataFrame:
-    """One embedding per key (the last by ``order_col`` when given, W4), non-empty,
-    of dimension ``dim`` (F14)."""
-    e = ensure_key(emb.select(key, "embedding", *([order_col] if order_col else [])), key)
-    if order_col:
-        last = e.groupBy(key).agg(F.max_by(F.col("embedding"), F.col(order_col)).alias("embedding"))
-    else:
-        # Tables written by embed_corpus hold one vector per key; re-deduping
-        # them would shuffle every vector for nothing.
-        last = e.select(key, "embedding")
+                     order_col: str | None = None, unique: bool = False) -> DataFrame:
+    """One embedding per key (W4), then only non-empty ones of dimension ``dim``.
+
+    The last by ``order_col`` stays (default ``date_received`` if it is there; ties and
+    no order: the greatest vector). ``unique`` skips the shuffle for a table
+    known to hold one vector per key, as ``embed_corpus`` writes it.
+    """
+    order = [c for c in (order_col or "date_received",) if c in emb.columns]
+    e = ensure_key(emb.select(key, "embedding", *order), key)
+    if not unique:
+        e = e.groupBy(key).agg(F.max(F.struct(*order, F.col("embedding"))).alias("_last")).select(key, "_last.embedding")
     size = F.size(F.col("embedding"))
-    last = last.filter(F.col("embedding").isNotNull() & (size > 0))
-    if dim is not None:
-        last = last.filter(size == F.lit(dim))
-    return last
+    return e.select(key, "embedding").filter(F.col("embedding").isNotNull() & ((size > 0) if dim is None else (size == F.lit(dim))))
 
 
 def structured_search(df: DataFrame, emb: DataFrame | None, top_k: int = 20, key: str = "complaint_id",
@@ -105,80 +94,85 @@ def semantic_search(df: DataFrame, emb: DataFrame, query_vector, top_k: int = 20
 def batch_semantic_search(df: DataFrame, emb: DataFrame, queries: DataFrame, top_k: int = 10,
                           key: str = "complaint_id", cfg: SearchConfig = SearchConfig(),
                           **filters) -> DataFrame:
-    """Exact top-k per query for a DataFrame of queries (query_id, embedding)."""
-    spark = df.sparkSession
-    qrows = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding") \
-        .filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0))
-    n_queries = qrows.count()
-    if n_queries == 0:
-        return spark.createDataFrame([], f"query_id long, {key} long, similarity_score double, rank long")
-    dim = len(qrows.select("embedding").first()[0])
+    """Exact top-k per query for a DataFrame of queries (query_id, embedding).
+
+    Queries are dealt into blocks and candidates into parts, both of bounded
+    size; each task scores one block against one part (vectors of the same
+    size) and keeps the top-k of each query, which a ranking per query merges.
+    Nothing passes the driver but the two counts.
+    """
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").alias("_q")) \
+        .filter(F.col("_q").isNotNull() & (F.size("_q") > 0))
     rows = structured_filter(ensure_key(df, key), **filters).select(key)
-    cand = rows.join(valid_embeddings(emb, dim, key), key)
-    blocks = max(1, -(-n_queries // cfg.max_queries_per_block))
-    qrows = qrows.withColumn("_blk", F.abs(F.xxhash64("query_id")) % F.lit(blocks))
-    parts = []
-    for b in range(blocks):
-        block = [(r["query_id"], r["embedding"]) for r in qrows.filter(F.col("_blk") == b).collect()]
-        if not block:
-            continue
-        qids = np.array([q for q, _ in block], dtype=np.int64)
-        qmat = np.array([v for _, v in block], dtype=np.float64)
-        bq = spark.sparkContext.broadcast((qids, qmat))
-
-        # Everything the Python workers run is defined here, so it is shipped by
-        # value: workers need numpy and pandas, not this package.
-        def score_batches(it: Iterator[pd.DataFrame], bq=bq, k=top_k, key=key,
-                          decimals=SCORE_DECIMALS) -> Iterator[pd.DataFrame]:
-            import numpy as np
-            import pandas as pd
-
-            def topk_per_query(ids, scores, k):
-                """Indices of the k best rows per column: score desc, id asc."""
-                out = []
-                n = scores.shape[0]
-                for j in range(scores.shape[1]):
-                    s = scores[:, j]
-                    if n > k:
-                        kth = np.partition(-s, k - 1)[k - 1]
-                        cand = np.nonzero(-s <= kth)[0]
-                    else:
-                        cand = np.arange(n)
-                    out.append(cand[np.lexsort((ids[cand], -s[cand]))][:k])
-                return out
-
-            q_ids, q = bq.value
-            for pdf in it:
-                if pdf.empty:
-                    continue
-                ids = pdf[key].to_numpy(dtype=np.int64)
-                m = np.vstack(pdf["embedding"].to_numpy()).astype(np.float64)
-                s = np.round(m @ q.T, decimals)
-                picks = topk_per_query(ids, s, k)
-                yield pd.DataFrame({
-                    "query_id": np.concatenate([np.full(len(p), q_ids[j]) for j, p in enumerate(picks)]),
-                    key: np.concatenate([ids[p] for p in picks]),
-                    "similarity_score": np.concatenate([s[p, j] for j, p in enumerate(picks)]),
-                })
-
-        parts.append(cand.mapInPandas(score_batches, f"query_id long, {key} long, similarity_score double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    cand = rows.join(valid_embeddings(emb, None, key), key)
+    blocks = max(1, -(-q.count() // cfg.queries_per_block))
+    parts = max(1, -(-emb.count() // cfg.candidates_per_part))
+    q = q.select("query_id", "_q", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_b"),
+                 F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_p"))
+    cand = cand.select(key, "embedding", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("_p"),
+                       F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+
+    # Everything the Python workers run is defined here, so it is shipped by
+    # value: workers need numpy and pandas, not this package.
+    k, decimals = top_k, SCORE_DECIMALS
+
+    def score(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+        import pandas as pd
+
+        found = [pd.DataFrame({"query_id": np.zeros(0, np.int64), key: np.zeros(0, np.int64), "similarity_score": np.zeros(0)})]
+        sizes = cs["embedding"].map(len).to_numpy(int)
+        for dim, own in qs.groupby(qs["_q"].map(len)):
+            same = cs[sizes == dim]
+            if same.empty:
+                continue
+            ids = same[key].to_numpy(np.int64)
+            m = np.vstack(same["embedding"].to_numpy()).astype(np.float64)
+            for at in range(0, len(own), 256):
+                some = own.iloc[at:at + 256]
+                s = np.round(np.vstack(some["_q"].to_numpy()).astype(np.float64) @ m.T, decimals)
+                for qid, line in zip(some["query_id"], s):
+                    best = np.arange(len(ids))
+                    if len(ids) > k:
+                        best = np.flatnonzero(line >= np.partition(line, len(line) - k)[len(line) - k])
+                    best = best[np.lexsort((ids[best], -line[best]))][:k]
+                    found.append(pd.DataFrame({"query_id": np.full(len(best), qid), key: ids[best], "similarity_score": line[best]}))
+        return pd.concat(found, ignore_index=True)
+
+    out = q.groupBy("_p", "_b").cogroup(cand.groupBy("_p", "_b")).applyInPandas(
+        score, f"query_id long, {key} long, similarity_score double")
     w = Window.partitionBy("query_id").orderBy(F.col("similarity_score").desc(), F.col(key).asc())
     return out.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= F.lit(top_k))
 
 
 def hybrid_search(df: DataFrame, emb: DataFrame | None, query_text: str | None = None,
                   query_vector=None, top_k: int = 20, key: str = "complaint_id", **filters) -> DataFrame:
-    """Dispatch like the dashboard: semantic when a query vector of the right
-    size is available, keyword when only text is, structured otherwise."""
-    has_query = bool(query_text and str(query_text).strip())
-    if query_vector is not None and len(query_vector) > 0 and emb is not None:
-        return semantic_search(df, emb, query_vector, top_k, key, **filters)
-    if has_query:
-        return keyword_search(structured_filter(df, **filters), str(query_text), top_k, key)
-    return structured_search(df, emb, top_k, key, **filters)
+    """Semantic, keyword or structured search, by what there is.
+
+    Without a query, or without embeddings, rows are searched by structure and
+    keyword alone. With a query, and filtered rows of which none has an
+    embedding: keyword search, or the first rows without a query text. None of
+    these embeddings valid: no row. A query vector of another size than theirs:
+    keyword search. Only existence is looked up before, by small jobs.
+    """
+    text = str(query_text or "").strip()
+    rows = structured_filter(ensure_key(df, key), **filters)
+
+    def plain() -> DataFrame:
+        return keyword_search(rows, text, top_k, key) if text else rows.orderBy(F.col(key).asc()).limit(top_k)
+
+    if emb is None:
+        return plain()
+    own = ensure_key(emb.select(key, "embedding"), key).join(rows.select(key), key, "left_semi")
+    if own.isEmpty():
+        return plain()
+    vector = list(query_vector) if query_vector is not None else []
+    if not vector:
+        return keyword_search(rows, text, top_k, key) if text else structured_search(rows, emb, top_k, key)
+    usable = own.where(F.size("embedding") > 0)
+    if not usable.isEmpty() and usable.where(F.size("embedding") == len(vector)).isEmpty() and text:
+        return keyword_search(rows, text, top_k, key)
+    return semantic_search(rows, emb, vector, top_k, key)
 
 
 def search_options(df: DataFrame) -> DataFrame:

@@ -31,11 +31,8 @@ def semantic_text(df: DataFrame, narrative: str = NARRATIVE, date: str = "date_r
     semantic_text = the whitespace-collapsed narrative, else the non-empty
     fallback fields joined with ' | ', else a fixed sentence.
     """
-    from upswell.sources.tables import ensure_parallelism
-
     if date in df.columns:
         df = parse_date_column(df, date).filter(F.col(date).isNotNull())
-    df = ensure_parallelism(df)
     # Staged projections: the cleaned narrative is computed once and reused
     # (Spark does not share a sub-expression across CASE branches).
     narr = clean_text(F.col(narrative)) if narrative in df.columns else F.lit("")

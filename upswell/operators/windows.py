@@ -18,7 +18,7 @@ def issue_col(df: DataFrame) -> str:
 
 
 def window_volumes(df: DataFrame, keys: list[str], windows: Windows, state: str | None = None,
-                   date: str = "date_received") -> DataFrame:
+                   date: str = "date_received", partition: str | None = None) -> DataFrame:
     """Counts per key in the three half-open windows, plus distinct states
     (non-NULL, current window). One range filter (pushed to the scan), one
     partial + final hash aggregate; keys with no row in any window do not
@@ -26,7 +26,7 @@ def window_volumes(df: DataFrame, keys: list[str], windows: Windows, state: str
     """
     like = df.schema[date].dataType
     cur, prior, base = windows.flags(F.col(date), like)
-    rows = df.filter(windows.span(F.col(date), like))
+    rows = windows.rows(df, date, partition)
     aggs = [
         F.count_if(cur).alias("current_volume"),
         F.count_if(prior).alias("prior_volume"),

@@ -42,7 +42,7 @@ WITH {S.V1}, {S.summary_ctes('s', 'v1')}
 SELECT * FROM s_v""")
 def window_volumes_q(spark: SparkSession, sf: str) -> DataFrame:
     df = parse_date_column(B.v1_emergence(spark, sf))
-    w = E.resolve_windows(df, CFG, None)
+    w = E.resolve_windows(df, CFG, B.newest_shipdate(spark, sf))
     rows = df.dropna(subset=["date_received", "product", "issue"])
     return window_volumes(rows, ["product"], w, state="state")
 
@@ -51,14 +51,14 @@ def window_volumes_q(spark: SparkSession, sf: str) -> DataFrame:
 WITH {S.V1}, {S.summary_ctes('s', 'v1')}
 SELECT * FROM s""")
 def emerging_summary_q(spark: SparkSession, sf: str) -> DataFrame:
-    return E.emerging_summary(B.v1_emergence(spark, sf), CFG)
+    return E.emerging_summary(B.v1_emergence(spark, sf), CFG, B.newest_shipdate(spark, sf))
 
 
 @query("emerging_products", f"""
 WITH {S.V1}, {S.summary_ctes('s', 'v1')}, {S.records_ctes('r', 's', 'v1')}
 SELECT * FROM r""")
 def emerging_products_q(spark: SparkSession, sf: str) -> DataFrame:
-    return E.flatten_records(E.emerging_products(B.v1_emergence(spark, sf), CFG))
+    return E.flatten_records(E.emerging_products(B.v1_emergence(spark, sf), CFG, B.newest_shipdate(spark, sf)))
 
 
 @query("emerging_top_issues", f"""
@@ -71,7 +71,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY current_volume
 SELECT product, issue, current_volume, issue_rank FROM rk WHERE issue_rank <= 5""")
 def emerging_top_issues_q(spark: SparkSession, sf: str) -> DataFrame:
     df = parse_date_column(B.v1_emergence(spark, sf))
-    w = E.resolve_windows(df, CFG, None)
+    w = E.resolve_windows(df, CFG, B.newest_shipdate(spark, sf))
     rows = df.dropna(subset=["date_received", "product", "issue"])
     return E.top_issues(E.issue_volumes(rows, w, "product", "issue"), CFG.top_issues_per_product)
 
@@ -82,7 +82,7 @@ SELECT product, {S.takeaway_sql('product')} AS takeaway FROM s""")
 def emerging_takeaway_q(spark: SparkSession, sf: str) -> DataFrame:
     from upswell.functions.growth import product_takeaway
 
-    s = E.emerging_summary(B.v1_emergence(spark, sf), CFG)
+    s = E.emerging_summary(B.v1_emergence(spark, sf), CFG, B.newest_shipdate(spark, sf))
     return s.select("product", product_takeaway(F.col("product")).alias("takeaway"))
 
 
@@ -94,10 +94,8 @@ def emerging_persistence_q(spark: SparkSession, sf: str) -> DataFrame:
     """This run against the run one current window earlier."""
     from dataclasses import replace
 
-    from upswell.functions.dates import max_timestamp
-
     df = parse_date_column(B.v1_emergence(spark, sf))
-    ref = max_timestamp(df)
+    ref = B.newest_shipdate(spark, sf)
     previous = E.emerging_products(df, CFG, reference_date=ref - _dt.timedelta(days=CFG.time_window_days))
     cfg = replace(CFG, persistence_min_runs=2)
     rec = E.emerging_products(df, cfg, reference_date=ref, previous=previous)
@@ -142,7 +140,7 @@ FROM g"""
 def hierarchy_summary_q(spark: SparkSession, sf: str) -> DataFrame:
     from upswell.operators.hierarchy import hierarchy_summary
 
-    return hierarchy_summary(B.v2_hierarchy(spark, sf), CFG)
+    return hierarchy_summary(B.v2_hierarchy(spark, sf), CFG, B.newest_shipdate(spark, sf))
 
 
 # ---------------------------------------------------------------- H2 taxonomy
@@ -243,11 +241,8 @@ SELECT 'lineitem.parquet' AS source_url,
        (SELECT count(*) FROM clean) >= 100 AS meets_min_filtered_rows""")
 def run_manifest_q(spark: SparkSession, sf: str) -> DataFrame:
     from upswell.operators.lineage import manifest_frame
-    from upswell.operators.ingest import clean
 
-    raw = _raw_ingest_view(spark, sf)
-    cfg = _ingest_cfg()
-    return manifest_frame(raw, clean(raw, cfg, order_by=INGEST_ORDER), cfg)
+    return manifest_frame(_raw_ingest_view(spark, sf), _ingest_cfg())
 
 
 # ---------------------------------------------------------------- H5 risk / H6 text
@@ -393,8 +388,7 @@ SLICE_DAYS = 45
 def _topics_and_labels(spark: SparkSession, sf: str):
     from upswell.operators.topics import topic_term_labels, topic_terms
 
-    topics = B.v5_topics_table(spark, sf)
-    return topics, topic_term_labels(topic_terms(topics))
+    return B.v5_topics_table(spark, sf), topic_term_labels(topic_terms(B.v5_topics(spark, sf)))
 
 
 def _doc_slice(spark: SparkSession, sf: str, lob: str | None = None):
@@ -592,7 +586,7 @@ def _v3_slice(spark: SparkSession, sf: str, days_back: int = 14, lob: str | None
     from upswell.operators.report import default_slice, slice_rows
 
     v3 = B.v3_standardized(spark, sf)
-    spec = default_slice(v3, days_back, lob)
+    spec = default_slice(v3, days_back, lob, newest=B.shipdate_bounds(spark, sf)[1])
     return v3, spec, slice_rows(v3, spec)
 
 
@@ -608,7 +602,7 @@ def slice_kpis_q(spark: SparkSession, sf: str) -> DataFrame:
     from upswell.operators.report import slice_kpis
 
     v3, spec, _ = _v3_slice(spark, sf)
-    return slice_kpis(v3, spec)
+    return slice_kpis(v3, spec, oldest=B.shipdate_bounds(spark, sf)[0])
 
 
 @query("lob_breakdown", f"""
@@ -705,11 +699,10 @@ V1_HI = "(SELECT CAST(max(date_received) AS DATE) FROM v1)"
 V2_HI = "(SELECT CAST(max(date_received) AS DATE) FROM v2)"
 
 
-def _slice_spec(df: DataFrame, days: int, lob: str | None = None):
+def _slice_spec(spark: SparkSession, sf: str, days: int, lob: str | None = None):
     from upswell.config import SliceSpec
-    from upswell.functions.dates import min_max_dates
 
-    _, hi = min_max_dates(df)
+    hi = B.shipdate_bounds(spark, sf)[1]
     return SliceSpec(hi - _dt.timedelta(days=days - 1), hi, lob)
 
 
@@ -719,7 +712,7 @@ WITH {S.V1}, {S.summary_ctes('s', 'v1', cur=E_SLICE_DAYS, prior=E_SLICE_DAYS, ba
 SELECT * FROM r""")
 def emerging_slice_q(spark: SparkSession, sf: str) -> DataFrame:
     df = parse_date_column(B.v1_emergence(spark, sf))
-    return E.flatten_records(E.emerging_for_slice(df, _slice_spec(df, E_SLICE_DAYS), CFG))
+    return E.flatten_records(E.emerging_for_slice(df, _slice_spec(spark, sf, E_SLICE_DAYS), CFG))
 
 
 @query("hierarchy_slice", hierarchy_sql(S.V2, "v2", E_SLICE_DAYS, E_SLICE_DAYS, 3 * E_SLICE_DAYS,
@@ -728,7 +721,7 @@ def hierarchy_slice_q(spark: SparkSession, sf: str) -> DataFrame:
     from upswell.operators.hierarchy import hierarchy_for_slice
 
     df = parse_date_column(B.v2_hierarchy(spark, sf))
-    return hierarchy_for_slice(df, _slice_spec(df, E_SLICE_DAYS), CFG)
+    return hierarchy_for_slice(df, _slice_spec(spark, sf, E_SLICE_DAYS), CFG)
 
 
 RISK_LOB = "Beta"
@@ -770,7 +763,10 @@ def emerging_summary_from_daily_q(spark: SparkSession, sf: str) -> DataFrame:
     """E1 from the (day, product, issue, state) rollup the incremental job keeps (ST2)."""
     from upswell.streaming.incremental import daily_rollup, emerging_summary_from_daily
 
-    return emerging_summary_from_daily(daily_rollup(B.v1_emergence(spark, sf)), CFG)
+    from upswell.sources.tables import materialize
+
+    # The rollup is written once, as the incremental job keeps it, and only it is read after that.
+    return emerging_summary_from_daily(materialize(daily_rollup(B.v1_emergence(spark, sf))), CFG)
 
 
 @query("search_text_topk")
@@ -785,3 +781,215 @@ def search_text_topk_q(spark: SparkSession, sf: str) -> DataFrame:
     queries = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"),
                                                        F.col("text").alias("query_text"))
     return batch_semantic_search(docs, emb, embed_query_texts(queries, encoder), top_k=5)
+
+
+# ---------------------------------------------------------------- cases the plain bindings don't hold
+
+DATE_TEXTS = ("%Y-%m-%d", "%m/%d/%Y", "%-m/%-d/%Y", "%Y%m%d", "%Y/%m/%d", "%b %-d, %Y", "%Y-%m-%d 12:00", "%Y-%m-%dT23:30:00-05:00",
+              "%Y-%m-%dT12:00:00Z", "%Y-%m-%dT12:00:00.123456Z", "%m/%d/%y", "not a date %Y")
+_JAVA_DATES = ("yyyy-MM-dd", "MM/dd/yyyy", "M/d/yyyy", "yyyyMMdd", "yyyy/MM/dd", "MMM d, yyyy", "yyyy-MM-dd' 12:00'", "yyyy-MM-dd'T23:30:00-05:00'",
+               "yyyy-MM-dd'T12:00:00Z'", "yyyy-MM-dd'T12:00:00.123456Z'", "MM/dd/yy", "'not a date 'yyyy")
+
+
+@query("parse_dates", f"""
+SELECT CAST(l_orderkey % {len(DATE_TEXTS)} AS INTEGER) AS form,
+       CASE l_orderkey % {len(DATE_TEXTS)} WHEN 7 THEN CAST(l_shipdate AS DATE) + 1 WHEN 11 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS day,
+       count(*) AS n_rows
+FROM lineitem GROUP BY 1, 2""")
+def parse_dates_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Every ship date written in one of the accepted forms (one with an offset that passes midnight, one that is no date)."""
+    from upswell.functions.dates import lenient_timestamp
+    from upswell.sources.tables import read_table
+
+    form = (F.col("l_orderkey") % len(_JAVA_DATES)).cast("int")
+    texts = F.lit(None).cast("string")
+    for i, fmt in enumerate(_JAVA_DATES):
+        texts = F.when(form == i, F.date_format("l_shipdate", fmt)).otherwise(texts)
+    li = read_table(spark, sf, "lineitem").select(form.alias("form"), texts.alias("text"))
+    return li.groupBy("form", F.to_date(lenient_timestamp(F.col("text"))).alias("day")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("standardize_taxonomy_lookup", f"""
+WITH {S.V1},
+types AS (SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, p.p_type AS product, p.p_name AS issue
+          FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)
+SELECT product, issue, 'Group ' || upper(product[1:1]) AS canonical_product,
+       CASE WHEN product LIKE '%O%' THEN lower(product) || ' line' ELSE 'Rest' END AS product_line,
+       'other' AS risk_type, trim(issue) AS canonical_issue, count(*) AS complaints
+FROM types GROUP BY 1, 2, 3, 4, 5, 6""")
+def standardize_taxonomy_lookup_q(spark: SparkSession, sf: str) -> DataFrame:
+    """A lookup table with an entry for every part type, applied to rows that have a canonical product already."""
+    from upswell.operators.taxonomy import apply_taxonomy
+    from upswell.sources.tables import read_table
+
+    part = read_table(spark, sf, "part")
+    types = part.select(F.col("p_type").alias("raw")).distinct()
+    lookup = types.select(F.lit("canonical_products").alias("map_name"), "raw", F.concat(F.lit("Group "), F.upper(F.left("raw", F.lit(1)))).alias("value"))
+    lookup = lookup.union(types.where(F.col("raw").contains("O")).select(F.lit("product_line"), "raw", F.concat(F.lower("raw"), F.lit(" line"))))
+    lookup = lookup.union(spark.range(1).select(F.lit("product_line"), F.lit("_default"), F.lit("Rest")))
+    rows = read_table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("p_type").alias("product"), F.col("p_name").alias("issue"), F.lit("stale").alias("canonical_product"))
+    cols = ["product", "issue", "canonical_product", "product_line", "risk_type", "canonical_issue"]
+    return apply_taxonomy(rows, lookup).groupBy(*cols).agg(F.count(F.lit(1)).alias("complaints"))
+
+
+# Phrases that the default lists look for, one for each document in turn; blank, tab-only and NULL narratives among them.
+CASE_PHRASES = ("", " many customers were affected", " I think it was my fault", " multiple times, incorrectly", " i believe several people")
+
+
+def _case_documents(spark: SparkSession, sf: str) -> DataFrame:
+    n, i = len(CASE_PHRASES), F.col("complaint_id")
+    phrase = F.element_at(F.array(*map(F.lit, CASE_PHRASES)), (i % n + 1).cast("int"))
+    text = F.when(i % 13 == 0, None).when(i % 13 == 1, F.lit("")).when(i % 13 == 2, F.lit("\t \n")).otherwise(
+        F.concat("consumer_complaint_narrative", phrase))
+    blank = i % 26 == 13
+    d = B.v4_documents(spark, sf).withColumn("consumer_complaint_narrative", text)
+    for c in ("canonical_product", "product", "product_line", "canonical_issue", "issue", "sub_product"):
+        d = d.withColumn(c, F.when(~blank, F.col(c)))
+    return d.withColumn("risk_type", F.when(i % 3 != 0, F.col("risk_type")))
+
+
+_CASE_TEXT = "CASE complaint_id % 13 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN chr(9) || ' ' || chr(10) ELSE consumer_complaint_narrative || " \
+    f"[{', '.join(S.sql_str(x) for x in CASE_PHRASES)}][complaint_id % {len(CASE_PHRASES)} + 1] END"
+_CASE_COLS = ", ".join(f"CASE WHEN complaint_id % 26 <> 13 THEN {c} END AS {c}" for c in
+                       ("canonical_product", "product", "product_line", "canonical_issue", "issue", "sub_product"))
+V4C = f"""{V4},
+v4c AS (SELECT complaint_id, date_received, state, {_CASE_COLS}, CASE WHEN complaint_id % 3 <> 0 THEN risk_type END AS risk_type,
+               {_CASE_TEXT} AS consumer_complaint_narrative FROM v4)"""
+
+
+@query("narrative_score_cases", f"""
+WITH {V4C}
+SELECT complaint_id, {S.narrative_score_sql('consumer_complaint_narrative', PH.SYSTEMIC_PHRASES, PH.INDIVIDUAL_PHRASES)} FROM v4c""")
+def narrative_score_cases_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Default phrase lists over narratives that hold their phrases, and over blank and absent ones."""
+    from upswell.operators.risk import narrative_scores
+
+    return narrative_scores(_case_documents(spark, sf)).select("complaint_id", "narrative_score", "systemic_hits", "individual_hits")
+
+
+@query("semantic_text_cases", f"""
+WITH {V4C}, {semantic_sql('v4c')}
+SELECT complaint_id, has_narrative, semantic_text FROM sem""")
+def semantic_text_cases_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows without a narrative fall back to their fields, and to the fixed sentence where these are absent too."""
+    from upswell.operators.semantic import semantic_text
+
+    return semantic_text(_case_documents(spark, sf)).select("complaint_id", "has_narrative", "semantic_text")
+
+
+@query("risk_signals_cases", f"""
+WITH {V4C}, {risk_sql('v4c').replace('arg_min(risk_type, complaint_id)', 'arg_min(risk_type, complaint_id) FILTER (WHERE risk_type IS NOT NULL)')}
+SELECT * FROM risk""")
+def risk_signals_cases_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Buckets whose first rows have no risk type, buckets without product and issue, texts with no hit."""
+    from upswell.operators.risk import risk_signals
+
+    return risk_signals(_case_documents(spark, sf), systemic=DOC_SYSTEMIC, individual=DOC_INDIVIDUAL)
+
+
+# Products that start inside the current window, and products, issues and states that are absent.
+_CASE_V1 = f"""{S.V1},
+v1c AS (SELECT l_orderkey, date_received,
+          CASE WHEN l_orderkey % 11 = 0 THEN NULL
+               WHEN product < 'c' AND date_received >= (SELECT max(date_received) FROM v1) - INTERVAL 30 DAY THEN 'new ' || product
+               ELSE product END AS product,
+          CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE issue END AS issue, CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE state END AS state FROM v1)"""
+
+
+def _case_emergence(spark: SparkSession, sf: str) -> DataFrame:
+    start = B.newest_shipdate(spark, sf) - _dt.timedelta(days=CFG.time_window_days)
+    v, key = parse_date_column(B.v1_emergence(spark, sf)), F.col("l_orderkey")
+    fresh = (F.col("product") < "c") & (F.col("date_received") >= F.lit(start).cast(v.schema["date_received"].dataType))
+    return v.withColumns({
+        "product": F.when(key % 11 == 0, None).when(fresh, F.concat(F.lit("new "), F.col("product"))).otherwise(F.col("product")),
+        "issue": F.when(key % 17 != 0, F.col("issue")), "state": F.when(key % 5 != 0, F.col("state"))})
+
+
+@query("emerging_summary_cases", f"""
+WITH {_CASE_V1}, {S.summary_ctes('s', 'v1c')}
+SELECT s.*, {S.takeaway_sql('product')} AS takeaway FROM s""")
+def emerging_summary_cases_q(spark: SparkSession, sf: str) -> DataFrame:
+    """New products (no ratio, "new spike"), products that vanished, absent keys."""
+    from upswell.functions.growth import product_takeaway
+
+    s = E.emerging_summary(_case_emergence(spark, sf), CFG, B.newest_shipdate(spark, sf))
+    return s.select("*", product_takeaway(F.col("product")).alias("takeaway"))
+
+
+@query("hierarchy_summary_cases", hierarchy_sql(_CASE_V1 + """,
+v2c AS (SELECT date_received, product AS canonical_product, issue AS product_line, state AS canonical_issue FROM v1c)""", "v2c"))
+def hierarchy_summary_cases_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Absent keys on every level are shown as Unspecified."""
+    from upswell.operators.hierarchy import hierarchy_summary
+
+    rows = _case_emergence(spark, sf).select("date_received", F.col("product").alias("canonical_product"), F.col("issue").alias("product_line"),
+                                             F.col("state").alias("canonical_issue"))
+    return hierarchy_summary(rows, CFG, B.newest_shipdate(spark, sf))
+
+
+@query("emerging_persistence_weekly", f"""
+WITH {S.V1}, {S.summary_ctes('p', 'v1', shift_days=7)}, {S.records_ctes('pr', 'p', 'v1')},
+{S.summary_ctes('s', 'v1')}, {S.records_ctes('r', 's', 'v1', persistent='m.product IN (SELECT product FROM pr)')}
+SELECT product, growth_ratio, current_volume, persistent FROM r""")
+def emerging_persistence_weekly_q(spark: SparkSession, sf: str) -> DataFrame:
+    """This run against the run a week earlier, most of whose windows are the same."""
+    from dataclasses import replace
+
+    df, ref = parse_date_column(B.v1_emergence(spark, sf)), B.newest_shipdate(spark, sf)
+    previous = E.emerging_products(df, CFG, reference_date=ref - _dt.timedelta(days=7))
+    rec = E.emerging_products(df, replace(CFG, persistence_min_runs=2), reference_date=ref, previous=previous)
+    return rec.select("product", "growth_ratio", "current_volume", "persistent")
+
+
+@query("hybrid_search", f"""
+WITH {V4},
+kw AS (SELECT complaint_id, row_number() OVER (ORDER BY complaint_id) AS r FROM v4
+       WHERE canonical_product = 'Alpha' AND ({' OR '.join(f"coalesce(regexp_matches(CAST({c} AS VARCHAR), '(?i){KEYWORD}'), false)" for c in
+                                             ['consumer_complaint_narrative', 'issue', 'product', 'canonical_issue', 'canonical_product', 'sub_product'])})),
+head AS (SELECT complaint_id, row_number() OVER (ORDER BY complaint_id) AS r FROM v4 WHERE canonical_product = 'Alpha'),
+emb AS (SELECT vec_id, max(embedding) AS embedding FROM embeddings GROUP BY 1),
+held AS (SELECT complaint_id, row_number() OVER (ORDER BY complaint_id) AS r FROM v4 JOIN emb ON complaint_id = vec_id WHERE canonical_product = 'Alpha'),
+q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = {SINGLE_QUERY_ID}),
+sem AS (SELECT complaint_id, row_number() OVER (ORDER BY s DESC, complaint_id) AS r FROM (
+  SELECT complaint_id, round_even(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])), 6) AS s
+  FROM v4 JOIN emb ON complaint_id = vec_id, q WHERE canonical_product = 'Alpha'))
+SELECT 'keyword, no vector' AS branch, complaint_id FROM kw WHERE r <= 10
+UNION ALL SELECT 'keyword, vector of another size', complaint_id FROM kw WHERE r <= 10
+UNION ALL SELECT 'keyword, no row has a vector', complaint_id FROM kw WHERE r <= 10
+UNION ALL SELECT 'first rows, no row has a vector', complaint_id FROM head WHERE r <= 10
+UNION ALL SELECT 'first rows, no vectors', complaint_id FROM head WHERE r <= 10
+UNION ALL SELECT 'first rows with a vector', complaint_id FROM held WHERE r <= 10
+UNION ALL SELECT 'by similarity', complaint_id FROM sem WHERE r <= 10""")
+def hybrid_search_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Every branch of the hybrid search: which rows answer, by what the caller and the table of vectors have."""
+    from upswell.operators.search import hybrid_search
+
+    docs, emb = B.v4_documents(spark, sf), B.v6_embeddings(spark, sf)
+    qv = _query_vector(spark, sf, SINGLE_QUERY_ID)
+    other = emb.where(F.col("complaint_id") < 0)  # vectors of no row
+    cases = {
+        "keyword, no vector": (emb, KEYWORD, None), "keyword, vector of another size": (emb, KEYWORD, qv[:3]),
+        "keyword, no row has a vector": (other, KEYWORD, qv), "first rows, no row has a vector": (other, None, None),
+        "first rows, no vectors": (None, None, None), "first rows with a vector": (emb, None, None), "by similarity": (emb, KEYWORD, qv),
+    }
+    found = [hybrid_search(docs, e, text, v, 10, canonical_product="Alpha").select(F.lit(name).alias("branch"), "complaint_id")
+             for name, (e, text, v) in cases.items()]
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out
+
+
+@query("assign_to_centres", """
+WITH c AS (SELECT CAST(vec_id AS INTEGER) AS topic_id, embedding AS centre FROM embeddings WHERE vec_id < 8),
+s AS (SELECT e.vec_id AS complaint_id, c.topic_id, list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(c.centre AS DOUBLE[])) AS s FROM embeddings e, c),
+b AS (SELECT *, row_number() OVER (PARTITION BY complaint_id ORDER BY s DESC, topic_id) AS r FROM s)
+SELECT complaint_id, CASE WHEN s >= 0.2 THEN topic_id ELSE -1 END AS topic_id, round_even(s, 6) AS similarity FROM b WHERE r = 1""")
+def assign_to_centres_q(spark: SparkSession, sf: str) -> DataFrame:
+    """The assignment step of the topics, with given centres: every vector to the nearest of the first eight."""
+    from upswell.operators.embed import assign_to_centres
+
+    emb = B.v6_embeddings(spark, sf)
+    centres = emb.where(F.col("complaint_id") < 8).select(F.col("complaint_id").cast("int").alias("topic_id"), F.col("embedding").alias("centre"))
+    return assign_to_centres(emb, centres)

@@ -28,6 +28,7 @@ from upswell.operators.risk import risk_signals
 from upswell.operators.taxonomy import COMPLAINT_TAXONOMY, Taxonomy, apply_taxonomy
 from upswell.operators.topics import topic_emergence, topic_term_labels, topic_terms
 from upswell.sources.files import read_previous_records, write_records_json
+from upswell.sources.tables import write_table
 
 
 @dataclass(frozen=True)
@@ -71,7 +72,7 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, out: str, cfg: PipelineCon
     t0 = time.time()
     complaints = spark.read.parquet(p["complaints"])
     std = apply_taxonomy(complaints, cfg.taxonomy)
-    std.write.mode("overwrite").partitionBy("month").parquet(p["complaints_standardized"])
+    write_table(std, p["complaints_standardized"], "month")
     std = spark.read.parquet(p["complaints_standardized"])
     append_status(spark, p["pipeline_status"], "standardize", "success", time.time() - t0)
 
@@ -80,12 +81,15 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, out: str, cfg: PipelineCon
     append_status(spark, p["pipeline_status"], "risk", "success", time.time() - t0)
 
     t0 = time.time()
-    previous_runs = _list_runs(spark, p["emerging"])
+    cfg = replace(cfg, emergence=replace(cfg.emergence, partition_column="month"))
+    newest = E.resolve_windows(std, cfg.emergence, None)
+    ref = newest.end if newest else None
+    previous_runs = [r for r in _list_runs(spark, p["emerging"]) if not r.rstrip("/").endswith(f"run={run_id}")]
     previous = read_previous_records(spark, previous_runs[-1]) if previous_runs else None
-    records = E.emerging_products(std, cfg.emergence, previous=previous)
+    records = E.emerging_products(std, cfg.emergence, reference_date=ref, previous=previous)
     write_records_json(records, os.path.join(p["emerging"], f"run={run_id}"))
-    E.emerging_summary(std, cfg.emergence).write.mode("overwrite").parquet(p["emerging_summary"])
-    hierarchy_summary(std, cfg.emergence).write.mode("overwrite").parquet(p["emerging_hierarchy"])
+    E.emerging_summary(std, cfg.emergence, reference_date=ref).write.mode("overwrite").parquet(p["emerging_summary"])
+    hierarchy_summary(std, cfg.emergence, reference_date=ref).write.mode("overwrite").parquet(p["emerging_hierarchy"])
     write_records_json(spark.read.parquet(p["emerging_hierarchy"]),
                        os.path.join(p["emerging_hierarchy_json"], f"run={run_id}"))
     append_status(spark, p["pipeline_status"], "analysis", "success", time.time() - t0)

@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from upswell.functions.dates import max_timestamp, min_max_dates
 from upswell.functions.text import has_text
 from upswell.operators.taxonomy import Taxonomy, apply_taxonomy
-from upswell.sources.tables import read_table
+from upswell.sources.tables import materialize, read_table, spread
 
 # Taxonomy for the part-type view (V3); STANDARD stays unmapped.
 PART_TAXONOMY = Taxonomy(
@@ -105,8 +106,13 @@ def doc_date(doc_id_col):
 
 
 def v4_documents_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V4: documents as narratives. Roles derived from doc_id (no row is dropped)."""
-    d = read_table(spark, sf_dir, "documents")
+    """V4: documents as narratives. Roles derived from doc_id (no row is dropped).
+
+    ``upswell.text.partitions`` (a session setting, unset by default) deals the
+    texts out over so many tasks, for files with fewer row groups than cores.
+    """
+    tasks = spark.conf.get("upswell.text.partitions", None)
+    d = spread(read_table(spark, sf_dir, "documents"), int(tasks) if tasks else None)
     return d.select(
         F.col("doc_id").alias("complaint_id"),
         doc_date(F.col("doc_id")).alias("date_received"),
@@ -145,8 +151,16 @@ def v7_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v5_topics_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V5 written once (as the pipeline writes its topic table) for queries
-    that read it several times."""
-    from upswell.sources.tables import materialize
+    """V5 without the texts, written once (as the pipeline writes its topic
+    table) for queries that read it several times."""
+    return materialize(v5_topics(spark, sf_dir).drop("consumer_complaint_narrative"))
+
+
+def newest_shipdate(spark: SparkSession, sf_dir: str):
+    """Reference date of V1 to V3, from the bare fact table: one narrow scan before any join."""
+    return max_timestamp(read_table(spark, sf_dir, "lineitem"), "l_shipdate")
+
 
-    return materialize(v5_topics(spark, sf_dir))
+def shipdate_bounds(spark: SparkSession, sf_dir: str):
+    """Oldest and newest day of V1 to V3, from the bare fact table."""
+    return min_max_dates(read_table(spark, sf_dir, "lineitem"), "l_shipdate")

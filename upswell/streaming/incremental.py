@@ -1,19 +1,28 @@
 """Incremental jobs on Structured Streaming (ST1, ST2).
 
-The reference re-runs everything daily; here new files are picked up by a
-file stream, cleaned and deduplicated within a watermark (ST1), and daily
-counts per key are kept as a small table (ST2) from which the 30/30/90-day
-windows are sums over days. ``daily_counts`` is the batch twin of ST2.
+New files are picked up by a file stream. ST1 cleans each batch as the batch
+ingest does and adds the complaints whose key the target table lacks; ST2
+keeps daily counts per key, from which the 30/30/90-day windows are sums over
+days. Both accept rows of any age, in any order: there is no watermark, so
+nothing late is lost, and a batch that runs again changes nothing.
+``daily_counts`` is the batch twin of ST2.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as _dt
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from upswell.config import IngestConfig
-from upswell.operators.ingest import company_filter, normalize_columns
+from upswell.functions.dates import Windows, parse_date_column
+from upswell.functions.growth import emerging_flag, with_growth, with_ranks
+from upswell.operators.ingest import company_filter, dedupe_keep_first, missing_columns, normalize_columns
+from upswell.operators.taxonomy import Taxonomy, apply_taxonomy
+from upswell.sources.tables import read_or_empty, write_table
 
 
 def daily_counts(df: DataFrame, keys: list[str], date: str = "date_received") -> DataFrame:
@@ -23,34 +32,65 @@ def daily_counts(df: DataFrame, keys: list[str], date: str = "date_received") ->
             .agg(F.count(F.lit(1)).alias("complaints")))
 
 
-def daily_counts_stream(stream: DataFrame, keys: list[str], date: str = "date_received",
-                        lateness: str = "30 days") -> DataFrame:
-    """Event-time daily counts; a day is final once the watermark passes it.
-    (Watermarks need TIMESTAMP; an NTZ column is read as UTC wall clock.)"""
-    return (stream.withColumn(date, F.col(date).cast("timestamp")).withWatermark(date, lateness)
-            .groupBy(F.window(F.col(date), "1 day").alias("w"), *keys)
-            .agg(F.count(F.lit(1)).alias("complaints"))
-            .select(F.to_date(F.col("w.start")).alias("day"), *keys, "complaints"))
+def _run(stream: DataFrame, batch, checkpoint: str) -> StreamingQuery:
+    """Process everything there is in micro-batches, then stop."""
+    q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
 
 
-def clean_stream(stream: DataFrame, cfg: IngestConfig = IngestConfig(), key: str = "complaint_id",
-                 date: str = "date_received", lateness: str = "30 days") -> DataFrame:
-    """ST1: normalise, filter by company, drop re-delivered complaints
-    (same key within the watermark). State is bounded by the watermark."""
+def ingest_stream(stream: DataFrame, out_path: str, checkpoint: str, cfg: IngestConfig = IngestConfig(),
+                  key: str = "complaint_id", taxonomy: Taxonomy | DataFrame | None = None,
+                  order_by: list[str] | None = None) -> StreamingQuery:
+    """ST1: headers, company filter, lenient dates, taxonomy, one row per key, into a table by month.
+
+    A key that the table holds already is not added again, however long ago it
+    came: an anti-join on the key column alone. Rows without a key are kept.
+    """
     s = normalize_columns(stream)
-    if cfg.company_filter_pattern:
-        s = company_filter(s, cfg.company_filter_pattern)
-    s = s.withColumn(date, F.col(date).cast("timestamp"))
-    return s.withWatermark(date, lateness).dropDuplicatesWithinWatermark([key])
+    absent = missing_columns(s)
+    if absent:
+        raise ValueError(f"stream lacks the columns {', '.join(absent)}")
 
+    def batch(df: DataFrame, batch_id: int) -> None:
+        rows = company_filter(df, cfg.company_filter_pattern) if cfg.company_filter_pattern else df
+        rows = parse_date_column(rows, "date_received")
+        keyed = dedupe_keep_first(rows.filter(F.col(key).isNotNull()), [key], order_by)
+        schema = T.StructType([df.schema[key], T.StructField("_batch", T.LongType())])
+        held = read_or_empty(df.sparkSession, out_path, schema).filter(F.col("_batch") != batch_id)
+        keyed = keyed.join(held.select(key), key, "left_anti")
+        out = keyed.unionByName(rows.filter(F.col(key).isNull()))
+        if taxonomy is not None:
+            out = apply_taxonomy(out, taxonomy)
+        out = out.withColumn("month", F.date_format("date_received", "yyyy-MM")).withColumn("_batch", F.lit(batch_id))
+        _overwrite_batch(out, out_path, ["_batch", "month"])
 
-def run_available(df: DataFrame, out_path: str, checkpoint: str, mode: str = "append",
-                  fmt: str = "parquet") -> StreamingQuery:
-    """Process everything available now, then stop (exactly-once via checkpoint)."""
-    q = (df.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start(out_path))
-    q.awaitTermination()
-    return q
+    return _run(s, batch, checkpoint)
+
+
+def daily_counts_stream(stream: DataFrame, out_path: str, checkpoint: str, keys: list[str],
+                        date: str = "date_received") -> StreamingQuery:
+    """ST2: the counts that each batch adds, in a directory of its own; ``read_daily`` sums them."""
+    def batch(df: DataFrame, batch_id: int) -> None:
+        counts = daily_counts(parse_date_column(df, date), keys, date)
+        _overwrite_batch(counts.withColumn("_batch", F.lit(batch_id)), out_path, ["_batch"])
+
+    return _run(stream, batch, checkpoint)
+
+
+def _overwrite_batch(df: DataFrame, path: str, partition_by: list[str]) -> None:
+    """Write a batch's directories anew, so that a batch that is run again replaces what it wrote."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+
+def read_daily(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The daily counts over all batches so far."""
+    return spark.read.parquet(path).groupBy("day", *keys).agg(F.sum("complaints").cast("long").alias("complaints"))
+
+
+def compact_daily(spark: SparkSession, path: str, keys: list[str], out_path: str) -> None:
+    """Write the sums over all batches as one table (no batch may run meanwhile)."""
+    write_table(read_daily(spark, path, keys), out_path)
 
 
 def daily_rollup(df: DataFrame, date: str = "date_received", product: str = "product",
@@ -67,17 +107,17 @@ def emerging_summary_from_daily(daily: DataFrame, cfg, reference_date=None, prod
     Exact when the window bounds fall on day boundaries (complaint dates are
     days): counts are sums of daily counts and distinct states are the states
     with a non-zero current-window day. The rollup is the small table the
-    streaming job maintains, so daily runs never rescan history.
+    streaming job maintains, so daily runs never rescan history. An empty rollup
+    gives an empty result.
     """
-    import datetime as _dt
-
-    from upswell.functions.dates import Windows
-    from upswell.functions.growth import emerging_flag, with_growth, with_ranks
+    from upswell.operators.emerging import SUMMARY_SCHEMA
 
     d = daily.withColumn("_ts", F.col("day").cast("timestamp"))
     if reference_date is None:
-        mx = d.agg(F.date_format(F.max("_ts"), "yyyy-MM-dd").alias("m")).first()["m"]
-        reference_date = _dt.datetime.fromisoformat(mx)
+        newest = d.agg(F.date_format(F.max("_ts"), "yyyy-MM-dd").alias("m")).first()["m"]
+        if newest is None:
+            return daily.sparkSession.createDataFrame([], SUMMARY_SCHEMA)
+        reference_date = _dt.datetime.fromisoformat(newest)
     w = Windows.from_config(reference_date, cfg)
     like = d.schema["_ts"].dataType
     cur, prior, base = w.flags(F.col("_ts"), like)
@@ -93,6 +133,4 @@ def emerging_summary_from_daily(daily: DataFrame, cfg, reference_date=None, prod
     s = with_ranks(with_growth(vol))
     s = s.withColumn("emerging", emerging_flag(cfg.growth_threshold, cfg.min_prior_volume, cfg.top_n_rank))
     s = s.withColumn("meets_min_volume", F.col("current_volume") >= F.lit(cfg.min_current_volume))
-    from upswell.operators.emerging import SUMMARY_SCHEMA
-
     return s.select(*[f.name for f in SUMMARY_SCHEMA.fields])
