@@ -16,8 +16,22 @@ from collections import Counter
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+def executed(plan: str) -> str:
+    """The plan that ran: each adaptive plan, also one inside a subquery, ends where its initial plan begins at the same depth."""
+    out, skip = [], None
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :|+-"))
+        if skip is not None and line.strip(" :|+-") and depth <= skip and "== Initial Plan ==" not in line:
+            skip = None
+        if "== Initial Plan ==" in line:
+            skip = depth
+        if skip is None:
+            out.append(line)
+    return "\n".join(out)
+
+
 def summarise(plan: str) -> dict:
-    final = plan.split("== Initial Plan ==")[0]
+    final = executed(plan)
     scans = Counter(re.findall(r"FileScan parquet [^\n]*?/([a-z_]+)\.parquet", final))
     pushed = len(re.findall(r"PushedFilters: \[[^\]]*(GreaterThan|LessThan|EqualTo|In\()", final))
     return {
@@ -39,7 +53,7 @@ def main() -> None:
     from upswell.session import build_session
     import __spark_entry__ as entry
 
-    spark = build_session()
+    spark = build_session(master="local[8]", shuffle_partitions=8)
     rows = []
     for name, fn in entry.queries().items():
         df = fn(spark, sf)
