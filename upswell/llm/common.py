@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +20,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+def _row_number(docs: DataFrame) -> Column | None:
+    """A number for each row by the file it is in and its place there, the same in every scan; None if ``docs`` is no such scan."""
+    try:
+        place = docs.metadataColumn("_metadata")
+        number = F.xxhash64(place["file_path"], place["row_index"])
+        docs.select(number)
+    except AnalysisException:
+        return None
+    return number
+
+
+def stable(docs: DataFrame) -> DataFrame:
+    """``docs`` such that rows have the same numbers each time it is read: a scan of row files as it is, else a checkpoint."""
+    return docs if _row_number(docs) is not None else checkpointed(docs)
+
+
 def with_row_id(docs: DataFrame, cols: dict[str, Column]) -> DataFrame:
     """The named columns and ``_rid``, which tells rows with the same id apart.
 
-    ``_rid`` counts rows per input split, so a task that is run again gives the
-    same numbers. ``docs`` should be a table scan.
+    In a scan it depends on the file and the place in it alone, not on how
+    files are split over tasks. Elsewhere it counts rows per task; use ``stable`` if
+    rows are to be found again by it. Different ids may share a number.
     """
-    return docs.select(F.monotonically_increasing_id().alias("_rid"), *[c.alias(n) for n, c in cols.items()])
+    number = _row_number(docs)
+    number = F.monotonically_increasing_id() if number is None else number
+    return docs.select(number.alias("_rid"), *[c.alias(n) for n, c in cols.items()])
 
 
 def text_bytes(docs: DataFrame, text_col: str = "text") -> Column:
@@ -73,8 +93,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
-def keep_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows numbered in ``dropped._rid`` (see ``with_row_id``), columns as they were."""
+def keep_rows(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` (see ``stable``) without the rows of ``dropped`` (_rid, doc_id; see ``with_row_id``), columns as they were."""
     names = [f"_c{i}" for i in range(len(docs.columns))]
-    numbered = docs.toDF(*names).withColumn("_rid", F.monotonically_increasing_id())
-    return numbered.join(dropped.select("_rid"), "_rid", "left_anti").select(*names).toDF(*docs.columns)
+    rows = with_row_id(docs, {n: docs[c] for n, c in zip(names, docs.columns)} | {"_id": docs[id_col].cast("long")})
+    gone = dropped.select(F.col("_rid").alias("_gone"), F.col("doc_id").alias("_gone_id"))
+    kept = rows.join(gone, (F.col("_rid") == F.col("_gone")) & F.col("_id").eqNullSafe(F.col("_gone_id")), "left_anti")
+    return kept.select(*names).toDF(*docs.columns)
+
+
+def filter_texts(docs: DataFrame, keep: Callable[[], Callable[[bytes], bool]], text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text (UTF-8; null counts as empty) ``keep()`` turns down, columns as they were.
+    ``keep`` is called once a task; the rows pass through whole, without a join."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = keep()
+        for b in batches:
+            texts = b.column(at).cast(pa.binary()).to_pylist()
+            yield b.filter(pa.array([wanted(t or b"") for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upswell.llm.common import keep_rows, text_bytes, with_row_id
+from upswell.llm.common import keep_rows, stable, text_bytes, with_row_id
 
 WINDOW, SHINGLE = 13, 5
 BLOCK_WORDS = 2_000_000
@@ -211,4 +211,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without contaminated documents, columns as they were."""
-    return keep_rows(docs, contamination(docs, benchmark, id_col, text_col).where("contaminated"))
+    docs = stable(docs)
+    return keep_rows(docs, contamination(docs, benchmark, id_col, text_col).where("contaminated"), id_col)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upswell.llm.common import checkpointed, keep_rows, lookup_join, map_rows, text_bytes, with_row_id
+from upswell.llm.common import checkpointed, keep_rows, lookup_join, map_rows, stable, text_bytes, with_row_id
 
 FIRST_WIDTH, GROWTH, MAX_WIDTH = 128, 8, 1 << 20
 
@@ -35,9 +35,10 @@ def equal_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Texts are equal when identical after lower-casing A-Z; a null text counts as
     empty. Of equal texts the row with the largest id stays; a null id is below
-    all others, and of rows with the same id the last read stays. An empty
+    all others, and of rows with the same id one stays, always the same. An empty
     table gives an empty result; other columns of ``docs`` are not looked at.
     """
+    docs = stable(docs)
     source = with_row_id(docs, {"doc_id": docs[id_col].cast("long"), "text": text_bytes(docs, text_col)})
     active = map_rows(source, _normalise, _PREPARED, _PREPARED_ARROW).withColumn("_gid", F.lit(0).cast("long"))
     total, width, done = docs.count(), FIRST_WIDTH, []
@@ -61,7 +62,7 @@ def equal_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             (F.length("_part") < width).alias("_ended")))
         done.append(split.where("_ended").select(
             "_rid", "doc_id", F.col("_keep_id").alias("keep_id"), F.col("_n").alias("group_size"),
-            (F.col("_rid") == F.col("_keep_rid")).alias("kept"), "text_sha256"))
+            ((F.col("_rid") == F.col("_keep_rid")) & F.col("doc_id").eqNullSafe(F.col("_keep_id"))).alias("kept"), "text_sha256"))
         active = split.where(~F.col("_ended")).select("_rid", "doc_id", "text_sha256", "_rest", F.col("_next").alias("_gid"))
         total, width = active.count(), min(width * GROWTH, MAX_WIDTH)
     out = done[0]
@@ -72,4 +73,5 @@ def equal_text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def drop_equal_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, columns as they were."""
-    return keep_rows(docs, equal_text_groups(docs, id_col, text_col).where(~F.col("kept")))
+    docs = stable(docs)
+    return keep_rows(docs, equal_text_groups(docs, id_col, text_col).where(~F.col("kept")), id_col)

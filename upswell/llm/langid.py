@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from upswell.llm.common import keep_rows, text_bytes, with_row_id
+from upswell.llm.common import filter_texts, text_bytes, with_row_id
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
@@ -190,6 +190,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, _RESULT)
 
 
-def drop_undetermined(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_undetermined(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without the documents whose language can't be told (``und``), columns as they were."""
-    return keep_rows(docs, predict(docs, model, id_col, text_col).where("lang_pred = 'und'"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep():
+        m = shared.value
+        return lambda text: m.predict(text)[0] != "und"
+
+    return filter_texts(docs, keep, text_col)

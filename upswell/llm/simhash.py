@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from upswell.llm.common import checkpointed, keep_rows, lookup_join, map_rows, text_bytes, with_row_id
+from upswell.llm.common import checkpointed, keep_rows, lookup_join, map_rows, stable, text_bytes, with_row_id
 
 SHARD_LIMIT = 2048
 """A shard with more fingerprints than this is cut by further bits."""
@@ -219,7 +219,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A null text counts as empty; texts without words have fingerprint zero and
     are linked like others. component_id is the smallest id that links within
     ``radius`` differing bits reach; null ids count only where a component has
-    no other. ``first`` is the row with that id, of several the one read first.
+    no other. ``first`` is the row with that id, of several one of them.
     Copies share a fingerprint and are never paired. Other columns of ``docs``
     are not looked at; an empty table gives an empty result.
     """
@@ -242,11 +242,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = lookup_join(rows, lookup, ["fp"], rows.count(), "left")
     return out.select("_rid", "doc_id", "fp",
                       F.when(F.col("_top").isNotNull(), F.col("_top.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
-                      F.when(F.col("_top").isNotNull(), F.col("_top._rid") == F.col("_rid")).otherwise(True).alias("first"))
+                      F.when(F.col("_top").isNotNull(), (F.col("_top._rid") == F.col("_rid")) & F.col("_top.doc_id").eqNullSafe(F.col("doc_id"))
+                             ).otherwise(True).alias("first"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                      radius: int = 2) -> DataFrame:
     """``docs`` with one document of each component, columns as they were."""
+    docs = stable(docs)
     found = simhash_components(docs, id_col, text_col, shingle, radius)
-    return keep_rows(docs, found.where(~F.col("first")))
+    return keep_rows(docs, found.where(~F.col("first")), id_col)
