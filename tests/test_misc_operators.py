@@ -294,3 +294,16 @@ def test_text_query_search_in_corpus_space(spark):
     qv = embed_query_texts(q, enc)
     top = batch_semantic_search(docs, emb, qv, top_k=1).collect()
     assert [(r.query_id, r.complaint_id) for r in top] == [(7, 2)]
+
+
+def test_report_sort_column_and_drill(spark):
+    from upswell.operators.report import drill, export_columns, top_values
+
+    rows = [("P", "a"), ("P", "b"), ("P", "b"), ("Q", "c"), (None, "c"), ("Q", None)]
+    df = spark.createDataFrame(rows, "product string, issue string")
+    assert [r.issue for r in top_values(df, "issue", 2).collect()] == ["b", "c"]
+    assert [r.issue for r in top_values(df, "issue", 2, sort_by="issue").collect()] == ["a", "b"]
+    assert [r.issue for r in top_values(df, "issue", 2, sort_by="issue", descending=True).collect()] == ["c", "b"]
+    assert sum(r.share_pct for r in top_values(df, "issue").collect()) == pytest.approx(100, abs=0.2)
+    assert drill(df, "P", "b").count() == 2 and drill(df, "P").count() == 3 and drill(df).count() == 6
+    assert export_columns(["z", "issue", "x", "state"], ["x", "y", "x"]) == ["x", "state", "issue", "z"]

@@ -51,11 +51,11 @@ def summarise(plan: str) -> dict:
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     from upswell.session import build_session
-    import __spark_entry__ as entry
+    from upswell.plans.contract import QUERIES
 
     spark = build_session(master="local[8]", shuffle_partitions=8)
     rows = []
-    for name, fn in entry.queries().items():
+    for name, fn in QUERIES.items():
         df = fn(spark, sf)
         df.collect()  # after execution the plan below is the final AQE plan
         rows.append((name, summarise(df._jdf.queryExecution().executedPlan().toString())))
