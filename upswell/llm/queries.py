@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,3 +119,29 @@ ORACLE: dict[str, str] = {
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""",
 }
+
+
+def _secrets_sql() -> str:
+    """Matches and the texts between them give the offsets; the rules' own patterns, with what else a match must have."""
+    found, valid = [], {"assign": "length(regexp_extract(s, {p}, 2)) >= 8", "access": "length(s) >= 16"}
+    for rank, rule in enumerate(secrets.BASE_RULES + secrets.ADDED_RULES):
+        pattern = "'" + ("(?i)" if rule.flags & re.IGNORECASE else "") + rule.pattern.replace("'", "''") + "'"
+        found.append(f"""
+        SELECT r, {rank} AS rank, '{rule.kind}' AS kind, start, start + length(s) AS stop FROM (
+          SELECT r, ms[i] AS s, CAST(list_sum(list_transform(gs[1:i], lambda x: length(x)))
+                 + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+          FROM (SELECT r, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (
+            SELECT r, regexp_extract_all(t, {pattern}) AS ms, string_split_regex(t, {pattern}) AS gs FROM d WHERE regexp_matches(t, {pattern}))))
+        WHERE {valid.get(rule.kind, 'true').format(p=pattern)}""")
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE_RULES)
+    listed = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank){where}, '')"
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        f AS ({" UNION ALL ".join(found)})
+        SELECT any_value(doc_id) AS doc_id, {counts},
+               sha256({listed.format(where=f" FILTER (WHERE rank < {len(secrets.BASE_RULES)})")}) AS base_sha256,
+               {listed.format(where=" FILTER (WHERE rank IS NOT NULL)")} AS spans
+        FROM d LEFT JOIN f USING (r) GROUP BY r"""
+
+
+ORACLE["op9_secrets"] = _secrets_sql()
