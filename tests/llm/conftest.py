@@ -5,7 +5,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 
 import pytest
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, _rid string, part int, fp string, spans string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, _rid string, part int, fp string, spans string, `a.b` string"
 
 
 @pytest.fixture(scope="session")
@@ -13,7 +13,7 @@ def make_docs(spark):
     """(doc_id, text) or (doc_id, text, lang) rows as documents, with extra columns whose names the operators use themselves."""
 
     def make(rows):
-        full = [(r[0], r[1], r[2] if len(r) > 2 else None, None, None, "x", 1, None, "y") for r in rows]
+        full = [(r[0], r[1], r[2] if len(r) > 2 else None, None, None, "x", 1, None, "y", "z") for r in rows]
         return spark.createDataFrame(full, DOCS)
 
     return make

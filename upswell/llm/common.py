@@ -96,7 +96,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def keep_rows(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` (see ``stable``) without the rows of ``dropped`` (_rid, doc_id; see ``with_row_id``), columns as they were."""
     names = [f"_c{i}" for i in range(len(docs.columns))]
-    rows = with_row_id(docs, {n: docs[c] for n, c in zip(names, docs.columns)} | {"_id": docs[id_col].cast("long")})
+    quoted = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+    rows = with_row_id(docs, {n: docs[c] for n, c in zip(names, quoted)} | {"_id": docs[id_col].cast("long")})
     gone = dropped.select(F.col("_rid").alias("_gone"), F.col("doc_id").alias("_gone_id"))
     kept = rows.join(gone, (F.col("_rid") == F.col("_gone")) & F.col("_id").eqNullSafe(F.col("_gone_id")), "left_anti")
     return kept.select(*names).toDF(*docs.columns)
