@@ -15,10 +15,11 @@ next id of many blocks with array operations.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,85 +28,92 @@ from pyspark.sql import functions as F
 
 from upswell.llm.common import checkpointed, text_bytes, with_row_id
 
-BLOCK, LANES, EPOCH = 8192, 512, 1024
+BLOCK, LANES, EPOCH = 4096, 1024, 1024
 _SCALE, _ZERO = 16, 14  # bits of all probability, and of the order-0 table
 _STEP = 24
-_CONTEXTS = 1 << 13
+HELD_PIECES = 500_000
+_CONTEXTS = 1 << 12
+_MOST = 3 << (_SCALE - 3)  # the largest share of orders 1 and 2, each
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 _MAGIC = b"IDB1"
 
 
 class Model:
-    """The adaptive mixture for blocks side by side; coder and decoder make the same calls."""
+    """The adaptive mixture for blocks side by side; coder and decoder make the same calls.
+
+    Tables are flat, a stretch for each block, so that a step looks all blocks
+    up by one index array.
+    """
 
     def __init__(self, sizes: np.ndarray, decoding: bool) -> None:
         n, width = len(sizes), int(sizes.max(initial=1))
-        self.sizes, self.decoding = sizes.astype(np.int64), decoding
-        self.counts = (np.arange(width)[None, :] < self.sizes[:, None]).astype(np.int32)
-        self.cumulated = np.zeros((n, width + 1), np.int32)
-        self.inverse = np.zeros((n, 1 << _ZERO), np.uint16) if decoding else None
-        self.after_one = np.full((n, width + 1), -1, np.int32)  # the last column: no id before
-        self.after_two = np.full((n, _CONTEXTS), -1, np.int32)
-        self.last = np.full(n, width, np.int64)
-        self.second = np.full(n, width, np.int64)
-        self.right = np.ones((2, n), np.int64)
-        self.tried = np.full((2, n), 4, np.int64)
-        self.at = np.arange(n)
+        self.sizes, self.width, self.decoding = sizes.astype(np.int64), width, decoding
+        self.counts = (np.arange(width)[None, :] < self.sizes[:, None]).astype(np.int32).ravel()
+        self.cumulated = np.zeros(n * (width + 1), np.int32)
+        self.inverse = np.zeros(n << _ZERO, np.uint16) if decoding else None
+        self.after_one = np.full(n * (width + 1), -1, np.int32)  # the last place: no id before
+        self.after_two = np.full(n * _CONTEXTS, -1, np.int32)
+        at = np.arange(n)
+        self.at, self.at_more, self.at_two, self.at_inverse = at * width, at * (width + 1), at * _CONTEXTS, at << _ZERO
+        self.last, self.second = np.full(n, width, np.int64), np.full(n, width, np.int64)
+        self.trust = np.full((2, n), _MOST >> 2, np.int64)  # share of orders 1 and 2 where they have a prediction
 
     def renew(self, k: int) -> None:
         """Set the order-0 tables of the first k blocks by the counts so far; every id of a block keeps a chance."""
-        whole = np.zeros((k, self.counts.shape[1] + 1), np.int64)
-        np.cumsum(self.counts[:k], axis=1, out=whole[:, 1:])
-        sizes = self.sizes[:k, None]
-        spread = whole * ((1 << _ZERO) - sizes) // np.maximum(1, whole[:, -1:])
-        self.cumulated[:k] = spread + np.minimum(np.arange(whole.shape[1])[None, :], sizes)
-        if self.decoding:
-            for i in range(k):
-                steps = np.diff(self.cumulated[i, :int(self.sizes[i]) + 1])
-                self.inverse[i] = np.repeat(np.arange(len(steps), dtype=np.uint16), steps)
+        for i in range(0, k, 64):
+            m = min(64, k - i)
+            whole = np.zeros((m, self.width + 1), np.int64)
+            np.cumsum(self.counts[i * self.width:(i + m) * self.width].reshape(m, -1), axis=1, out=whole[:, 1:])
+            sizes = self.sizes[i:i + m, None]
+            spread = whole * ((1 << _ZERO) - sizes) // np.maximum(1, whole[:, -1:])
+            spread += np.minimum(np.arange(self.width + 1)[None, :], sizes)
+            self.cumulated[i * (self.width + 1):(i + m) * (self.width + 1)] = spread.ravel()
+            if self.decoding:
+                for j, line in enumerate(spread):
+                    steps = np.diff(line[:int(sizes[j, 0]) + 1])
+                    if len(steps):
+                        self.inverse[i + j << _ZERO:i + j + 1 << _ZERO] = np.repeat(np.arange(len(steps), dtype=np.uint16), steps)
 
     def mix(self, k: int) -> None:
         """Predictions of orders 1 and 2 for the next id of the first k blocks, and the shares of all three."""
-        at, last = self.at[:k], self.last[:k]
-        self.context = (self.second[:k] * 40503 + last * 2531) & (_CONTEXTS - 1)
-        self.one, self.two = self.after_one[at, last], self.after_two[at, self.context]
-        most = 3 << (_SCALE - 3)
-        self.share_one = np.where(self.one >= 0, most * self.right[0, :k] // self.tried[0, :k], 0)
-        self.share_two = np.where(self.two >= 0, most * self.right[1, :k] // self.tried[1, :k], 0)
-        self.share_zero = (1 << _SCALE) - self.share_one - self.share_two
+        last = self.last[:k]
+        self.place_one = self.at_more[:k] + last
+        self.place_two = self.at_two[:k] + ((self.second[:k] * 40503 + last * 2531) & (_CONTEXTS - 1))
+        self.guess = np.stack([self.after_one.take(self.place_one), self.after_two.take(self.place_two)]).astype(np.int64)
+        self.known = self.guess >= 0
+        self.share = self.trust[:, :k] * self.known
+        self.share_zero = (1 << _SCALE) - self.share[0] - self.share[1]
+
+    def _cumulated(self, k: int, place: np.ndarray) -> np.ndarray:
+        return self.cumulated.take(self.at_more[:k] + place) * self.share_zero >> _ZERO
 
     def bounds(self, k: int, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the probability of the ids s begins and ends, of 2**16."""
-        at, one, two = self.at[:k], self.one, self.two
-        low = (self.cumulated[at, s] * self.share_zero >> _ZERO) + self.share_one * (one < s) + self.share_two * (two < s)
-        high = (self.cumulated[at, s + 1] * self.share_zero >> _ZERO) + self.share_one * (one <= s) + self.share_two * (two <= s)
+        low = self._cumulated(k, s) + (self.share * (self.guess < s)).sum(0)
+        high = self._cumulated(k, s + 1) + (self.share * (self.guess <= s)).sum(0)
         return low, high
 
     def find(self, k: int, target: np.ndarray) -> np.ndarray:
-        """The ids whose bounds hold the targets."""
-        at, rest, out = self.at[:k], target.copy(), np.full(k, -1, np.int64)
-        for guess, share in ((self.one, self.share_one), (self.two, self.share_two)):
-            g = np.maximum(guess, 0).astype(np.int64)
-            low, high = self.bounds(k, g)
-            out = np.where((share > 0) & (target >= low) & (target < high), g, out)
-            rest -= np.where(target >= high, share, 0)
-        place = np.minimum(((rest + 1 << _ZERO) - 1) // self.share_zero, (1 << _ZERO) - 1)
-        return np.where(out >= 0, out, self.inverse[at, np.maximum(place, 0)])
+        """The ids whose bounds hold the targets: a predicted id, or one of the table once the shares below are taken off."""
+        g = np.maximum(self.guess, 0)
+        low, high = self._cumulated(k, g), self._cumulated(k, g + 1)
+        # what the other prediction adds before this one's place
+        other, its = self.guess[::-1], self.share[::-1]
+        low += its * (other < g)
+        high += its * (other <= g) + self.share
+        hit = self.known & (target >= low) & (target < high)
+        rest = target - (self.share * (target >= high)).sum(0)
+        place = np.clip(((rest + 1 << _ZERO) - 1) // self.share_zero, 0, (1 << _ZERO) - 1)
+        s = self.inverse.take(self.at_inverse[:k] + place).astype(np.int64)
+        return np.where(hit[0], g[0], np.where(hit[1], g[1], s))
 
     def learn(self, k: int, s: np.ndarray) -> None:
-        at, last = self.at[:k], self.last[:k]
-        self.counts[at, s] += _STEP
-        for j, guess in enumerate((self.one, self.two)):
-            known = guess >= 0
-            self.right[j, :k] += known & (guess == s)
-            self.tried[j, :k] += known
-            full = self.tried[j, :k] > 255
-            if full.any():
-                self.right[j, :k] = np.where(full, self.right[j, :k] + 1 >> 1, self.right[j, :k])
-                self.tried[j, :k] = np.where(full, self.tried[j, :k] + 1 >> 1, self.tried[j, :k])
-        self.after_one[at, last] = s
-        self.after_two[at, self.context] = s
-        self.second[:k] = last
+        self.counts[self.at[:k] + s] += _STEP
+        trust = self.trust[:, :k]
+        trust += (((self.guess == s) * _MOST - trust) * self.known) >> 5
+        self.after_one[self.place_one] = s
+        self.after_two[self.place_two] = s
+        self.second[:k] = self.last[:k]
         self.last[:k] = s
 
 
@@ -123,7 +131,7 @@ def _range_code(lanes: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
     """Code sequences of numbers below their sizes; the longest sequence first."""
     lengths = np.array([len(x) for x in lanes])
     n, most = len(lanes), int(lengths.max(initial=0))
-    symbols = np.zeros((most, n), np.int64)
+    symbols = np.zeros((most, n), np.int32)
     for i, x in enumerate(lanes):
         symbols[:len(x), i] = x
     model = Model(sizes, False)
@@ -133,7 +141,7 @@ def _range_code(lanes: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
         k = int(np.searchsorted(-lengths, -t))  # blocks longer than t
         if t % EPOCH == 0:
             model.renew(k)
-        s = symbols[t, :k]
+        s = symbols[t, :k].astype(np.int64)
         model.mix(k)
         a, b = model.bounds(k, s)
         unit = width[:k] >> np.uint64(_SCALE)
@@ -155,14 +163,14 @@ def _range_code(lanes: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
 def _range_decode(lanes: list[bytes], lengths: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     """The sequences that ``_range_code`` was given; the longest first."""
     n, most = len(lanes), int(lengths.max(initial=0))
-    words = np.zeros((n, max((len(x) for x in lanes), default=0) // 2 + 8), np.uint64)
+    words = np.zeros((n, max((len(x) for x in lanes), default=0) // 2 + 8), np.uint16)
     for i, x in enumerate(lanes):
         words[i, :len(x) // 2] = np.frombuffer(x, ">u2")
     model = Model(sizes, True)
     low, width, code = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64), np.zeros(n, np.uint64)
     for j in range(4):
-        code = (code << np.uint64(16)) | words[:, j]
-    at, out = np.full(n, 4, np.int64), np.zeros((most, n), np.int64)
+        code = (code << np.uint64(16)) | words[:, j].astype(np.uint64)
+    at, out = np.full(n, 4, np.int64), np.zeros((most, n), np.int32)
     for t in range(most):
         k = int(np.searchsorted(-lengths, -t))
         if t % EPOCH == 0:
@@ -177,7 +185,7 @@ def _range_decode(lanes: list[bytes], lengths: np.ndarray, sizes: np.ndarray) ->
         out[t, :k] = s
         model.learn(k, s)
         while len(done := _settle(low, width, k)):
-            code[done] = (code[done] << np.uint64(16)) | words[done, at[done]]
+            code[done] = (code[done] << np.uint64(16)) | words[done, at[done]].astype(np.uint64)
             at[done] += 1
             low[done] <<= np.uint64(16)
             width[done] <<= np.uint64(16)
@@ -222,24 +230,44 @@ def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def encode_texts(texts: list[str], tokenizer, end_id: int) -> list[np.ndarray]:
-    """Ids of each text and the end id. White space parts tokens and is dropped, so each distinct piece is encoded once."""
-    number: dict[str, int] = defaultdict(count().__next__)
-    # blank, tab, line feed, carriage return: white space to the vocabulary's own pattern, whatever stands beside it
-    lines = [np.fromiter(map(number.__getitem__, t.translate(_BLANKS).split(" ")), np.int64) for t in texts]
-    ids = [e.ids for e in tokenizer.encode_batch_fast(list(number), add_special_tokens=False)]
-    flat = np.fromiter((i for x in ids for i in x), np.int64)
-    ends = np.cumsum([0, *map(len, ids)])
-    out = []
-    for line in lines:
-        sizes = np.diff(ends)[line]
-        stop = np.cumsum(sizes)
-        total = int(stop[-1]) if len(stop) else 0
-        out.append(np.append(flat[np.repeat(ends[:-1][line] - stop + sizes, sizes) + np.arange(total)], end_id))
-    return out
+class TextEncoder:
+    """Ids of texts by a tokenizer for which white space parts tokens and is dropped.
+
+    Each distinct piece between blanks is encoded once; the pieces' ids are held
+    for the texts that follow, until ``HELD_PIECES`` are.
+    """
 
+    def __init__(self, tokenizer, end_id: int) -> None:
+        self.tokenizer, self.end_id = tokenizer, end_id
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = defaultdict(count().__next__)
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text and the end id."""
+        if len(self.number) > HELD_PIECES:
+            self.forget()
+        before = len(self.number)
+        # blank, tab, line feed, carriage return: white space to the vocabulary's own pattern, whatever stands beside it
+        lines = [np.fromiter(map(self.number.__getitem__, re.split("[ \t\n\r]+", t)), np.int64) for t in texts]
+        new = list(islice(self.number, before, None))
+        ids, sizes = [self.ids], []
+        for i in range(0, len(new), 10_000):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(new[i:i + 10_000], add_special_tokens=False)]
+            ids.append(np.fromiter(chain.from_iterable(found), np.int32))
+            sizes += map(len, found)
+        self.ids = np.concatenate(ids)
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int64)])
+        out = []
+        for line in lines:
+            start = self.ends[line]
+            n = self.ends[line + 1] - start
+            stop = np.cumsum(n)
+            out.append(np.append(self.ids[np.repeat(start - stop + n, n) + np.arange(stop[-1])], np.int32(self.end_id)))
+        return out
 
-_BLANKS = str.maketrans("\t\n\r", "   ")
 
 # Columns of a file of blocks. For each document in a block: its row number and id, how many ids it has there and in all.
 _FILE = "part int, block int, row_ids array<long>, doc_ids array<long>, parts array<int>, totals array<int>, payload binary"
@@ -254,7 +282,7 @@ def write_ids(docs: DataFrame, tokenizer_json: str, path: str, end_id: int = 1,
     The files are Parquet files of blocks, part by part (``part`` counts up with
     the ids of documents), a block a row. A null text is empty; each document
     has at least the end id; null document ids come first, rows of one id in
-    the order they were read.
+    a fixed order.
     """
     with open(tokenizer_json, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file
@@ -267,13 +295,13 @@ def write_ids(docs: DataFrame, tokenizer_json: str, path: str, end_id: int = 1,
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_buffer(shared.value)
+        encoder = TextEncoder(Tokenizer.from_buffer(shared.value), end_id)
         held_ids, held_docs, made, part = [], [], 0, 0
 
         def cut(ids: list[np.ndarray], marks: list[tuple[int, int | None, int, int]], last: bool):
             """Full blocks of what is held; the rest is held on, or is a block too at the end."""
             nonlocal made
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             n = -(-len(flat) // block) if last else len(flat) // block
             pieces = [flat[i * block:(i + 1) * block] for i in range(n)]
             meta: list[tuple[list, ...]] = []
@@ -303,7 +331,7 @@ def write_ids(docs: DataFrame, tokenizer_json: str, path: str, end_id: int = 1,
             rid, doc, texts, parts = (b.column(i).to_pylist() for i in range(4))
             part = parts[0] if parts else part
             for i in range(0, len(texts), 4096):
-                own = encode_texts(texts[i:i + 4096], tokenizer, end_id)
+                own = encoder(texts[i:i + 4096])
                 held_ids += own
                 held_docs += [(r, d, len(x), len(x)) for r, d, x in zip(rid[i:i + 4096], doc[i:i + 4096], own)]
                 if sum(map(len, held_ids)) >= LANES * block:
