@@ -21,7 +21,7 @@ def executed(plan: str) -> str:
     out, skip = [], None
     for line in plan.splitlines():
         depth = len(line) - len(line.lstrip(" :|+-"))
-        if skip is not None and line.strip(" :|+-") and depth <= skip and "== Initial Plan ==" not in line:
+        if skip is not None and line.strip(" :|+-") and depth < skip and "== Initial Plan ==" not in line:
             skip = None
         if "== Initial Plan ==" in line:
             skip = depth

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from upswell.config import SliceSpec
 from upswell.functions.dates import min_max_dates, months_between, week_label, week_start
 from upswell.operators.windows import issue_col, product_col
+from upswell.sources.tables import materialize
 
 ALL_LOBS = "All lines of business"
 
@@ -85,7 +86,9 @@ def share(n: Column, total: Column) -> Column:
 
 
 def with_share(groups: DataFrame, n_col: str, out: str) -> DataFrame:
-    """Add each group's share of all groups; the total is a scalar subquery over the same aggregate."""
+    """Add each group's share of all groups. The aggregate is written once and read for the total and the groups, so that
+    the rows below it are scanned once."""
+    groups = materialize(groups)
     return groups.withColumn(out, share(F.col(n_col), groups.agg(F.sum(n_col)).scalar()))
 
 

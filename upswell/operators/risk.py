@@ -10,6 +10,7 @@ from upswell.functions.phrases import INDIVIDUAL_PHRASES, SYSTEMIC_PHRASES, narr
 from upswell.operators.taxonomy import (COMPLAINT_TAXONOMY, DEFAULT_RISK_WEIGHT, RISK_TYPE_WEIGHTS,
                                         Taxonomy, apply_taxonomy)
 from upswell.operators.windows import product_col
+from upswell.sources.tables import materialize
 
 NARRATIVE = "consumer_complaint_narrative"
 
@@ -89,11 +90,11 @@ def risk_signals(df: DataFrame, taxonomy: Taxonomy = COMPLAINT_TAXONOMY, systemi
             F.count(F.lit(1)).alias("_n"), F.sum("_m").alias("_m"), F.min("_id").alias("_id"))
     # The first row's risk type among rows that have one; NULL only where none has.
     known = F.when(F.col("risk_type").isNotNull(), F.struct("_id", "risk_type"))
-    agg = fine.groupBy(*bucket).agg(
+    agg = materialize(fine.groupBy(*bucket).agg(
         F.sum("_n").alias("volume"), F.count_distinct("_state").alias("distinct_states"),
-        F.sum("_m").alias("_milli"), F.min(known)["risk_type"].alias("risk_type"))
+        F.sum("_m").alias("_milli"), F.min(known)["risk_type"].alias("risk_type")))  # a row for each bucket
     mean = F.col("_milli").cast("double") / (F.col("volume").cast("double") * F.lit(1000.0))
-    vmax = fine.groupBy(*bucket).agg(F.sum("_n").alias("_n")).agg(F.max("_n")).scalar()
+    vmax = agg.agg(F.max("volume")).scalar()
     vol_norm = F.log(F.lit(1.0) + F.col("volume").cast("double")) / \
         F.greatest(F.log(F.lit(1.0) + vmax.cast("double")), F.lit(1.0))
     state_norm = F.least(F.col("distinct_states").cast("double") / F.lit(50.0), F.lit(1.0))

@@ -63,47 +63,58 @@ def taxonomy_key(col: Column) -> Column:
     return F.coalesce(py_strip(col.cast("string")), F.lit(""))
 
 
-def _by_raw(lookup: DataFrame, key: str, **columns: str) -> DataFrame:
-    """One row for each raw value of the named maps (column -> map); a raw value with two entries in a map is an error."""
-    entries = lookup.where(F.col("map_name").isin(*columns.values()) & (F.col("raw") != DEFAULT_KEY) & F.col("value").isNotNull())
+PRODUCT_MAPS = {"canonical_product": "canonical_products", "product_line": "product_line"}
+ISSUE_MAPS = {"risk_type": "issue_risk_type", "canonical_issue": "canonical_issues"}
+
+
+def _by_raw(taxonomy: Taxonomy | DataFrame, spark: SparkSession, key: str, maps: dict[str, str]) -> DataFrame:
+    """One row for each raw value of the maps (column -> map), with a column for each.
+
+    Of a Taxonomy it is a few literal rows; of a lookup table an aggregate, in
+    which a raw value with two entries in a map is an error.
+    """
+    if isinstance(taxonomy, Taxonomy):
+        held = [getattr(taxonomy, m) for m in maps.values()]
+        rows = [(str(raw), *[m.get(raw) for m in held]) for raw in dict.fromkeys(k for m in held for k in m)]
+        return spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in [key, *maps]))
+    wanted = F.col("map_name").isin(*maps.values()) & (F.col("raw") != DEFAULT_KEY) & F.col("value").isNotNull()
 
     def only(name: str) -> Column:
         mine = F.when(F.col("map_name") == name, F.col("value"))
-        return F.when(F.count(mine) > 1, F.raise_error(F.concat(F.lit(f"taxonomy map {name} has several entries for "), F.col("raw")))).otherwise(
-            F.max(mine))
+        twice = F.raise_error(F.concat(F.lit(f"taxonomy map {name} has several entries for "), F.col("raw")))
+        return F.when(F.count(mine) > 1, twice).otherwise(F.max(mine))
+
+    return taxonomy.where(wanted).groupBy("raw").agg(*[only(m).alias(c) for c, m in maps.items()]).withColumnRenamed("raw", key)
+
 
-    return entries.groupBy("raw").agg(*[only(m).alias(c) for c, m in columns.items()]).withColumnRenamed("raw", key)
+def _default(taxonomy: Taxonomy | DataFrame, name: str, otherwise: str) -> Column:
+    if isinstance(taxonomy, Taxonomy):
+        return F.lit({"product_line": taxonomy.default_line, "issue_risk_type": taxonomy.default_risk}[name])
+    rows = taxonomy.where((F.col("map_name") == name) & (F.col("raw") == DEFAULT_KEY))
+    return F.coalesce(rows.agg(F.max("value")).scalar(), F.lit(otherwise))
 
 
 def apply_taxonomy(df: DataFrame, taxonomy: Taxonomy | DataFrame) -> DataFrame:
     """Add canonical_product, product_line (from ``product``) and risk_type,
     canonical_issue (from ``issue``), in place of columns of these names.
 
-    ``taxonomy`` is a Taxonomy or a lookup table of any size. Keys are trimmed and
-    case-sensitive; an unmapped product is 'Other', an unmapped issue label its
-    trimmed raw text.
+    ``taxonomy`` is a Taxonomy or a lookup table of any size; both are joined by
+    the raw value. Keys are trimmed and case-sensitive; an unmapped product is
+    'Other', an unmapped issue label its trimmed raw text.
     """
-    lookup = taxonomy.to_table(df.sparkSession) if isinstance(taxonomy, Taxonomy) else taxonomy
-
-    def default(name: str, otherwise: str) -> Column:
-        rows = lookup.where((F.col("map_name") == name) & (F.col("raw") == DEFAULT_KEY))
-        return F.coalesce(rows.agg(F.max("value")).scalar(), F.lit(otherwise))
-
-    new = {}
+    spark, new = df.sparkSession, {}
+    kept = [c for c in df.columns if c not in (*PRODUCT_MAPS, *ISSUE_MAPS)]
+    out = df.select(*[F.col(f"`{c}`") for c in kept])
     if "product" in df.columns:
+        out = out.withColumn("_product_key", taxonomy_key(F.col("product")))
+        out = out.join(_by_raw(taxonomy, spark, "_product_key", PRODUCT_MAPS), "_product_key", "left")
         new |= {"canonical_product": F.coalesce("canonical_product", F.lit("Other")),
-                "product_line": F.coalesce(F.col("product_line"), default("product_line", "Other"))}
+                "product_line": F.coalesce(F.col("product_line"), _default(taxonomy, "product_line", "Other"))}
     if "issue" in df.columns:
-        new |= {"risk_type": F.coalesce(F.col("risk_type"), default("issue_risk_type", "other")),
+        out = out.withColumn("_issue_key", taxonomy_key(F.col("issue")))
+        out = out.join(_by_raw(taxonomy, spark, "_issue_key", ISSUE_MAPS), "_issue_key", "left")
+        new |= {"risk_type": F.coalesce(F.col("risk_type"), _default(taxonomy, "issue_risk_type", "other")),
                 "canonical_issue": F.coalesce("canonical_issue", "_issue_key")}
-    kept = [c for c in df.columns if c not in ("canonical_product", "product_line", "risk_type", "canonical_issue")]
-    out = df.select(*[F.col(f"`{c}`") for c in kept])
-    if "product" in df.columns:
-        maps = _by_raw(lookup, "_product_key", canonical_product="canonical_products", product_line="product_line")
-        out = out.withColumn("_product_key", taxonomy_key(F.col("product"))).join(maps, "_product_key", "left")
-    if "issue" in df.columns:
-        maps = _by_raw(lookup, "_issue_key", risk_type="issue_risk_type", canonical_issue="canonical_issues")
-        out = out.withColumn("_issue_key", taxonomy_key(F.col("issue"))).join(maps, "_issue_key", "left")
     return out.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(n) for n, c in new.items()])
 
 
