@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from upswell.llm.common import text_bytes, with_row_id
 
-SLICE_CHARS = 16_000_000
+SLICE_CHARS = 8_000_000
 # First and last code points that the vocabulary library's character tables (Unicode 16) have neither as
 # letters nor as digits, while this module's regular expressions, whose tables are newer, do.
 _NEWER = (
@@ -229,10 +229,12 @@ def _with_vocabulary(rows: DataFrame, ranks_path: str, per_batch, schema: str) -
     return rows.mapInArrow(run, schema)
 
 
-def _encoded_batch(pattern: str):
-    def encoded(b: pa.RecordBatch, vocabulary: Vocabulary) -> list[np.ndarray]:
+def _encoded_slices(pattern: str):
+    """Ids of a batch's texts, slice by slice, so that a batch's ids needn't be held at once."""
+    def encoded(b: pa.RecordBatch, vocabulary: Vocabulary) -> Iterator[list[np.ndarray]]:
         compiled = regex.compile(pattern)
-        return [ids for part in slices(b.column("text").to_pylist()) for ids in encode_slice(part, vocabulary, compiled)]
+        for part in slices(b.column("text").to_pylist()):
+            yield encode_slice(part, vocabulary, compiled)
 
     return encoded
 
@@ -247,11 +249,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     Whole texts of any length; other columns are not looked at; an empty table
     gives an empty result.
     """
-    encoded = _encoded_batch(pattern)
+    encoded = _encoded_slices(pattern)
 
     def per_batch(b: pa.RecordBatch, vocabulary: Vocabulary) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.astype(np.int32) for x in encoded(b, vocabulary)],
-                                                                              pa.list_(pa.int32()))], schema=_ENCODED_ARROW)
+        ids = [x.astype(np.int32) for part in encoded(b, vocabulary) for x in part]
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], schema=_ENCODED_ARROW)
 
     return _with_vocabulary(_source(docs, id_col, text_col), ranks_path, per_batch, _ENCODED)
 
@@ -268,13 +270,15 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
 def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode in one pass: _rid, doc_id, n_tokens, and the SHA-256 of ids and of decoded bytes."""
-    encoded = _encoded_batch(pattern)
+    encoded = _encoded_slices(pattern)
 
     def per_batch(b: pa.RecordBatch, vocabulary: Vocabulary) -> pa.RecordBatch:
-        ids = encoded(b, vocabulary)
-        digests = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]
-        decoded = [hashlib.sha256(vocabulary.decode(x)).hexdigest() for x in ids]
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array(digests, pa.string()),
+        sizes, digests, decoded = [], [], []
+        for part in encoded(b, vocabulary):
+            sizes += [len(x) for x in part]
+            digests += [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in part]
+            decoded += [hashlib.sha256(vocabulary.decode(x)).hexdigest() for x in part]
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()),
                                            pa.array(decoded, pa.string())], schema=_DIGEST_ARROW)
 
     return _with_vocabulary(_source(docs, id_col, text_col), ranks_path, per_batch, _DIGEST)
