@@ -295,6 +295,26 @@ def test_added_personal_data_touches_no_base_span(make_docs):
         assert spans == sorted(spans) and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
 
 
+ADDED = {
+    "write to Jo.Miller [AT] site [DOT] com. We answer": ("spelled_mail", "Jo.Miller [AT] site [DOT] com"),
+    "pay to DE89 3704 0044 0532 0130 00 BIC soon": ("account_like", "DE89 3704 0044 0532 0130 00"),
+    "pay to BE68539007547034 soon": ("account_like", "BE68539007547034"),
+    "BE68 5390 0754 7034 PAID": ("account_like", "BE68 5390 0754 7034"),
+    "my phone: 415-555-2671, any time": ("number_like", "415-555-2671"),
+    "tel. 030 1234567 in the evening": ("number_like", "030 1234567"),
+    "pay to DE88 3704 0044 0532 0130 00 soon": None, "of version 415-555-2671": None, "look [at] this. de": None, "call on 2024-01-15": None,
+}
+
+
+@pytest.mark.parametrize("more", [0, 300])
+def test_personal_data_adds_what_each_generator_proves(make_docs, more):
+    base = [(1000 + i, f"write to a{i}@b.c or call +1 (988) 555-{1000 + i} of page {i}00{i}11 or 2024-01-{10 + i % 20}") for i in range(more)]
+    found = {r["doc_id"]: [s for s in r["spans"] if s["rank"] >= len(pii.KINDS)]
+             for r in pii.find_personal_data(make_docs(list(enumerate(ADDED)) + base)).collect()}
+    for i, (text, span) in enumerate(ADDED.items()):
+        assert [(s["kind"], text[s["start"]:s["end"]]) for s in found[i]] == ([span] if span else []), text
+
+
 LICENSES = {
     "SPDX-License-Identifier: MIT": ["MIT"],
     "# Licensed under the Apache Licence,\n# Version 2.0 (the \"License\"); you may not use this file": ["Apache-2.0"],
