@@ -335,6 +335,38 @@ def test_licenses(make_docs, odd, none):
     assert licenses.scan_licenses(odd).count() == len(ROWS) and licenses.scan_licenses(none).count() == 0
 
 
+BSD = (
+    "Copyright (c) 2020, Some Owner\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the "
+    "following conditions are met:\n{}Redistributions of source code must retain the above copyright notice, this\n  list of conditions and the following "
+    "disclaimer.\n{}Redistributions in binary form must reproduce the above copyright notice,\n  this list of conditions and the following disclaimer in the "
+    "documentation\n  and/or other materials provided with the distribution.\n",
+    "{}Neither the name of the copyright holder nor the names of its\n  contributors may be used to endorse or promote products derived from\n  this "
+    "software without specific prior written permission.\n",
+    "\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"\nAND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED "
+    "TO, THE\nIMPLIED WARRANTIES OF MERCHANTABILITY ARE DISCLAIMED.\n")
+
+
+def licenses_of(make_docs, texts):
+    found = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(make_docs(list(enumerate(texts)))).collect()}
+    return [found[i] for i in range(len(texts))]
+
+
+def test_listed_and_dual_licenses(make_docs):
+    texts = {}
+    for marks in (["* "] * 3, ["  * "] * 3, ["- "] * 3, ["• "] * 3, ["1. ", "2. ", "3. "], ["1) ", "2) ", "3) "], ["(a) ", "(b) ", "(c) "]):
+        two, three = (BSD[0] + BSD[2]).format(*marks), "".join(BSD).format(*marks)
+        texts |= {two: ["BSD-2-Clause"], three: ["BSD-3-Clause"]}
+        texts |= {"\n".join(f"{mark}{x}" for x in t.split("\n")): n for t, n in ((two, ["BSD-2-Clause"]), (three, ["BSD-3-Clause"])) for mark in (" * ", "# ")}
+    texts |= {
+        "This is under the Apache License, Version 2.0 or the MIT license.": ["MIT", "Apache-2.0"],
+        "Licensed under the MIT license or the Apache License, Version 2.0": ["MIT", "Apache-2.0"],
+        "Licensed under either of\n\n * Apache License, Version 2.0\n * MIT license\n\nat your option.": ["MIT", "Apache-2.0"],
+        "Distributed under the GNU General Public License version 2 or the GNU Lesser General Public License version 2.1 or any later version.":
+            ["GPL-2.0-only", "LGPL-2.1-or-later"],
+        "SPDX-License-Identifier:\nMIT": ["MIT"], "Permission to use it as you like:\nnone, all rights reserved": ["all-rights-reserved"]}
+    assert licenses_of(make_docs, texts) == list(texts.values())
+
+
 def test_every_known_sentence_has_an_anchor():
     import re
 

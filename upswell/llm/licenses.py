@@ -1,9 +1,9 @@
 """Licence scans by sentence rules.
 
 Texts are cut into sentences, sentences are normalised (case, white space,
-comment marks, spelling), each known licence sentence is replaced by its
-identifier, and the sequence of a document's identifiers is matched against
-ordered rules. A rule takes the identifiers it matches out of the sequence, so
+comment marks, spelling), each known licence sentence is replaced by the
+identifiers of all that it names, in their order, and the sequence of a
+document's identifiers is matched against ordered rules. A rule takes the identifiers it matches out of the sequence, so
 the sentences of a full licence text aren't reported again by the rules for single
 sentences that come after it.
 
@@ -21,31 +21,41 @@ from upswell.llm.common import with_row_id
 ANCHORS = ("licens", "licenc", "copyright", "warrant", "permission", "redistribut", "public domain", "rights reserved", "altered",
            "general public", "cc by", "cc0", "creative commons", "endorse or promote")
 
+_UNDER = (r"(?:\b(?:licensed|distributed|released|available) under (?:either )?(?:the )?(?:terms of (?:either )?(?:the )?)?"
+          r"|\b(?:or|and|either) (?:the )?(?:terms of the )?|^)")
+"""What comes before a licence's bare name: a grant, the other licence of a choice, or the sentence's start."""
+
+
+def _to(words: str) -> str:
+    """Text up to the words, not past another licence's name; possessive, so that a long sentence takes no stack."""
+    return rf"(?:(?!public license|{words}).)*+{words}"
+
+
 # Sentences of the published licences and notices, normalised, as regular expressions,
 # and the identifier of each; $1 and so on stand for what the parts in parentheses matched.
 SENTENCES = (
     (r"spdx-license-identifier: ?([a-z0-9.+-]+(?: (?:and|or|with) [a-z0-9.+-]+)*)", "spdx:$1"),
     (r"(gnu )?affero general public license,? (?:v|version )?(3)(?:\.0)?.*or \(?at your option\)? any later", "agpl-$2-or-later"),
     (r"(gnu )?affero general public license,? (?:v|version )?(3)", "agpl-$2-only"),
-    (r"gnu (?:lesser|library) general public license.*?version (2\.1|2|3)(?:\.0)?.*any later version", "lgpl-$1-or-later"),
+    (rf"gnu (?:lesser|library) general public license{_to('version (?=[23])')}(2\.1|2|3)(?:\.0)?{_to('any later version')}", "lgpl-$1-or-later"),
     (r"gnu (?:lesser|library) general public license,? (?:as published by the free software foundation[,;] )?(?:v|version )(2\.1|2|3)", "lgpl-$1-only"),
-    (r"gnu general public license.*?version (2|3)(?:\.0)?.*any later version", "gpl-$1-or-later"),
+    (rf"gnu general public license{_to('version (?=[23])')}(2|3)(?:\.0)?{_to('any later version')}", "gpl-$1-or-later"),
     (r"gnu general public license,? (?:as published by the free software foundation[,;] )?(?:v|version )(2|3)", "gpl-$1-only"),
-    (r"\b(?:licensed|distributed|released|available) under the (?:terms of the )?(gpl|lgpl|agpl)[ -]?v?(2\.1|2|3)", "$1-$2-only"),
+    (rf"{_UNDER}(gpl|lgpl|agpl)[ -]?v?(2\.1|2|3)", "$1-$2-only"),
     (r"licensed under the apache license,? (?:v|version )?(2\.0|2|1\.1)", "apache-$1"),
     (r"\bapache(?: software)? license,? (?:v|version )?(2\.0|2|1\.1)", "apache-$1"),
     (r"permission is hereby granted, free of charge, to any person obtaining a copy", "mit-grant"),
     (r"the above copyright notice and this permission notice shall be included in all copies", "mit-notice"),
     (r"the software is provided \W?as is\W?, without warranty of any kind, express or implied", "mit-warranty"),
-    (r"\b(?:licensed|distributed|released|available) under the (?:terms of the )?(?:mit|expat)(?:/x11)? license", "mit-name"),
+    (rf"{_UNDER}(?:mit|expat)(?:/x11)? license", "mit-name"),
     (r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted", "isc-grant"),
-    (r"\b(?:licensed|distributed|released|available) under the (?:terms of the )?isc license", "isc-name"),
+    (rf"{_UNDER}isc license", "isc-name"),
     (r"redistribution and use in source and binary forms, with or without modification, are permitted", "bsd-grant"),
     (r"redistributions of source code must retain the above copyright notice", "bsd-source"),
     (r"redistributions in binary form must reproduce the above copyright notice", "bsd-binary"),
     (r"neither the name of .* may be used to endorse or promote products", "bsd-endorse"),
     (r"this software is provided by .*as is.* warranties", "bsd-warranty"),
-    (r"\b(?:licensed|distributed|released|available) under the (?:terms of the )?(?:new |modified |simplified )?bsd(?:[ -](2|3)[ -]clause)? license", "bsd-name$1"),
+    (rf"{_UNDER}(?:new |modified |simplified )?bsd(?:[ -](2|3)[ -]clause)? license", "bsd-name$1"),
     (r"subject to the terms of the mozilla public license,? (?:v|version )\.? ?(2\.0|1\.1)", "mpl-$1"),
     (r"\bmozilla public license,? (?:v|version )?(2\.0|1\.1)", "mpl-$1"),
     (r"\beclipse public license,? (?:-? ?v|version )? ?(2\.0|1\.0)", "epl-$1"),
@@ -91,21 +101,29 @@ _SHORT = (("noncommercial", "nc"), ("non-commercial", "nc"), ("sharealike", "sa"
 def normalised_sentences(text: Column) -> Column:
     """Array of the text's sentences: lower case, one blank between words, no comment marks, American spelling.
 
-    A sentence ends at . ! or ? before white space, and at an empty line.
+    A sentence ends at . ! or ? before white space (so does the number of a
+    list, as in 1.), at an empty line, at : before a line break, and before a line that
+    begins with a bullet or a number in brackets. Lines that begin with * are
+    items if a line of text or an empty line comes before them, else comments.
     """
-    t = F.lower(text)
+    t = F.regexp_replace(F.lower(text), r"(?m)(^[ \t]*(?:[^\s*/#;%-](?!.*/\*).*)?\r?\n|\G(?!\A))[ \t]*\*[ \t]+(.*\r?\n?)", "$1\u0001$2")
     t = F.regexp_replace(t, r"(?m)^[ \t]*(?://+|/\*+|\*+/?|#+|--+|;+|%+|rem |dnl )[ \t]*", "")
-    t = F.regexp_replace(t, r"\n[ \t\r]*\n\s*", "\u0001")
+    t = F.regexp_replace(t, r"(?m)^[ \t]*(?:[*+•·‣▪◦–-]|\(?(?:[0-9]{1,2}|[abd-z]|i{1,3}|iv|vi{0,3})\))[ \t]+(?!v(?:ersion)?[ .]?[0-9])", "\u0001")
+    t = F.regexp_replace(t, r"\n[ \t\r]*\n\s*|(?<=(?<!identifier):)[ \t\r]*\n", "\u0001")
     t = F.regexp_replace(F.regexp_replace(t, r"licenc", "licens"), r"[ \t\r\n\f]+", " ")
     return F.filter(F.transform(F.split(t, "(?<=[.!?]) |\u0001"), F.trim), lambda s: s != "")
 
 
-def sentence_id(sentence: Column) -> Column:
-    """Identifier of a known licence sentence, else null; the first fitting row of the table counts."""
+def sentence_ids(sentence: Column) -> Column:
+    """Identifiers of all that a sentence names, from left to right without overlap; at one place the first fitting row of the table counts."""
+    return F.transform(F.regexp_extract_all(sentence, F.lit("|".join(f"(?:{p})" for p, _ in SENTENCES)), F.lit(0)), _identifier)
+
+
+def _identifier(match: Column) -> Column:
+    """Identifier of a match of the table."""
     out = F.lit(None).cast("string")
     for pattern, name in reversed(SENTENCES):
-        found = F.regexp_replace(F.regexp_extract(sentence, pattern, 0), pattern, name)
-        out = F.when(sentence.rlike(pattern), found).otherwise(out)
+        out = F.when(match.rlike(f"^(?:{pattern})$"), F.regexp_replace(match, f"^(?:{pattern})$", name)).otherwise(out)
     for long, short in _SHORT:
         out = F.replace(out, F.lit(long), F.lit(short))
     return F.regexp_replace(F.trim(out), " +", "-")
@@ -157,9 +175,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     some = rows.withColumn("_sentences", F.when(anchored(F.lower("_text")), F.filter(
         normalised_sentences(F.col("_text")), anchored)))
-    known = some.select("_rid", "doc_id", F.transform("_sentences", sentence_id).alias("_ids"))
-    known = known.select("_rid", "doc_id", F.filter("_ids", lambda i: i.isNotNull()).alias("_known"),
-                         F.filter("_ids", lambda i: i.isNull()).alias("_unknown"))
+    known = some.select("_rid", "doc_id", F.transform("_sentences", sentence_ids).alias("_ids"))
+    known = known.select("_rid", "doc_id", F.flatten("_ids").alias("_known"), F.filter("_ids", lambda i: F.size(i) == 0).alias("_unknown"))
     none = F.array().cast("array<string>")
     return known.select(
         "_rid", "doc_id", F.coalesce("_known", none).alias("sentence_ids"),
