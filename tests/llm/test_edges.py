@@ -375,6 +375,52 @@ def test_every_known_sentence_has_an_anchor():
         assert any(a in pattern or a in alternatives for a in licenses.ANCHORS) or name.startswith("cc"), pattern
 
 
+def examples(pattern):
+    """A text for every branch, and with and without every optional part, of a regular expression."""
+    import re._constants as c
+    import re._parser as parser
+
+    def of(op, value):
+        if op is c.LITERAL:
+            return [chr(value)]
+        if op is c.BRANCH:
+            return [x for branch in value[1] for x in every(branch)]
+        if op is c.SUBPATTERN:
+            return every(value[3])
+        if op in (c.MAX_REPEAT, c.MIN_REPEAT, c.POSSESSIVE_REPEAT):
+            once = every(value[2])
+            return ([""] if value[0] == 0 else []) + (once if value[1] == 1 or value[0] else [x for x in once if x.strip()])
+        if op is c.IN:
+            return [{c.LITERAL: lambda v: chr(v), c.RANGE: lambda v: chr(v[0]), c.CATEGORY: lambda v: "2" if v is c.CATEGORY_DIGIT else "'"}[value[0][0]](value[0][1])]
+        return ["x"] if op in (c.ANY, c.NOT_LITERAL) else [""]
+
+    def every(parsed):
+        out = [""]
+        for op, value in parsed:
+            out = [a + b for a in out for b in of(op, value)]
+        return out
+
+    return every(parser.parse(pattern))
+
+
+def test_every_example_of_a_known_sentence_has_an_anchor():
+    import re
+
+    for pattern, name in licenses.SENTENCES:
+        fitting = [x for x in examples(pattern) if re.search(pattern, x)]
+        assert fitting, pattern
+        for x in fitting:
+            assert any(a in x for a in licenses.ANCHORS), x
+
+
+def test_short_grants_and_wrapped_anchors(make_docs):
+    texts = {
+        "Distributed under the GPL v2.": ["GPL-2.0-only"], "Released under the terms of the LGPL 2.1.": ["LGPL-2.1-only"],
+        "available under the AGPL 3": ["AGPL-3.0-only"], "# This is in the public\n# domain.": ["public-domain"],
+        "All rights\nreserved.": ["all-rights-reserved"], "available under CC\nBY 4.0.": ["CC-BY-4.0"], "under CC Attribution 4.0.": ["CC-BY-4.0"]}
+    assert licenses_of(make_docs, texts) == list(texts.values())
+
+
 def test_toxicity(spark, make_docs, odd, none):
     rng = random.Random(3)
     plain = ["river", "stone", "green", "quiet", "house", "paper", "light"]

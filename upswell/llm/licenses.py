@@ -7,8 +7,9 @@ document's identifiers is matched against ordered rules. A rule takes the identi
 the sentences of a full licence text aren't reported again by the rules for single
 sentences that come after it.
 
-Only column functions: a document is cut into sentences if it holds one of the
-anchor words that every known sentence has.
+Only column functions: a document is cut into sentences if it holds a word of one
+of the anchors, and a sentence is looked at if it holds one of the anchors; every
+known sentence does.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 from upswell.llm.common import with_row_id
 
 ANCHORS = ("licens", "licenc", "copyright", "warrant", "permission", "redistribut", "public domain", "rights reserved", "altered",
-           "general public", "cc by", "cc0", "creative commons", "endorse or promote")
+           "general public", "cc by", "cc attribution", "cc0", "creative commons", "endorse or promote", "gpl")
+_WHOLE = ("licens", "licenc", "copyright", "warrant", "permission", "redistribut", "domain", "reserved", "altered", "cc0", "commons", "endorse", "gpl")
+"""A word of each anchor, as an anchor of several words may be spread over lines and comment marks; by and attribution count after cc only."""
 
 _UNDER = (r"(?:\b(?:licensed|distributed|released|available) under (?:either )?(?:the )?(?:terms of (?:either )?(?:the )?)?"
           r"|\b(?:or|and|either) (?:the )?(?:terms of the )?|^)")
@@ -167,14 +170,15 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = with_row_id(docs, {"doc_id": docs[id_col].cast("long"), "_text": text})
 
-    def anchored(c: Column) -> Column:
+    def holds(c: Column, words: tuple[str, ...]) -> Column:
         hit = F.lit(False)
-        for a in ANCHORS:
-            hit = hit | c.contains(a)
+        for w in words:
+            hit = hit | c.contains(w)
         return hit
 
-    some = rows.withColumn("_sentences", F.when(anchored(F.lower("_text")), F.filter(
-        normalised_sentences(F.col("_text")), anchored)))
+    low = F.lower("_text")
+    some = rows.withColumn("_sentences", F.when(holds(low, _WHOLE) | low.rlike(r"\bcc\W+(?:by|attribution)"), F.filter(
+        normalised_sentences(F.col("_text")), lambda s: holds(s, ANCHORS))))
     known = some.select("_rid", "doc_id", F.transform("_sentences", sentence_ids).alias("_ids"))
     known = known.select("_rid", "doc_id", F.flatten("_ids").alias("_known"), F.filter("_ids", lambda i: F.size(i) == 0).alias("_unknown"))
     none = F.array().cast("array<string>")
