@@ -421,6 +421,22 @@ def test_short_grants_and_wrapped_anchors(make_docs):
     assert licenses_of(make_docs, texts) == list(texts.values())
 
 
+def test_published_notices(make_docs):
+    agpl = ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as\npublished by "
+            "the Free Software Foundation, {}version 3 of the\nLicense{}.\n\nThis program is distributed in the hope that it will be useful.")
+    texts = {
+        agpl.format("either ", ", or (at your option) any later version"): ["AGPL-3.0-or-later"],
+        agpl.format("", ""): ["AGPL-3.0-only"],
+        "GNU Affero General Public License v3 or (at your option) any later version": ["AGPL-3.0-or-later"],
+        "GNU Affero General Public License, version 3.0": ["AGPL-3.0-only"],
+        "// SPDX-License-Identifier: (MIT OR Apache-2.0)\nint x;": ["MIT-OR-Apache-2.0"],
+        "SPDX-License-Identifier: (MIT OR ISC) AND Zlib": ["(MIT-OR-ISC)-AND-Zlib"], "SPDX-License-Identifier: MIT AND (ISC OR Zlib)": ["MIT-AND-(ISC-OR-Zlib)"],
+        "One. Two. Distributed under the GPL 2": ["GPL-2.0-only"], "Licensed under CC BY 4.0": ["CC-BY-4.0"],
+        "SPDX-License-Identifier: MIT.": ["MIT"], "Licensed under CC-BY-4.0.": ["CC-BY-4.0"], "Licensed under CC-BY-NC-SA-4.0": ["CC-BY-NC-SA-4.0"],
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": ["CC-BY-SA-4.0"]}
+    assert licenses_of(make_docs, texts) == list(texts.values())
+
+
 def test_toxicity(spark, make_docs, odd, none):
     rng = random.Random(3)
     plain = ["river", "stone", "green", "quiet", "house", "paper", "light"]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from upswell.llm.common import with_row_id
 
 ANCHORS = ("licens", "licenc", "copyright", "warrant", "permission", "redistribut", "public domain", "rights reserved", "altered",
-           "general public", "cc by", "cc attribution", "cc0", "creative commons", "endorse or promote", "gpl")
+           "general public", "cc by", "cc-by", "cc attribution", "cc-attribution", "cc0", "creative commons", "endorse or promote", "gpl")
 _WHOLE = ("licens", "licenc", "copyright", "warrant", "permission", "redistribut", "domain", "reserved", "altered", "cc0", "commons", "endorse", "gpl")
 """A word of each anchor, as an anchor of several words may be spread over lines and comment marks; by and attribution count after cc only."""
 
@@ -34,12 +34,16 @@ def _to(words: str) -> str:
     return rf"(?:(?!public license|{words}).)*+{words}"
 
 
+_SPDX = r"[a-z0-9.+:-]*[a-z0-9+]"
+"""One name of an SPDX expression, without the full stop of its sentence."""
+
 # Sentences of the published licences and notices, normalised, as regular expressions,
 # and the identifier of each; $1 and so on stand for what the parts in parentheses matched.
 SENTENCES = (
-    (r"spdx-license-identifier: ?([a-z0-9.+-]+(?: (?:and|or|with) [a-z0-9.+-]+)*)", "spdx:$1"),
-    (r"(gnu )?affero general public license,? (?:v|version )?(3)(?:\.0)?.*or \(?at your option\)? any later", "agpl-$2-or-later"),
-    (r"(gnu )?affero general public license,? (?:v|version )?(3)", "agpl-$2-only"),
+    (rf"spdx-license-identifier: ?\(({_SPDX}(?: (?:and|or|with) {_SPDX})*)\)(?! (?:and|or|with) )", "spdx:$1"),
+    (rf"spdx-license-identifier: ?(\(*{_SPDX}\)*(?: (?:and|or|with) \(*{_SPDX}\)*)*)", "spdx:$1"),
+    (rf"(?:gnu )?affero general public license(?:,? v?(?=3)|{_to('version (?=3)')})(3)(?:\.0)?{_to('any later')}", "agpl-$1-or-later"),
+    (r"(?:gnu )?affero general public license,? (?:as published by the free software foundation[,;:] (?:either )?)?(?:v|version )?(3)", "agpl-$1-only"),
     (rf"gnu (?:lesser|library) general public license{_to('version (?=[23])')}(2\.1|2|3)(?:\.0)?{_to('any later version')}", "lgpl-$1-or-later"),
     (r"gnu (?:lesser|library) general public license,? (?:as published by the free software foundation[,;] )?(?:v|version )(2\.1|2|3)", "lgpl-$1-only"),
     (rf"gnu general public license{_to('version (?=[23])')}(2|3)(?:\.0)?{_to('any later version')}", "gpl-$1-or-later"),
@@ -65,8 +69,8 @@ SENTENCES = (
     (r"this software is provided \W?as-is\W?, without any express or implied warranty", "zlib-warranty"),
     (r"permission is granted to anyone to use this software for any purpose", "zlib-grant"),
     (r"altered source versions must be plainly marked", "zlib-marked"),
-    (r"\bunder (?:a |the )?(?:creative commons |cc )(?:attribution|by)((?:[ -](?:noncommercial|non-commercial|nc|sharealike|share-alike|sa|noderivatives|noderivs|nd))*)"
-     r" ?(?:international )?(?:license )?(\d\.\d)?", "cc-by$1 $2"),
+    (r"\bunder (?:a |the )?(?:terms of (?:a |the )?)?(?:creative commons |cc[ -])(?:attribution|by)((?:[ -](?:noncommercial|non-commercial|nc|sharealike|share-alike|sa|noderivatives|noderivs|nd))*)"
+     r"[ -]?(?:international )?(?:license )?(\d\.\d)?", "cc-by$1 $2"),
     (r"\bcc0(?: 1\.0)?(?: universal)?", "cc0-1.0"),
     (r"this is free and unencumbered software released into the public domain", "unlicense"),
     (r"\b(?:dedicated to|placed in|released into|in) the public domain", "public-domain"),
@@ -114,7 +118,7 @@ def normalised_sentences(text: Column) -> Column:
     t = F.regexp_replace(t, r"(?m)^[ \t]*(?:[*+•·‣▪◦–-]|\(?(?:[0-9]{1,2}|[abd-z]|i{1,3}|iv|vi{0,3})\))[ \t]+(?!v(?:ersion)?[ .]?[0-9])", "\u0001")
     t = F.regexp_replace(t, r"\n[ \t\r]*\n\s*|(?<=(?<!identifier):)[ \t\r]*\n", "\u0001")
     t = F.regexp_replace(F.regexp_replace(t, r"licenc", "licens"), r"[ \t\r\n\f]+", " ")
-    return F.filter(F.transform(F.split(t, "(?<=[.!?]) |\u0001"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(t, "(?<=[.!?]) |\u0001"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def sentence_ids(sentence: Column) -> Column:
