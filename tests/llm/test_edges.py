@@ -160,6 +160,13 @@ def test_language_id(make_docs, none):
     assert kept.columns == docs.columns and kept.count() == 43
 
 
+def test_language_stage_without_labels(make_docs):
+    held = next(i for i in range(99) if langid._held_out(i, 5))
+    for lang in (None, "en"):
+        docs = make_docs([(held, "the cat", lang), (200, "le chien", None), (201, "12 !", None), (202, None, None)]).select("doc_id", "text", "lang")
+        assert sorted(r["doc_id"] for r in langid.drop_undetermined(docs, langid.fit(docs)).collect()) == [held, 200]
+
+
 @pytest.mark.parametrize("n", [2, 3, 5, 7, 8, 20])
 def test_codewords_differ(n):
     code = langid.codewords(n)

@@ -191,11 +191,17 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def drop_undetermined(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents whose language can't be told (``und``), columns as they were."""
+    """``docs`` without the documents whose language can't be told (``und``), columns as they were.
+
+    A model that learned no language (no labelled document outside the held-out
+    ids) tells nothing of a text; then only documents without a letter go.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep():
         m = shared.value
+        if not m.langs:
+            return lambda text: _LETTER.search(text.decode("utf-8", "replace")) is not None
         return lambda text: m.predict(text)[0] != "und"
 
     return filter_texts(docs, keep, text_col)
