@@ -126,6 +126,14 @@ def test_rows_only_queries_run(spark):
         assert e.queries()[name](spark, SF).count() > 0
 
 
+def test_batch_search_asks_for_every_twentieth_vector(spark):
+    import __spark_entry__ as e
+
+    found = e.queries()["search_batch_topk_twentieth"](spark, SF).groupBy("query_id").count().collect()
+    ids = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 20 = 0").select("vec_id").collect()
+    assert sorted(map(tuple, found)) == sorted((r[0], 10) for r in ids) and len(ids) > 5
+
+
 def test_python_worker_code_runs_outside_the_repo(tmp_path):
     """mapInPandas code must not need this package on the workers' path."""
     import subprocess

@@ -563,6 +563,21 @@ def search_batch_topk_q(spark: SparkSession, sf: str) -> DataFrame:
     return batch_semantic_search(B.v4_documents(spark, sf), emb, queries, 10)
 
 
+@query("search_batch_topk_twentieth", f"""
+WITH {V4}, q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT q.query_id, c.complaint_id,
+             round_even(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.qv AS DOUBLE[])), 6) AS similarity_score
+      FROM v4 c JOIN embeddings e ON c.complaint_id = e.vec_id, q WHERE len(e.embedding) = len(q.qv)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity_score DESC, complaint_id ASC) AS rank FROM s)
+SELECT * FROM r WHERE rank <= 10""")
+def search_batch_topk_twentieth_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.search import batch_semantic_search
+
+    emb = B.v6_embeddings(spark, sf)
+    queries = emb.filter(F.col("complaint_id") % 20 == 0).select(F.col("complaint_id").alias("query_id"), "embedding")
+    return batch_semantic_search(B.v4_documents(spark, sf), emb, queries, 10)
+
+
 @query("search_options", f"""
 WITH {V4}
 SELECT DISTINCT 'product' AS option_kind, canonical_product AS option_value FROM v4 WHERE canonical_product IS NOT NULL
