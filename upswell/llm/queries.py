@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from upswell.llm import bpe, decontam, exact_dedup, idcoder, langid, licenses, pii, secrets, simhash, toxicity
+from upswell.llm import bpe, decontam, exact_dedup, fim, idcoder, langid, licenses, pii, pq, secrets, setjoin, simhash, toxicity
 from upswell.llm.common import documents, shared_folder
 from upswell.sources.tables import read_table
 
@@ -73,6 +73,21 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.restore(fim.fill_in_middle(documents(spark, sf_dir)))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                        F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pq.compress(read_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def _count(spans: str, kind: str):
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
@@ -92,6 +107,9 @@ QUERIES = {
     "op8_id_files": op8_id_files,
     "op9_secrets": op9_secrets,
     "op10_personal_data": op10_personal_data,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 ORACLE: dict[str, str] = {
@@ -144,4 +162,61 @@ def _secrets_sql() -> str:
         FROM d LEFT JOIN f USING (r) GROUP BY r"""
 
 
+def _codes_sql() -> str:
+    """Four rounds as four pairs of tables: each part's nearest entry, then the entries' new components."""
+    steps = """
+        WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label,
+                                       list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+               FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS MATERIALIZED (SELECT r, pos, v[pos * (len(v) // 4) + 1:(pos + 1) * (len(v) // 4)] AS part FROM v, range(4) AS t(pos)),
+        b0 AS MATERIALIZED (SELECT pos, r - 1 AS entry, part FROM p WHERE r <= 256)"""
+    for k in range(5):
+        steps += f""",
+        n{k} AS MATERIALIZED (SELECT r, p.pos, any_value(p.part) AS part, min(struct_pack(d := list_sum(list_transform(
+                 list_zip(p.part, b.part), lambda x: (x[1] - x[2]) * (x[1] - x[2]))), entry := b.entry)) AS best
+                 FROM p JOIN b{k} b ON p.pos = b.pos GROUP BY r, p.pos)"""
+        if k < 4:
+            steps += f""",
+        m{k} AS (SELECT pos, entry, i, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS x FROM (
+                 SELECT pos, best.entry AS entry, unnest(range(len(part))) AS i, unnest(part) AS x FROM n{k}) GROUP BY pos, entry, i),
+        l{k} AS (SELECT pos, entry, list(x ORDER BY i) AS part FROM m{k} GROUP BY pos, entry),
+        b{k + 1} AS MATERIALIZED (SELECT b.pos, b.entry, coalesce(l.part, b.part) AS part FROM b{k} b LEFT JOIN l{k} l ON b.pos = l.pos AND b.entry = l.entry)"""
+    return steps + """,
+        c AS (SELECT r, string_agg(lpad(lower(to_hex(best.entry)), 2, '0'), '' ORDER BY pos) AS code, CAST(sum(best.d) AS BIGINT) AS error
+              FROM n4 GROUP BY r),
+        t AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM c JOIN v USING (r) GROUP BY label),
+        h AS (SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY pos, entry)) AS codebooks_sha256 FROM b4)
+        SELECT vec_id, code, error, label_error, codebooks_sha256
+        FROM c JOIN v USING (r) JOIN t ON v.label IS NOT DISTINCT FROM t.label, h"""
+
+
 ORACLE["op9_secrets"] = _secrets_sql()
+ORACLE["op11_fill_in_middle"] = r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+                          sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        k AS (SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS k1, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS k2,
+                     CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                               OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 100 THEN 'plain'
+                          WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+        s AS (SELECT *, array_to_string(u[1:least(k1, k2)], '') AS p, array_to_string(u[least(k1, k2) + 1:greatest(k1, k2)], '') AS m,
+                     array_to_string(u[greatest(k1, k2) + 1:], '') AS x FROM k)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || x || '<M>' || m
+                                ELSE '<S>' || x || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM s"""
+ORACLE["op12_vector_codes"] = _codes_sql()
+ORACLE["op13_jaccard_join"] = r"""
+        WITH RECURSIVE d AS MATERIALIZED (
+          SELECT row_number() OVER () AS r, doc_id,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS MATERIALIZED (SELECT DISTINCT r, array_to_string(w[i:i + 3], ' ') AS s
+              FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+        n AS MATERIALIZED (SELECT r, count(*) AS n FROM g GROUP BY r),
+        e AS MATERIALIZED (SELECT c.a, c.b FROM (SELECT x.r AS a, y.r AS b, count(*) AS both FROM g x JOIN g y USING (s) WHERE x.r <> y.r GROUP BY 1, 2) c
+              JOIN n na ON na.r = c.a JOIN n nb ON nb.r = c.b WHERE 100 * c.both >= 85 * (na.n + nb.n - c.both)),
+        reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+        SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id
+        FROM d JOIN reach ON reach.a = d.r JOIN d o ON o.r = reach.b LEFT JOIN n ON n.r = d.r GROUP BY d.r, d.doc_id"""
