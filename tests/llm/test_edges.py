@@ -176,7 +176,7 @@ def test_codewords_differ(n):
 @pytest.fixture(scope="module")
 def vocabulary():
     with open(RANKS, "rb") as f:
-        return bpe.Vocabulary(f.read())
+        return bpe.Vocabulary.from_file(f.read())
 
 
 @settings(max_examples=60, deadline=None)

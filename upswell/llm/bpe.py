@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from upswell.llm.common import text_bytes, with_row_id
 
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 2_000_000
 # First and last code points that the vocabulary library's character tables (Unicode 16) have neither as
 # letters nor as digits, while this module's regular expressions, whose tables are newer, do.
 _NEWER = (
@@ -55,28 +55,37 @@ class Vocabulary:
     rank: merging one may open a pair that goes before the merge's other places.
     """
 
-    def __init__(self, ranks_file: bytes) -> None:
+    def __init__(self, tokens: list[bytes], byte_ids: np.ndarray, pair_keys: np.ndarray, pair_ranks: np.ndarray, stepwise: np.ndarray) -> None:
+        self.tokens, self.byte_ids, self.pair_keys, self.pair_ranks, self.stepwise = tokens, byte_ids, pair_keys, pair_ranks, stepwise
+        self.size = len(tokens)
+
+    @staticmethod
+    def tables(ranks_file: bytes) -> tuple:
+        """What the constructor takes, from a file: worked out once and broadcast, so that tasks needn't."""
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines()) if a}
-        self.tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
+        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, r in ranks.items():
-            self.tokens[r] = token
-        self.size = len(self.tokens)
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        pairs, self.stepwise = {}, np.zeros(self.size, bool)
+            tokens[r] = token
+        byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        pairs, stepwise = {}, np.zeros(len(tokens), bool)
         for token, r in ranks.items():
             for i in range(1, len(token)):
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
-                    pairs[a * self.size + b] = r
+                    pairs[a * len(tokens) + b] = r
                 for x in (a, b):
                     if x is not None and x > r:
-                        self.stepwise[x] = True
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
+                        stepwise[x] = True
+        keys = sorted(pairs)
+        return tokens, byte_ids, np.array(keys, np.int64), np.array([pairs[k] for k in keys], np.int32), stepwise
+
+    @classmethod
+    def from_file(cls, ranks_file: bytes) -> Vocabulary:
+        return cls(*cls.tables(ranks_file))
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where none merges it."""
-        keys = left * self.size + right
+        keys = left.astype(np.int64) * self.size + right
         at = np.searchsorted(self.pair_keys, keys)
         at[at == len(self.pair_keys)] = 0
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1) if len(self.pair_keys) else np.full(len(keys), -1)
@@ -91,10 +100,11 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
     lengths = np.array([len(w) for w in words], np.int64)
     starts = np.concatenate([[0], np.cumsum(lengths)])
     n = int(starts[-1])
-    token = np.full(n + 1, -1, np.int64)
+    token = np.full(n + 1, -1, np.int32)
     token[:n] = vocabulary.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
-    word = np.repeat(np.arange(len(words)), lengths)
-    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    place = np.int32 if n < 1 << 30 else np.int64
+    word = np.repeat(np.arange(len(words), dtype=place), lengths)
+    after, before = np.arange(1, n + 2, dtype=place), np.arange(-1, n, dtype=place)
     last = np.zeros(n + 1, bool)  # no neighbour to the right in the same word
     last[starts[1:][lengths > 0] - 1] = True
     last[n] = True
@@ -117,7 +127,7 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
                 index[r] = [part]
                 heapq.heappush(pending, r)
 
-    enter(np.arange(n))
+    enter(np.arange(n, dtype=place))
     while pending:
         rank = heapq.heappop(pending)
         parts = index.pop(rank)
@@ -180,13 +190,14 @@ def encode_slice(texts: list[str], vocabulary: Vocabulary, pattern) -> list[np.n
     lines = []
     for t in texts:
         pieces = _pieces(t)
-        lines.append(np.fromiter(map(number.__getitem__, _matches(pattern, t) if pieces is None else pieces), np.int64))
+        lines.append(np.fromiter(map(number.__getitem__, _matches(pattern, t) if pieces is None else pieces), np.int32))
     of_word: dict[str, int] = defaultdict(count().__next__)
     words_of = [[of_word[w] for w in _matches(pattern, p)] for p in number]
     ids, starts = replay([w.encode() for w in of_word], vocabulary)
-    ids, bounds = _gather(ids, starts, np.fromiter(chain.from_iterable(words_of), np.int64),
+    ids, bounds = _gather(ids, starts, np.fromiter(chain.from_iterable(words_of), np.int32),
                           np.cumsum([0, *map(len, words_of)]))
-    ids, ends = _gather(ids, bounds, np.concatenate(lines) if lines else np.zeros(0, np.int64), np.cumsum([0, *map(len, lines)]))
+    del number, of_word, words_of
+    ids, ends = _gather(ids, bounds, np.concatenate(lines) if lines else np.zeros(0, np.int32), np.cumsum([0, *map(len, lines)]))
     return np.split(ids, ends[1:-1]) if texts else []
 
 
@@ -194,7 +205,9 @@ def _gather(values: np.ndarray, starts: np.ndarray, wanted: np.ndarray, groups:
     """The runs ``values[starts[i]:starts[i + 1]]`` for each wanted i, end to end; and where each group of them begins."""
     sizes = np.diff(starts)[wanted]
     ends = np.concatenate([[0], np.cumsum(sizes)])
-    return values[np.repeat(starts[wanted] - ends[:-1], sizes) + np.arange(ends[-1])], ends[groups]
+    at = np.repeat((starts[wanted] - ends[:-1]).astype(np.int32 if max(ends[-1], starts[-1]) < 1 << 31 else np.int64), sizes)
+    at += np.arange(len(at), dtype=at.dtype)
+    return values[at], ends[groups]
 
 
 def slices(texts: list[str]) -> Iterator[list[str]]:
@@ -219,10 +232,10 @@ _DIGEST_ARROW = pa.schema([("_rid", pa.int64()), ("doc_id", pa.int64()), ("n_tok
 
 def _with_vocabulary(rows: DataFrame, ranks_path: str, per_batch, schema: str) -> DataFrame:
     with open(ranks_path, "rb") as f:
-        shared = rows.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file
+        shared = rows.sparkSession.sparkContext.broadcast(Vocabulary.tables(f.read()))  # one vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(shared.value)
+        vocabulary = Vocabulary(*shared.value)
         for b in batches:
             yield per_batch(b, vocabulary)
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from upswell.session import ensure_checkpoint_dir
 from upswell.sources.tables import materialize, read_table
 
-HEAVY_SHARE = 64
-"""A lookup key with at least 1/HEAVY_SHARE of the rows is salted (so at most HEAVY_SHARE keys are)."""
+HEAVY_ROWS, MAX_HEAVY = 1024, 4096
+"""A lookup key with more than HEAVY_ROWS rows, and more than 1/MAX_HEAVY of all (so at most MAX_HEAVY keys), is salted."""
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,18 +68,20 @@ def map_rows(df: DataFrame, per_batch: Callable[[dict[str, list]], dict[str, lis
 def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
     """Join ``rows`` to ``lookup`` (unique on ``keys``; column ``_n`` counts the rows that have the key).
 
-    Keys with 1/64 of all rows or more, of which there can be no more than 64,
-    are broadcast as flags, and their rows are dealt over 64 salted copies of
-    the key; the others go by an ordinary shuffle. ``total`` is the number of
-    rows, ``lookup`` should be cheap to read twice (a checkpoint). ``_n`` is kept.
+    The heaviest keys, of which there can be no more than ``MAX_HEAVY``, are
+    broadcast with the number of shares that their rows are dealt into, and
+    ``lookup`` holds a copy of the key for each share; other keys go by an
+    ordinary shuffle. ``total`` is the number of rows, ``lookup`` should be cheap
+    to read twice (a checkpoint). ``_n`` is kept.
     """
-    heavy = lookup.where(F.col("_n") * HEAVY_SHARE >= F.lit(max(total, HEAVY_SHARE))).select(*keys, F.lit(True).alias("_hot"))
+    limit = max(HEAVY_ROWS, total // MAX_HEAVY)
+    shares = F.ceil(F.col("_n") / limit).cast("int")
+    heavy = lookup.where(F.col("_n") > limit).select(*keys, shares.alias("_shares"))
     if heavy.isEmpty():
         return rows.join(lookup, keys, how)
     rows = rows.join(F.broadcast(heavy), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("_rid"), F.lit(HEAVY_SHARE)).cast("int")).otherwise(0)).drop("_hot")
-    salts = F.when(F.col("_n") * HEAVY_SHARE >= F.lit(max(total, HEAVY_SHARE)), F.sequence(F.lit(0), F.lit(HEAVY_SHARE - 1))
-                   ).otherwise(F.array(F.lit(0)))
+        "_salt", F.pmod(F.xxhash64("_rid"), F.coalesce("_shares", F.lit(1))).cast("int")).drop("_shares")
+    salts = F.sequence(F.lit(0), F.greatest(shares, F.lit(1)) - 1)
     return rows.join(lookup.withColumn("_salt", F.explode(salts)), [*keys, "_salt"], how).drop("_salt")
 
 
@@ -93,11 +95,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
+def _quoted(docs: DataFrame) -> list[str]:
+    return ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+
+
 def keep_rows(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` (see ``stable``) without the rows of ``dropped`` (_rid, doc_id; see ``with_row_id``), columns as they were."""
     names = [f"_c{i}" for i in range(len(docs.columns))]
-    quoted = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
-    rows = with_row_id(docs, {n: docs[c] for n, c in zip(names, quoted)} | {"_id": docs[id_col].cast("long")})
+    rows = with_row_id(docs, {n: docs[c] for n, c in zip(names, _quoted(docs))} | {"_id": docs[id_col].cast("long")})
     gone = dropped.select(F.col("_rid").alias("_gone"), F.col("doc_id").alias("_gone_id"))
     kept = rows.join(gone, (F.col("_rid") == F.col("_gone")) & F.col("_id").eqNullSafe(F.col("_gone_id")), "left_anti")
     return kept.select(*names).toDF(*docs.columns)
@@ -114,4 +119,5 @@ def filter_texts(docs: DataFrame, keep: Callable[[], Callable[[bytes], bool]], t
             texts = b.column(at).cast(pa.binary()).to_pylist()
             yield b.filter(pa.array([wanted(t or b"") for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(_quoted(docs))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

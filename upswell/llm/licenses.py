@@ -40,8 +40,8 @@ _SPDX = r"[a-z0-9.+:-]*[a-z0-9+]"
 # Sentences of the published licences and notices, normalised, as regular expressions,
 # and the identifier of each; $1 and so on stand for what the parts in parentheses matched.
 SENTENCES = (
-    (rf"spdx-license-identifier: ?\(({_SPDX}(?: (?:and|or|with) {_SPDX})*)\)(?! (?:and|or|with) )", "spdx:$1"),
-    (rf"spdx-license-identifier: ?(\(*{_SPDX}\)*(?: (?:and|or|with) \(*{_SPDX}\)*)*)", "spdx:$1"),
+    (rf"spdx-license-identifier: ?\(({_SPDX}(?: (?:and|or|with) {_SPDX})*+)\)(?! (?:and|or|with) )", "spdx:$1"),
+    (rf"spdx-license-identifier: ?(\(*{_SPDX}\)*(?: (?:and|or|with) \(*{_SPDX}\)*)*+)", "spdx:$1"),
     (rf"(?:gnu )?affero general public license(?:,? v?(?=3)|{_to('version (?=3)')})(3)(?:\.0)?{_to('any later')}", "agpl-$1-or-later"),
     (r"(?:gnu )?affero general public license,? (?:as published by the free software foundation[,;:] (?:either )?)?(?:v|version )?(3)", "agpl-$1-only"),
     (rf"gnu (?:lesser|library) general public license{_to('version (?=[23])')}(2\.1|2|3)(?:\.0)?{_to('any later version')}", "lgpl-$1-or-later"),
@@ -69,7 +69,7 @@ SENTENCES = (
     (r"this software is provided \W?as-is\W?, without any express or implied warranty", "zlib-warranty"),
     (r"permission is granted to anyone to use this software for any purpose", "zlib-grant"),
     (r"altered source versions must be plainly marked", "zlib-marked"),
-    (r"\bunder (?:a |the )?(?:terms of (?:a |the )?)?(?:creative commons |cc[ -])(?:attribution|by)((?:[ -](?:noncommercial|non-commercial|nc|sharealike|share-alike|sa|noderivatives|noderivs|nd))*)"
+    (r"\bunder (?:a |the )?(?:terms of (?:a |the )?)?(?:creative commons |cc[ -])(?:attribution|by)((?:[ -](?:noncommercial|non-commercial|nc|sharealike|share-alike|sa|noderivatives|noderivs|nd))*+)"
      r"[ -]?(?:international )?(?:license )?(\d\.\d)?", "cc-by$1 $2"),
     (r"\bcc0(?: 1\.0)?(?: universal)?", "cc0-1.0"),
     (r"this is free and unencumbered software released into the public domain", "unlicense"),

@@ -11,11 +11,12 @@ all documents in a table of fixed size.
 Rows of the first order's prefixes meet by shingle. First every class is
 compared with one class of its group only, which joins large groups of near
 copies without pairing all of them. What matters after that are pairs that
-these links haven't joined: they are listed in full within groups of at most ``GROUP`` classes. A larger group is split by length
-and by the prefixes of the other orders, which loses no link, as a pair has to
-share a shingle of those too; what is still larger is paired block by block.
-Pairs then pass the filters of the other orders, and the sets of those left are
-compared shingle by shingle.
+these links haven't joined: they are listed in full. In a large group only the
+classes outside its largest component are held against all, cell by cell. A
+huge group is split before by length and by the prefixes of the other orders,
+which loses no link, as a pair has to share a shingle of those too. Pairs then
+pass the filters of the other orders, and the sets of those left are compared
+shingle by shingle.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from upswell.llm.common import checkpointed, lookup_join, shared_folder, stable, text_bytes, with_row_id
 from upswell.llm.simhash import components
 
-GROUP = 512
-"""A larger group of classes is split before its pairs are listed."""
+GROUP, SPLIT, SPLIT_BLOCK = 512, 65_536, 8_192
+"""Groups of at most ``GROUP`` classes are paired at once, those of at most ``SPLIT`` in cells, and larger ones are split before."""
 STAR = 256
 """So many pairs of one class are compared in one task."""
 SKETCH_BITS = 22
@@ -327,30 +328,76 @@ def _listed(rows: DataFrame, percent: int) -> DataFrame:
         _list_pairs(percent), "a long, b long")
 
 
+def _meet_strays(percent: int):
+    """Worker over rows sorted by cell, a cell's strays first (cell, other, cid, comp, n, pos, stray): pairs of a stray and another row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+        for b in batches:
+            cells, others, *columns = (b.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            cuts = np.flatnonzero((cells[1:] != cells[:-1]) | (others[1:] != others[:-1])) + 1
+            for low, high in zip([0, *cuts], [*cuts, len(cells)] if len(cells) else []):
+                if cells[low] != cell:
+                    cell, held = cells[low], []
+                part = [c[low:high] for c in columns]
+                if not others[low]:
+                    held.append(part)
+                    continue
+                for cid, comp, n, pos, _ in zip(*(np.concatenate(x) for x in zip(*held))) if held else ():
+                    most = 1 + np.minimum(n - pos, part[2] - part[3])
+                    take = (part[1] != comp) & (100 * most >= percent * (n + part[2] - most)) & (~part[4] | (part[0] > cid))
+                    if take.any():
+                        met = part[0][take]
+                        yield _pair_batch(np.minimum(met, cid), np.maximum(met, cid))
+
+    return run
+
+
+def _strays_with_all(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of large groups: one end outside its group's largest component, so that a group that is nearly joined costs little.
+
+    A group is cut into cells of some strays and some of all rows; a task holds
+    a cell's strays and reads the others past them.
+    """
+    sizes = checkpointed(rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("_c")))
+    groups = checkpointed(sizes.groupBy("key").agg(F.sum("_c").alias("_n"), F.max_by("comp", "_c").alias("_main"), F.max("_c").alias("_most")))
+    rows = checkpointed(_of_groups(rows, groups).withColumn("stray", F.col("comp") != F.col("_main")))
+    stray_blocks = F.ceil((F.col("_n") - F.col("_most")) / GROUP).cast("int")
+    row_blocks = F.ceil(F.col("_n") / SPLIT_BLOCK).cast("int")
+    mine = F.xxhash64("cid")
+    strays = rows.where("stray").withColumn("_s", F.pmod(mine, stray_blocks).cast("int")).withColumn(
+        "_r", F.explode(F.sequence(F.lit(0), row_blocks - 1))).withColumn("other", F.lit(False))
+    others = rows.withColumn("_r", F.pmod(mine, row_blocks).cast("int")).withColumn(
+        "_s", F.explode(F.sequence(F.lit(0), stray_blocks - 1))).withColumn("other", F.lit(True))
+    cells = strays.unionByName(others).select(
+        F.xxhash64("key", "_s", "_r").alias("cell"), "other", "cid", "comp", "n", "pos", "stray")
+    return cells.repartition("cell").sortWithinPartitions("cell", "other").mapInArrow(_meet_strays(percent), "a long, b long")
+
+
 def _remaining_pairs(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """All pairs of one group (key) but different components that may be links; larger groups are split first."""
-    found, large = None, rows
-    for split in ("key", "n", "p2", "p3"):
+    """All pairs of one group (key) but different components that may be links; huge groups are split first."""
+    found, levels = [], ["n", "p2", "p3"]
+    while True:
+        rows = checkpointed(rows)
+        rows = checkpointed(_of_groups(rows, _open_groups(rows)))
+        found.append(_listed(rows.where(F.col("_n") <= GROUP), percent))
+        large = rows.where((F.col("_n") > GROUP) & (F.col("_n") <= SPLIT)) if levels else rows.where(F.col("_n") > GROUP)
+        if not large.isEmpty():
+            found.append(_strays_with_all(large.drop("_n"), percent))
+        huge = rows.where(F.col("_n") > SPLIT).drop("_n")
+        if not levels or huge.isEmpty():
+            break
+        split = levels.pop(0)
         if split == "n":
             band = F.floor(F.log(F.col("n")) / (1.001 * math.log(100 / percent)))  # two sets of similar length are in one band or in neighbours
-            large = large.withColumn("_part", F.explode(F.array(band, band + 1)))
-        elif split != "key":
-            large = large.join(reps.select("cid", split), "cid").withColumn("_part", F.explode(split)).drop(split)
-        if split != "key":
-            large = large.withColumn("key", F.xxhash64("key", "_part")).drop("_part")
-        large = checkpointed(large)
-        large = checkpointed(_of_groups(large, _open_groups(large)))
-        part = _listed(large.where(F.col("_n") <= GROUP), percent)
-        found = part if found is None else found.unionByName(part)
-        large = large.where(F.col("_n") > GROUP).drop("_n")
-        if large.isEmpty():
-            return found
-    groups = checkpointed(large.groupBy("key").agg(F.count(F.lit(1)).alias("_n")))
-    blocks = F.ceil(2 * F.col("_n") / GROUP).cast("int")
-    cells = _of_groups(large, groups).withColumn("_mine", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn(
-        "_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = cells.withColumn("key", F.xxhash64("key", F.least("_mine", "_other"), F.greatest("_mine", "_other")))
-    return found.unionByName(_listed(cells, percent))
+            rows = huge.withColumn("_part", F.explode(F.array(band, band + 1)))
+        else:
+            rows = huge.join(reps.select("cid", split), "cid").withColumn("_part", F.explode(split)).drop(split)
+        rows = rows.withColumn("key", F.xxhash64("key", "_part")).drop("_part")
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    return pairs
 
 
 def _links(reps: DataFrame, size: int, percent: int) -> DataFrame:
