@@ -9,13 +9,14 @@ out the others by a permutation of its own; how often is read from counts over
 all documents in a table of fixed size.
 
 Rows of the first order's prefixes meet by shingle. First every class is
-compared with one class of its group only, which joins large groups of near
+compared with one class of its group only, the one of the most frequent shingles
+(of near copies that is the least changed one), which joins large groups of near
 copies without pairing all of them. What matters after that are pairs that
 these links haven't joined: they are listed in full. In a large group only the
 classes outside its largest component are held against all, cell by cell. A
 huge group is split before by length and by the prefixes of the other orders,
 which loses no link, as a pair has to share a shingle of those too. Pairs then
-pass the filters of the other orders, and the sets of those left are compared
+pass a bound on how many shingles differ, the filters of the other orders, and the sets of those left are compared
 shingle by shingle.
 """
 
@@ -43,6 +44,8 @@ BLOCK = 1 << 14
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 """Multipliers (odd, of high weight) that mix the words of a shingle and permute the orders."""
 N_ORDERS = 3
+FREQUENT = 9
+"""Classes of rarity above this hold the shingles that occur more than some 2**FREQUENT times oftener than chance gives."""
 
 
 class _WordHashes(dict):
@@ -84,6 +87,11 @@ def shingle_tokens(text: bytes, size: int, hashes: dict[bytes, int]) -> np.ndarr
     return np.unique(mixed ^ (mixed >> np.uint64(32)))
 
 
+def _places(tokens: np.ndarray) -> np.ndarray:
+    """Where shingles are counted in the table."""
+    return (tokens >> np.uint64(64 - SKETCH_BITS)).view(np.int64)
+
+
 def prefix_length(n: int, percent: int) -> int:
     """Two sets, one of n shingles, that are similar enough share one of that many first shingles, under any order."""
     return n - -(-percent * n // 100) + 1
@@ -93,11 +101,13 @@ def prefixes(tokens: np.ndarray, classes: np.ndarray, percent: int) -> list[np.n
     """The prefix under each order: rare shingles first, equally rare ones by a permutation of the order's own."""
     if not len(tokens):
         return [tokens] * N_ORDERS
-    rarity = classes[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)
-    length, out = prefix_length(len(tokens), percent), []
+    rarity = classes[_places(tokens)].astype(np.uint64) << np.uint64(56)
+    last, out = prefix_length(len(tokens), percent) - 1, []
     for k in range(N_ORDERS):
         permuted = tokens * _ODD[k + 1]
-        out.append(tokens[np.argsort(rarity | ((permuted ^ (permuted >> np.uint64(31))) >> np.uint64(8)), kind="stable")[:length]])
+        rank = rarity | ((permuted ^ (permuted >> np.uint64(31))) >> np.uint64(8))
+        first = np.flatnonzero(rank <= np.partition(rank, last)[last])  # all that tie with the last one too
+        out.append(tokens[first[np.argsort(rank[first], kind="stable")] if k == 0 else first])
     return out
 
 
@@ -119,7 +129,7 @@ def _read_sets(source: DataFrame, size: int) -> DataFrame:
             sizes, digests = [], []
             for t in b.column(2):
                 tokens = shingle_tokens(t.as_py(), size, hashes)
-                np.add.at(counts, (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                np.add.at(counts, _places(tokens), 1)
                 sizes.append(len(tokens))
                 digests.append(_digest(tokens))
             nulls = [pa.nulls(len(sizes), f.type) for f in list(_SETS_ARROW)[4:]]
@@ -161,13 +171,31 @@ def _rarity(blocks: DataFrame, total: int) -> np.ndarray:
     return classes
 
 
-_REPS = "cid long, n long, p1 array<long>, p2 array<int>, p3 array<int>, text binary"
-_REPS_ARROW = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("p1", pa.list_(pa.int64())), ("p2", pa.list_(pa.int32())),
+_ODDS = ["o0", "o1", "o2", "o3"]
+_REPS = "cid long, n long, hot long, ord long, o0 long, o1 long, o2 long, o3 long, p1 array<long>, p2 array<int>, p3 array<int>, text binary"
+_REPS_ARROW = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("hot", pa.int64()), ("ord", pa.int64()), *[(o, pa.int64()) for o in _ODDS], ("p1", pa.list_(pa.int64())), ("p2", pa.list_(pa.int32())),
                          ("p3", pa.list_(pa.int32())), ("text", pa.binary())])
 
 
+def odd_sketch(tokens: np.ndarray) -> np.ndarray:
+    """256 bits, each telling whether an odd number of shingles falls on it: two sets differ in at least as many shingles as their bits do."""
+    odd = (np.bincount((tokens >> np.uint64(20) & np.uint64(255)).view(np.int64), minlength=256) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
+def _may_link(n: np.ndarray, m: np.ndarray, most: np.ndarray, odds: list[np.ndarray], others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether sets of n and m shingles, ``most`` of them in common, may be similar enough; their sketches bound the common ones too."""
+    least = -(-percent * (n + m) // (100 + percent))  # so many common ones make a link
+    take = most >= least
+    if take.any():
+        differ = sum(np.bitwise_count(x ^ y).astype(np.int64) for x, y in zip(odds, others))
+        take &= differ <= n + m - 2 * least
+    return take
+
+
 def _representatives(texts: DataFrame, classes: np.ndarray, size: int, percent: int) -> DataFrame:
-    """cid, n, prefixes under each order, text: from (cid, digest, text)."""
+    """From (cid, digest, text): cid, n, how many shingles of the first prefix aren't frequent, an order in which
+    sets of frequent shingles come first, the odd sketch, prefixes under each order, text."""
     shared = texts.sparkSession.sparkContext.broadcast(classes)
 
     def lists(values: list[np.ndarray], kind) -> pa.Array:
@@ -178,16 +206,20 @@ def _representatives(texts: DataFrame, classes: np.ndarray, size: int, percent:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, table = _WordHashes(), shared.value
         for b in batches:
-            sizes, cut, kept = [], ([], [], []), []
-            for digest, t in zip(b.column(1).to_pylist(), b.column(2)):
+            sizes, cut, kept, cold, order, odds = [], ([], [], []), [], [], [], []
+            for cid, digest, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 tokens = shingle_tokens(t.as_py(), size, hashes)
                 if _digest(tokens) == digest:  # not another row with the same number
                     kept.append(len(sizes))
                     for held, p in zip(cut, prefixes(tokens, table, percent)):
                         held.append(p)
+                    order.append((int(-table[_places(tokens)].mean() * (1 << 20)) << 32) + (cid * int(_ODD[0]) >> 24 & 0xFFFFFFFF))
+                    odds.append(odd_sketch(tokens))
+                    cold.append(int((table[_places(cut[0][-1])] <= FREQUENT).sum()))
                 sizes.append(len(tokens))
             at = pa.array(kept, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(sizes, pa.int64()).take(at), lists(cut[0], np.int64),
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(sizes, pa.int64()).take(at), pa.array(cold, pa.int64()), pa.array(order, pa.int64()),
+                                              *[pa.array(np.array([o[i] for o in odds], np.int64)) for i in range(4)], lists(cut[0], np.int64),
                                               lists(cut[1], np.int32), lists(cut[2], np.int32), b.column(2).take(at)], schema=_REPS_ARROW)
 
     return texts.mapInArrow(run, _REPS)
@@ -283,38 +315,50 @@ def _joined_so_far(links: DataFrame) -> DataFrame:
     return checkpointed(hops.select(F.col("u").alias("cid"), F.col("_next").alias("comp")))
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first one, put together so that no group is cut."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        columns = [b.column(i).to_numpy() for i in range(b.num_columns)]
+        if not len(columns[0]):
+            continue
+        last = int(np.searchsorted(columns[0], columns[0][-1]))
+        if held and (last or held[-1][0][-1] != columns[0][0]):
+            held.append([c[:last] for c in columns])
+            yield [np.concatenate(c) for c in zip(*held)]
+            held = []
+        elif last:
+            yield [c[:last] for c in columns]
+        held.append([c[last:] for c in columns])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
 def _list_pairs(percent: int):
-    """Worker over rows sorted by key (key, cid, comp, n, pos): pairs of a group that may be links and that no link has joined."""
-
-    def pairs_of(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        cid, comp, n, pos = (np.concatenate(x) for x in zip(*rows))
-        order = np.argsort(n, kind="stable")
-        cid, comp, n, pos = cid[order], comp[order], n[order], pos[order]
-        left, right = [], []
-        for i in range(len(cid) - 1):
-            end = np.searchsorted(n, n[i] * 100 // percent, "right")
-            j = np.arange(i + 1, max(end, i + 1))
+    """Worker over rows sorted by key and n (key, cid, comp, n, pos, sketch): pairs of a group that may be links and that no link has joined."""
+
+    def pairs_of(keys: np.ndarray, cid: np.ndarray, comp: np.ndarray, n: np.ndarray, pos: np.ndarray,
+                 *odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+        end = np.repeat(edges[1:], np.diff(edges))  # of each row's group
+        i, left, right = np.arange(len(keys)), [], []
+        for step in range(1, len(keys)):
+            i = i[i + step < end[i]]
+            i = i[n[i + step] * percent <= n[i] * 100]  # rows of a group come in order of n
+            if not len(i):
+                break
+            j = i + step
             # pos is the shingle's place in the prefix: at the first common one, this many may be common at most
             most = 1 + np.minimum(n[i] - pos[i], n[j] - pos[j])
-            j = j[(comp[j] != comp[i]) & (100 * most >= percent * (n[i] + n[j] - most))]
-            left.append(np.full(len(j), cid[i]))
-            right.append(cid[j])
+            take = (comp[j] != comp[i]) & _may_link(n[i], n[j], most, [o[i] for o in odds], [o[j] for o in odds], percent)
+            left.append(cid[i[take]])
+            right.append(cid[j[take]])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         return np.minimum(a, b), np.maximum(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-        for b in batches:
-            keys, columns = b.column(0).to_numpy(), [b.column(i).to_numpy() for i in (1, 2, 3, 4)]
-            edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]) if len(keys) else [0]
-            for low, high in zip(edges, edges[1:]):
-                if keys[low] != key:
-                    if held:
-                        yield _pair_batch(*pairs_of(held))
-                    key, held = keys[low], []
-                held.append([c[low:high] for c in columns])
-        if held:
-            yield _pair_batch(*pairs_of(held))
+        for columns in whole_groups(batches):
+            yield _pair_batch(*pairs_of(*columns))
 
     return run
 
@@ -324,17 +368,17 @@ def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _listed(rows: DataFrame, percent: int) -> DataFrame:
-    return rows.select("key", "cid", "comp", "n", "pos").repartition("key").sortWithinPartitions("key").mapInArrow(
+    return rows.select("key", "cid", "comp", "n", "pos", *_ODDS).repartition("key").sortWithinPartitions("key", "n").mapInArrow(
         _list_pairs(percent), "a long, b long")
 
 
 def _meet_strays(percent: int):
-    """Worker over rows sorted by cell, a cell's strays first (cell, other, cid, comp, n, pos, stray): pairs of a stray and another row."""
+    """Worker over rows sorted by cell, a cell's strays first (cell, other, cid, comp, n, pos, stray, sketch): pairs of a stray and another row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held = None, []
         for b in batches:
-            cells, others, *columns = (b.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            cells, others, *columns = (b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns))
             cuts = np.flatnonzero((cells[1:] != cells[:-1]) | (others[1:] != others[:-1])) + 1
             for low, high in zip([0, *cuts], [*cuts, len(cells)] if len(cells) else []):
                 if cells[low] != cell:
@@ -343,12 +387,14 @@ def _meet_strays(percent: int):
                 if not others[low]:
                     held.append(part)
                     continue
-                for cid, comp, n, pos, _ in zip(*(np.concatenate(x) for x in zip(*held))) if held else ():
+                found = []
+                for cid, comp, n, pos, _, *odds in zip(*(np.concatenate(x) for x in zip(*held))) if held else ():
                     most = 1 + np.minimum(n - pos, part[2] - part[3])
-                    take = (part[1] != comp) & (100 * most >= percent * (n + part[2] - most)) & (~part[4] | (part[0] > cid))
-                    if take.any():
-                        met = part[0][take]
-                        yield _pair_batch(np.minimum(met, cid), np.maximum(met, cid))
+                    take = (part[1] != comp) & (~part[4] | (part[0] > cid)) & _may_link(n, part[2], most, odds, part[5:], percent)
+                    met = part[0][take]
+                    found.append((np.minimum(met, cid), np.maximum(met, cid)))
+                if found:
+                    yield _pair_batch(*(np.concatenate(x) for x in zip(*found)))
 
     return run
 
@@ -370,7 +416,7 @@ def _strays_with_all(rows: DataFrame, percent: int) -> DataFrame:
     others = rows.withColumn("_r", F.pmod(mine, row_blocks).cast("int")).withColumn(
         "_s", F.explode(F.sequence(F.lit(0), stray_blocks - 1))).withColumn("other", F.lit(True))
     cells = strays.unionByName(others).select(
-        F.xxhash64("key", "_s", "_r").alias("cell"), "other", "cid", "comp", "n", "pos", "stray")
+        F.xxhash64("key", "_s", "_r").alias("cell"), "other", "cid", "comp", "n", "pos", "stray", *_ODDS)
     return cells.repartition("cell").sortWithinPartitions("cell", "other").mapInArrow(_meet_strays(percent), "a long, b long")
 
 
@@ -400,15 +446,43 @@ def _remaining_pairs(rows: DataFrame, reps: DataFrame, percent: int) -> DataFram
     return pairs
 
 
+_ROWS = "key long, cid long, n long, pos long, a long, m long"
+
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Worker over rows sorted by key and ord (key, cid, n, pos): those of keys with several rows, with cid and n of the key's first."""
+    for key, cid, n, pos, *_ in whole_groups(batches):
+        edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        size = np.diff(edges)
+        first = np.repeat(edges[:-1], size)
+        at = np.flatnonzero(np.repeat(size, size) > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(x[at], pa.int64()) for x in (key, cid, n, pos, cid[first], n[first])],
+                                         names=["key", "cid", "n", "pos", "a", "m"])
+
+
+def _shared_rows(reps: DataFrame) -> DataFrame:
+    """Rows (key, cid, n, pos) of the first order's prefixes whose shingle another prefix has too, with the first class (a, m; see ord) that has it.
+
+    Shingles that the corpus holds often may be in a great many prefixes: they
+    are counted before they are shuffled, and the heavy ones are salted.
+    """
+    rows = reps.select("cid", "n", "hot", "ord", F.posexplode("p1").alias("pos", "key")).select(
+        "key", "cid", "n", (F.col("pos").cast("long") + 1).alias("pos"), "ord", "hot")
+    cold = rows.where(F.col("pos") <= F.col("hot")).drop("hot").repartition("key").sortWithinPartitions("key", "ord").mapInArrow(_repeated, _ROWS)
+    often = rows.where(F.col("pos") > F.col("hot")).drop("hot")
+    groups = checkpointed(often.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min_by("cid", "ord").alias("a"), F.min_by("n", "ord").alias("m")
+                                                   ).where("_n > 1"))
+    return checkpointed(cold.unionByName(_of_groups(often, groups).drop("_n", "ord")))
+
+
 def _links(reps: DataFrame, size: int, percent: int) -> DataFrame:
     """(u, v): links that join all classes whose sets are similar enough."""
-    rows = reps.select("cid", "n", F.posexplode("p1").alias("pos", "key")).withColumn("pos", F.col("pos").cast("long") + 1)
-    groups = checkpointed(rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("cid").alias("_a"), F.min_by("n", "cid").alias("_m")
-                                                  ).where("_n > 1"))
-    rows = checkpointed(_of_groups(rows, groups).drop("_n"))
-    star = rows.where((F.col("cid") != F.col("_a")) & _long_enough("n", "_m", percent)).select(F.col("_a").alias("a"), F.col("cid").alias("b"))
+    rows = _shared_rows(reps)
+    star = rows.where((F.col("cid") != F.col("a")) & _long_enough("n", "m", percent)).select("a", F.col("cid").alias("b"))
     links = _verified(star, reps, size, percent).toDF("u", "v")
-    rows = rows.select("key", "cid", "n", "pos").join(_joined_so_far(links), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    rows = rows.select("key", "cid", "n", "pos").join(reps.select("cid", *_ODDS), "cid").join(_joined_so_far(links), "cid", "left").withColumn(
+        "comp", F.coalesce("comp", "cid"))
     return links.unionByName(_verified(_remaining_pairs(rows, reps, percent), reps, size, percent).toDF("u", "v"))
 
 
