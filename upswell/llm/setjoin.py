@@ -207,13 +207,13 @@ def _representatives(texts: DataFrame, classes: np.ndarray, size: int, percent:
         hashes, table = _WordHashes(), shared.value
         for b in batches:
             sizes, cut, kept, cold, order, odds = [], ([], [], []), [], [], [], []
-            for cid, digest, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            for digest, t in zip(b.column(1).to_pylist(), b.column(2)):
                 tokens = shingle_tokens(t.as_py(), size, hashes)
                 if _digest(tokens) == digest:  # not another row with the same number
                     kept.append(len(sizes))
                     for held, p in zip(cut, prefixes(tokens, table, percent)):
                         held.append(p)
-                    order.append((int(-table[_places(tokens)].mean() * (1 << 20)) << 32) + (cid * int(_ODD[0]) >> 24 & 0xFFFFFFFF))
+                    order.append(round(256 * (64 - table[_places(tokens)].mean())))
                     odds.append(odd_sketch(tokens))
                     cold.append(int((table[_places(cut[0][-1])] <= FREQUENT).sum()))
                 sizes.append(len(tokens))
@@ -260,22 +260,16 @@ def _meet(pairs: DataFrame, reps: DataFrame, columns: list[str], check: Callable
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _other_orders():
-    """Pairs that share a shingle of their prefixes under every other order."""
-    def start(x: dict):
-        held = [set(x["p2"]), set(x["p3"])]
-        return lambda y: not held[0].isdisjoint(y["p2"]) and not held[1].isdisjoint(y["p3"])
+def _similar(size: int, percent: int):
+    """Pairs that share a shingle of their prefixes under every other order and whose sets, compared shingle by shingle, are similar enough."""
 
-    return start
-
-
-def _same_shingles(size: int, percent: int):
-    """Pairs whose sets are similar enough, compared shingle by shingle."""
     def check():
         def start(x: dict):
-            held = shingle_set(x["text"], size)
+            second, third, held = set(x["p2"]), set(x["p3"]), shingle_set(x["text"], size)
 
             def test(y: dict) -> bool:
+                if second.isdisjoint(y["p2"]) or third.isdisjoint(y["p3"]):
+                    return False
                 other = shingle_set(y["text"], size)
                 common = len(held & other)
                 return 100 * common >= percent * (len(held) + len(other) - common)
@@ -288,10 +282,8 @@ def _same_shingles(size: int, percent: int):
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) that are links."""
-    pairs = checkpointed(pairs.distinct())
-    likely = checkpointed(_meet(pairs, reps, ["p2", "p3"], _other_orders))
-    return checkpointed(_meet(likely, reps, ["text"], _same_shingles(size, percent)))
+    """Those of the pairs (a, b) that are links, once each."""
+    return checkpointed(_meet(checkpointed(pairs.distinct()), reps, ["p2", "p3", "text"], _similar(size, percent)))
 
 
 def _open_groups(rows: DataFrame) -> DataFrame:
@@ -425,7 +417,10 @@ def _remaining_pairs(rows: DataFrame, reps: DataFrame, percent: int) -> DataFram
     found, levels = [], ["n", "p2", "p3"]
     while True:
         rows = checkpointed(rows)
-        rows = checkpointed(_of_groups(rows, _open_groups(rows)))
+        rows = _of_groups(rows, _open_groups(rows))
+        if len(levels) == 3:
+            rows = rows.join(reps.select("cid", *_ODDS), "cid")
+        rows = checkpointed(rows)
         found.append(_listed(rows.where(F.col("_n") <= GROUP), percent))
         large = rows.where((F.col("_n") > GROUP) & (F.col("_n") <= SPLIT)) if levels else rows.where(F.col("_n") > GROUP)
         if not large.isEmpty():
@@ -451,7 +446,7 @@ _ROWS = "key long, cid long, n long, pos long, a long, m long"
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Worker over rows sorted by key and ord (key, cid, n, pos): those of keys with several rows, with cid and n of the key's first."""
+    """Worker over rows sorted by key, ord and cid (key, cid, n, pos): those of keys with several rows, with cid and n of the key's first."""
     for key, cid, n, pos, *_ in whole_groups(batches):
         edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
         size = np.diff(edges)
@@ -469,7 +464,7 @@ def _shared_rows(reps: DataFrame) -> DataFrame:
     """
     rows = reps.select("cid", "n", "hot", "ord", F.posexplode("p1").alias("pos", "key")).select(
         "key", "cid", "n", (F.col("pos").cast("long") + 1).alias("pos"), "ord", "hot")
-    cold = rows.where(F.col("pos") <= F.col("hot")).drop("hot").repartition("key").sortWithinPartitions("key", "ord").mapInArrow(_repeated, _ROWS)
+    cold = rows.where(F.col("pos") <= F.col("hot")).drop("hot").repartition("key").sortWithinPartitions("key", "ord", "cid").mapInArrow(_repeated, _ROWS)
     often = rows.where(F.col("pos") > F.col("hot")).drop("hot")
     groups = checkpointed(often.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min_by("cid", "ord").alias("a"), F.min_by("n", "ord").alias("m")
                                                    ).where("_n > 1"))
@@ -481,8 +476,7 @@ def _links(reps: DataFrame, size: int, percent: int) -> DataFrame:
     rows = _shared_rows(reps)
     star = rows.where((F.col("cid") != F.col("a")) & _long_enough("n", "m", percent)).select("a", F.col("cid").alias("b"))
     links = _verified(star, reps, size, percent).toDF("u", "v")
-    rows = rows.select("key", "cid", "n", "pos").join(reps.select("cid", *_ODDS), "cid").join(_joined_so_far(links), "cid", "left").withColumn(
-        "comp", F.coalesce("comp", "cid"))
+    rows = rows.select("key", "cid", "n", "pos").join(_joined_so_far(links), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     return links.unionByName(_verified(_remaining_pairs(rows, reps, percent), reps, size, percent).toDF("u", "v"))
 
 
