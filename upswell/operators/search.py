@@ -91,31 +91,10 @@ def semantic_search(df: DataFrame, emb: DataFrame, query_vector, top_k: int = 20
         .orderBy(F.col("similarity_score").desc(), F.col(key).asc()).limit(top_k)
 
 
-def batch_semantic_search(df: DataFrame, emb: DataFrame, queries: DataFrame, top_k: int = 10,
-                          key: str = "complaint_id", cfg: SearchConfig = SearchConfig(),
-                          **filters) -> DataFrame:
-    """Exact top-k per query for a DataFrame of queries (query_id, embedding).
-
-    Queries are dealt into blocks and candidates into parts, both of bounded
-    size; each task scores one block against one part (vectors of the same
-    size) and keeps the top-k of each query, which a ranking per query merges.
-    Nothing passes the driver but the two counts.
-    """
-    q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").alias("_q")) \
-        .filter(F.col("_q").isNotNull() & (F.size("_q") > 0))
-    rows = structured_filter(ensure_key(df, key), **filters).select(key)
-    cand = rows.join(valid_embeddings(emb, None, key), key)
-    blocks = max(1, -(-q.count() // cfg.queries_per_block))
-    parts = max(1, -(-emb.count() // cfg.candidates_per_part))
-    q = q.select("query_id", "_q", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_b"),
-                 F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_p"))
-    cand = cand.select(key, "embedding", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("_p"),
-                       F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-
+def block_scorer(key: str, k: int, decimals: int):
+    """Scores of a block of queries (query_id, _q) against some candidates (key, embedding): each query's first k among them."""
     # Everything the Python workers run is defined here, so it is shipped by
     # value: workers need numpy and pandas, not this package.
-    k, decimals = top_k, SCORE_DECIMALS
-
     def score(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
         import pandas as pd
@@ -139,8 +118,32 @@ def batch_semantic_search(df: DataFrame, emb: DataFrame, queries: DataFrame, top
                     found.append(pd.DataFrame({"query_id": np.full(len(best), qid), key: ids[best], "similarity_score": line[best]}))
         return pd.concat(found, ignore_index=True)
 
+    return score
+
+
+def batch_semantic_search(df: DataFrame, emb: DataFrame, queries: DataFrame, top_k: int = 10,
+                          key: str = "complaint_id", cfg: SearchConfig = SearchConfig(),
+                          **filters) -> DataFrame:
+    """Exact top-k per query for a DataFrame of queries (query_id, embedding).
+
+    Queries are dealt into blocks and candidates into parts, both of bounded
+    size; each task scores one block against one part (vectors of the same
+    size) and keeps the top-k of each query, which a ranking per query merges.
+    Nothing passes the driver but the two counts.
+    """
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").alias("_q")) \
+        .filter(F.col("_q").isNotNull() & (F.size("_q") > 0))
+    rows = structured_filter(ensure_key(df, key), **filters).select(key)
+    cand = rows.join(valid_embeddings(emb, None, key), key)
+    blocks = max(1, -(-q.count() // cfg.queries_per_block))
+    parts = max(1, -(-emb.count() // cfg.candidates_per_part))
+    q = q.select("query_id", "_q", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_b"),
+                 F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_p"))
+    cand = cand.select(key, "embedding", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("_p"),
+                       F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+
     out = q.groupBy("_p", "_b").cogroup(cand.groupBy("_p", "_b")).applyInPandas(
-        score, f"query_id long, {key} long, similarity_score double")
+        block_scorer(key, top_k, SCORE_DECIMALS), f"query_id long, {key} long, similarity_score double")
     w = Window.partitionBy("query_id").orderBy(F.col("similarity_score").desc(), F.col(key).asc())
     return out.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= F.lit(top_k))
 

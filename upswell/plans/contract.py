@@ -578,6 +578,15 @@ def search_batch_topk_twentieth_q(spark: SparkSession, sf: str) -> DataFrame:
     return batch_semantic_search(B.v4_documents(spark, sf), emb, queries, 10)
 
 
+@query("search_pruned_topk", ORACLE["search_batch_topk_twentieth"])
+def search_pruned_topk_q(spark: SparkSession, sf: str) -> DataFrame:
+    from upswell.operators.pruned_search import pruned_semantic_search
+
+    emb = B.v6_embeddings(spark, sf)
+    queries = emb.filter(F.col("complaint_id") % 20 == 0).select(F.col("complaint_id").alias("query_id"), "embedding")
+    return pruned_semantic_search(B.v4_documents(spark, sf), emb, queries, 10)
+
+
 @query("search_options", f"""
 WITH {V4}
 SELECT DISTINCT 'product' AS option_kind, canonical_product AS option_value FROM v4 WHERE canonical_product IS NOT NULL

@@ -11,8 +11,9 @@ nothing late is lost, and a batch that runs again changes nothing.
 from __future__ import annotations
 
 import datetime as _dt
+import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -22,7 +23,7 @@ from upswell.functions.dates import Windows, parse_date_column
 from upswell.functions.growth import emerging_flag, with_growth, with_ranks
 from upswell.operators.ingest import company_filter, dedupe_keep_first, missing_columns, normalize_columns
 from upswell.operators.taxonomy import Taxonomy, apply_taxonomy
-from upswell.sources.tables import read_or_empty, write_table
+from upswell.sources.tables import materialize, read_or_empty, write_table
 
 
 def daily_counts(df: DataFrame, keys: list[str], date: str = "date_received") -> DataFrame:
@@ -45,7 +46,10 @@ def ingest_stream(stream: DataFrame, out_path: str, checkpoint: str, cfg: Ingest
     """ST1: headers, company filter, lenient dates, taxonomy, one row per key, into a table by month.
 
     A key that the table holds already is not added again, however long ago it
-    came: an anti-join on the key column alone. Rows without a key are kept.
+    came: keys are held in ``<out_path>_keys`` by hash bucket, and a batch reads only
+    the buckets that its own keys are in. Rows without a key are kept. Batches are
+    named by the stream and their number, so a stream with a new checkpoint adds
+    to what others wrote.
     """
     s = normalize_columns(stream)
     absent = missing_columns(s)
@@ -56,14 +60,17 @@ def ingest_stream(stream: DataFrame, out_path: str, checkpoint: str, cfg: Ingest
         rows = company_filter(df, cfg.company_filter_pattern) if cfg.company_filter_pattern else df
         rows = parse_date_column(rows, "date_received")
         keyed = dedupe_keep_first(rows.filter(F.col(key).isNotNull()), [key], order_by)
-        schema = T.StructType([df.schema[key], T.StructField("_batch", T.LongType())])
-        held = read_or_empty(df.sparkSession, out_path, schema).filter(F.col("_batch") != batch_id)
-        keyed = keyed.join(held.select(key), key, "left_anti")
+        name = _batch_name(df.sparkSession, checkpoint, batch_id)
+        keyed = materialize(keyed.withColumn("_bucket", _bucket(key)))
+        keys = keyed.select(key, "_bucket")
+        keyed = materialize(keyed.join(held_keys(df.sparkSession, out_path, keys, key, name).select(key), key, "left_anti").drop("_bucket"))
         out = keyed.unionByName(rows.filter(F.col(key).isNull()))
         if taxonomy is not None:
             out = apply_taxonomy(out, taxonomy)
-        out = out.withColumn("month", F.date_format("date_received", "yyyy-MM")).withColumn("_batch", F.lit(batch_id))
+        out = out.withColumn("month", F.date_format("date_received", "yyyy-MM")).withColumn("_batch", F.lit(name))
         _overwrite_batch(out, out_path, ["_batch", "month"])
+        added = keyed.select(key).withColumn("_batch", F.lit(name)).withColumn("_bucket", _bucket(key))
+        _overwrite_batch(added, f"{out_path}_keys", ["_bucket", "_batch"])
 
     return _run(s, batch, checkpoint)
 
@@ -73,11 +80,32 @@ def daily_counts_stream(stream: DataFrame, out_path: str, checkpoint: str, keys:
     """ST2: the counts that each batch adds, in a directory of its own; ``read_daily`` sums them."""
     def batch(df: DataFrame, batch_id: int) -> None:
         counts = daily_counts(parse_date_column(df, date), keys, date)
-        _overwrite_batch(counts.withColumn("_batch", F.lit(batch_id)), out_path, ["_batch"])
+        name = _batch_name(df.sparkSession, checkpoint, batch_id)
+        _overwrite_batch(counts.withColumn("_batch", F.lit(name)), out_path, ["_batch"])
 
     return _run(stream, batch, checkpoint)
 
 
+KEY_BUCKETS = 256
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(KEY_BUCKETS)).cast("int")
+
+
+def held_keys(spark: SparkSession, out_path: str, keys: DataFrame, key: str, name: str) -> DataFrame:
+    """The table's keys in the buckets (at most ``KEY_BUCKETS``) of ``keys``, without those that batch ``name`` wrote."""
+    schema = T.StructType([keys.schema[key], T.StructField("_bucket", T.IntegerType()), T.StructField("_batch", T.StringType())])
+    wanted = [r[0] for r in keys.select("_bucket").distinct().collect()]
+    return read_or_empty(spark, f"{out_path}_keys", schema).filter(F.col("_bucket").isin(wanted) & (F.col("_batch") != name))
+
+
+def _batch_name(spark: SparkSession, checkpoint: str, batch_id: int) -> str:
+    """Tells batches of all streams apart: the id that the checkpoint keeps for its stream, and the batch's number."""
+    stream = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+    return f"{stream}-{batch_id}"
+
+
 def _overwrite_batch(df: DataFrame, path: str, partition_by: list[str]) -> None:
     """Write a batch's directories anew, so that a batch that is run again replaces what it wrote."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
