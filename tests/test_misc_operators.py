@@ -187,6 +187,11 @@ DATES = {
     "2024-01-05T12:00:00.123456Z": "2024-01-05 12:00:00.123456", "2024-01-05 12:00": "2024-01-05 12:00:00", "1/5/2024": "2024-01-05 00:00:00",
     "20240105": "2024-01-05 00:00:00", "2024/01/05": "2024-01-05 00:00:00", "Jan 5, 2024": "2024-01-05 00:00:00", "5 January 2024": "2024-01-05 00:00:00",
     "01/05/24 13:01": "2024-01-05 13:01:00", "1/5/70": "1970-01-05 00:00:00", "1/5/2024 1:02:03": "2024-01-05 01:02:03",
+    "01/05/2024 3:04 PM": "2024-01-05 15:04:00", "2024-01-05 3:04:05 PM": "2024-01-05 15:04:05", "2024-01-05 12:30 AM": "2024-01-05 00:30:00",
+    "Mar. 3, 2024 12 PM": "2024-03-03 12:00:00", "5-Jan-2024 1:02:03.5 a.m.": "2024-01-05 01:02:03.5", "2024-01-05 13:00 PM": None,
+    "05.01.2024": "2024-05-01 00:00:00", "25.01.2024": "2024-01-25 00:00:00", "Friday, January 5, 2024": "2024-01-05 00:00:00",
+    "Fri 01/05/24 11pm": "2024-01-05 23:00:00", "2024-01-05T10:00:00 Europe/Amsterdam": "2024-01-05 09:00:00", "2024-01-05x": None,
+    "01-05-2024": None, "Sunday": None,
     "2024-1-5": "2024-01-05 00:00:00", "13/13/2024": None, "junk": None, "": None, "T12:00": None, "2024-02-30": None, "Foo 5, 2024": None,
 }
 

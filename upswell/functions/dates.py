@@ -11,34 +11,83 @@ from pyspark.sql import types as T
 
 from upswell.config import EmergenceConfig
 
-# Date texts that are rewritten to ISO order before the cast (pattern, replacement).
-REWRITES = (
-    (r"^(\d{1,2})/(\d{1,2})/(\d{4})(?=$|[ T])", "$3-$1-$2"),
-    (r"^(\d{1,2})/(\d{1,2})/([7-9]\d|69)(?=$|[ T])", "19$3-$1-$2"),
-    (r"^(\d{1,2})/(\d{1,2})/(\d{2})(?=$|[ T])", "20$3-$1-$2"),
-    (r"^(\d{4})/(\d{1,2})/(\d{1,2})(?=$|[ T])", "$1-$2-$3"),
-    (r"^(\d{4})(\d{2})(\d{2})(?=$|[ T])", "$1-$2-$3"),
-    (r"^([A-Za-z]{3,9})\.? (\d{1,2}),? (\d{4})(?=$|[ T])", "$3-$1-$2"),
-    (r"^(\d{1,2})[ -]([A-Za-z]{3,9})\.?[ -](\d{4})(?=$|[ T])", "$3-$2-$1"),
+# Date texts (pattern, places of year, month and day among its groups); the first that fits counts.
+DATE_FORMS = (
+    (r"(\d{4})-(\d{1,2})-(\d{1,2})", (1, 2, 3)),
+    (r"(\d{1,2})/(\d{1,2})/(\d{4})", (3, 1, 2)),
+    (r"(\d{1,2})/(\d{1,2})/(\d{2})", (3, 1, 2)),
+    (r"(\d{4})/(\d{1,2})/(\d{1,2})", (1, 2, 3)),
+    (r"(\d{4})(\d{2})(\d{2})", (1, 2, 3)),
+    (r"(0?[1-9]|1[0-2])\.(\d{1,2})\.(\d{4})", (3, 1, 2)),
+    (r"(\d{1,2})\.(0?[1-9]|1[0-2])\.(\d{4})", (3, 2, 1)),
+    (r"([A-Za-z]{3,9})\.? (\d{1,2}),? (\d{4})", (3, 1, 2)),
+    (r"(\d{1,2})[ -]([A-Za-z]{3,9})\.?[ -](\d{4})", (3, 2, 1)),
 )
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+WEEKDAY = r"(?:(?i:mon|tue|wed|thu|fri|sat|sun)[A-Za-z]{0,6}\.?,? +)?"
+HALF_DAY = r"[AaPp]\.?[Mm]\.?"
+FIRST_YEAR = 69
+"""Two-digit years from this one on are of the 20th century."""
+
+
+def _any_form() -> tuple[str, str]:
+    """All forms as one pattern, and the replacement that puts whichever matched in ISO order."""
+    patterns, parts, n = [], ["", "", ""], 0
+    for pattern, places in DATE_FORMS:
+        patterns.append(pattern)
+        parts = [p + f"${n + place}" for p, place in zip(parts, places)]  # groups of other forms are empty
+        n += len(places)
+    return f"^{WEEKDAY}(?:{'|'.join(patterns)})(?=$|[ T])", "-".join(parts)
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated a single time, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _iso(text: Column) -> Column:
+    """A timestamp from year-month-day and what follows; the month may be a name, the year short, the time of 12 hours."""
+    named = F.lower(F.regexp_extract(text, r"^\d+-([A-Za-z]{3})", 1))
+    number = F.array_position(F.array(*map(F.lit, MONTHS)), named)
+    text = F.when(named == "", text).when(number > 0, F.regexp_replace(
+        text, F.lit("-[A-Za-z]+-"), F.concat(F.lit("-"), number.cast("string"), F.lit("-"))))
+    year = F.regexp_extract(text, r"^(\d\d)-", 1)
+    text = F.when(year == "", text).otherwise(F.concat(F.when(year >= str(FIRST_YEAR), F.lit("19")).otherwise(F.lit("20")), text))
+    return _once(text, lambda t: F.when(t.rlike(f"{HALF_DAY}$"), _once(
+        F.regexp_extract(t, rf"^(?:[^ T]+[ T]+)(0?[1-9]|1[0-2])(?::\d\d(?::\d\d(?:\.\d+)?)?)? ?{HALF_DAY}$", 1),
+        lambda hour: F.when(hour != "", _half_day(t, hour))).try_cast("timestamp")).otherwise(t.try_cast("timestamp")))
+
+
+def _half_day(text: Column, hour: Column) -> Column:
+    """The text with its hour of 1 to 12 as one of 0 to 23 (12 AM is 0)."""
+    later = F.when(text.rlike(r"[Pp]\.?[Mm]\.?$"), 12).otherwise(0)
+    of_day = F.lpad((hour.cast("int") % 12 + later).cast("string"), 2, "0")
+    minutes = F.regexp_extract(text, r"[ T]+\d{1,2}((?::\d\d){1,2}(?:\.\d+)?)", 1)
+    return F.concat(F.regexp_extract(text, "^([^ T]+)", 1), F.lit(" "), of_day, F.when(minutes == "", F.lit(":00")).otherwise(minutes))
 
 
 def lenient_timestamp(col: Column) -> Column:
     """Parse to timestamp; junk becomes NULL instead of failing (ANSI-safe).
 
-    ISO dates with or without a time (to minutes, seconds or fractions) and
-    an offset or ``Z`` (turned to UTC), compact ``yyyyMMdd``, ``yyyy/m/d``,
-    ``m/d/yyyy``, ``m/d/yy`` and dates with the month's name; single digits need no
-    leading zero.
+    ISO dates with or without a time (to minutes, seconds or fractions, also of
+    12 hours with AM or PM) and an offset or ``Z`` (turned to UTC), compact
+    ``yyyyMMdd``, ``yyyy/m/d``, ``m/d/yyyy``, ``m/d/yy``, ``m.d.yyyy`` and dates
+    with the month's name, all also after a weekday's name, which isn't checked;
+    single digits need no leading zero. Dots are read month first like slashes,
+    and day first only where the first number is above 12. ISO texts are cast as they are; any
+    other text is brought to ISO order by one search over all forms.
     """
-    s = F.btrim(col.cast("string"))
-    for pattern, iso in REWRITES:
-        s = F.regexp_replace(s, pattern, iso)
-    named = F.lower(F.regexp_extract(s, r"^\d{4}-([A-Za-z]{3})[A-Za-z]*-", 1))
-    number = F.array_position(F.array(*map(F.lit, MONTHS)), named)
-    s = F.when(named == "", s).when(number > 0, F.regexp_replace(s, F.lit("-[A-Za-z]+-"), F.concat(F.lit("-"), number.cast("string"), F.lit("-"))))
-    return F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}(?:$|[ T])"), s.try_cast("timestamp"))
+    pattern, order = _any_form()
+    plain = rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}(?:$|[ T](?![^A-Za-z]*{HALF_DAY}$))"
+
+    def parse(s: Column) -> Column:
+        # A text that no form fits stays as it is.
+        moved = F.regexp_replace(s, pattern, order)
+        other = _once(moved, lambda t: F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), t.try_cast("timestamp")).when(
+            (t != s) | t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}[ T]"), _iso(t)))
+        return F.when(s.rlike(plain), s.try_cast("timestamp")).otherwise(other)
+
+    return _once(F.btrim(col.cast("string")), parse)
 
 
 def parse_date_column(df: DataFrame, name: str = "date_received") -> DataFrame:

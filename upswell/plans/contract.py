@@ -810,9 +810,11 @@ def search_text_topk_q(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- cases the plain bindings don't hold
 
 DATE_TEXTS = ("%Y-%m-%d", "%m/%d/%Y", "%-m/%-d/%Y", "%Y%m%d", "%Y/%m/%d", "%b %-d, %Y", "%Y-%m-%d 12:00", "%Y-%m-%dT23:30:00-05:00",
-              "%Y-%m-%dT12:00:00Z", "%Y-%m-%dT12:00:00.123456Z", "%m/%d/%y", "not a date %Y")
+              "%Y-%m-%dT12:00:00Z", "%Y-%m-%dT12:00:00.123456Z", "%m/%d/%y", "not a date %Y",
+              "%-m/%-d/%Y 3:04 PM", "%A, %B %-d, %Y", "%m.%d.%Y")
 _JAVA_DATES = ("yyyy-MM-dd", "MM/dd/yyyy", "M/d/yyyy", "yyyyMMdd", "yyyy/MM/dd", "MMM d, yyyy", "yyyy-MM-dd' 12:00'", "yyyy-MM-dd'T23:30:00-05:00'",
-               "yyyy-MM-dd'T12:00:00Z'", "yyyy-MM-dd'T12:00:00.123456Z'", "MM/dd/yy", "'not a date 'yyyy")
+               "yyyy-MM-dd'T12:00:00Z'", "yyyy-MM-dd'T12:00:00.123456Z'", "MM/dd/yy", "'not a date 'yyyy",
+               "M/d/yyyy' 3:04 PM'", "EEEE, MMMM d, yyyy", "MM.dd.yyyy")
 
 
 @query("parse_dates", f"""
