@@ -1,5 +1,7 @@
 """Plan-shape checks: the properties the operators are designed around."""
 
+import re
+
 import pytest
 
 SF = "/root/testdata/sf0.001"
@@ -31,6 +33,14 @@ def test_emergence_scan_is_pruned_and_single(spark):
     assert "l_quantity" not in scans[0]  # column pruning: only the referenced columns
 
 
+def test_emergence_ranks_no_product_rows_in_one_task(spark):
+    df = _entry().queries()["emerging_summary"](spark, SF)
+    df.collect()
+    final = _plan(df).split("== Initial Plan ==")[0]
+    single = re.findall(r"Exchange SinglePartition.*\n(.*)", final)
+    assert len(single) == 2 and all("HashAggregate(keys=[_range#" in below for below in single)
+
+
 def test_dedupe_is_partially_aggregated(spark):
     plan = _plan(_entry().queries()["dedupe_keep_first"](spark, SF))
     assert "partial_min" in plan and "Window" not in plan

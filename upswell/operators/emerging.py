@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from upswell.config import EmergenceConfig
 from upswell.functions.dates import Windows, max_timestamp, months_between, parse_date_column
-from upswell.functions.growth import (emergence_order, emerging_flag, product_takeaway,
+from upswell.functions.growth import (VOLUMES, emergence_order, emerging_flag, product_takeaway,
                                       with_growth, with_ranks)
 from upswell.operators.windows import issue_col, product_col, window_volumes
 
@@ -87,7 +87,8 @@ def emerging_summary(df: DataFrame, cfg: EmergenceConfig = EmergenceConfig(),
         return _empty(df, SUMMARY_SCHEMA)
     state = "state" if "state" in prepared.columns else None
     vol = window_volumes(prepared, [pc], w, state=state, date=date, partition=cfg.partition_column)
-    s = with_ranks(with_growth(vol))
+    # Ranked by ranges of volume, so that no task sorts all products; one shuffle of the counts feeds all branches.
+    s = with_growth(with_ranks(vol, method="ranges", counted=VOLUMES))
     s = s.withColumn("emerging", emerging_flag(cfg.growth_threshold, cfg.min_prior_volume, cfg.top_n_rank))
     s = s.withColumn("meets_min_volume", F.col("current_volume") >= F.lit(cfg.min_current_volume))
     return s.select(F.col(pc).cast("string").alias("product"), *[f.name for f in SUMMARY_SCHEMA.fields[1:]])

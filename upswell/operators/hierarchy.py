@@ -73,8 +73,8 @@ def hierarchy_summary(df: DataFrame, cfg: EmergenceConfig = EmergenceConfig(),
     g = g.withColumn("growth_ratio", ratio(F.col("current_volume"), F.col("prior_volume")))
     g = g.withColumn("growth_pct", growth_pct(F.col("growth_ratio")))
     # The roll-up is small but has a row for every issue: it is written once, and ranks come
-    # from the histogram of its volumes instead of a sort of a whole level in one task.
-    g = with_ranks(materialize(g), by=["level"], method="histogram")
+    # from ranges of its volumes instead of a sort of a whole level in one task.
+    g = with_ranks(materialize(g), by=["level"], method="ranges")
     return g.select("level", "name", "parent", *keys, "current_volume", "prior_volume",
                     "baseline_volume", "growth_ratio", "growth_pct", "rank_current", "rank_prior",
                     "rank_improved")

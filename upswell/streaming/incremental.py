@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from upswell.config import IngestConfig
 from upswell.functions.dates import Windows, parse_date_column
-from upswell.functions.growth import emerging_flag, with_growth, with_ranks
+from upswell.functions.growth import VOLUMES, emerging_flag, with_growth, with_ranks
 from upswell.operators.ingest import company_filter, dedupe_keep_first, missing_columns, normalize_columns
 from upswell.operators.taxonomy import Taxonomy, apply_taxonomy
 from upswell.sources.tables import materialize, read_or_empty, write_table
@@ -158,7 +158,7 @@ def emerging_summary_from_daily(daily: DataFrame, cfg, reference_date=None, prod
     else:
         aggs.append(F.lit(0).cast("long").alias("distinct_states"))
     vol = d.filter(w.span(F.col("_ts"), like)).groupBy(F.col(product).cast("string").alias("product")).agg(*aggs)
-    s = with_ranks(with_growth(vol))
+    s = with_growth(with_ranks(vol, method="ranges", counted=VOLUMES))
     s = s.withColumn("emerging", emerging_flag(cfg.growth_threshold, cfg.min_prior_volume, cfg.top_n_rank))
     s = s.withColumn("meets_min_volume", F.col("current_volume") >= F.lit(cfg.min_current_volume))
     return s.select(*[f.name for f in SUMMARY_SCHEMA.fields])
