@@ -22,6 +22,8 @@ class EmergenceConfig:
     hide_new_until_persistent: bool = False
     # Month column of a table written by month ("month" for tables that ingest wrote); None for others.
     partition_column: str | None = None
+    # Relative error up to which distinct states may be estimated; None counts them exactly.
+    distinct_states_rsd: float | None = None
 
 
 @dataclass(frozen=True)

@@ -86,7 +86,8 @@ def emerging_summary(df: DataFrame, cfg: EmergenceConfig = EmergenceConfig(),
     if w is None:
         return _empty(df, SUMMARY_SCHEMA)
     state = "state" if "state" in prepared.columns else None
-    vol = window_volumes(prepared, [pc], w, state=state, date=date, partition=cfg.partition_column)
+    vol = window_volumes(prepared, [pc], w, state=state, date=date, partition=cfg.partition_column,
+                         rsd=cfg.distinct_states_rsd)
     # Ranked by ranges of volume, so that no task sorts all products; one shuffle of the counts feeds all branches.
     s = with_growth(with_ranks(vol, method="ranges", counted=VOLUMES))
     s = s.withColumn("emerging", emerging_flag(cfg.growth_threshold, cfg.min_prior_volume, cfg.top_n_rank))

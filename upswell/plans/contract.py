@@ -1019,3 +1019,57 @@ def assign_to_centres_q(spark: SparkSession, sf: str) -> DataFrame:
     emb = B.v6_embeddings(spark, sf)
     centres = emb.where(F.col("complaint_id") < 8).select(F.col("complaint_id").cast("int").alias("topic_id"), F.col("embedding").alias("centre"))
     return assign_to_centres(emb, centres)
+
+
+# ---------------------------------------------------------------- rollups that merge, typed CSV
+
+def _event_windows_sql(start: int, end: int, name: str) -> str:
+    return f"""count(*) FILTER (WHERE back >= {start} AND back < {end}) AS {name}_volume,
+       count(DISTINCT user_id) FILTER (WHERE back >= {start} AND back < {end}) AS {name}_distinct,
+       count(DISTINCT user_id) FILTER (WHERE back >= {start} AND back < {end}) AS {name}_exact,
+       TRUE AS {name}_within_3_pct"""
+
+
+@query("event_users_sketch", f"""
+WITH newest AS (SELECT max(CAST(ts AS DATE)) AS day FROM events),
+e AS (SELECT event_type, user_id, date_diff('day', CAST(ts AS DATE), newest.day) AS back FROM events, newest WHERE ts IS NOT NULL)
+SELECT event_type, {_event_windows_sql(0, 7, 'current')},
+       {_event_windows_sql(7, 14, 'prior')},
+       {_event_windows_sql(14, 28, 'baseline')}
+FROM e WHERE back < 28 GROUP BY 1""")
+def event_users_sketch_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct users of each event type and window, merged from a rollup of daily sketches, beside the exact counts (A2)."""
+    from upswell.functions.dates import Windows
+    from upswell.operators.windows import daily_sketches, volumes_from_sketches
+    from upswell.sources.tables import materialize, read_table
+
+    events = read_table(spark, sf, "events")
+    daily = materialize(daily_sketches(events, ["event_type"], "user_id", "ts"))
+    newest = daily.agg(F.max("day")).first()[0]
+    names = ("current", "prior", "baseline")
+    if newest is None:
+        newest = _dt.date(1970, 1, 1)
+    w = Windows.ending_at(_dt.datetime.combine(newest, _dt.time()) + _dt.timedelta(days=1), 7, 7, 14)
+    like = events.schema["ts"].dataType
+    exact = w.rows(events, "ts").groupBy("event_type").agg(
+        *[F.count_distinct(F.when(flag, F.col("user_id"))).alias(f"{n}_exact") for n, flag in zip(names, w.flags(F.col("ts"), like))])
+    out = volumes_from_sketches(daily, ["event_type"], w).join(exact.withColumnRenamed("event_type", "_type"), F.col("event_type").eqNullSafe(F.col("_type")))
+    near = [(F.abs(F.col(f"{n}_distinct") - F.col(f"{n}_exact")) * 100 <= F.col(f"{n}_exact") * 3).alias(f"{n}_within_3_pct") for n in names]
+    return out.select("event_type", *[f"{n}_{c}" for n in names for c in ("volume", "distinct", "exact")], *near)
+
+
+@query("csv_types", """
+SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
+       l_returnflag, l_linestatus, l_shipdate
+FROM lineitem""")
+def csv_types_q(spark: SparkSession, sf: str) -> DataFrame:
+    """``lineitem`` written as CSV and read again with the types found from all its texts."""
+    import uuid
+
+    from upswell.session import ensure_checkpoint_dir
+    from upswell.sources.files import read_complaints_csv
+    from upswell.sources.tables import read_table
+
+    path = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4()}"
+    read_table(spark, sf, "lineitem").write.option("header", True).csv(path)
+    return read_complaints_csv(spark, path, types=True, multi_line=False)
