@@ -1073,3 +1073,50 @@ def csv_types_q(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4()}"
     read_table(spark, sf, "lineitem").write.option("header", True).csv(path)
     return read_complaints_csv(spark, path, types=True, multi_line=False)
+
+
+# ---------------------------------------------------------------- records and exports that are written and read again
+
+@query("records_round_trip", f"""
+WITH {S.V1}, {S.summary_ctes('s', 'v1')}, {S.records_ctes('r', 's', 'v1')}
+SELECT * FROM r""")
+def records_round_trip_q(spark: SparkSession, sf: str) -> DataFrame:
+    """The emerging products written as JSON records and read again, as the next run does."""
+    import uuid
+
+    from upswell.session import ensure_checkpoint_dir
+    from upswell.sources.files import read_previous_records, write_records_json
+
+    path = f"{ensure_checkpoint_dir(spark)}/records-{uuid.uuid4()}"
+    write_records_json(E.emerging_products(B.v1_emergence(spark, sf), CFG, B.newest_shipdate(spark, sf)), path)
+    return E.flatten_records(read_previous_records(spark, path, E.RECORD_SCHEMA))
+
+
+@query("drill_export_file", f"""
+WITH {V3}, {SL},
+top AS (SELECT canonical_product, canonical_issue FROM sl GROUP BY 1, 2 ORDER BY count(*) DESC, 1, 2 LIMIT 1)
+SELECT 'complaints_' || regexp_replace(canonical_issue, '[^\\pL\\pN]', '_', 'g') AS file, CAST(l_orderkey AS BIGINT) AS l_orderkey,
+       CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(date_received AS DATE) AS date_received, product, issue, state, company
+FROM sl JOIN top USING (canonical_product, canonical_issue)""")
+def drill_export_file_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows behind the largest cell, exported as a CSV file named by its issue and read again."""
+    import uuid
+
+    from upswell.functions.text import safe_token
+    from upswell.operators.report import drill, prepare_export, write_csv
+    from upswell.session import ensure_checkpoint_dir
+    from upswell.sources.files import read_complaints_csv
+
+    rows = _v3_slice(spark, sf)[2]
+    cells = rows.groupBy("canonical_product", "canonical_issue").agg(F.count(F.lit(1)).alias("n"))
+    top = cells.orderBy(F.desc("n"), "canonical_product", "canonical_issue").select(
+        "canonical_product", "canonical_issue", safe_token(F.col("canonical_issue")).alias("token")).first()
+    if top is None:
+        cell, name = rows.limit(0), "complaints_none"
+    else:
+        cell, name = drill(rows, top["canonical_product"], top["canonical_issue"]), f"complaints_{top['token']}"
+    path = f"{ensure_checkpoint_dir(spark)}/export-{uuid.uuid4()}/{name}"
+    columns = ["l_orderkey", "l_linenumber", "date_received", "product", "issue", "state", "company"]
+    write_csv(prepare_export(cell).select(*columns), path)
+    back = read_complaints_csv(spark, path, types=True, multi_line=False)
+    return back.select(F.lit(name).alias("file"), *columns)
