@@ -33,14 +33,15 @@ class CellIndex:
     centres: list
 
 
-def build_cells(emb: DataFrame, key: str = "complaint_id", n_cells: int = 256, order_col: str | None = None) -> CellIndex:
+def build_cells(emb: DataFrame, key: str = "complaint_id", n_cells: int = 256, order_col: str | None = None,
+                unique: bool = False) -> CellIndex:
     """Cells over the valid embeddings.
 
     The centres are ``n_cells`` embeddings chosen by a hash of their key: the only
     rows that pass the driver, besides one row per cell. Vectors of a size that
-    no centre has go to a cell around zero of their own size.
+    no centre has go to a cell around zero of their own size. ``unique``: see ``valid_embeddings``.
     """
-    vectors = valid_embeddings(emb, None, key, order_col)
+    vectors = valid_embeddings(emb, None, key, order_col, unique)
     chosen = [r["embedding"] for r in vectors.orderBy(F.xxhash64(key), key).limit(n_cells).collect()]
     shared = emb.sparkSession.sparkContext.broadcast([[float(x) for x in c] for c in chosen])
 
@@ -70,7 +71,7 @@ def build_cells(emb: DataFrame, key: str = "complaint_id", n_cells: int = 256, o
     return CellIndex(members, materialize(cells.select(F.col("_cell").alias("cell"), "dim", "radius", "n")), chosen)
 
 
-def _cell_table(index: CellIndex) -> list[tuple]:
+def cell_table(index: CellIndex) -> list[tuple]:
     """(cell, centre, radius, n): one row per cell."""
     return [(r["cell"], [float(x) for x in index.centres[r["cell"]]] if r["cell"] >= 0 else [0.0] * r["dim"], r["radius"], r["n"])
             for r in index.cells.collect()]
@@ -89,7 +90,7 @@ def pruned_semantic_search(df: DataFrame, emb: DataFrame, queries: DataFrame, to
     wanted = ensure_key(emb, key).join(rows.distinct(), key, "left_semi")
     index = build_cells(wanted, key, n_cells)
     spark = emb.sparkSession
-    table = spark.sparkContext.broadcast(_cell_table(index))
+    table = spark.sparkContext.broadcast(cell_table(index))
 
     def cells_of(first: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

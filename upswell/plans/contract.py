@@ -782,6 +782,26 @@ def assign_topics_q(spark: SparkSession, sf: str) -> DataFrame:
     return assign_topics(B.v6_embeddings(spark, sf), k=9)
 
 
+TOPIC_SIMILARITY, TOPIC_SIZE = 0.4, 3
+
+
+@query("similarity_topics", f"""
+WITH RECURSIVE u AS (
+  SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e
+  FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
+), link AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON list_dot_product(a.e, b.e) >= {TOPIC_SIMILARITY} - 1e-9
+), reach AS (
+  SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b
+), grouped AS (SELECT a AS complaint_id, min(b) AS g, count(*) AS topic_size FROM reach GROUP BY a)
+SELECT complaint_id, CASE WHEN topic_size >= {TOPIC_SIZE} THEN g ELSE -1 END AS topic_id, topic_size FROM grouped""")
+def similarity_topics_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Topics whose number is found from the vectors (N4): connected groups of cosine 0.4 or more, three rows or more."""
+    from upswell.operators.topic_graph import similarity_topics
+
+    return similarity_topics(B.v6_embeddings(spark, sf), TOPIC_SIMILARITY, TOPIC_SIZE, n_cells=32)
+
+
 @query("emerging_summary_from_daily", ORACLE["emerging_summary"])
 def emerging_summary_from_daily_q(spark: SparkSession, sf: str) -> DataFrame:
     """E1 from the (day, product, issue, state) rollup the incremental job keeps (ST2)."""
