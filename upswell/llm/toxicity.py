@@ -5,10 +5,10 @@ words; the models of later categories also get the probabilities of the earlier
 ones. While learning, those probabilities are out of fold: a document's inputs
 come from models that haven't seen it, as they will for new documents.
 
-Labelled are the documents of the ``labels`` table. The last category is the
-label itself; the ones before it are weak labels: the label, and a word of the
-category's list in the text. The lists only label training rows; predictions
-rest on the learned weights of the words chosen from the corpus.
+Labelled are the documents of the ``labels`` table. The first category is its
+mark of low quality, the last its mark of toxicity. Between them stand two kinds of
+toxic texts, which the toxic training rows part into by themselves: the two sides of the
+direction in which the words that set them off from clean rows vary most.
 """
 
 from __future__ import annotations
@@ -22,22 +22,24 @@ from pyspark.sql import functions as F
 
 from upswell.llm.common import checkpointed, text_bytes, with_row_id
 
-# Words that name a person in contempt, and words of contempt for anything.
-CATEGORIES = {
-    "insult": ("idiot", "moron", "clown", "loser", "scum", "fool", "jerk", "imbecile", "dummy", "bastard"),
-    "contempt": ("trash", "pathetic", "disgusting", "worthless", "stupid", "garbage", "vile", "filthy", "useless", "dumb"),
-}
+CATEGORIES = ("low_quality", "kind_1", "kind_2", "toxic")
 MAX_TRAINING_ROWS = 20_000
 """At most so many labelled documents are learned from, chosen by a hash of the id, toxic and clean in their own proportion."""
-VOCABULARY, MIN_DOCUMENTS, FOLDS = 256, 5, 5
+VOCABULARY, QUALITY_VOCABULARY, MIN_DOCUMENTS, FOLDS = 256, 64, 5, 5
 STEMS = (5, 6, 7, 8)
 
 _LETTER_BYTES = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 32 for b in range(256))
+_BLANK_BYTES = bytes(range(33)) + b"\x7f"
+_PLAIN_BYTES = bytes(b for b in range(256) if b >= 0x7F or b <= 0x20 or chr(b).isalnum())
 
 
 def words_of(text: str) -> set[bytes]:
-    """Distinct lower-cased words: runs of letters and of what isn't ASCII."""
-    return set(text.lower().encode().translate(_LETTER_BYTES).split())
+    """Distinct lower-cased words, runs of letters and of what isn't ASCII, and ``#`` with the share of signs in twentieths, 9 at most."""
+    raw = text.lower().encode()
+    words = set(raw.translate(_LETTER_BYTES).split())
+    if solid := len(raw.translate(None, _BLANK_BYTES)):
+        words.add(b"#%d" % min(9, 20 * len(raw.translate(None, _PLAIN_BYTES)) // solid))
+    return words
 
 
 def features_of(words: set[bytes]) -> set[bytes]:
@@ -123,52 +125,67 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(min(0.9, (q[i] + (q[i + 1] if i + 1 < len(q) else 0)) / 2))
 
 
+def kinds_of(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Two columns of 0 and 1: a toxic row's side of the toxic rows' main direction; features count by how much more toxic rows have them."""
+    out = np.zeros((len(x), 2))
+    if toxic.any() and not toxic.all():
+        rows = x[toxic]
+        z = (rows - rows.mean(0)) * np.maximum(0, rows.mean(0) - x[~toxic].mean(0))
+        main = np.linalg.eigh(z.T @ z)[1][:, -1] if z.shape[1] else np.zeros(0)
+        side = z @ (main * (1 if not len(main) or main[np.abs(main).argmax()] > 0 else -1)) > 0
+        out[toxic, 0], out[toxic, 1] = side, ~side
+    return out
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """(doc_id, fold, toxic, text) of the labelled documents to learn from; a document labelled twice is toxic if one label says so."""
+    """(doc_id, fold, toxic, low, text) of the labelled documents to learn from.
+
+    A document labelled twice is toxic, or of low quality (0), if one label says so; without a quality it isn't low.
+    """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(
-        F.max(F.col("toxic").cast("int")).alias("toxic"))
+        F.max(F.col("toxic").cast("int")).alias("toxic"), F.coalesce(F.min("quality") <= 0, F.lit(False)).alias("low"))
     part = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     joined = texts.join(F.broadcast(part), "doc_id")  # at most max_rows ids
     return joined.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int").alias("fold"),
-                         (F.col("toxic") > 0).alias("toxic"), "text")
+                         (F.col("toxic") > 0).alias("toxic"), "low", "text")
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, ...]] = CATEGORIES,
-        max_rows: int = MAX_TRAINING_ROWS) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Chain:
     """Learn the chain. The driver gets the chosen words and, for at most ``max_rows`` rows, the numbers of those they hold."""
     rows = training_rows(docs, labels, max_rows)
-    lists = [{w.encode() for w in ws} for ws in categories.values()]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            toxic, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            total: dict[bytes, list[int]] = {}
-            seen = [0, 0]
-            for y, t in zip(toxic, texts):
-                seen[y] += 1
-                for w in features_of(words_of(t)):
-                    total.setdefault(w, [0, 0])[y] += 1
-            total[b""] = seen
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array([n[0] for n in total.values()], pa.int64()),
-                                              pa.array([n[1] for n in total.values()], pa.int64())], names=["w", "clean", "toxic"])
-
-    sums = checkpointed(rows.select("toxic", "text").mapInArrow(counted, "w binary, clean long, toxic long").groupBy("w").agg(
-        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where((F.col("clean") + F.col("toxic") >= MIN_DOCUMENTS) | (F.col("w") == b"")))
-    whole = sums.where(F.col("w") == b"").first()
-    clean, toxic = (whole["clean"], whole["toxic"]) if whole else (0, 0)
-    lift = F.abs(F.col("toxic") / max(1, toxic) - F.col("clean") / max(1, clean)) * F.sqrt(
-        F.lit(float(clean + toxic)) / (F.col("toxic") + F.col("clean")))
-    top = sums.where(F.col("w") != b"").orderBy(lift.desc(), "w").limit(VOCABULARY)
-    chain = Chain([bytes(r["w"]) for r in top.select("w").collect()], [*categories, "toxic"])
+            toxic, low, texts = (b.column(i).to_pylist() for i in range(3))
+            total: dict[bytes, list[int]] = {b"": [0, 0, 0]}  # rows, toxic ones, ones of low quality
+            for y, q, t in zip(toxic, low, texts):
+                for w in features_of(words_of(t)) | {b""}:
+                    n = total.setdefault(w, [0, 0, 0])
+                    n[0] += 1
+                    n[1] += y
+                    n[2] += q
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), *(pa.array([n[i] for n in total.values()], pa.int64()) for i in range(3))],
+                                             names=["w", "n", "toxic", "low"])
+
+    sums = checkpointed(rows.select("toxic", "low", "text").mapInArrow(counted, "w binary, n long, toxic long, low long").groupBy("w").agg(
+        F.sum("n").alias("n"), F.sum("toxic").alias("toxic"), F.sum("low").alias("low")).where((F.col("n") >= MIN_DOCUMENTS) | (F.col("w") == b"")))
+    whole = sums.where(F.col("w") == b"").first() or {"n": 0, "toxic": 0, "low": 0}
+
+    def foremost(mark: str, limit: int) -> list[bytes]:
+        """The features whose shares with and without the mark differ most for their number."""
+        have, rest = whole[mark], whole["n"] - whole[mark]
+        lift = F.abs(F.col(mark) / max(1, have) - (F.col("n") - F.col(mark)) / max(1, rest)) * F.sqrt(F.lit(float(whole["n"])) / F.col("n"))
+        return [bytes(r["w"]) for r in sums.where(F.col("w") != b"").orderBy(lift.desc(), "w").limit(limit).select("w").collect()]
+
+    chain = Chain(list(dict.fromkeys(foremost("toxic", VOCABULARY) + foremost("low", QUALITY_VOCABULARY))), list(CATEGORIES))
     number = chain.words
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, fold, toxic, texts = (b.column(i).to_pylist() for i in range(4))
-            found = [words_of(t) for t in texts]
-            marks = [[int(y and bool(ws & listed)) for listed in lists] + [int(y)] for y, ws in zip(toxic, found)]
-            known = [sorted(number[w] for w in features_of(ws) & number.keys()) for ws in found]
+            ids, fold, toxic, low, texts = (b.column(i).to_pylist() for i in range(5))
+            marks = [[int(q), int(y)] for q, y in zip(low, toxic)]
+            known = [sorted(number[w] for w in features_of(words_of(t)) & number.keys()) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fold, pa.int32()), pa.array(marks, pa.list_(pa.int32())),
                                               pa.array(known, pa.list_(pa.int32()))], names=["doc_id", "fold", "marks", "known"])
 
@@ -177,7 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, ...
     x = np.zeros((len(learned), len(number)))
     for i, r in enumerate(learned):
         x[i, r["known"]] = 1
-    y = np.array([r["marks"] for r in learned], float).reshape(len(learned), len(chain.names))
+    marks = np.array([r["marks"] for r in learned], float).reshape(len(learned), 2)
+    y = np.hstack([marks[:, :1], kinds_of(x, marks[:, 1] > 0), marks[:, 1:]])
     chain.fit(x, y, np.array([r["fold"] for r in learned]))
     return chain
 
