@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from upswell.sources.tables import materialize
 
 SLACK = 1e-6
 """Scores are rounded to six decimals: a bound that much below may still tie."""
+PAIRS_HELD = 16_384
+"""A task hands on its pairs of queries and cells, each with the query's vector, when it has so many (and one query's more)."""
 
 
 @dataclass(frozen=True)
@@ -53,8 +56,10 @@ def build_cells(emb: DataFrame, key: str = "complaint_id", n_cells: int = 256, o
         for b in batches:
             cell, distance = np.zeros(len(b), np.int64), np.zeros(len(b))
             of = b["embedding"].map(len).to_numpy(int)
-            for dim in np.unique(of):
-                at, own = np.flatnonzero(of == dim), np.flatnonzero(sizes == dim)
+            for dim, start in ((d, i) for d in np.unique(of) for i in range(0, len(b), 1024)):
+                at, own = start + np.flatnonzero(of[start:start + 1024] == dim), np.flatnonzero(sizes == dim)
+                if not len(at):
+                    continue
                 m = np.vstack(b["embedding"].to_numpy()[at]).astype(np.float64)
                 if len(own):
                     c = np.array([centres[i] for i in own])
@@ -92,32 +97,44 @@ def pruned_semantic_search(df: DataFrame, emb: DataFrame, queries: DataFrame, to
     spark = emb.sparkSession
     table = spark.sparkContext.broadcast(cell_table(index))
 
+    most = PAIRS_HELD
+
     def cells_of(first: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import numpy as np
+            import pyarrow as pa
 
             groups = {}
             for cell, centre, radius, n in table.value:
                 groups.setdefault(len(centre), []).append((cell, centre, radius, n))
             groups = {d: (np.array([x[0] for x in g]), np.array([x[1] for x in g]), np.array([x[2] for x in g]), np.array([x[3] for x in g]))
                       for d, g in groups.items()}
+
+            def pairs(b: pa.RecordBatch, rows: list, cells: list) -> pa.RecordBatch:
+                at = pa.array(np.concatenate(rows))
+                return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(cells))], names=["query_id", "_q", "_cell"])
+
             for b in batches:
-                out = []
-                for qid, vector, least in zip(b["query_id"], b["_q"], b["_least"]):
-                    if len(vector) not in groups:
+                rows, cells, held = [], [], 0
+                for i, least in enumerate(b.column(2).to_numpy(zero_copy_only=False)):  # null: NaN
+                    v = b.column(1)[i].values.to_numpy(zero_copy_only=False).astype(np.float64)
+                    if len(v) not in groups:
                         continue
-                    cell, centre, radius, n = groups[len(vector)]
-                    v = np.asarray(vector, np.float64)
+                    cell, centre, radius, n = groups[len(v)]
                     near = centre @ v
                     bound = near + np.sqrt(v @ v) * radius
                     order = np.argsort(-near, kind="stable")
                     probed = order[:np.searchsorted(np.cumsum(n[order]), top_k) + 1]
                     rest = np.setdiff1d(np.arange(len(cell)), probed)
                     take = probed if first else rest[(bound[rest] + SLACK * (1 + abs(bound[rest])) >= least) | np.isnan(least)]
-                    if len(take):
-                        out.append(pd.DataFrame({"query_id": qid, "_q": [list(vector)] * len(take), "_cell": cell[take]}))
-                if out:
-                    yield pd.concat(out, ignore_index=True)
+                    rows.append(np.full(len(take), i))
+                    cells.append(cell[take].astype(np.int64))
+                    held += len(take)
+                    if held >= most:
+                        yield pairs(b, rows, cells)
+                        rows, cells, held = [], [], 0
+                if held:
+                    yield pairs(b, rows, cells)
 
         return run
 
@@ -134,17 +151,17 @@ def pruned_semantic_search(df: DataFrame, emb: DataFrame, queries: DataFrame, to
             F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_p"))
         held = members.join(load, "_cell").select("_cell", "_p", key, "embedding", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_b"))
         by = ["_cell", "_p", "_b"]
-        return asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInPandas(scorer, f"query_id long, {key} long, similarity_score double")
+        return asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(scorer, f"query_id long, {key} long, similarity_score double")
 
     w = Window.partitionBy("query_id").orderBy(F.col("similarity_score").desc(), F.col(key).asc())
 
     def best(scored: DataFrame) -> DataFrame:
         return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= F.lit(top_k))
 
-    first_cells = materialize(q.withColumn("_least", F.lit(None).cast("double")).mapInPandas(cells_of(True), schema))
+    first_cells = materialize(q.withColumn("_least", F.lit(None).cast("double")).mapInArrow(cells_of(True), schema))
     first = materialize(best(score(first_cells)))
     least = first.filter(F.col("rank") == F.lit(top_k)).select("query_id", F.col("similarity_score").alias("_least"))
-    more_cells = materialize(q.join(least, "query_id", "left").mapInPandas(cells_of(False), schema))
+    more_cells = materialize(q.join(least, "query_id", "left").select("query_id", "_q", "_least").mapInArrow(cells_of(False), schema))
     if report:
         scored = first_cells.select("_cell").unionByName(more_cells.select("_cell")).join(
             index.cells.select(F.col("cell").alias("_cell"), "n"), "_cell").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("scored_pairs"))

@@ -12,7 +12,6 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_, or_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,32 +90,59 @@ def semantic_search(df: DataFrame, emb: DataFrame, query_vector, top_k: int = 20
         .orderBy(F.col("similarity_score").desc(), F.col(key).asc()).limit(top_k)
 
 
-def block_scorer(key: str, k: int, decimals: int):
-    """Scores of a block of queries (query_id, _q) against some candidates (key, embedding): each query's first k among them."""
+def by_size(key: str, vector: str, rows: int):
+    """A function that cuts an Arrow table into (size, keys, vectors as a matrix of doubles): at most ``rows`` vectors, all of that size."""
     # Everything the Python workers run is defined here, so it is shipped by
-    # value: workers need numpy and pandas, not this package.
-    def score(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
+    # value: workers need numpy and pyarrow, not this package.
+    def cut(table):
         import numpy as np
-        import pandas as pd
-
-        found = [pd.DataFrame({"query_id": np.zeros(0, np.int64), key: np.zeros(0, np.int64), "similarity_score": np.zeros(0)})]
-        sizes = cs["embedding"].map(len).to_numpy(int)
-        for dim, own in qs.groupby(qs["_q"].map(len)):
-            same = cs[sizes == dim]
-            if same.empty:
-                continue
-            ids = same[key].to_numpy(np.int64)
-            m = np.vstack(same["embedding"].to_numpy()).astype(np.float64)
-            for at in range(0, len(own), 256):
-                some = own.iloc[at:at + 256]
-                s = np.round(np.vstack(some["_q"].to_numpy()).astype(np.float64) @ m.T, decimals)
-                for qid, line in zip(some["query_id"], s):
-                    best = np.arange(len(ids))
-                    if len(ids) > k:
-                        best = np.flatnonzero(line >= np.partition(line, len(line) - k)[len(line) - k])
-                    best = best[np.lexsort((ids[best], -line[best]))][:k]
-                    found.append(pd.DataFrame({"query_id": np.full(len(best), qid), key: ids[best], "similarity_score": line[best]}))
-        return pd.concat(found, ignore_index=True)
+        import pyarrow.compute as pc
+
+        for at in range(0, len(table), rows):
+            some = table.select([key, vector]).slice(at, rows).combine_chunks()
+            sizes = pc.list_value_length(some[vector]).to_numpy()
+            for size in np.unique(sizes):
+                own = some if (sizes == size).all() else some.filter(pc.equal(pc.list_value_length(some[vector]), int(size)))
+                flat = pc.list_flatten(own[vector]).to_numpy().astype(np.float64)
+                yield int(size), own[key].to_numpy().astype(np.int64), flat.reshape(len(own), int(size))
+
+    return cut
+
+
+def block_scorer(key: str, k: int, decimals: int, rows: int = 4096, queries: int = 512):
+    """Scores of a block of queries (query_id, _q) against some candidates (key, embedding), Arrow tables: each query's first k among them.
+
+    Scores are held of ``queries`` times ``rows`` pairs at a time, and of each query's first k so far.
+    """
+    asked, held = by_size("query_id", "_q", queries), by_size(key, "embedding", rows)
+
+    def score(qs, cs):
+        import numpy as np
+        import pyarrow as pa
+
+        none = np.iinfo(np.int64).max
+        best = [(size, ids, q, np.full((len(ids), k), -np.inf), np.full((len(ids), k), none)) for size, ids, q in asked(qs)]
+        for size, ids, m in held(cs):
+            for of, _, q, scores, keys in best:
+                if of != size:
+                    continue
+                s = q @ m.T
+                np.round(s, decimals, out=s)
+                s[np.isnan(s)] = -np.inf  # no score
+                least = scores[:, -1]
+                if len(ids) > k:
+                    least = np.maximum(least, np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k])
+                i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+                i = np.concatenate([np.repeat(np.arange(len(q)), k), i])
+                line, found = np.concatenate([scores.ravel(), s[i[len(q) * k:], j]]), np.concatenate([keys.ravel(), ids[j]])
+                order = np.lexsort((found, -line, i))
+                # where each query begins in that order; at least k rows are its own
+                first = order[np.searchsorted(i[order], np.arange(len(q)))[:, None] + np.arange(k)]
+                scores[:], keys[:] = line[first], found[first]
+        out = [(np.repeat(ids, k), keys.ravel(), scores.ravel()) for _, ids, _, scores, keys in best]
+        q, c, s = (np.concatenate([x[i] for x in out]) if out else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.float64)))
+        real = s > -np.inf
+        return pa.table({"query_id": q[real], key: c[real], "similarity_score": s[real]})
 
     return score
 
@@ -142,7 +168,7 @@ def batch_semantic_search(df: DataFrame, emb: DataFrame, queries: DataFrame, top
     cand = cand.select(key, "embedding", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("_p"),
                        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
 
-    out = q.groupBy("_p", "_b").cogroup(cand.groupBy("_p", "_b")).applyInPandas(
+    out = q.groupBy("_p", "_b").cogroup(cand.groupBy("_p", "_b")).applyInArrow(
         block_scorer(key, top_k, SCORE_DECIMALS), f"query_id long, {key} long, similarity_score double")
     w = Window.partitionBy("query_id").orderBy(F.col("similarity_score").desc(), F.col(key).asc())
     return out.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= F.lit(top_k))
