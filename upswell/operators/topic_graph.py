@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from upswell.config import SearchConfig
 from upswell.functions.vectors import as_double_array, dot
 from upswell.operators.pruned_search import CellIndex, build_cells, cell_table
-from upswell.operators.search import valid_embeddings
+from upswell.operators.search import by_size, valid_embeddings
 from upswell.sources.tables import materialize
 
 COSINE_SLACK, SLACK = 1e-9, 1e-6
@@ -71,7 +71,7 @@ def similarity_links(units: DataFrame, min_similarity: float, key: str = "compla
     roots = home.where("_narrow").groupBy("_cell").agg(F.min(key).alias("b"))
     within = home.where("_narrow").join(roots, "_cell").select(F.col(key).alias("a"), "b")
     meetings = _meetings(_visits(index, key, reach), home, cells, key, cfg)
-    found = meetings[0].cogroup(meetings[1]).applyInPandas(_meet(key, min_similarity - COSINE_SLACK), "a long, b long")
+    found = meetings[0].cogroup(meetings[1]).applyInArrow(_meet(key, min_similarity - COSINE_SLACK), "a long, b long")
     return within.unionByName(found).where(F.col("a") != F.col("b"))
 
 
@@ -121,25 +121,40 @@ def _meetings(visits: DataFrame, home: DataFrame, cells: DataFrame, key: str, cf
 
 
 def _meet(key: str, least: float):
-    """A spanning set of the links between some visitors and some members: each with the smallest key that it is connected to."""
+    """A spanning set of the links between some visitors and some members, Arrow tables: each with the smallest key that it is connected to.
 
-    def run(guests: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+    Which pairs are linked is held as bits; cosines are held of a few visitors and all members at a time.
+    """
+    guests_of, members_of = by_size(key, "embedding", 64), by_size(key, "embedding", 4096)
+
+    def run(guests, members):
         import numpy as np
-        import pandas as pd
-
-        if not len(guests) or not len(members):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        near = np.vstack(guests["embedding"].to_numpy()) @ np.vstack(members["embedding"].to_numpy()).T >= least
-        ids, others = guests[key].to_numpy(np.int64), members[key].to_numpy(np.int64)
-        g, m, none = ids, others, np.iinfo(np.int64).max
-        while True:
-            g2 = np.minimum(g, np.where(near, m, none).min(1))
-            m2 = np.minimum(m, np.where(near, g2[:, None], none).min(0))
-            if (g2 == g).all() and (m2 == m).all():
-                break
-            g, m = g2, m2
-        out = pd.DataFrame({"a": np.concatenate([ids, others]), "b": np.concatenate([g, m])})
-        return out[out["a"] != out["b"]].drop_duplicates()
+        import pyarrow as pa
+
+        found, none = [], np.iinfo(np.int64).max
+        of_size: dict[int, list] = {}
+        for size, ids, m in members_of(members):
+            of_size.setdefault(size, []).append((ids, m))
+        for size, parts in of_size.items():
+            others = np.concatenate([x for x, _ in parts])
+            blocks = [(ids, np.packbits(np.concatenate([q @ m.T >= least for _, m in parts], axis=1), axis=1))
+                      for own, ids, q in guests_of(guests) if own == size]
+            if not blocks:
+                continue
+            g, m = [ids for ids, _ in blocks], others
+            while True:
+                g2, m2 = [], m.copy()
+                for old, (_, bits) in zip(g, blocks):
+                    near = np.unpackbits(bits, axis=1, count=len(others)).view(bool)
+                    g2.append(np.minimum(old, np.where(near, m2, none).min(1)))
+                    np.minimum(m2, np.where(near, g2[-1][:, None], none).min(0), out=m2)
+                if (m2 == m).all() and all((x == y).all() for x, y in zip(g2, g)):
+                    break
+                g, m = g2, m2
+            a, b = np.concatenate([*(ids for ids, _ in blocks), others]), np.concatenate([*g, m])
+            found.append(np.unique(np.stack([a, b])[:, a != b], axis=1))
+        links = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.table({"a": links[0], "b": links[1]})
 
     return run
 
