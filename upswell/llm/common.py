@@ -20,15 +20,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
-def _row_number(docs: DataFrame) -> Column | None:
-    """A number for each row by the file it is in and its place there, the same in every scan; None if ``docs`` is no such scan."""
+def row_place(docs: DataFrame) -> list[Column]:
+    """Columns that sort rows of a scan as the table holds them: the file, the place in it; none if ``docs`` is no such scan."""
     try:
         place = docs.metadataColumn("_metadata")
-        number = F.xxhash64(place["file_path"], place["row_index"])
-        docs.select(number)
+        columns = [place["file_path"], place["row_index"]]
+        docs.select(*columns)
     except AnalysisException:
-        return None
-    return number
+        return []
+    return columns
+
+
+def _row_number(docs: DataFrame) -> Column | None:
+    """A number for each row by the file it is in and its place there, the same in every scan; None if ``docs`` is no such scan."""
+    place = row_place(docs)
+    return F.xxhash64(*place) if place else None
 
 
 def stable(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from upswell.llm.common import checkpointed, text_bytes, with_row_id
+from upswell.llm.common import checkpointed, row_place, text_bytes, with_row_id
 
 BLOCK, LANES, EPOCH = 4096, 1024, 1024
 _SCALE, _ZERO = 16, 14  # bits of all probability, and of the order-0 table
@@ -282,12 +282,14 @@ def write_ids(docs: DataFrame, tokenizer_json: str, path: str, end_id: int = 1,
     The files are Parquet files of blocks, part by part (``part`` counts up with
     the ids of documents), a block a row. A null text is empty; each document
     has at least the end id; null document ids come first, rows of one id in
-    a fixed order.
+    the order of the table.
     """
     with open(tokenizer_json, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file
-    rows = with_row_id(docs, {"doc_id": docs[id_col].cast("long"), "text": text_bytes(docs, text_col).cast("string")})
-    ordered = rows.repartitionByRange("doc_id", "_rid").sortWithinPartitions("doc_id", "_rid").withColumn("part", F.spark_partition_id())
+    place = {f"_place{i}": c for i, c in enumerate(row_place(docs))}
+    rows = with_row_id(docs, {"doc_id": docs[id_col].cast("long"), "text": text_bytes(docs, text_col).cast("string"), **place})
+    order = ["doc_id", *place, "_rid"]  # elsewhere than in a scan the number counts up with the rows
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("_rid", "doc_id", "text", F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
