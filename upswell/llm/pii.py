@@ -78,8 +78,6 @@ GENERATORS = {
     "number_like": (r"(?:\+|\()?(?<![0-9A-Za-z])[0-9][0-9\x20()./-]{5,30}[0-9](?![0-9A-Za-z])", None),
     "account_like": (rf"\b(?:{_IBANS}|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?)\b", None),
 }
-MAX_TRAINING_ROWS = 20_000
-"""The trees learn from at most so many proposals, chosen by a hash of what they are and where; a fifth is held out to calibrate."""
 PRECISION, NEAR, MIN_KNOWN = 0.98, 0.8, 20
 TREES, DEPTH = 12, 4
 
@@ -232,21 +230,21 @@ def scored_rows(found: DataFrame) -> DataFrame:
         "_rid", "doc_id", "rank", "kind", "start", "end", "label", "_touches", "_h", "features")
 
 
-def fit(rows: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> tuple[GBTClassificationModel, float] | None:
-    """The trees and the calibrated threshold; None if the sample doesn't hold both labels or no threshold is sure enough.
+def fit(rows: DataFrame) -> tuple[GBTClassificationModel, float] | None:
+    """The trees and the calibrated threshold; None if the proposals don't hold both labels or no threshold is sure enough.
 
-    The trees learn from the proposals with evidence alone. The threshold is the lowest at which
+    The trees learn from all the proposals with evidence, and from these alone, but for a fifth, chosen by a hash of what
+    they are and where, that is held out to calibrate. The threshold is the lowest at which
     ``PRECISION`` of the held-out proposals with evidence are right, bin by bin
     from the top; it is measured only where at least ``MIN_KNOWN`` of them are
     known to be right and as many to be wrong, as fewer tell nothing of its precision.
     """
-    known = rows.where(F.col("label").isNotNull())
-    sample = checkpointed(known.orderBy("_h", "_rid", "start", "rank").limit(max_rows).select("label", "features", "_h"))
+    known = rows.where(F.col("label").isNotNull()).select("label", "features", "_h")
     held = F.pmod(F.col("_h"), F.lit(5)) == 0
-    if sample.where(~held).agg(F.count_distinct("label")).first()[0] < 2:
+    if known.where(~held).agg(F.count_distinct("label")).first()[0] < 2:
         return None
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, cacheNodeIds=False).fit(sample.where(~held))
-    bins = model.transform(sample.where(held)).groupBy(F.floor(_sure() * 100).alias("bin")).agg(
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, cacheNodeIds=False).fit(known.where(~held))
+    bins = model.transform(known.where(held)).groupBy(F.floor(_sure() * 100).alias("bin")).agg(
         F.sum("label").alias("right"), F.count(F.lit(1)).alias("n"))
     counted = bins.collect()  # at most 101 rows
     right, n = sum(b["right"] for b in counted), sum(b["n"] for b in counted)
