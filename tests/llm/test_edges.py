@@ -5,6 +5,7 @@ import random
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 from hypothesis import given, settings
@@ -213,6 +214,29 @@ def test_a_damaged_block_is_found():
         idcoder.decode_blocks([bytes(raw)])
 
 
+def test_a_block_is_read_beside_any_others():
+    rng = np.random.default_rng(3)
+    arrays = [rng.integers(0, most, 4096) for most in (5, 60, 900, 30_000)] + [np.minimum(rng.zipf(1.3, 4096), 50_000) for _ in range(4)]
+    raw = idcoder.encode_blocks(arrays)
+    assert raw == [idcoder.encode_blocks([x])[0] for x in arrays]
+    for i, x in enumerate(arrays):
+        assert idcoder.decode_blocks([raw[i]])[0].tolist() == x.tolist()
+        assert [y.tolist() for y in idcoder.decode_blocks([raw[i], raw[-1 - i]])] == [x.tolist(), arrays[-1 - i].tolist()]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aAHJTzΣİß.,'’<|>sS5 \n\t\x0b\x85̱̇ͅé中\U0001F600"), max_size=30), max_size=20))
+def test_texts_of_pieces_get_the_ids_of_whole_texts(texts):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(JSON)
+    texts = [*texts, "<|endoftext|> x<|startoftext|>", "<|ENDOFTEXT|> A. b,", "", "H̱ ẖ. J̌,", "I'M it's. 'S a.b x.. ."]
+    for own in (texts, texts[:1], [t.replace("<|", "") for t in texts]):
+        found, sizes = idcoder.TextEncoder(tokenizer, 1)(pa.array(["left out", *own], pa.string()).slice(1))
+        expected = [e.ids + [1] for e in tokenizer.encode_batch(own, add_special_tokens=False)]
+        assert sizes.tolist() == [len(x) for x in expected] and found.tolist() == [i for x in expected for i in x]
+
+
 def test_id_files(spark, make_docs, none):
     unique = [(d, t) for d, t in dict(ROWS).items() if d is not None] + [(-5, LONG[::-1]), (20, "<|endoftext|> x<|startoftext|>")]
     path = common.shared_folder(spark, "test-ids")

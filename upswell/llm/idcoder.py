@@ -15,7 +15,6 @@ next id of many blocks with array operations.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,177 +27,251 @@ from pyspark.sql import functions as F
 
 from upswell.llm.common import checkpointed, row_place, text_bytes, with_row_id
 
-BLOCK, LANES, EPOCH = 4096, 1024, 1024
+BLOCK, LANES, EPOCH = 4096, 2048, 1024
 _SCALE, _ZERO = 16, 14  # bits of all probability, and of the order-0 table
 _STEP = 24
 HELD_PIECES = 500_000
 _CONTEXTS = 1 << 12
 _MOST = 3 << (_SCALE - 3)  # the largest share of orders 1 and 2, each
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-_MAGIC = b"IDB1"
+_TOP, _BOTTOM = 1 << 48, 1 << 32
+_MAGIC = b"IDB2"
 
 
 class Model:
-    """The adaptive mixture for blocks side by side; coder and decoder make the same calls.
+    """The adaptive mixture for blocks side by side, as its decoder keeps it; ``_intervals`` has the same for whole blocks at once.
 
     Tables are flat, a stretch for each block, so that a step looks all blocks
-    up by one index array.
+    up by one index array. Row 0 of what holds orders 1 and 2 is of order 1.
+    What a block's ids are predicted from is the block alone, not what is coded
+    beside it.
     """
 
-    def __init__(self, sizes: np.ndarray, decoding: bool) -> None:
-        n, width = len(sizes), int(sizes.max(initial=1))
-        self.sizes, self.width, self.decoding = sizes.astype(np.int64), width, decoding
-        self.counts = (np.arange(width)[None, :] < self.sizes[:, None]).astype(np.int32).ravel()
-        self.cumulated = np.zeros(n * (width + 1), np.int32)
-        self.inverse = np.zeros(n << _ZERO, np.uint16) if decoding else None
-        self.after_one = np.full(n * (width + 1), -1, np.int32)  # the last place: no id before
-        self.after_two = np.full(n * _CONTEXTS, -1, np.int32)
-        at = np.arange(n)
-        self.at, self.at_more, self.at_two, self.at_inverse = at * width, at * (width + 1), at * _CONTEXTS, at << _ZERO
-        self.last, self.second = np.full(n, width, np.int64), np.full(n, width, np.int64)
+    def __init__(self, sizes: np.ndarray) -> None:
+        n = len(sizes)
+        self.sizes, self.width = sizes, int(sizes.max(initial=1))
+        self.counts = _first_counts(sizes, self.width)
+        self.at = np.arange(n) * (self.width + 2) + 1  # of an id's bound in the table of order 0; the place before is for no prediction
+        self.at_inverse = np.arange(n) << _ZERO
+        self.after = np.full(n * (self.width + 1 + _CONTEXTS), -1, np.int16)
+        self.at_after = np.stack([np.arange(n) * (self.width + 1), n * (self.width + 1) + np.arange(n) * _CONTEXTS])
+        self.place = self.at_after + 0
+        self.last = np.zeros(n, np.int64)
         self.trust = np.full((2, n), _MOST >> 2, np.int64)  # share of orders 1 and 2 where they have a prediction
 
-    def renew(self, k: int) -> None:
-        """Set the order-0 tables of the first k blocks by the counts so far; every id of a block keeps a chance."""
-        for i in range(0, k, 64):
-            m = min(64, k - i)
-            whole = np.zeros((m, self.width + 1), np.int64)
-            np.cumsum(self.counts[i * self.width:(i + m) * self.width].reshape(m, -1), axis=1, out=whole[:, 1:])
-            sizes = self.sizes[i:i + m, None]
-            spread = whole * ((1 << _ZERO) - sizes) // np.maximum(1, whole[:, -1:])
-            spread += np.minimum(np.arange(self.width + 1)[None, :], sizes)
-            self.cumulated[i * (self.width + 1):(i + m) * (self.width + 1)] = spread.ravel()
-            if self.decoding:
-                for j, line in enumerate(spread):
-                    steps = np.diff(line[:int(sizes[j, 0]) + 1])
-                    if len(steps):
-                        self.inverse[i + j << _ZERO:i + j + 1 << _ZERO] = np.repeat(np.arange(len(steps), dtype=np.uint16), steps)
-
-    def mix(self, k: int) -> None:
-        """Predictions of orders 1 and 2 for the next id of the first k blocks, and the shares of all three."""
-        last = self.last[:k]
-        self.place_one = self.at_more[:k] + last
-        self.place_two = self.at_two[:k] + ((self.second[:k] * 40503 + last * 2531) & (_CONTEXTS - 1))
-        self.guess = np.stack([self.after_one.take(self.place_one), self.after_two.take(self.place_two)]).astype(np.int64)
-        self.known = self.guess >= 0
-        self.share = self.trust[:, :k] * self.known
-        self.share_zero = (1 << _SCALE) - self.share[0] - self.share[1]
-
-    def _cumulated(self, k: int, place: np.ndarray) -> np.ndarray:
-        return self.cumulated.take(self.at_more[:k] + place) * self.share_zero >> _ZERO
-
-    def bounds(self, k: int, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the probability of the ids s begins and ends, of 2**16."""
-        low = self._cumulated(k, s) + (self.share * (self.guess < s)).sum(0)
-        high = self._cumulated(k, s + 1) + (self.share * (self.guess <= s)).sum(0)
-        return low, high
-
-    def find(self, k: int, target: np.ndarray) -> np.ndarray:
-        """The ids whose bounds hold the targets: a predicted id, or one of the table once the shares below are taken off."""
-        g = np.maximum(self.guess, 0)
-        low, high = self._cumulated(k, g), self._cumulated(k, g + 1)
-        # what the other prediction adds before this one's place
-        other, its = self.guess[::-1], self.share[::-1]
-        low += its * (other < g)
-        high += its * (other <= g) + self.share
-        hit = self.known & (target >= low) & (target < high)
-        rest = target - (self.share * (target >= high)).sum(0)
-        place = np.clip(((rest + 1 << _ZERO) - 1) // self.share_zero, 0, (1 << _ZERO) - 1)
-        s = self.inverse.take(self.at_inverse[:k] + place).astype(np.int64)
-        return np.where(hit[0], g[0], np.where(hit[1], g[1], s))
-
-    def learn(self, k: int, s: np.ndarray) -> None:
-        self.counts[self.at[:k] + s] += _STEP
-        trust = self.trust[:, :k]
-        trust += (((self.guess == s) * _MOST - trust) * self.known) >> 5
-        self.after_one[self.place_one] = s
-        self.after_two[self.place_two] = s
-        self.second[:k] = self.last[:k]
-        self.last[:k] = s
-
-
-def _settle(low: np.ndarray, width: np.ndarray, k: int) -> np.ndarray:
-    """Blocks whose next 16 bits are settled, or must be as their width got small (it is then cut)."""
-    same = (low[:k] ^ (low[:k] + width[:k])) < _TOP
-    small = ~same & (width[:k] < _BOTTOM)
-    if small.any():
-        width[:k][small] = (~low[:k][small] + np.uint64(1)) & (_BOTTOM - np.uint64(1))
-        same |= small
-    return np.flatnonzero(same)
+    def renew(self, ids: np.ndarray) -> None:
+        """Set the order-0 tables by the counts so far and those of the ids (a row a step)."""
+        k = ids.shape[1]
+        _count(self.counts, ids.T)
+        bounds = _spread(self.counts[:k], self.sizes[:k])
+        self.bounds = np.pad(bounds, ((0, 0), (1, 0))).ravel()
+        own = np.tile(np.arange(self.width, dtype=np.int16), k)
+        self.inverse = np.repeat(own, np.diff(bounds).ravel())
+
+    def keep(self, k: int) -> None:
+        """Go on with the first k blocks."""
+        self.at, self.at_inverse, self.last = self.at[:k], self.at_inverse[:k], self.last[:k]
+        self.at_after, self.place, self.trust = (np.ascontiguousarray(x[:, :k]) for x in (self.at_after, self.place, self.trust))
+
+    def find(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids that hold the targets, where their probabilities begin and how large they are; the ids are learned.
+
+        The id is a predicted one, or one of the table once the shares below the target are taken off.
+        """
+        take, bounds = np.take, self.bounds
+        guess = take(self.after, self.place, mode="clip").astype(np.int64)
+        known = guess >= 0
+        share = self.trust * known
+        rest = (1 << _SCALE) - share[0] - share[1]
+        at = guess + self.at
+        low = (take(bounds, at, mode="clip") * rest) >> _ZERO
+        high = (take(bounds, at + 1, mode="clip") * rest) >> _ZERO
+        other, its = guess[::-1], share[::-1]  # what the other prediction adds before this one's place
+        low += its * (other < guess)
+        high += its * (other <= guess)
+        high += share
+        above = target >= high
+        hit = (target >= low) > above
+        below = share * above
+        place = (((target - below[0] - below[1] + 1 << _ZERO) - 1) / rest).astype(np.int64)  # exact: below 2**53
+        np.minimum(place, (1 << _ZERO) - 1, out=place)
+        s = take(self.inverse, place + self.at_inverse, mode="clip").astype(np.int64)
+        np.copyto(s, guess[0], where=hit[0])
+        np.copyto(s, guess[1], where=hit[1])
+        at = s + self.at
+        zero = (take(bounds, at, mode="clip") * rest) >> _ZERO
+        right = guess == s
+        before, more = share * (guess < s), share * right
+        begin = zero + before[0] + before[1]
+        size = ((take(bounds, at + 1, mode="clip") * rest) >> _ZERO) - zero + more[0] + more[1]
+        self.trust += ((right * _MOST - self.trust) * known) >> 5
+        self.after[self.place] = s
+        now = s + 1
+        self.place[0] = now
+        self.place[1] = (self.last * 40503 + now * 2531) & (_CONTEXTS - 1)
+        self.place += self.at_after
+        self.last = now
+        return s, begin, size
+
+
+def _first_counts(sizes: np.ndarray, width: int) -> np.ndarray:
+    return (np.arange(width)[None, :] < sizes[:, None]).astype(np.int64)
+
+
+def _count(counts: np.ndarray, ids: np.ndarray) -> None:
+    """Add the ids (a row a block) to the first blocks' counts."""
+    k, width = len(ids), counts.shape[1]
+    found = np.bincount((ids + np.arange(k)[:, None] * width).ravel(), minlength=k * width)
+    counts[:k] += _STEP * found.reshape(k, width)
+
+
+def _spread(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The order-0 tables by the counts, as bounds below 2**14; every id of a block keeps a chance."""
+    whole = np.zeros((len(counts), counts.shape[1] + 1), np.int64)
+    np.cumsum(counts, axis=1, out=whole[:, 1:])
+    spread = (whole * ((1 << _ZERO) - sizes[:, None]) / whole[:, -1:]).astype(np.int64)  # exact: below 2**53
+    return spread + np.minimum(np.arange(whole.shape[1]), sizes[:, None])
+
+
+def _came_after(contexts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For every id of each block (a row) the one that came last after the same context, -1 if there was none."""
+    at = np.argsort(contexts, axis=1, kind="stable") + np.arange(len(ids))[:, None] * ids.shape[1]
+    context, s = contexts.ravel()[at], ids.ravel()[at]
+    out = np.full(ids.size, -1, np.int16)
+    out[at[:, 1:]] = np.where(context[:, 1:] == context[:, :-1], s[:, :-1], np.int16(-1))
+    return out.reshape(ids.shape)
+
+
+def _intervals(ids: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Where the probabilities of the ids of each block (a row) begin and how large they are, of 2**16: for ``EPOCH`` ids
+    at a time, a row a step. What ``Model`` finds id by id."""
+    n, most = ids.shape
+    width = int(sizes.max(initial=1))
+    guesses = np.empty((2, n, most), np.int16)
+    for i in range(0, n, 128):
+        own = ids[i:i + 128]
+        last = np.zeros((len(own), most + 1), np.uint32)  # 0: none
+        last[:, 2:] = own[:, :-1] + 1
+        guesses[0, i:i + 128] = _came_after(last[:, 1:].astype(np.uint16), own)
+        guesses[1, i:i + 128] = _came_after(((last[:, :-1] * 40503 + last[:, 1:] * 2531) & (_CONTEXTS - 1)).astype(np.uint16), own)
+    counts, rows = _first_counts(sizes, width), np.arange(n) * (width + 1)
+    trust = np.full((2, n), _MOST >> 2, np.int32)
+    for t in range(0, most, EPOCH):
+        if t:
+            _count(counts, ids[:, t - EPOCH:t])
+        bounds = _spread(counts, sizes).astype(np.int32).ravel()
+        s = np.ascontiguousarray(ids[:, t:t + EPOCH].T)
+        guess = np.stack([g[:, t:t + EPOCH].T for g in guesses], axis=1)
+        known, right = (guess >= 0).astype(np.int32), guess == s[:, None]
+        aim, share = right * np.int32(_MOST), np.empty(guess.shape, np.int32)
+        for held, to, k in zip(share, aim, known):
+            held[:] = trust
+            to -= trust
+            to *= k
+            to >>= 5
+            trust += to
+        share *= known
+        rest = (1 << _SCALE) - share[:, 0] - share[:, 1]
+        at = s + rows
+        zero = bounds[at] * rest >> _ZERO
+        before, more = share * (guess < s[:, None]), share * right
+        begin = zero + before[:, 0] + before[:, 1]
+        size = (bounds[at + 1] * rest >> _ZERO) - zero + more[:, 0] + more[:, 1]
+        over = np.arange(t, t + len(s))[:, None] >= lengths
+        begin[over], size[over] = 0, 1 << _SCALE  # nothing is written for what a block doesn't have
+        yield begin.astype(np.int64), size.astype(np.int64)
 
 
 def _range_code(lanes: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
-    """Code sequences of numbers below their sizes; the longest sequence first."""
+    """Code sequences of numbers below their sizes, as words of 16 bits."""
     lengths = np.array([len(x) for x in lanes])
     n, most = len(lanes), int(lengths.max(initial=0))
-    symbols = np.zeros((most, n), np.int32)
+    ids = np.zeros((n, most), np.int16)
     for i, x in enumerate(lanes):
-        symbols[:len(x), i] = x
-    model = Model(sizes, False)
-    low, width = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-    out, at = np.zeros((n, 2 * most + 8), ">u2"), np.zeros(n, np.int64)
-    for t in range(most):
-        k = int(np.searchsorted(-lengths, -t))  # blocks longer than t
-        if t % EPOCH == 0:
-            model.renew(k)
-        s = symbols[t, :k].astype(np.int64)
-        model.mix(k)
-        a, b = model.bounds(k, s)
-        unit = width[:k] >> np.uint64(_SCALE)
-        low[:k] += unit * a.astype(np.uint64)
-        width[:k] = unit * (b - a).astype(np.uint64)
-        model.learn(k, s)
-        while len(done := _settle(low, width, k)):
-            out[done, at[done]] = low[done] >> np.uint64(48)
-            at[done] += 1
-            low[done] <<= np.uint64(16)
-            width[done] <<= np.uint64(16)
-    for _ in range(4):
-        out[np.arange(n), at] = low >> np.uint64(48)
-        at += 1
-        low <<= np.uint64(16)
-    return [out[i, :at[i]].tobytes() for i in range(n)]
+        ids[i, :len(x)] = x
+    low, width = np.zeros(n, np.int64), np.full(n, _TOP, np.int64)
+    words, written = [np.zeros((0, n), np.int32)], [np.zeros((0, n), bool)]
+    for begin, size in _intervals(ids, lengths, np.maximum(sizes, 1)):
+        word, full = np.empty(begin.shape, np.int32), np.empty(begin.shape, bool)
+        for a, s, w, f in zip(begin, size, word, full):
+            width >>= _SCALE
+            a *= width
+            low += a
+            width *= s
+            np.less(width, _BOTTOM, out=f)
+            top = low >> 32
+            w[:] = top  # may hold a carry for the word before
+            top <<= 32
+            top *= f
+            low -= top
+            bits = f * np.int64(16)
+            low <<= bits
+            width <<= bits
+        words.append(word)
+        written.append(full)
+    words, written = np.ascontiguousarray(np.concatenate(words).T), np.ascontiguousarray(np.concatenate(written).T)
+    out = []
+    for own, full, end in zip(words, written, low.tolist()):
+        own = np.append(own[full], [end >> 32, end >> 16 & 0xFFFF, end & 0xFFFF])
+        number = int.from_bytes((own & 0xFFFF).astype(">u2").tobytes(), "big") + (int.from_bytes((own >> 16).astype(">u2").tobytes(), "big") << 16)
+        out.append(number.to_bytes(2 * len(own), "big"))
+    return out
 
 
 def _range_decode(lanes: list[bytes], lengths: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     """The sequences that ``_range_code`` was given; the longest first."""
     n, most = len(lanes), int(lengths.max(initial=0))
-    words = np.zeros((n, max((len(x) for x in lanes), default=0) // 2 + 8), np.uint16)
+    words = np.zeros((n, max((len(x) for x in lanes), default=0) // 2 + 4), np.uint16)
     for i, x in enumerate(lanes):
-        words[i, :len(x) // 2] = np.frombuffer(x, ">u2")
-    model = Model(sizes, True)
-    low, width, code = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64), np.zeros(n, np.uint64)
-    for j in range(4):
-        code = (code << np.uint64(16)) | words[:, j].astype(np.uint64)
-    at, out = np.full(n, 4, np.int64), np.zeros((most, n), np.int32)
+        words[i, :len(x) // 2] = np.frombuffer(x, ">u2", len(x) // 2)
+    at = np.arange(n) * words.shape[1] + 3  # of a block's next word
+    code = (words[:, 0].astype(np.int64) << 32) + (words[:, 1].astype(np.int64) << 16) + words[:, 2]
+    words, width, out = words.ravel(), np.full(n, _TOP, np.int64), np.zeros((most, n), np.int16)
+    model, ends, k = Model(np.maximum(sizes, 1)), set(lengths.tolist()), n
     for t in range(most):
-        k = int(np.searchsorted(-lengths, -t))
+        if t in ends:
+            k = int(np.searchsorted(-lengths, -t))  # blocks longer than t
+            code, width, at = code[:k], width[:k], at[:k]
+            model.keep(k)
         if t % EPOCH == 0:
-            model.renew(k)
-        model.mix(k)
-        unit = width[:k] >> np.uint64(_SCALE)
-        target = np.minimum((code[:k] - low[:k]) // unit, np.uint64((1 << _SCALE) - 1)).astype(np.int64)
-        s = model.find(k, target)
-        a, b = model.bounds(k, s)
-        low[:k] += unit * a.astype(np.uint64)
-        width[:k] = unit * (b - a).astype(np.uint64)
+            model.renew(out[max(0, t - EPOCH):t, :k])
+        width >>= _SCALE
+        target = (code / width).astype(np.int64)  # exact: below 2**48, and a quotient below 2**17
+        np.minimum(target, (1 << _SCALE) - 1, out=target)
+        s, begin, size = model.find(target)
         out[t, :k] = s
-        model.learn(k, s)
-        while len(done := _settle(low, width, k)):
-            code[done] = (code[done] << np.uint64(16)) | words[done, at[done]].astype(np.uint64)
-            at[done] += 1
-            low[done] <<= np.uint64(16)
-            width[done] <<= np.uint64(16)
+        begin *= width
+        code -= begin
+        width *= size
+        full = width < _BOTTOM
+        bits = full * np.int64(16)
+        code <<= bits
+        width <<= bits
+        code += np.take(words, at, mode="clip") * full
+        at += full
     return [out[:length, i] for i, length in enumerate(lengths.tolist())]
 
 
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, ascending, and the place of each id among them."""
+    if not len(ids) or ids.max() >> 20:
+        return np.unique(ids, return_inverse=True)
+    there = np.zeros(int(ids.max()) + 1, bool)
+    there[ids] = True
+    head = np.flatnonzero(there)
+    place = np.empty(len(there), np.int16)
+    place[head] = np.arange(len(head))
+    return head, place[ids]
+
+
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Each block of ids as bytes: magic, number of ids, distinct ids as gaps, coded ids, CRC-32 of all that."""
     out: list[bytes] = [b""] * len(blocks)
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     for start in range(0, len(order), LANES):
         own = order[start:start + LANES]
-        heads, lanes = zip(*(np.unique(blocks[i], return_inverse=True) for i in own))
+        heads, lanes = zip(*(_distinct(blocks[i]) for i in own))
+        if any(len(head) > 1 << _ZERO for head in heads):
+            raise ValueError("a block has more distinct ids than order 0 has places")
         for i, head, body in zip(own, heads, _range_code(list(lanes), np.array([len(h) for h in heads]))):
             gaps = np.diff(head, prepend=0).astype("<u4")
             narrow = bool((gaps[1:] < 256).all()) and len(gaps) > 0
@@ -230,43 +303,112 @@ def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+_BLANK, _MARK, _CAPITAL, _LETTER = (np.uint8(1 << i) for i in range(4))
+_KINDS = np.zeros(256, np.uint8)
+for _kind, _bytes in ((_BLANK, b" \t\n\r"), (_MARK, b",."), (_CAPITAL, bytes(range(65, 91))), (_LETTER, bytes([*range(65, 91), *range(97, 123)]))):
+    _KINDS[list(_bytes)] |= _kind
+
+
+def _is_word(piece: str) -> bool:
+    return piece.isalpha()
+
+
 class TextEncoder:
     """Ids of texts by a tokenizer for which white space parts tokens and is dropped.
 
     Each distinct piece between blanks is encoded once; the pieces' ids are held
-    for the texts that follow, until ``HELD_PIECES`` are.
+    for the texts that follow, until ``HELD_PIECES`` are. Where the tokenizer
+    has them as tokens of their own, a comma or full stop at the end of a word is a piece
+    too, and where it lower-cases, so are pieces before they are told apart.
     """
 
     def __init__(self, tokenizer, end_id: int) -> None:
         self.tokenizer, self.end_id = tokenizer, end_id
+        normalizer, split = tokenizer.normalizer, tokenizer.pre_tokenizer
+        self.lowers = normalizer is not None and normalizer.normalize_str("AZ") == "az"
+        self.parts_marks = split is not None and all(len(split.pre_tokenize_str("z" + x)) == 2 for x in ",.")
+        special = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.special]
+        self.between = special[0] if special else None
+        suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+        self.ends_word = None
+        if suffix:
+            self.ends_word = np.zeros(tokenizer.get_vocab_size(), bool)
+            self.ends_word[[i for t, i in tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = defaultdict(count().__next__)
-        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text and the end id."""
+        self.number: dict[str, int] = defaultdict(count(1).__next__)
+        # piece 0 is the end
+        self.ids, self.begins, self.sizes = np.array([self.end_id], np.int32), np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after another and how many each has, from one text where that tells the pieces apart: words each
+        end with a token that ends a word; others are parted by a special token, which none of them may make itself."""
+        if self.ends_word is not None and all(map(_is_word, pieces)):
+            ids = np.array(self._encoded([" ".join(pieces)])[0], np.int32)
+            ends = np.flatnonzero(self.ends_word[ids])
+            if len(ends) == len(pieces) and ends[-1] == len(ids) - 1:
+                return ids, np.diff(ends, prepend=-1)
+        elif self.between:
+            ids = np.array(self._encoded([f" {self.between} ".join(pieces)])[0], np.int32)
+            cuts = np.flatnonzero(ids == self.tokenizer.token_to_id(self.between))
+            if len(cuts) == len(pieces) - 1:
+                return np.delete(ids, cuts), np.diff(cuts, prepend=-1, append=len(ids)) - 1
+        each = self._encoded(pieces)
+        return np.fromiter(chain.from_iterable(each), np.int32), np.array([len(x) for x in each])
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces, which have the next numbers, words before others."""
+        words = np.fromiter(map(_is_word, pieces), bool, len(pieces))
+        order = np.argsort(~words, kind="stable")
+        ids, sizes = [self.ids], []
+        edges = [*range(0, words.sum(), 256), *range(words.sum(), len(pieces), 256), len(pieces)]
+        for i, j in zip(edges, edges[1:]):
+            found, each = self._joined([pieces[x] for x in order[i:j]])
+            ids.append(found)
+            sizes.append(each)
+        ends = len(self.ids) + np.cumsum(np.concatenate(sizes), dtype=np.int64)
+        begins, size = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        size[order] = np.concatenate(sizes)
+        begins[order] = ends - size[order]
+        self.ids, self.begins, self.sizes = np.concatenate(ids), np.concatenate([self.begins, begins]), np.concatenate([self.sizes, size])
+
+    def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts (none null) one after another, each with the end id, and how many each has."""
         if len(self.number) > HELD_PIECES:
             self.forget()
-        before = len(self.number)
+        offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+        offsets -= offsets[0]
         # blank, tab, line feed, carriage return: white space to the vocabulary's own pattern, whatever stands beside it
-        lines = [np.fromiter(map(self.number.__getitem__, re.split("[ \t\n\r]+", t)), np.int64) for t in texts]
-        new = list(islice(self.number, before, None))
-        ids, sizes = [self.ids], []
-        for i in range(0, len(new), 10_000):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new[i:i + 10_000], add_special_tokens=False)]
-            ids.append(np.fromiter(chain.from_iterable(found), np.int32))
-            sizes += map(len, found)
-        self.ids = np.concatenate(ids)
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int64)])
-        out = []
-        for line in lines:
-            start = self.ends[line]
-            n = self.ends[line + 1] - start
-            stop = np.cumsum(n)
-            out.append(np.append(self.ids[np.repeat(start - stop + n, n) + np.arange(stop[-1])], np.int32(self.end_id)))
-        return out
+        kind = np.take(_KINDS, raw)
+        blank = (kind & _BLANK).view(bool)
+        begins = np.zeros(len(raw) + 1, bool)
+        begins[1:] = blank
+        begins[offsets] = True
+        if self.parts_marks and len(raw) > 2:  # a mark between a letter and a blank, so that no other character can change it
+            begins[1:-2] |= (kind[:-2] >= _LETTER) & (kind[1:-1] == _MARK) & blank[2:]
+        if self.lowers and len(raw) and b"<|" not in raw.tobytes():  # a special token's name is told by case
+            capital = kind & _CAPITAL
+            capital[:-1] *= raw[1:] < 128  # else a sign that combines with the letter may follow
+            raw = raw + (capital << 3)
+        begins = np.flatnonzero(begins)
+        gone = np.concatenate([[0], np.cumsum(blank, dtype=np.int32)])
+        pieces = pa.StringArray.from_buffers(len(begins) - 1, pa.py_buffer((begins - gone[begins]).astype(np.int32)), pa.py_buffer(raw[~blank]))
+        pieces = pieces.dictionary_encode()
+        before = len(self.number)
+        numbers = np.array([self.number[x] for x in pieces.dictionary.to_pylist()], np.int64)
+        if len(self.number) > before:
+            self._learn(list(islice(self.number, before, None)))
+        ends = np.searchsorted(begins, offsets[1:])  # of each text's pieces
+        line = np.insert(numbers[pieces.indices.to_numpy()], ends, 0)
+        n = self.sizes[line]
+        stop = np.cumsum(n)
+        ids = self.ids[np.repeat(self.begins[line] - stop + n, n) + np.arange(stop[-1] if len(stop) else 0)]
+        return ids, np.diff(stop[ends + np.arange(len(ends))], prepend=0)
 
 
 # Columns of a file of blocks. For each document in a block: its row number and id, how many ids it has there and in all.
@@ -298,7 +440,7 @@ def write_ids(docs: DataFrame, tokenizer_json: str, path: str, end_id: int = 1,
         from tokenizers import Tokenizer
 
         encoder = TextEncoder(Tokenizer.from_buffer(shared.value), end_id)
-        held_ids, held_docs, made, part = [], [], 0, 0
+        held_ids, held_docs, held, made, part = [], [], 0, 0, 0
 
         def cut(ids: list[np.ndarray], marks: list[tuple[int, int | None, int, int]], last: bool):
             """Full blocks of what is held; the rest is held on, or is a block too at the end."""
@@ -330,14 +472,16 @@ def write_ids(docs: DataFrame, tokenizer_json: str, path: str, end_id: int = 1,
             return out, [flat[n * block:]], marks[i:]
 
         for b in batches:
-            rid, doc, texts, parts = (b.column(i).to_pylist() for i in range(4))
-            part = parts[0] if parts else part
-            for i in range(0, len(texts), 4096):
-                own = encoder(texts[i:i + 4096])
-                held_ids += own
-                held_docs += [(r, d, len(x), len(x)) for r, d, x in zip(rid[i:i + 4096], doc[i:i + 4096], own)]
-                if sum(map(len, held_ids)) >= LANES * block:
+            part = b.column(3)[0].as_py() if len(b) else part
+            for i in range(0, len(b), 4096):
+                rid, doc, texts = (b.column(j).slice(i, 4096) for j in range(3))
+                own, sizes = encoder(texts.cast(pa.string()))
+                held_ids.append(own)
+                held_docs += zip(rid.to_pylist(), doc.to_pylist(), sizes.tolist(), sizes.tolist())
+                held += len(own)
+                if held >= LANES * block:
                     out, held_ids, held_docs = cut(held_ids, held_docs, False)
+                    held = sum(map(len, held_ids))
                     yield out
         out, _, _ = cut(held_ids, held_docs, True)
         yield out
