@@ -230,3 +230,13 @@ def test_similar_sets_share_a_prefix_shingle_under_every_order(a, b, seed):
     cut = [setjoin.prefixes(np.sort(names[sorted(x)]), classes, 85) for x in (a, b) if x]
     if len(cut) == 2 and 100 * len(a & b) >= 85 * len(a | b):
         assert all(set(p.tolist()) & set(q.tolist()) for p, q in zip(*cut))
+
+
+def test_only_classes_of_pairs_are_sent_to_a_meeting(spark):
+    data = spark.range(20_000).selectExpr("(id << 33) - 7 as cid", "id as more")
+    pairs = spark.range(150).selectExpr("((id * 131) << 33) - 7 as a", "((id * 7 + 1) << 33) - 7 as b")
+    wanted = {r[c] for r in pairs.collect() for c in "ab"}
+    found = [(r["cid"], r["more"]) for r in setjoin._needed(data, pairs).collect()]
+    assert len(set(found)) == len(found) and all(c == (m << 33) - 7 for c, m in found)
+    assert wanted <= {c for c, _ in found} and len(found) < 2 * len(wanted)
+    assert setjoin._needed(data, pairs.limit(0)).count() == 0

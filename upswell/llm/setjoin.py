@@ -40,6 +40,8 @@ GROUP, SPLIT, SPLIT_BLOCK = 512, 65_536, 8_192
 STAR = 256
 """So many pairs of one class are compared in one task."""
 SKETCH_BITS = 22
+NEEDED_BITS = 24
+"""A table of so many bits (2**NEEDED_BITS) tells which classes are in no pair, whose texts then needn't be shuffled."""
 BLOCK = 1 << 14
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 """Multipliers (odd, of high weight) that mix the words of a shingle and permute the orders."""
@@ -229,6 +231,23 @@ def _long_enough(n: str, other: str, percent: int) -> Column:
     return (F.least(n, other) * 100 >= F.greatest(n, other) * percent)
 
 
+def _needed(data: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``data`` (cid) without most classes that are in none of the pairs (a, b); none that is in one is lost.
+
+    The table of bits has a fixed size and is broadcast, so that what is left out
+    isn't shuffled. ``pairs`` should be cheap to read twice.
+    """
+    def placed(rows: DataFrame) -> DataFrame:
+        at = F.pmod(F.xxhash64("cid"), F.lit(1 << NEEDED_BITS))
+        return rows.withColumn("_bucket", F.bitmap_bucket_number(at)).withColumn("_at", F.bitmap_bit_position(at))
+
+    ends = placed(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid")))).select("_bucket", "_at")
+    bits = ends.repartition("_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright("_at", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    there = F.getbit(byte, F.pmod("_at", F.lit(8)).cast("int")) == 1
+    return placed(data).join(F.broadcast(bits), "_bucket").where(there).select(*data.columns)
+
+
 def _meet(pairs: DataFrame, reps: DataFrame, columns: list[str], check: Callable[[], Callable]) -> DataFrame:
     """The pairs (a, b) that pass. ``check()`` gives a function for one class's columns, which gives one for another's.
 
@@ -238,7 +257,7 @@ def _meet(pairs: DataFrame, reps: DataFrame, columns: list[str], check: Callable
     counts = checkpointed(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n")))
     total = counts.agg(F.sum("_n")).first()[0] or 0
     shares = F.ceil(F.col("_n") / STAR).cast("int")
-    data = reps.select("cid", F.struct(*columns).alias("_d"))
+    data = _needed(reps, pairs).select("cid", F.struct(*columns).alias("_d"))
     heads = counts.select("a", F.explode(F.sequence(F.lit(0), shares - 1)).alias("_share")).join(data, F.col("a") == F.col("cid")).select(
         "a", "_share", F.lit(None).cast("long").alias("b"), "_d")
     dealt = lookup_join(pairs.withColumn("_rid", F.col("b")), counts, ["a"], total).select(
@@ -502,7 +521,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = rows.where("n > 0").groupBy("digest").agg(F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("low"), F.min("_rid").alias("_first"))
     sets = checkpointed(sets.withColumn("cid", F.monotonically_increasing_id()))
     texts = source.join(sets.select("cid", "digest", F.col("_first").alias("_rid")), "_rid").select("cid", "digest", "text")
-    _representatives(texts, rarity, size, percent).write.parquet(f"{folder}/sets")
+    _representatives(texts, rarity, size, percent).write.option("compression", "zstd").parquet(f"{folder}/sets")
     reps = docs.sparkSession.read.parquet(f"{folder}/sets")
 
     root = checkpointed(components(_links(reps, size, percent)).toDF("cid", "root"))
