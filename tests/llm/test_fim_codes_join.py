@@ -240,3 +240,56 @@ def test_only_classes_of_pairs_are_sent_to_a_meeting(spark):
     assert len(set(found)) == len(found) and all(c == (m << 33) - 7 for c, m in found)
     assert wanted <= {c for c, _ in found} and len(found) < 2 * len(wanted)
     assert setjoin._needed(data, pairs.limit(0)).count() == 0
+
+
+def sets_of_numbers(seed, n, changed):
+    """Two sets of n random 64-bit numbers that differ in ``changed`` of them."""
+    tokens = np.random.default_rng(seed).integers(0, 2**64, n + changed, np.uint64)
+    return np.sort(tokens[:n]), np.sort(tokens[changed:])
+
+
+@pytest.mark.parametrize("n, changed", [(1, 0), (9, 0), (30, 2), (100, 8), (500, 40), (6000, 480)])
+def test_similar_sets_pass_the_bounds_from_parity_bits(n, changed):
+    for seed in range(60):
+        x, y = sets_of_numbers(seed, n, changed)  # n - changed shingles of n + changed are common, 85 % or more
+        odds = [[np.array([w]) for w in setjoin.odd_sketch(t)] for t in (x, y)]
+        assert setjoin._may_link(np.array([n]), np.array([n]), np.array([n]), *odds, 85).all()
+        a, b = ({"n": n, "sketch": setjoin.long_sketch(t).tobytes()} for t in (x, y))
+        assert setjoin._close(85)()(a)(b)
+
+
+def test_a_pair_whose_sketches_differ_in_a_sign_bit_is_listed():
+    import pyarrow as pa
+
+    common = sets_of_numbers(3, 200, 0)[0]
+    y = np.sort(np.append(common, np.uint64(56 << 20)))  # bit 56 is the sign bit of the sketch's first word
+    odds = [setjoin.odd_sketch(t) for t in (common, y)]
+    assert odds[0][0] ^ odds[1][0] < 0
+    columns = [[5, 5], [1, 2], [1, 2], [200, 201], [1, 1], *zip(*odds)]
+    rows = pa.RecordBatch.from_arrays([pa.array([int(v) for v in c], pa.int64()) for c in columns], names=[f"c{i}" for i in range(9)])
+    assert [tuple(r.values()) for b in setjoin._list_pairs(85)(iter([rows])) for r in b.to_pylist()] == [(1, 2)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 400), st.integers(1, 400), st.integers(0, 400), st.integers(0, 2**32))
+def test_long_sketches_never_differ_in_more_than_the_sets(n, m, common, seed):
+    common = min(common, n, m)
+    tokens = np.random.default_rng(seed).integers(0, 2**64, n + m - common, np.uint64)
+    x, y = setjoin.long_sketch(tokens[:n]), setjoin.long_sketch(tokens[n - common:])
+    assert setjoin.sketches_differ(x, y) == setjoin.sketches_differ(y, x) <= n + m - 2 * common
+    assert 2 * n <= max(64, 64 * len(x)) and 64 * len(x) <= max(64, 4 * n)
+
+
+def test_texts_are_sent_to_a_meeting_for_close_pairs_only(make_docs, monkeypatch):
+    met, plain = [], setjoin._meet
+    docs = [(i, " ".join(f"part{k % 60}_{j}" for k in (i, i + 1) for j in range(100))) for i in range(60)]  # neighbours share a half
+    docs += [(100 + i, " ".join([f"copy{i % 9}_{j}" for j in range(300)] + [f"end{i}"])) for i in range(18)]
+
+    def counted(pairs, data, columns, check):
+        met.append((columns, pairs.count()))
+        return plain(pairs, data, columns, check)
+
+    monkeypatch.setattr(setjoin, "_meet", counted)
+    assert joined(setjoin.jaccard_components(make_docs(docs))) == plain_join(docs)
+    assert sum(n for c, n in met if "text" not in c) > 40
+    assert 9 <= sum(n for c, n in met if "text" in c) < 20

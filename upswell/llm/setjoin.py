@@ -16,8 +16,9 @@ these links haven't joined: they are listed in full. In a large group only the
 classes outside its largest component are held against all, cell by cell. A
 huge group is split before by length and by the prefixes of the other orders,
 which loses no link, as a pair has to share a shingle of those too. Pairs then
-pass a bound on how many shingles differ, the filters of the other orders, and the sets of those left are compared
-shingle by shingle.
+pass bounds on how many shingles differ, from 256 parity bits and from some bits a
+shingle, before texts are moved for them; then come the filters of the other
+orders, and the sets of those left are compared shingle by shingle.
 """
 
 from __future__ import annotations
@@ -174,23 +175,44 @@ def _rarity(blocks: DataFrame, total: int) -> np.ndarray:
 
 
 _ODDS = ["o0", "o1", "o2", "o3"]
-_REPS = "cid long, n long, hot long, ord long, o0 long, o1 long, o2 long, o3 long, p1 array<long>, p2 array<int>, p3 array<int>, text binary"
-_REPS_ARROW = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("hot", pa.int64()), ("ord", pa.int64()), *[(o, pa.int64()) for o in _ODDS], ("p1", pa.list_(pa.int64())), ("p2", pa.list_(pa.int32())),
+_REPS = ("cid long, n long, hot long, ord long, o0 long, o1 long, o2 long, o3 long, sketch binary, p1 array<long>, p2 array<int>, p3 array<int>, "
+         "text binary")
+_REPS_ARROW = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("hot", pa.int64()), ("ord", pa.int64()), *[(o, pa.int64()) for o in _ODDS],
+                         ("sketch", pa.binary()), ("p1", pa.list_(pa.int64())), ("p2", pa.list_(pa.int32())),
                          ("p3", pa.list_(pa.int32())), ("text", pa.binary())])
 
 
-def odd_sketch(tokens: np.ndarray) -> np.ndarray:
-    """256 bits, each telling whether an odd number of shingles falls on it: two sets differ in at least as many shingles as their bits do."""
-    odd = (np.bincount((tokens >> np.uint64(20) & np.uint64(255)).view(np.int64), minlength=256) & 1).astype(np.uint8)
+def odd_sketch(tokens: np.ndarray, bits: int = 256) -> np.ndarray:
+    """Bits (a power of two of them), each telling whether an odd number of shingles falls on it: two sets differ in at least as many shingles
+    as their bits do."""
+    odd = (np.bincount((tokens >> np.uint64(20) & np.uint64(bits - 1)).view(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
+def long_sketch(tokens: np.ndarray) -> np.ndarray:
+    """An odd sketch of two to four bits a shingle, which tells sets apart that differ in little more than links allow."""
+    return odd_sketch(tokens, max(64, 1 << (2 * len(tokens) - 1).bit_length()))
+
+
+def sketches_differ(x: np.ndarray, y: np.ndarray) -> int:
+    """In how many bits; the longer sketch is folded to what it would be with as few bits as the other."""
+    while len(x) > len(y):
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(_bits_set(x ^ y).sum())
+
+
+def _bits_set(words: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(words.view(np.uint64)).astype(np.int64)  # of signed words numpy counts the bits of their absolute values
+
+
 def _may_link(n: np.ndarray, m: np.ndarray, most: np.ndarray, odds: list[np.ndarray], others: list[np.ndarray], percent: int) -> np.ndarray:
     """Whether sets of n and m shingles, ``most`` of them in common, may be similar enough; their sketches bound the common ones too."""
     least = -(-percent * (n + m) // (100 + percent))  # so many common ones make a link
     take = most >= least
     if take.any():
-        differ = sum(np.bitwise_count(x ^ y).astype(np.int64) for x, y in zip(odds, others))
+        differ = sum(_bits_set(x ^ y) for x, y in zip(odds, others))
         take &= differ <= n + m - 2 * least
     return take
 
@@ -208,7 +230,7 @@ def _representatives(texts: DataFrame, classes: np.ndarray, size: int, percent:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, table = _WordHashes(), shared.value
         for b in batches:
-            sizes, cut, kept, cold, order, odds = [], ([], [], []), [], [], [], []
+            sizes, cut, kept, cold, order, odds, sketches = [], ([], [], []), [], [], [], [], []
             for digest, t in zip(b.column(1).to_pylist(), b.column(2)):
                 tokens = shingle_tokens(t.as_py(), size, hashes)
                 if _digest(tokens) == digest:  # not another row with the same number
@@ -217,16 +239,28 @@ def _representatives(texts: DataFrame, classes: np.ndarray, size: int, percent:
                         held.append(p)
                     order.append(round(256 * (64 - table[_places(tokens)].mean())))
                     odds.append(odd_sketch(tokens))
+                    sketches.append(long_sketch(tokens).tobytes())
                     cold.append(int((table[_places(cut[0][-1])] <= FREQUENT).sum()))
                 sizes.append(len(tokens))
             at = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(sizes, pa.int64()).take(at), pa.array(cold, pa.int64()), pa.array(order, pa.int64()),
-                                              *[pa.array(np.array([o[i] for o in odds], np.int64)) for i in range(4)], lists(cut[0], np.int64),
-                                              lists(cut[1], np.int32), lists(cut[2], np.int32), b.column(2).take(at)], schema=_REPS_ARROW)
+                                              *[pa.array(np.array([o[i] for o in odds], np.int64)) for i in range(4)], pa.array(sketches, pa.binary()),
+                                              lists(cut[0], np.int64), lists(cut[1], np.int32), lists(cut[2], np.int32), b.column(2).take(at)], schema=_REPS_ARROW)
 
     return texts.mapInArrow(run, _REPS)
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """Like ``checkpointed``, for pairs, links and counts that several jobs read: a table, whose small files a task reads together.
+
+    It also drops what the planner has inferred, which a checkpoint keeps and
+    which doubles by the round of ``components``. Its files stay until the folder is cleared.
+    """
+    folder = shared_folder(df.sparkSession, "pairs")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def _long_enough(n: str, other: str, percent: int) -> Column:
     return (F.least(n, other) * 100 >= F.greatest(n, other) * percent)
 
@@ -248,16 +282,16 @@ def _needed(data: DataFrame, pairs: DataFrame) -> DataFrame:
     return placed(data).join(F.broadcast(bits), "_bucket").where(there).select(*data.columns)
 
 
-def _meet(pairs: DataFrame, reps: DataFrame, columns: list[str], check: Callable[[], Callable]) -> DataFrame:
-    """The pairs (a, b) that pass. ``check()`` gives a function for one class's columns, which gives one for another's.
+def _meet(pairs: DataFrame, data: DataFrame, columns: list[str], check: Callable[[], Callable]) -> DataFrame:
+    """The pairs (a, b) that pass. ``check()`` gives a function for one class's columns in ``data`` (cid, ...), which gives one for another's.
 
     A class's columns go once to a task for up to ``STAR`` of its pairs, so a
     class with very many pairs is dealt over as many tasks as it needs.
     """
-    counts = checkpointed(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n")))
+    counts = _stored(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n")))
     total = counts.agg(F.sum("_n")).first()[0] or 0
     shares = F.ceil(F.col("_n") / STAR).cast("int")
-    data = _needed(reps, pairs).select("cid", F.struct(*columns).alias("_d"))
+    data = data.select("cid", F.struct(*columns).alias("_d"))
     heads = counts.select("a", F.explode(F.sequence(F.lit(0), shares - 1)).alias("_share")).join(data, F.col("a") == F.col("cid")).select(
         "a", "_share", F.lit(None).cast("long").alias("b"), "_d")
     dealt = lookup_join(pairs.withColumn("_rid", F.col("b")), counts, ["a"], total).select(
@@ -279,6 +313,24 @@ def _meet(pairs: DataFrame, reps: DataFrame, columns: list[str], check: Callable
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _close(percent: int):
+    """Pairs whose long sketches don't tell that their sets differ in too many shingles."""
+
+    def check():
+        def start(x: dict):
+            n, held = x["n"], np.frombuffer(x["sketch"], np.int64)
+
+            def test(y: dict) -> bool:
+                least = -(-percent * (n + y["n"]) // (100 + percent))  # so many common ones make a link
+                return sketches_differ(held, np.frombuffer(y["sketch"], np.int64)) <= n + y["n"] - 2 * least
+
+            return test
+
+        return start
+
+    return check
+
+
 def _similar(size: int, percent: int):
     """Pairs that share a shingle of their prefixes under every other order and whose sets, compared shingle by shingle, are similar enough."""
 
@@ -301,14 +353,15 @@ def _similar(size: int, percent: int):
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that are links, once each."""
-    return checkpointed(_meet(checkpointed(pairs.distinct()), reps, ["p2", "p3", "text"], _similar(size, percent)))
+    """Those of the pairs (a, b) that are links, once each. Texts are moved only for pairs that pass a bound from their long sketches."""
+    close = _stored(_meet(_stored(pairs.distinct()), reps, ["n", "sketch"], _close(percent)))
+    return _stored(_meet(close, _needed(reps, close), ["p2", "p3", "text"], _similar(size, percent)))
 
 
 def _open_groups(rows: DataFrame) -> DataFrame:
     """(key, _n) of the groups that hold more than one component."""
     stats = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("comp").alias("_low"), F.max("comp").alias("_high"))
-    return checkpointed(stats.where("_low < _high").select("key", "_n"))
+    return _stored(stats.where("_low < _high").select("key", "_n"))
 
 
 def _of_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -317,13 +370,9 @@ def _of_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return lookup_join(rows.withColumn("_rid", F.col("cid")), groups, ["key"], total).drop("_rid")
 
 
-def _joined_so_far(links: DataFrame) -> DataFrame:
-    """(cid, comp): classes that one or two links (u, v) join to a smaller one carry its number; it needn't be the smallest of all."""
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    near = checkpointed(both.groupBy("u").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("_n")).select("u", F.least("u", "v").alias("v"), "_n"))
-    step = near.select(F.col("u").alias("v"), F.col("v").alias("_next"), "_n")
-    hops = lookup_join(near.drop("_n").withColumn("_rid", F.col("u")), step, ["v"], near.agg(F.sum("_n")).first()[0] or 0)
-    return checkpointed(hops.select(F.col("u").alias("cid"), F.col("_next").alias("comp")))
+def _joined(links: DataFrame) -> DataFrame:
+    """(cid, comp): every class that the links (u, v) join to another one, and the smallest one that they reach from it."""
+    return _stored(components(links, _stored).toDF("cid", "comp"))
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -417,7 +466,7 @@ def _strays_with_all(rows: DataFrame, percent: int) -> DataFrame:
     a cell's strays and reads the others past them.
     """
     sizes = checkpointed(rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("_c")))
-    groups = checkpointed(sizes.groupBy("key").agg(F.sum("_c").alias("_n"), F.max_by("comp", "_c").alias("_main"), F.max("_c").alias("_most")))
+    groups = _stored(sizes.groupBy("key").agg(F.sum("_c").alias("_n"), F.max_by("comp", "_c").alias("_main"), F.max("_c").alias("_most")))
     rows = checkpointed(_of_groups(rows, groups).withColumn("stray", F.col("comp") != F.col("_main")))
     stray_blocks = F.ceil((F.col("_n") - F.col("_most")) / GROUP).cast("int")
     row_blocks = F.ceil(F.col("_n") / SPLIT_BLOCK).cast("int")
@@ -495,8 +544,9 @@ def _links(reps: DataFrame, size: int, percent: int) -> DataFrame:
     rows = _shared_rows(reps)
     star = rows.where((F.col("cid") != F.col("a")) & _long_enough("n", "m", percent)).select("a", F.col("cid").alias("b"))
     links = _verified(star, reps, size, percent).toDF("u", "v")
-    rows = rows.select("key", "cid", "n", "pos").join(_joined_so_far(links), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    return links.unionByName(_verified(_remaining_pairs(rows, reps, percent), reps, size, percent).toDF("u", "v"))
+    joined = _joined(links)
+    rows = rows.select("key", "cid", "n", "pos").join(joined, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    return joined.toDF("u", "v").unionByName(_verified(_remaining_pairs(rows, reps, percent), reps, size, percent).toDF("u", "v"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
@@ -524,7 +574,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     _representatives(texts, rarity, size, percent).write.option("compression", "zstd").parquet(f"{folder}/sets")
     reps = docs.sparkSession.read.parquet(f"{folder}/sets")
 
-    root = checkpointed(components(_links(reps, size, percent)).toDF("cid", "root"))
+    root = _joined(_links(reps, size, percent)).toDF("cid", "root")
     linked = checkpointed(sets.select("cid", "digest", "low", F.col("_n").alias("_docs")).join(root, "cid", "left").withColumn(
         "root", F.coalesce("root", "cid")))
     tops = checkpointed(linked.groupBy("root").agg(F.min("low").alias("component"), F.count(F.lit(1)).alias("_n")))

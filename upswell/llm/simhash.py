@@ -14,7 +14,7 @@ connected components then come from alternating large-star and small-star steps.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -183,21 +183,21 @@ def fingerprint_links(prints: DataFrame, radius: int) -> DataFrame:
     return shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(_search(radius), "u long, v long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(fp, root) for every end of a link; root is the smallest number of its component."""
+def components(links: DataFrame, keep: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
+    """(fp, root) for every end of a link; root is the smallest number of its component. ``keep`` writes what a round has found and reads it back."""
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else \
             edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = checkpointed(both.groupBy("u").agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_n")).select(
+        low = keep(both.groupBy("u").agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_n")).select(
             "u", F.least("u", "_m").alias("_m"), "_n"))
         n = low.agg(F.sum("_n")).first()[0] or 0
         met = lookup_join(both.withColumn("_rid", F.col("v")), low, ["u"], n).drop("_rid", "_n")
         out = met.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("_m").alias("v")) if large else \
             met.select(F.col("v").alias("u"), F.col("_m").alias("v")).union(low.select("u", F.col("_m").alias("v")))
-        return checkpointed(out.where("u <> v").distinct())
+        return keep(out.where("u <> v").distinct())
 
-    edges = checkpointed(links.where("u <> v").distinct())
+    edges = keep(links.where("u <> v").distinct())
     seen = None
     while True:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
